@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from eventloom.llm import op2_suffix_array as op2
 from eventloom.llm import op4_quality_rules as op4
 from eventloom.llm import op5_minhash as op5
 
 
 def queries() -> dict:
-    return {"op4_quality_rules": op4.op4_quality_rules, "op5_minhash": op5.op5_minhash}
+    return {
+        "op2_suffix_array": op2.op2_suffix_array,
+        "op4_quality_rules": op4.op4_quality_rules,
+        "op5_minhash": op5.op5_minhash,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
