@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from eventloom.llm import op1_decontaminate as op1
 from eventloom.llm import op2_suffix_array as op2
 from eventloom.llm import op4_quality_rules as op4
 from eventloom.llm import op5_minhash as op5
+from eventloom.llm import op9_mixing as op9
 
 
 def queries() -> dict:
     return {
+        "op1_decontaminate": op1.op1_decontaminate,
         "op2_suffix_array": op2.op2_suffix_array,
         "op4_quality_rules": op4.op4_quality_rules,
         "op5_minhash": op5.op5_minhash,
+        "op9_mixing": op9.op9_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": op4.ORACLE_SQL}
+    return {"op4_quality_rules": op4.ORACLE_SQL, "op9_mixing": op9.ORACLE_SQL}
