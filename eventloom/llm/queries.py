@@ -6,6 +6,9 @@ from eventloom.llm import op1_decontaminate as op1
 from eventloom.llm import op2_suffix_array as op2
 from eventloom.llm import op4_quality_rules as op4
 from eventloom.llm import op5_minhash as op5
+from eventloom.llm import op6_toxicity as op6
+from eventloom.llm import op7_language_id as op7
+from eventloom.llm import op8_licenses as op8
 from eventloom.llm import op9_mixing as op9
 
 
@@ -15,6 +18,9 @@ def queries() -> dict:
         "op2_suffix_array": op2.op2_suffix_array,
         "op4_quality_rules": op4.op4_quality_rules,
         "op5_minhash": op5.op5_minhash,
+        "op6_toxicity": op6.op6_toxicity,
+        "op7_language_id": op7.op7_language_id,
+        "op8_licenses": op8.op8_licenses,
         "op9_mixing": op9.op9_mixing,
     }
 
