@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from eventloom.llm import op1_decontaminate as op1
+from eventloom.llm import op10_surrogates as op10
 from eventloom.llm import op2_suffix_array as op2
 from eventloom.llm import op4_quality_rules as op4
 from eventloom.llm import op5_minhash as op5
@@ -22,6 +23,7 @@ def queries() -> dict:
         "op7_language_id": op7.op7_language_id,
         "op8_licenses": op8.op8_licenses,
         "op9_mixing": op9.op9_mixing,
+        "op10_surrogates": op10.op10_surrogates,
     }
 
 
