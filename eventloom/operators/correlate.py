@@ -33,7 +33,7 @@ def link_traces(df: DataFrame) -> DataFrame:
     return df.join(link, "trace_id", "left").withColumn("run_id", F.coalesce(present("run_id"), "linked")).drop("linked")
 
 
-def correlation_method(df: DataFrame) -> Column:
+def correlation_method() -> Column:
     """VAL-7, on events before traces are linked."""
     return F.when(present("run_id").isNotNull(), "explicit_run_id").when(present("trace_id").isNotNull(), "trace_id").when(present("invocation_id").isNotNull(), "producer_invocation")
 

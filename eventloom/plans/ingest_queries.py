@@ -1 +1,123 @@
-QUERIES: dict = {}
+"""Arrival, validation, privacy and sampling over the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from eventloom.operators import correlate as c
+from eventloom.operators import privacy as pv
+from eventloom.operators import projections as p
+from eventloom.operators import sampling as s
+from eventloom.operators import validate as v
+from eventloom.plans.common import over_events, texted
+from eventloom.plans.graph_queries import ROLES
+from eventloom.schema import from_tables, sql
+
+ORDERS_TWICE = "raw2 AS (SELECT * FROM raw UNION ALL SELECT * REPLACE (received_at + INTERVAL 5 SECOND AS received_at) FROM raw WHERE event = 'pipeline.run' UNION ALL SELECT * REPLACE (received_at + INTERVAL 9 SECOND AS received_at, 'cancelled' AS outcome) FROM raw WHERE event = 'pipeline.run' AND outcome = 'failure')"
+
+
+def _redelivered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events, runs delivered twice, failed runs a third time with another outcome."""
+    ev = from_tables(spark, sf_dir)
+    runs = ev.where("event = 'pipeline.run'")
+    late = lambda df, k: df.withColumn("received_at", F.timestamp_add("SECOND", F.lit(k), "received_at"))
+    return ev.union(late(runs, 5)).union(late(runs.where("outcome = 'failure'").withColumn("outcome", F.lit("cancelled")), 9).select(ev.columns))
+
+
+def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN-2, AGG-13: status counts by producer."""
+    return c.arrivals(_redelivered(spark, sf_dir)).groupBy("producer", "status").agg(F.count("*").alias("n"))
+
+
+def docs_column(f) -> object:
+    return lambda spark, sf_dir: f(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VAL-9 over the event table's props: k must be there and an int; a second field is missing from all."""
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").cast("string").alias("event_id"), F.col("event_type").alias("event"), F.col("props").alias("attributes"))
+    rows = [("click", 1, "k", "string", True), ("click", 2, "k", "int", True), ("view", 1, "k", "string", True), ("error", 1, "code", "int", True), ("error", 1, "k", "float", False)]
+    table = spark.createDataFrame(rows, "event string, version int, field string, type string, required boolean")
+    return texted(v.contract_violations(ev, table).select("event_id", "event", "violations"))
+
+
+RULES = [s.Rule("quiet_metrics", event="metric.*", rate=0.25), s.Rule("drop_failures", event="quality.*", outcome="failure", rate=0.5), s.Rule("assets", event="asset.*", rate=0.1), s.Rule("slow", min_duration_ms=100000.0, rate=1.0)]
+FRACTION = "(CAST('0x' || substr(sha256({0}), 1, 16) AS UBIGINT)::DOUBLE / 18446744073709551616.0)"
+KEY = "coalesce(run_id, trace_id, '')"
+
+QUERIES = {
+    "join1_trace_links": (
+        lambda spark, sf_dir: c.link_traces(c.accepted(from_tables(spark, sf_dir))).select("event_id", "run_id"),
+        sql("SELECT event_id, run_id FROM ev"),
+    ),
+    "join2_arrivals": (
+        arrivals,
+        sql("""SELECT producer, CASE WHEN rn = 1 THEN 'accepted' WHEN outcome = fo THEN 'duplicate' ELSE 'conflict' END AS status, count(*) AS n
+            FROM (SELECT *, row_number() OVER w AS rn, first_value(outcome) OVER w AS fo FROM raw2 WINDOW w AS (PARTITION BY event_id ORDER BY received_at, outcome, row_count)) GROUP BY ALL""", ORDERS_TWICE),
+    ),
+    "val7_agg14_correlation": (
+        lambda spark, sf_dir: from_tables(spark, sf_dir).groupBy(F.coalesce(c.correlation_method(), F.lit("uncorrelated")).alias("method")).agg(F.count("*").alias("n")),
+        sql("SELECT CASE WHEN run_id IS NOT NULL THEN 'explicit_run_id' WHEN trace_id IS NOT NULL THEN 'trace_id' ELSE 'uncorrelated' END AS method, count(*) AS n FROM raw GROUP BY 1"),
+    ),
+    "val1_envelope_problems": (
+        lambda spark, sf_dir: texted((df := from_tables(spark, sf_dir)).select("event_id", v.envelope_problems(df).alias("problems")).where("size(problems) > 0")),
+        sql("SELECT event_id, 'duration_ms' AS problems FROM raw WHERE started_at IS NOT NULL AND ended_at IS NOT NULL AND abs(epoch_ms(ended_at) - epoch_ms(started_at) - duration_ms) > 2") ,
+    ),
+    "val2_storage_problems": (
+        lambda spark, sf_dir: texted((df := from_tables(spark, sf_dir)).select("producer", v.storage_problems(df).alias("problems")).groupBy("producer", "problems").agg(F.count("*").alias("n"))),
+        sql("SELECT producer, CASE WHEN regexp_matches(event_id, '^[0-9a-fA-F]{8}-') THEN '' ELSE 'event_id' END AS problems, count(*) AS n FROM raw GROUP BY ALL"),
+    ),
+    "val3_batches": (
+        lambda spark, sf_dir: v.batch_status(from_tables(spark, sf_dir).withColumn("batch", F.date_format("received_at", "yyyy-MM-dd")), "batch", 40),
+        sql("SELECT strftime(received_at, '%Y-%m-%d') AS batch, count(*) AS n, count(*) <= 40 AS accepted FROM raw GROUP BY 1"),
+    ),
+    "val8_entity_conformance": (
+        over_events(lambda ev: v.entity_conformance(p.with_entities(ev))),
+        sql("SELECT producer, split_part(entity_id, '://', 1) AS kind, count(*) AS n, count(*) FILTER (NOT regexp_matches(entity_id, '^[a-z][a-z0-9_+.-]*://.+$')) AS violations FROM roles GROUP BY ALL", ROLES),
+    ),
+    "val9_contract_violations": (
+        contracts,
+        "SELECT CAST(event_id AS VARCHAR) AS event_id, event_type AS event, CASE event_type WHEN 'view' THEN 'type:k' WHEN 'error' THEN 'missing:code' ELSE '' END AS violations FROM events",
+    ),
+    "val10_registry": (
+        lambda spark, sf_dir: v.registry(spark.read.parquet(f"{sf_dir}/events.parquet").select(F.concat_ws("/", "event_type", F.col("user_id") % 7).alias("schema_id"), F.col("props").alias("schema_json"), F.col("ts").alias("observed_at"), "event_id")),
+        "SELECT event_type || '/' || (user_id % 7) AS schema_id, arg_min(props, (ts, event_id)) AS schema_json, sha256(arg_min(props, (ts, event_id))) AS schema_hash FROM events GROUP BY 1",
+    ),
+    "val12_contract_drift": (
+        lambda spark, sf_dir: (lambda f: v.drift(f.where("event = 'a'"), f.where("event = 'b'")))(v.observed_fields(
+            spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.when(F.col("l_linenumber") < 4, "a").otherwise("b").alias("event"),
+                F.to_json(F.struct(F.when(F.col("l_linenumber") != 2, F.col("l_returnflag")).alias("flag"), F.when(F.col("l_linenumber") < 4, F.col("l_suppkey")).alias("supplier"), F.when(F.col("l_linenumber") < 4, F.col("l_quantity").cast("long").cast("string")).otherwise(F.format_string("%.1f", "l_quantity")).alias("quantity"), F.when(F.col("l_linenumber") == 5, F.col("l_tax")).alias("tax"))).alias("attributes")))),
+        "SELECT * FROM (VALUES ('flag', 'now_required', true), ('supplier', 'removed', true), ('quantity', 'widened', false), ('tax', 'new_optional', false)) t(field, change, breaking) WHERE EXISTS (SELECT 1 FROM lineitem)",
+    ),
+    "val14_secret_values": (
+        docs_column(lambda d: d.select("doc_id", F.sha2(pv.redact_value(F.coalesce("text", F.lit(""))), 256).alias("redacted"))),
+        r"SELECT doc_id, sha256(CASE WHEN regexp_matches(text, '(?i)\bbearer\s+[a-z0-9._~+/=-]+') OR regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----') OR regexp_matches(text, '\bAKIA[0-9A-Z]{16}\b') OR regexp_matches(text, '\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*') THEN '[REDACTED]' ELSE coalesce(text, '') END) AS redacted FROM documents",
+    ),
+    "val13_secret_keys": (
+        docs_column(lambda d: d.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"(\w+) ?= ?\"?\w+"), 1)).alias("key")).withColumn("secret", pv.is_secret_key(F.col("key"))).groupBy("key", "secret").agg(F.count("*").alias("n"))),
+        r"""SELECT key, regexp_matches(lower(regexp_replace(key, '([a-z0-9])([A-Z])', '\1_\2', 'g')), '(^|_)(password|passwd|secret|token|api_key|apikey|authorization|credential|credentials|private_key|access_key|client_secret|cookie)(_|$)') AS secret, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '([\p{L}\p{N}_]+) ?= ?"?[\p{L}\p{N}_]+', 1)) AS key FROM documents) GROUP BY ALL""",
+    ),
+    "val15_urls": (
+        lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", pv.strip_url(F.concat(F.regexp_replace("url", "://", "://user:pw@"), F.lit("&token=abc"))).alias("url")),
+        "SELECT page_id, replace(url, '://', '://user:[REDACTED]@') || '&token=[REDACTED]' AS url FROM pages",
+    ),
+    "src10_sql_fingerprints": (
+        docs_column(lambda d: d.withColumn("q", F.concat(F.lit("SELECT /* c */ * FROM t -- x\nWHERE id = "), F.col("doc_id").cast("string"), F.lit(" AND s = '"), F.col("source"), F.lit("' AND lang = "), F.col("lang"))).groupBy(pv.sql_fingerprint(F.col("q")).alias("fingerprint"), pv.sql_class(F.col("q")).alias("class")).agg(F.count("*").alias("n"))),
+        "SELECT substr(sha256('SELECT * FROM t WHERE id = ? AND s = ? AND lang = ' || lang), 1, 16) AS fingerprint, 'select' AS class, count(*) AS n FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY 1",
+    ),
+    "val16_sampling": (
+        over_events(lambda ev: ev.where(s.keep_sampled({"info": 0.3, "warn": 0.6})).select("event_id")),
+        sql(f"SELECT event_id FROM ev WHERE {FRACTION.format(f'event || chr(124) || {KEY}')} < CASE severity WHEN 'info' THEN 0.3 WHEN 'warn' THEN 0.6 ELSE 1.0 END"),
+    ),
+    "val17_policy_sampling": (
+        over_events(lambda ev: s.decide(ev, RULES).groupBy("event", "keep", "reason").agg(F.count("*").alias("n"))),
+        sql(f"""SELECT event, keep, reason, count(*) AS n FROM (SELECT event, CASE WHEN rule IS NULL THEN true ELSE safe OR f < rate END AS keep, CASE WHEN rule IS NULL THEN 'no_rule' WHEN safe THEN 'kept_always' ELSE rule END AS reason FROM (
+            SELECT *, outcome = 'failure' AND rule <> 'drop_failures' AS safe, {FRACTION.format(f"event || '|' || {KEY} || '|' || rule")} AS f, CASE rule WHEN 'quiet_metrics' THEN 0.25 WHEN 'drop_failures' THEN 0.5 WHEN 'assets' THEN 0.1 ELSE 1.0 END AS rate FROM (
+            SELECT *, CASE WHEN event LIKE 'metric.%' THEN 'quiet_metrics' WHEN event LIKE 'quality.%' AND outcome = 'failure' THEN 'drop_failures' WHEN event LIKE 'asset.%' THEN 'assets' WHEN duration_ms >= 100000 THEN 'slow' END AS rule FROM ev))) GROUP BY ALL"""),
+    ),
+    "val18_tail_sampling": (
+        over_events(lambda ev: s.tail_sample(ev, 400000.0).select("event_id")),
+        sql("""SELECT event_id FROM (SELECT *, max(CASE WHEN event = 'pipeline.run' AND outcome <> 'unknown' THEN {'a': observed_at, 'b': event_id, 'c': outcome, 'd': duration_ms} END) OVER (PARTITION BY run_id) AS t FROM ev) WHERE run_id IS NULL OR t IS NULL OR t.c = 'failure' OR t.d >= 400000"""),
+    ),
+}
