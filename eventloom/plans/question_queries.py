@@ -1 +1,80 @@
-QUERIES: dict = {}
+"""The questions over the given tables, for all runs and assets."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from eventloom.operators import insights as i
+from eventloom.operators import projections as p
+from eventloom.operators import questions as q
+from eventloom.plans.common import over_events
+from eventloom.plans.graph_queries import ASSETS, EDGES, ROLES, RUNS
+from eventloom.plans.insight_queries import EPISODES
+from eventloom.schema import sql
+
+CHANGES = (
+    RUNS
+    + """,
+chg AS (SELECT * FROM ev WHERE category IN ('infrastructure', 'storage') OR verb IN ('deploy', 'commit', 'create', 'migrate', 'release', 'upgrade')),
+rc AS (SELECT run_id, coalesce(started_at, updated_at) AS start, event_id AS change_id, event AS change, chg.observed_at AS changed_at, status FROM (SELECT * FROM run) r JOIN (SELECT event_id, event, observed_at FROM chg) chg ON chg.observed_at BETWEEN coalesce(r.started_at, r.updated_at) - INTERVAL 24 HOUR AND coalesce(r.started_at, r.updated_at)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY changed_at DESC, change_id) AS rn, count(*) OVER (PARTITION BY run_id) AS n FROM rc),
+cmp AS (SELECT a.run_id, b.run_id AS other, row_number() OVER (PARTITION BY a.run_id ORDER BY b.updated_at DESC, b.run_id) AS place, a.job_name FROM run a JOIN run b ON a.job_name = b.job_name AND a.run_id <> b.run_id QUALIFY place <= 5)"""
+)
+
+QUERIES = {
+    "qry1_search": (
+        over_events(lambda ev: q.page(q.search(ev, "FAILED AT", since="1996-01-01", until="1997-12-31"), 1000).select("event_id", "observed_at", "error_message")),
+        sql("SELECT event_id, ts(observed_at) AS observed_at, error_message FROM ev WHERE contains(lower(error_message), 'failed at') AND observed_at BETWEEN '1996-01-01' AND '1997-12-31' ORDER BY ev.observed_at, event_id LIMIT 1000"),
+    ),
+    "top2_event_page_after_cursor": (
+        over_events(lambda ev: q.page(ev, 500, q.cursor("1997-06-01 00:00:00", "l-5")).select("event_id", "observed_at")),
+        sql("SELECT event_id, ts(observed_at) AS observed_at FROM ev WHERE (ev.observed_at, event_id) > (TIMESTAMP '1997-06-01 00:00:00', 'l-5') ORDER BY ev.observed_at, event_id LIMIT 500"),
+    ),
+    "qry3_events_by_asset": (over_events(lambda ev: q.search(ev, asset_key="part-7").select("event_id", "event")), sql("SELECT event_id, event FROM ev WHERE asset_key = 'part-7'")),
+    "qry5_timelines": (
+        over_events(q.timeline),
+        sql("""SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY observed_at, event_id) AS INTEGER) AS rn, event_id, ts(observed_at) AS observed_at,
+            CASE split_part(event, '.', 1) WHEN 'pipeline' THEN 'pipeline' WHEN 'asset' THEN 'asset' WHEN 'quality' THEN 'quality' WHEN 'table' THEN 'table' WHEN 'wap' THEN 'wap' ELSE 'other' END AS phase,
+            upper(verb[1]) || verb[2:] AS label, CASE WHEN error_message IS NOT NULL THEN 'failed: ' || error_message WHEN duration_ms IS NOT NULL THEN 'took ' || CAST(floor(duration_ms / 1000) AS BIGINT) || '.' || (CAST(floor(duration_ms / 100) AS BIGINT) % 10) || ' s' WHEN row_count IS NOT NULL THEN CAST(row_count AS BIGINT) || ' rows' ELSE outcome END AS summary, false AS truncated FROM ev WHERE run_id IS NOT NULL"""),
+    ),
+    "qry6_run_failures": (over_events(q.failures), sql("SELECT run_id, event_id, event, outcome, error_message, ts(observed_at) AS observed_at FROM ev WHERE run_id IS NOT NULL AND (outcome = 'failure' OR error_message IS NOT NULL)")),
+    "qry7_run_changes": (
+        over_events(lambda ev: q.changes(p.runs(ev), ev)),
+        sql("SELECT run_id, strftime(start, '%Y-%m-%d %H:%M:%S.%g') AS start, change_id, change, ts(changed_at) AS changed_at, CAST(rn AS INTEGER) AS rn, n > 1000 AS truncated FROM rk WHERE rn <= 1000", CHANGES),
+    ),
+    "join12_comparable_runs": (over_events(lambda ev: q.comparable(p.runs(ev))), sql("SELECT run_id, other, CAST(place AS INTEGER) AS place, job_name FROM cmp", CHANGES)),
+    "qry9_compare_runs": (
+        over_events(lambda ev: (lambda r: q.compared(r, q.comparable(r, 1).select("run_id", "other")))(p.runs(ev))),
+        sql("SELECT c.run_id, other, b.duration_ms - a.duration_ms AS duration_delta_ms, a.status <> b.status AS status_changed, b.error_count - a.error_count AS error_delta FROM cmp c JOIN run a ON a.run_id = c.run_id JOIN run b ON b.run_id = c.other WHERE place = 1", CHANGES),
+    ),
+    "qry10_investigations": (
+        over_events(lambda ev: q.investigation(ev, p.runs(ev))),
+        sql("""SELECT r.run_id, r.job_name, coalesce(failures, 0) AS failures, failed_stage, first_failure, coalesce(warnings, 0) AS warnings, recent_changes, coalesce(truncated, false) AS truncated, comparables, concat_ws(',', first_failure, recent_changes) AS causes
+            FROM (SELECT * FROM run WHERE status = 'failure') r
+            LEFT JOIN (SELECT run_id, count(*) AS failures, arg_max(event, (observed_at, event_id)) AS failed_stage, arg_min(event_id, (observed_at, event_id)) AS first_failure FROM ev WHERE outcome = 'failure' OR error_message IS NOT NULL GROUP BY run_id) f USING (run_id)
+            LEFT JOIN (SELECT run_id, count(*) AS warnings FROM ev WHERE severity IN ('warn', 'error') GROUP BY run_id) w USING (run_id)
+            LEFT JOIN (SELECT run_id, string_agg(change_id, ',' ORDER BY rn) AS recent_changes, max(n) > 3 AS truncated FROM rk WHERE rn <= 3 GROUP BY run_id) c USING (run_id)
+            LEFT JOIN (SELECT run_id, string_agg(other, ',' ORDER BY place) AS comparables FROM cmp GROUP BY run_id) m USING (run_id)""", CHANGES),
+    ),
+    "set1_run_entities": (
+        over_events(lambda ev: q.run_entities(p.edges(ev))),
+        sql("SELECT split_part(src, '/', -1) AS run_id, dst AS entity_id FROM edge WHERE src LIKE 'run://%' UNION SELECT split_part(dst, '/', -1), src FROM edge WHERE dst LIKE 'run://%'", EDGES),
+    ),
+    "join8_lineage": (
+        over_events(lambda ev: q.lineage(p.relationships(ev))),
+        sql("SELECT DISTINCT dst AS entity_id, 'upstream' AS direction, src AS neighbour, type, 'runtime' AS kind FROM edge WHERE dst LIKE 'asset://%'", EDGES),
+    ),
+    "qry11_asset_health": (
+        over_events(lambda ev: q.asset_health(p.assets(ev), F.lit("2001-01-01").cast("timestamp_ntz"))),
+        sql("SELECT entity_id, ts(last_event_at) AS last_event_at, ts(last_materialized_at) AS last_materialized_at, sla_seconds, status, (epoch_ms(TIMESTAMP '2001-01-01') - epoch_ms(last_materialized_at)) / 1000.0 AS age_seconds, coalesce((epoch_ms(TIMESTAMP '2001-01-01') - epoch_ms(last_materialized_at)) / 1000.0 > sla_seconds, false) AS breached FROM asset", ASSETS),
+    ),
+    "join9_asset_insights": (
+        over_events(lambda ev: q.asset_insights(p.assets(ev).select("entity_id", "status"), i.episodes(i.findings(ev), ev))),
+        sql("SELECT entity_id, a.status, insights, coalesce(n, 0) AS open_insights FROM asset a LEFT JOIN (SELECT entity, count(*) AS n, string_agg(sha256(dedupe_key || '|' || first_event), ',' ORDER BY sha256(dedupe_key || '|' || first_event)) AS insights FROM epi WHERE resolved_by IS NULL GROUP BY entity) e ON e.entity = a.entity_id", EPISODES + "," + ASSETS),
+    ),
+    "join11_provenance": (
+        over_events(lambda ev: q.provenance(ev)),
+        sql("SELECT event_id, 'run' AS kind, run_id AS listed_by FROM ev WHERE run_id IS NOT NULL UNION SELECT event_id, 'entity', entity_id FROM roles UNION SELECT event_id, 'edge', src || ' -[' || type || ']-> ' || dst FROM edge", ROLES + "," + EDGES),
+    ),
+    "qry13_entities_by_kind": (over_events(lambda ev: p.entities(ev).where("kind = 'branch'").select("entity_id", "display_name")), sql("SELECT DISTINCT entity_id, split_part(entity_id, '://', -1) AS display_name FROM roles WHERE role = 'branch'", ROLES)),
+}
