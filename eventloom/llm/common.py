@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -31,6 +33,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def fingerprint(pairs: DataFrame) -> tuple:
+    """Number and digest of the rows, whatever their order."""
+    return tuple(pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """Connected components of edges(a, b): one row (id, component) for each id in an edge, component the smallest id.
 
@@ -41,6 +48,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     e = staged(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name
     )
+    seen = fingerprint(e)
     while True:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -49,9 +57,56 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         new = staged(small.where("a <> b").distinct(), name)
-        if new.count() == e.count() and new.join(e, ["a", "b"], "left_anti").isEmpty():
+        if (now := fingerprint(new)) == seen:
             break
-        e = new
+        e, seen = new, now
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).union(
         e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     )
+
+
+def prefix_pairs(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """sets(id, c, s: distinct longs) -> pairs(a, b) of different c; all with den * intersection >= num * union are among them.
+
+    With all elements in one order, the rarest first, such sets share one of their first n - ceil(num * n / den) + 1, and
+    their sizes are as near. What very many sets have stands last in that order and so finds no pairs.
+    """
+    rows = sets.select("id", "c", F.size("s").alias("n"), F.explode("s").alias("key"))
+    common = rows.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    of = W.partitionBy("id")
+    rows = rows.join(common, "key").withColumn("place", F.row_number().over(of.orderBy("df", "key"))).withColumn("shared", F.count("*").over(of))
+    # Elements that no other set has come first of all.
+    rows = rows.where(F.col("place") + F.col("n") - F.col("shared") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1)
+    # What may come after this element bounds the intersection.
+    rows = staged(rows.select("key", "id", "c", "n", (F.col("shared") - F.col("place") + 1).alias("rest")), "prefixes")
+    mixed = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+    rows = rows.join(mixed, "key", "left_semi")
+    a, b = (rows.select("key", *[F.col(x).alias(f"{x}_{k}") for x in ("id", "c", "n", "rest")]) for k in "ab")
+    # An intersection of m or more is needed; this is the first common element for at least one of a pair's rows.
+    least = F.ceil((F.col("n_a") + F.col("n_b")) * num / (num + den))
+    near = (F.col("id_a") < F.col("id_b")) & (F.col("c_a") != F.col("c_b")) & (F.least("rest_a", "rest_b") >= least)
+    return a.join(b, (a["key"] == b["key"]) & near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+
+
+def linked_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame], threshold: tuple[int, int], name: str) -> DataFrame:
+    """Components (id, component) of the links that verify finds among ids that share a key of members(key, id).
+
+    A key's members are not compared all with all: first each with the key's smallest and largest id. The members of keys
+    that then still hold more than one component are compared across components by prefix_pairs over sets(ids) (id, s), which
+    misses no pair that reaches the threshold. The result is the same as if all pairs that share a key had been compared.
+    """
+    order = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    ends = members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    star = members.join(ends, "key")
+    star = star.select(*order("id", "lo")).union(star.select(*order("id", "hi"))).where("a <> b").distinct()
+    star = staged(star, f"{name}-pairs")
+    edges = staged(verify(star), f"{name}-edges")
+    comps = staged(components(edges, f"{name}-cc"), f"{name}-components")
+    named = members.join(comps, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    keys = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+    left = staged(named.join(keys, "key", "left_semi").select("id", "c").distinct(), f"{name}-open")
+    if left.isEmpty():
+        return comps
+    pairs = prefix_pairs(sets(left.select("id")).join(left, "id").select("id", "c", "s"), *threshold)
+    found = staged(verify(staged(pairs.join(star, ["a", "b"], "left_anti"), f"{name}-pairs")), f"{name}-edges")
+    return comps if found.isEmpty() else staged(components(edges.union(found), f"{name}-cc"), f"{name}-components")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventloom.llm.common import components, documents, staged
+from eventloom.llm.common import documents, linked_components, staged
 from eventloom.llm.textops import batches, mix, shingle_sets
 
 SHINGLE, THRESHOLD = 5, (75, 100)
@@ -88,6 +88,16 @@ def packed(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([rb.column(0), pa.array([None if t is None else z.compress(t.encode()) for t in rb.column(1).to_pylist()], pa.binary())], ["doc_id", "z"])
 
 
+def unpacked_sets(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    z = zstandard.ZstdDecompressor()
+    for rb in batch_iter:
+        for lo in range(0, rb.num_rows, 256):
+            part = rb.slice(lo, 256)
+            texts = pa.array([z.decompress(t) for t in part.column(1).to_pylist()], pa.large_binary())
+            sets = [s.view(np.int64) for _, data, offsets in batches(texts) for s in shingle_sets(data, offsets, SHINGLE)]
+            yield pa.record_batch([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
+
+
 @F.pandas_udf(T.BooleanType())
 def plausible(a: pd.Series, b: pd.Series) -> pd.Series:
     """Compares the signatures step by step; a pair goes as soon as its posterior falls below MISS."""
@@ -135,10 +145,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     empty set and stay alone. Rows with one doc_id and one text are one document; doc_ids should be distinct. An
     empty table gives an empty result. Ties: component ids are minima, so they don't depend on order.
 
-    Equal sets are merged first by digest. In each band's bucket every set is compared with the bucket's smallest and
-    largest document, not with all others; once components are known, buckets that still hold more than one component
-    have their pairs across components compared too, so that no link between sets that share a bucket is lost and no
-    group is expanded into its pairs.
+    Equal sets are merged first by digest; linked_components says which of a band's documents are compared.
     """
     docs = docs.select("doc_id", "text")
     base = staged(docs.mapInArrow(sketch, "doc_id long, n_shingles long, digest binary, sig binary, bands array<long>"), "minhash")
@@ -147,23 +154,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = base.join(sets.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     banded = reps.select("doc_id", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    members = staged(banded.join(buckets, "key"), "minhash-members")
-    star = members.select(F.col("lo").alias("a"), F.col("doc_id").alias("b")).union(members.select(F.col("doc_id").alias("a"), F.col("hi").alias("b"))).where("a < b").distinct()
-    star = staged(star, "minhash-star")
-    involved = members.select("doc_id").distinct()
+    members = staged(banded.join(buckets, "key").select("key", F.col("doc_id").alias("id")), "minhash-members")
     sigs = reps.select("doc_id", "sig")
+    involved = members.select(F.col("id").alias("doc_id")).distinct()
     texts = staged(docs.mapInArrow(packed, "doc_id long, z binary").join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "minhash-texts")
-    edges = staged(verified(star, sigs, texts), "minhash-edges")
-    comps = staged(components(edges, "minhash-cc"), "minhash-comps")
-    named = members.select("key", "doc_id").join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-    open_keys = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    left = staged(named.join(open_keys, "key", "left_semi"), "minhash-open")
-    cross = left.select("key", F.col("doc_id").alias("a"), F.col("c").alias("ca")).join(left.select("key", F.col("doc_id").alias("b"), F.col("c").alias("cb")), "key")
-    cross = cross.where("a < b AND ca <> cb").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    more = staged(verified(cross, sigs, texts), "minhash-more")
-    if not more.isEmpty():
-        comps = components(edges.union(more), "minhash-cc")
-    of_set = sets.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
+    sets_of = lambda ids: texts.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(unpacked_sets, "id long, s array<long>")
+    comps = linked_components(members, lambda pairs: verified(pairs, sigs, texts), sets_of, THRESHOLD, "minhash").withColumnRenamed("id", "rep")
+    of_set = sets.join(comps, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = base.select("doc_id", "n_shingles", "digest").join(of_set, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 

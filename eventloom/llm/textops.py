@@ -14,7 +14,7 @@ WORD_SEPARATORS = np.zeros(256, bool)
 WORD_SEPARATORS[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
-BATCH_BYTES = 1 << 21
+BATCH_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
