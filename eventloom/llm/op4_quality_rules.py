@@ -72,13 +72,13 @@ def compiled(rules=RULES) -> tuple[Column, Column]:
     return verdict, F.array_compact(F.array(F.lit(None).cast("string"), *[F.when(~(a & b), F.lit(name)) for name, a, b in ok]))
 
 
-def quality(df: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
+def quality(df: DataFrame, rules=RULES, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """df(doc_id, text) -> doc_id, the measures, base_failed, kept, broken. One row for each row of df.
 
     Null or empty text has no words and fails; repeated rows are judged each; other columns are left out, so that
-    their names can't clash. No shuffle: a projection over the scan.
+    their names can't clash, but for those named in keep. No shuffle: a projection over the scan.
     """
-    df = measures(df.select("doc_id", F.col(text).alias("text")))
+    df = measures(df.select("doc_id", F.col(text).alias("text"), *keep))
     verdict, broken = compiled(rules)
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return df.withColumns({"base_failed": base, "kept": ~base & verdict, "broken": broken}).drop("text")

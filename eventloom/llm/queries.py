@@ -5,6 +5,7 @@ from __future__ import annotations
 from eventloom.llm import op1_decontaminate as op1
 from eventloom.llm import op10_surrogates as op10
 from eventloom.llm import op2_suffix_array as op2
+from eventloom.llm import op3_fuzzy_lines as op3
 from eventloom.llm import op4_quality_rules as op4
 from eventloom.llm import op5_minhash as op5
 from eventloom.llm import op6_toxicity as op6
@@ -17,6 +18,7 @@ def queries() -> dict:
     return {
         "op1_decontaminate": op1.op1_decontaminate,
         "op2_suffix_array": op2.op2_suffix_array,
+        "op3_fuzzy_lines": op3.op3_fuzzy_lines,
         "op4_quality_rules": op4.op4_quality_rules,
         "op5_minhash": op5.op5_minhash,
         "op6_toxicity": op6.op6_toxicity,
