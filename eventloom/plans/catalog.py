@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from eventloom.plans import graph_queries, ingest_queries, insight_queries, maintenance_queries, question_queries
+from eventloom.plans import graph_queries, ingest_queries, insight_queries, maintenance_queries, question_queries, source_queries
 
-MODULES = (graph_queries, ingest_queries, insight_queries, maintenance_queries, question_queries)
+MODULES = (graph_queries, ingest_queries, insight_queries, maintenance_queries, question_queries, source_queries)
 
 
 def queries() -> dict:
