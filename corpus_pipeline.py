@@ -16,7 +16,8 @@ from eventloom.llm.op9_mixing import mix_sources
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
     judged = quality(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")), keep=("row",))
-    return judged.where("kept").select("row.*")
+    # The row number keeps the optimizer from putting the filter, with all measures written out again, below the projection.
+    return judged.withColumn("at", F.monotonically_increasing_id()).where("kept AND at >= 0").select("row.*")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
