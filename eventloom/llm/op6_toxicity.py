@@ -114,8 +114,10 @@ class Channel:
 
 def suspicious(data: np.ndarray) -> np.ndarray:
     """Places of lower-case text that may lie in an obfuscated span; lines without one can't match OBFUSCATED."""
-    x = np.concatenate([data, np.full(6, 10, np.uint8)])
     n = len(data)
+    if not n:
+        return np.zeros(0, np.int64)
+    x = np.concatenate([data, np.full(6, 10, np.uint8)])
     at = lambda table, k: table[x[k : n + k]]
     let, sign = LETTER[x], SIGNS[x]
     found = let[:n] & sign[1 : n + 1] & (let[2 : n + 2] | sign[2 : n + 2] & let[3 : n + 3])
