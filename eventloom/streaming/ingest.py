@@ -104,7 +104,7 @@ class TailSampler(StatefulProcessor):
         self.waiting = handle.getListState("waiting", "event_id string")
         self.verdict = handle.getValueState("verdict", "keep boolean")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: TimerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         for df in rows:
             end = df[df["event"].isin(TERMINAL) & (df["outcome"] != "unknown")].sort_values(["at", "event_id"])
             if len(end):
@@ -117,7 +117,7 @@ class TailSampler(StatefulProcessor):
         else:
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)
-            self.handle.registerTimer(timers.getCurrentWatermarkInMs() + IDLE_SECONDS * 1000)
+            self.handle.registerTimer(timerValues.getCurrentWatermarkInMs() + IDLE_SECONDS * 1000)
 
     def release(self, key: tuple, keep: bool | None = None) -> Iterator[pd.DataFrame]:
         keep = self.verdict.get()[0] if keep is None else keep
@@ -126,7 +126,7 @@ class TailSampler(StatefulProcessor):
         if keep and ids:
             yield pd.DataFrame({"run_id": [key[0]] * len(ids), "event_id": ids})
 
-    def handleExpiredTimer(self, key: tuple, timers: TimerValues, expired: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield from self.release(key, keep=True)
 
     def close(self) -> None:
