@@ -225,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, channel: Channel) -> Classifier:
     counts = found.select(F.explode("f").alias("f"), "toxic").groupBy("f").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where(F.col("a") + F.col("b") >= LEAST)
     p, q = (F.col("a") + 0.5) / (n1 + 1), (F.col("b") + 0.5) / (n0 + 1)
     z = F.ln(p / q) / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    best = counts.withColumn("z", z).where("z > 3 AND a > 0").orderBy(F.desc("z"), "f").limit(FEATURES).toPandas()
+    best = counts.withColumn("z", z).where("z > 2.5 AND a > 0").orderBy(F.desc("z"), "f").limit(FEATURES).toPandas()
     names = best["f"].tolist()
     if not names:
         return Classifier(np.zeros(0, np.uint64), np.zeros(0), math.log(n1 / n0))
