@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventloom.functions import json_values as j
 from eventloom.operators import correlate as c
 from eventloom.operators import privacy as pv
 from eventloom.operators import projections as p
@@ -90,6 +91,14 @@ QUERIES = {
                 F.to_json(F.struct(F.when(F.col("l_linenumber") != 2, F.col("l_returnflag")).alias("flag"), F.when(F.col("l_linenumber") < 4, F.col("l_suppkey")).alias("supplier"), F.when(F.col("l_linenumber") < 4, F.col("l_quantity").cast("long").cast("string")).otherwise(F.format_string("%.1f", "l_quantity")).alias("quantity"), F.when(F.col("l_linenumber") == 5, F.col("l_tax")).alias("tax"))).alias("attributes")))),
         "SELECT * FROM (VALUES ('flag', 'now_required', true), ('supplier', 'removed', true), ('quantity', 'widened', false), ('tax', 'new_optional', false)) t(field, change, breaking) WHERE EXISTS (SELECT 1 FROM lineitem)",
     ),
+    "val4_normal_json": (
+        lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", j.normal_json(F.concat(F.repeat(F.lit('{"a": '), (F.col("user_id") % 12).cast("int")), "props", F.repeat(F.lit("}"), (F.col("user_id") % 12).cast("int")))).alias("attributes")),
+        """SELECT event_id, CASE WHEN k < 8 THEN repeat('{"a":', k) || replace(props, ' ', '') || repeat('}', k) ELSE repeat('{"a":', 8) || '{"_observe_truncated":"max_depth 8 exceeded"}' || repeat('}', 8) END AS attributes FROM (SELECT *, CAST(user_id % 12 AS INTEGER) AS k FROM events)""",
+    ),
+    "val6_trimmed": (
+        docs_column(lambda d: texted(j.trimmed(d.select("doc_id", F.create_map(F.lit("text"), F.coalesce(F.regexp_replace("text", "[^A-Za-z. ]", "x"), F.lit("")), F.lit("source"), F.col("source")).alias("attributes")), limit=16 * 1024).select("doc_id", "trimmed", F.length(F.element_at("attributes", "text")).alias("chars")))),
+        """SELECT doc_id, CASE WHEN big THEN 'text' ELSE '' END AS trimmed, CASE WHEN big THEN 1024 + 12 ELSE n END AS chars FROM (SELECT doc_id, length(coalesce(text, '')) AS n, length(coalesce(text, '')) + length(source) + 22 > 16384 AS big FROM documents)""",
+    ),
     "val14_secret_values": (
         docs_column(lambda d: d.select("doc_id", F.sha2(pv.redact_value(F.coalesce("text", F.lit(""))), 256).alias("redacted"))),
         r"SELECT doc_id, sha256(CASE WHEN regexp_matches(text, '(?i)\bbearer\s+[a-z0-9._~+/=-]+') OR regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----') OR regexp_matches(text, '\bAKIA[0-9A-Z]{16}\b') OR regexp_matches(text, '\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*') THEN '[REDACTED]' ELSE coalesce(text, '') END) AS redacted FROM documents",
