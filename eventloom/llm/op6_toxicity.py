@@ -26,7 +26,7 @@ SYMBOLS, SMOOTH = 28, 0.1
 #: Hypotheses kept at each place of the lattice; longest span that is decoded as one (longer ones are cut there).
 BEAM, SPAN = 64, 48
 #: Bounds of the classifier's training rows and of its features; prefixes' lengths; least documents of a feature.
-SAMPLE, FEATURES, PREFIX, LEAST = 50_000, 500, (4, 5, 6), 3
+SAMPLE, FEATURES, PREFIX, LEAST = 20_000, 500, (4, 5, 6), 3
 
 OBFUSCATED = re.compile(
     r"(?<![^\W_])(?:[^\W\d_][ .\-_*]{1,2}){2,}[^\W\d_](?![^\W_])"  # letters spaced out
@@ -234,11 +234,11 @@ def fit(docs: DataFrame, labels: DataFrame, channel: Channel) -> Classifier:
     x, y = np.zeros((len(few), len(names)), np.float32), few["toxic"].to_numpy(np.float32)
     for i, fs in enumerate(few["f"]):
         x[i, [place[f] for f in fs]] = 1
-    w, b = np.zeros(len(names)), math.log(n1 / n0)
+    w, b = np.zeros(len(names), np.float32), math.log(n1 / n0)
     scale = x.sum(0) + 1.0
     for _ in range(300):
-        g = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y
-        w -= 2.0 * (x.T @ g + 0.1 * w) / scale
+        g = (1 / (1 + np.exp(-np.clip(x @ w + np.float32(b), -30, 30))) - y).astype(np.float32)
+        w -= np.float32(2.0) * (x.T @ g + np.float32(0.1) * w) / scale
         b -= float(g.mean())
     return Classifier(np.array(names, np.int64).view(np.uint64), w, float(b))
 
