@@ -24,7 +24,7 @@ from eventloom.llm.textops import batches, mix, prefix_hash
 LENGTH, SEED = 200, 64
 WIDTH = LENGTH - SEED + 1
 #: Seeds with more distinct contexts than this are counted window by window, over the whole cluster.
-GROUP = 1000
+GROUP = 20_000
 PIECE = 1 << 22
 
 
