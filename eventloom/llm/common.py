@@ -88,12 +88,12 @@ def prefix_pairs(sets: DataFrame, num: int, den: int) -> DataFrame:
     return a.join(b, (a["key"] == b["key"]) & near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
-def linked_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame], threshold: tuple[int, int], name: str) -> DataFrame:
+def linked_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame], threshold: tuple[int, int], name: str, small: int = 0) -> DataFrame:
     """Components (id, component) of the links that verify finds among ids that share a key of members(key, id).
 
-    A key's members are not compared all with all: first each with the key's smallest and largest id. The members of keys
-    that then still hold more than one component are compared across components by prefix_pairs over sets(ids) (id, s), which
-    misses no pair that reaches the threshold. The result is the same as if all pairs that share a key had been compared.
+    A key's members are not compared all with all: first each with the key's smallest and largest id. Where a key then
+    still holds more than one component, its members are compared across components: pair by pair if it has small members at
+    most, else by prefix_pairs over sets(ids) (id, s), which misses no pair that reaches the threshold. The result is the same as if all pairs that share a key had been compared.
     """
     order = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     ends = members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
@@ -103,10 +103,13 @@ def linked_components(members: DataFrame, verify: Callable[[DataFrame], DataFram
     edges = staged(verify(star), f"{name}-edges")
     comps = staged(components(edges, f"{name}-cc"), f"{name}-components")
     named = members.join(comps, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    keys = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    left = staged(named.join(keys, "key", "left_semi").select("id", "c").distinct(), f"{name}-open")
-    if left.isEmpty():
-        return comps
-    pairs = prefix_pairs(sets(left.select("id")).join(left, "id").select("id", "c", "s"), *threshold)
+    keys = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
+    named = staged(named.join(keys, "key"), f"{name}-open")
+    left = staged(named.where(F.col("n") > small).select("id", "c").distinct(), f"{name}-large")
+    other = named.where(F.col("n") <= small).select("key", F.col("id").alias("other"), F.col("c").alias("other_c"))
+    pairs = named.where(F.col("n") <= small).join(other, "key").where("id < other AND c <> other_c").select(F.col("id").alias("a"), F.col("other").alias("b"))
+    if not left.isEmpty():
+        pairs = pairs.union(prefix_pairs(sets(left.select("id")).join(left, "id").select("id", "c", "s"), *threshold))
+    pairs = pairs.distinct()
     found = staged(verify(staged(pairs.join(star, ["a", "b"], "left_anti"), f"{name}-pairs")), f"{name}-edges")
     return comps if found.isEmpty() else staged(components(edges.union(found), f"{name}-cc"), f"{name}-components")

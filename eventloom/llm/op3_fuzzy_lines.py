@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventloom.llm.common import documents, linked_components, staged
-from eventloom.llm.op5_minhash import band_keys, signature
+from eventloom.llm.op5_minhash import hash_family
 from eventloom.llm.textops import LOWER, WORD_SEPARATORS, batches, mix, prefix_hash
 
 #: Characters (bytes) of a shingle; lines are alike from THRESHOLD on.
@@ -41,6 +41,20 @@ def line_sets(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np
     return [np.unique(rolled[a : b - SHINGLE + 1]) if b - a >= SHINGLE else whole[i : i + 1] for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True))]
 
 
+def line_band_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Band keys of lines longer than a shingle, all lines of a batch at once: (lines, BANDS)."""
+    p, down = prefix_hash(LOWER[data])
+    rolled = mix((p[SHINGLE:] - p[:-SHINGLE]) * down[: max(len(data) - SHINGLE + 1, 0)])
+    x = np.append((rolled >> np.uint64(32)).astype(np.uint32), np.uint32(0xFFFFFFFF))
+    cuts = np.stack([starts, ends - SHINGLE + 1], 1).ravel()  # a line's shingles, and what stands before the next line's
+    a, b = hash_family(BANDS * ROWS)
+    sig = np.stack([np.minimum.reduceat(x * m + c, cuts)[::2] for m, c in zip(a, b, strict=True)]).astype(np.uint64)
+    keys = np.repeat(np.arange(BANDS, dtype=np.uint64)[:, None], len(starts), 1)
+    for j in range(ROWS):
+        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + sig[j::ROWS] + np.uint64(1))
+    return np.ascontiguousarray(keys.T).view(np.int64)
+
+
 def sketch_lines(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, text -> a row for each line with a word: doc_id, line, digest and, once a batch for each line, band keys."""
     for rb in batch_iter:
@@ -57,8 +71,10 @@ def sketch_lines(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             new = np.unique(np.array(digests, "S16"), return_index=True)[1]
             new = new[ends[use[new]] - starts[use[new]] > SHINGLE]
             keys: list = [None] * len(use)
-            for k, s in zip(new, line_sets(data, starts[use[new]], ends[use[new]]), strict=True):
-                keys[k] = band_keys(signature(s, BANDS * ROWS), BANDS, ROWS)
+            new = np.sort(new)
+            if len(new):
+                for k, s in zip(new.tolist(), line_band_keys(data, starts[use[new]], ends[use[new]]), strict=True):
+                    keys[k] = s
             yield pa.record_batch(
                 [ids.take(pa.array(doc + i)), pa.array(use - first[doc], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "line", "digest", "bands"]
             )
@@ -94,9 +110,9 @@ def chosen_lines(spark: SparkSession, bits: np.ndarray):
     shared = spark.sparkContext.broadcast(bits)
 
     def choose(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batch_iter:
+        for part in (rb.slice(lo, 500) for rb in batch_iter for lo in range(0, rb.num_rows, 500)):
             out = []
-            for d, t in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), strict=True):
+            for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 for i, line in enumerate((t or "").encode().split(b"\n")):
                     if len(line) > SHINGLE:
                         x = hashlib.blake2b(line, digest_size=16).digest()
@@ -150,13 +166,16 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     lines = staged(docs.mapInArrow(sketch_lines, "doc_id long, line long, digest binary, bands array<long>"), "lines")
     banded = lines.where("bands is not null").select(short().alias("h"), F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi")
-    members = staged(banded.join(buckets.select("key"), "key").distinct(), "lines-members")
+    # Few keys have two lines or more; a bitmap of those spares the other rows the shuffle of the join.
+    buckets = staged(buckets.select("key"), "lines-buckets")
+    likely = passes(spark, bit_filter(buckets.select(F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS)))), F.col("key"))
+    members = staged(banded.where(likely).join(buckets, "key").distinct(), "lines-members")
     bits = bit_filter(members.select(F.pmod("h", F.lit(FILTER_BITS))))
     found = docs.mapInArrow(chosen_lines(spark, bits), "doc_id long, line long, digest binary, text binary")
     involved = staged(found.groupBy("digest").agg(F.min(F.struct("doc_id", "line")).alias("id"), F.first("text").alias("text")).withColumn("h", short()), "lines-involved")
     named = staged(members.join(involved.select("h", "id"), "h").select("key", "id"), "lines-named")
     sets_of = lambda ids: involved.join(ids, "id", "left_semi").select("id", line_shingles("text").alias("s"))
-    comps = linked_components(named, lambda pairs: verified(pairs, involved), sets_of, THRESHOLD, "lines")
+    comps = linked_components(named, lambda pairs: verified(pairs, involved), sets_of, THRESHOLD, "lines", small=4)
     same = lines.groupBy("digest").agg(F.min(F.struct("doc_id", "line")).alias("id"), F.count("*").alias("n"))
     near = involved.select("digest", "id").join(comps, "id").select("digest", "component")
     keeper = same.join(near, "digest", "left").where("n > 1 OR component <> id").select("digest", F.coalesce("component", "id").alias("keeper"))
@@ -171,14 +190,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     left for the caller to count again.
     """
     gone = staged(repeated_lines(docs).groupBy("doc_id").agg(F.collect_set("line").alias("_gone")), "lines-gone")
-    bits = bit_filter(gone.select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))))
-    hit = passes(docs.sparkSession, bits, F.col("doc_id"))
     docs = docs.drop("n_removed_lines")
-    few = docs.where(hit).join(gone, "doc_id", "left").select(*[docs[c] for c in docs.columns], "_gone")
+    out = docs.join(gone, "doc_id", "left").select(*[docs[c] for c in docs.columns], "_gone")
     stay = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i.cast("long"))), "\n")
-    few = few.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(stay)).withColumn("n_removed_lines", F.coalesce(F.array_size("_gone"), F.lit(0))).drop("_gone")
-    rest = docs.where(~F.coalesce(hit, F.lit(False))).withColumn("n_removed_lines", F.lit(0))
-    return few.select(rest.columns).union(rest)
+    out = out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(stay))
+    return out.withColumn("n_removed_lines", F.coalesce(F.array_size("_gone"), F.lit(0))).drop("_gone")
 
 
 def op3_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
