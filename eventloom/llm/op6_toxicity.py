@@ -25,8 +25,9 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 SYMBOLS, SMOOTH = 28, 0.1
 #: Hypotheses kept at each place of the lattice; longest span that is decoded as one (longer ones are cut there).
 BEAM, SPAN = 64, 48
-#: Bounds of the classifier's training rows and of its features; prefixes' lengths; least documents of a feature.
-SAMPLE, FEATURES, PREFIX, LEAST = 20_000, 500, (4, 5, 6), 3
+#: Bound of the classifier's training rows; cells of its hash space, which bound its table at any input size; prefixes'
+#: lengths; least documents and least z of a feature.
+SAMPLE, CELLS, PREFIX, LEAST, TELLS = 20_000, 1 << 22, (4, 5, 6), 3, 2.5
 
 OBFUSCATED = re.compile(
     r"(?<![^\W_])(?:[^\W\d_][ .\-_*]{1,2}){2,}[^\W\d_](?![^\W_])"  # letters spaced out
@@ -152,7 +153,7 @@ def restored(channel: Channel, texts: list[str | None]) -> list[str]:
 
 
 def feature_batches(channel: Channel, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Feature hashes of the restored texts' words and word beginnings: (bytes, starts, first word of each text, words' ends, hashes by length)."""
+    """Feature cells of the restored texts' words and word beginnings: (bytes, starts, first word of each text, words' ends, cells by length)."""
     for _, data, offsets in batches(pa.array(restored(channel, texts), pa.large_string())):
         inside = np.zeros(len(data) + 2, bool)
         inside[1:-1] = LETTER[data]
@@ -165,23 +166,22 @@ def feature_batches(channel: Channel, texts: list[str | None]) -> Iterator[tuple
         for n in (0, *PREFIX):  # a beginning of a shorter word is the word itself
             to = ends if n == 0 else np.minimum(starts + n, ends)
             rows.append(mix((p[to] - p[starts]) * down[starts] + (to - starts).astype(np.uint64) + np.uint64(n * 1009)))
-        yield data, starts, np.searchsorted(starts, offsets), ends, np.stack(rows) if len(starts) else np.zeros((1 + len(PREFIX), 0), np.uint64)
+        yield data, starts, np.searchsorted(starts, offsets), ends, (np.stack(rows) & np.uint64(CELLS - 1)).astype(np.int64)
 
 
 class Classifier:
-    """A logistic model over at most FEATURES words and word beginnings, known by their hashes."""
+    """A logistic model over words and word beginnings, known by their cells of the hash space."""
 
     def __init__(self, names: np.ndarray, weights: np.ndarray, bias: float):
         order = np.argsort(names)
         self.names, self.weights, self.bias = names[order], weights[order], bias
+        self.known = np.zeros(CELLS, bool)
+        self.known[names] = True
 
-    def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where hashes has a feature, and which."""
-        if not len(self.names):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        k = np.minimum(np.searchsorted(self.names, hashes), len(self.names) - 1)
-        at = np.flatnonzero(self.names[k] == hashes)
-        return at, k[at]
+    def hits(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where cells has a feature, and which."""
+        at = np.flatnonzero(self.known[cells])
+        return at, np.searchsorted(self.names, cells[at])
 
     def score(self, channel: Channel, texts: list[str | None]) -> tuple[list[float], list[list[str]]]:
         """Scores, and the restored words that tell."""
@@ -201,46 +201,70 @@ class Classifier:
         return scores, tell
 
 
+def weights_of(rows: list[np.ndarray], y: np.ndarray, n: int, bias: float) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic model over sparse rows (each the features it has, of n), by accelerated gradient steps."""
+    at, f = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate([*rows, np.zeros(0, np.int64)])
+    scale = np.bincount(f, minlength=n) + 1.0
+    dot = lambda w: np.bincount(at, w[f], len(rows))
+    back = lambda g: np.bincount(f, g[at], n)
+    v, top = np.ones(n), 1.0
+    for _ in range(20):  # the largest curvature of the scaled problem
+        v = back(dot(v)) / scale
+        top = float(np.abs(v).max(initial=0.0)) or 1.0
+        v /= top
+    step = 1 / (0.25 * 1.1 * max(top, 1.0) + 0.1)
+    w, old, b = np.zeros(n), np.zeros(n), bias
+    for i in range(300):
+        ahead = w + i / (i + 3) * (w - old)
+        g = 1 / (1 + np.exp(-np.clip(dot(ahead) + b, -30, 30))) - y
+        old, w = w, ahead - step * (back(g) + 0.1 * ahead) / scale
+        b -= float(g.mean())
+    return w, b
+
+
 def fit(docs: DataFrame, labels: DataFrame, channel: Channel) -> Classifier:
     """docs(doc_id, text), labels(doc_id, toxic) -> a classifier.
 
-    Features are counted over all labelled documents, and those that tell most kept; their weights come from SAMPLE labelled
-    rows at most, the first by a hash of doc_id.
+    Features are cells of a hash space of CELLS, counted over all labelled documents; all that tell (a z of TELLS) are kept.
+    Their weights come from SAMPLE labelled rows at most, the first by a hash of doc_id.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(channel)
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(channel)
     rows = docs.select("doc_id", "text").join(labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id")
+    rows = rows.select(F.xxhash64("doc_id").alias("h"), "text", F.col("toxic").cast("int"))
 
-    def extract(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batch_iter:
-            at = 0
-            for _, _, first, _, hashes in feature_batches(shared.value, rb.column(1).to_pylist()):
-                sets = [np.unique(hashes[:, a:b]).view(np.int64) for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.record_batch([rb.column(0).slice(at, len(sets)), rb.column(2).slice(at, len(sets)), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "toxic", "f"])
-                at += len(sets)
+    def features(rows: DataFrame, known=None) -> DataFrame:
+        """h, toxic, f: each row's features, or those of them that are known."""
+
+        def extract(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rb in batch_iter:
+                at = 0
+                for _, _, first, _, cells in feature_batches(shared.value, rb.column(1).to_pylist()):
+                    sets = [np.unique(cells[:, a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+                    if known is not None:
+                        sets = [x[known.value[x]] for x in sets]
+                    yield pa.record_batch([rb.column(0).slice(at, len(sets)), rb.column(2).slice(at, len(sets)), pa.array(sets, pa.list_(pa.int64()))], ["h", "toxic", "f"])
+                    at += len(sets)
+
+        return rows.mapInArrow(extract, "h long, toxic int, f array<long>")
 
-    found = rows.select("doc_id", "text", F.col("toxic").cast("int")).mapInArrow(extract, "doc_id long, toxic int, f array<long>")
     n1, n0 = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0))).first()
+    none = np.zeros(0, np.int64)
     if not n1 or not n0:
-        return Classifier(np.zeros(0, np.uint64), np.zeros(0), 0.0 if n1 == n0 else 4.0 if n1 else -4.0)
-    counts = found.select(F.explode("f").alias("f"), "toxic").groupBy("f").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where(F.col("a") + F.col("b") >= LEAST)
+        return Classifier(none, np.zeros(0), 0.0 if n1 == n0 else 4.0 if n1 else -4.0)
+    counts = features(rows).select(F.explode("f").alias("f"), "toxic").groupBy("f").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where(F.col("a") + F.col("b") >= LEAST)
     p, q = (F.col("a") + 0.5) / (n1 + 1), (F.col("b") + 0.5) / (n0 + 1)
     z = F.ln(p / q) / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    best = counts.withColumn("z", z).where("z > 2.5 AND a > 0").orderBy(F.desc("z"), "f").limit(FEATURES).toPandas()
-    names = best["f"].tolist()
-    if not names:
-        return Classifier(np.zeros(0, np.uint64), np.zeros(0), math.log(n1 / n0))
-    few = found.select("toxic", F.array_intersect("f", F.lit(np.array(names))).alias("f"), F.xxhash64("doc_id").alias("h")).orderBy("h").limit(SAMPLE).toPandas()
-    place = {f: i for i, f in enumerate(names)}
-    x, y = np.zeros((len(few), len(names)), np.float32), few["toxic"].to_numpy(np.float32)
-    for i, fs in enumerate(few["f"]):
-        x[i, [place[f] for f in fs]] = 1
-    w, b = np.zeros(len(names), np.float32), math.log(n1 / n0)
-    scale = x.sum(0) + 1.0
-    for _ in range(300):
-        g = (1 / (1 + np.exp(-np.clip(x @ w + np.float32(b), -30, 30))) - y).astype(np.float32)
-        w -= np.float32(2.0) * (x.T @ g + np.float32(0.1) * w) / scale
-        b -= float(g.mean())
-    return Classifier(np.array(names, np.int64).view(np.uint64), w, float(b))
+    names = np.sort(counts.where(F.col("a") > 0).where(z > TELLS).select("f").toPandas()["f"].to_numpy(np.int64))  # CELLS rows at most
+    if not len(names):
+        return Classifier(none, np.zeros(0), math.log(n1 / n0))
+    known = np.zeros(CELLS, bool)
+    known[names] = True
+    # Hashes are even, so a fifth more than SAMPLE stand below this one, and the first SAMPLE are among them.
+    near = rows if SAMPLE * 1.2 >= n1 + n0 else rows.where(F.col("h") < int(-(2**63) + 1.2 * SAMPLE / (n1 + n0) * 2**64))
+    few = features(near, spark.sparkContext.broadcast(known)).orderBy("h").limit(SAMPLE).toPandas()
+    w, b = weights_of([np.searchsorted(names, f) for f in few["f"]], few["toxic"].to_numpy(np.float64), len(names), math.log(n1 / n0))
+    return Classifier(names, w, b)
 
 
 def score_toxicity(docs: DataFrame, channel: Channel, classifier: Classifier) -> DataFrame:

@@ -173,6 +173,18 @@ def test_op6_restores_and_learns(spark):
     assert op6.restored(channel, texts) == [channel.restore(t) for t in texts]
 
 
+def test_op6_keeps_all_features_that_tell(spark):
+    """A pure word among 700 words that are common in toxic texts, and seen in clean ones too: those have the larger z."""
+    r = random.Random(5)
+    common = ["q" + "".join(r.choice("bdfgklmnprst") + r.choice("aeiou") for _ in range(4)) for _ in range(700)]
+    toxic = [" ".join([w for w in common if r.random() < 0.7] + (["scoundrel"] if i < 30 else [])) for i in range(400)]
+    clean = [" ".join(w for w in common if r.random() < 0.3) for i in range(400)]
+    docs = table(spark, toxic + clean)
+    labels = spark.createDataFrame([(i, int(i < 400)) for i in range(800)], "doc_id long, toxic int")
+    model = op6.fit(docs, labels, op6.language_model(docs))
+    assert model.score(op6.Channel(np.zeros(op6.SYMBOLS**3)), ["a scoundrel"])[1] == [["scoundrel"]]
+
+
 def test_op7_held_out(spark):
     en, fr = "the house and the garden of this town were there ", "la maison et le jardin de cette ville sont là "
     docs = table(spark, [(en if i % 2 else fr) * (i % 4 + 1) for i in range(40)] + [None, "12 34 !"], {i: "en" if i % 2 else "fr" for i in range(40)})
