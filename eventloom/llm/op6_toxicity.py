@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import documents
-from eventloom.llm.op7_language_id import code_points, held_out
+from eventloom.llm.op7_language_id import BATCH_CHARS, code_points, held_out
 from eventloom.llm.textops import batches, mix, prefix_hash
 
 #: What a sign may stand for.
@@ -29,17 +29,60 @@ BEAM, SPAN = 64, 48
 #: lengths; least documents and least z of a feature.
 SAMPLE, CELLS, PREFIX, LEAST, TELLS = 20_000, 1 << 22, (4, 5, 6), 3, 2.5
 
-OBFUSCATED = re.compile(
-    r"(?<![^\W_])(?:[^\W\d_][ .\-_*]{1,2}){2,}[^\W\d_](?![^\W_])"  # letters spaced out
-    r"|[^\s,;:?\"()\[\]{}<>]*(?:[^\W\d_][0134578@$!|+*._\-]{1,2}[^\W\d_]|[013457@$](?=[^\W\d_]{2})|([^\W\d_])\1\1)[^\s,;:?\"()\[\]{}<>]*"
-)
-#: Bytes that can be part of a word, and signs: for the search of lines that may hold obfuscated spans.
+#: Bytes that can be part of a word.
 LETTER = np.zeros(256, bool)
 LETTER[97:123] = LETTER[128:] = True
-SIGNS = np.zeros(256, bool)
-SIGNS[[ord(c) for c in "0134578@$!|+*._-"]] = True
-LEADS = np.zeros(256, bool)
-LEADS[[ord(c) for c in "013457@$"]] = True
+#: Kinds of characters: what ends a token, spaces, signs put between, signs for letters, other digits, digits for letters, letters.
+BREAK, SPACE, JOINER, SIGNS, DIGIT, FIGURE, PLAIN = range(7)
+BREAKS, APART = ",;:?\"()[]{}<>", "\naa\n"
+
+
+@lru_cache(1)
+def kinds() -> np.ndarray:
+    """Kind of each code point."""
+    alnum = lambda x: FIGURE if x in LEET else PLAIN if x.isalpha() else DIGIT
+    other = lambda x: SIGNS if x in LEET else SPACE if x.isspace() else BREAK if x in BREAKS else JOINER
+    return np.array([(alnum if x.isalnum() else other)(x) for x in map(chr, range(0x110000))], np.uint8)
+
+
+def spans(cp: np.ndarray) -> list[tuple[int, int]]:
+    """Places (start, end) of all that the channel can have made, in order: what Channel.decode is for.
+
+    Tokens that hold a letter and a sign for a letter, a sign between or a letter three times in a row; and three or more
+    letters or signs for letters, one of them a letter, that stand alone, whatever stands between.
+    """
+    n = len(cp)
+    kind = kinds()[cp]
+    letters = np.concatenate([[0], np.cumsum(kind == PLAIN)])
+    # Tokens, without signs at their ends that stand for no letter.
+    odd = (kind == JOINER) | (kind == SIGNS) | (kind == FIGURE)
+    odd[2:] |= (cp[2:] == cp[1:-1]) & (cp[2:] == cp[:-2]) & (kind[2:] == PLAIN)
+    ends = np.flatnonzero(kind <= SPACE)
+    token = np.unique(np.searchsorted(ends, np.flatnonzero(odd)))
+    a, b = np.concatenate([[0], ends + 1])[token], np.concatenate([ends, [n]])[token]
+    firm = np.flatnonzero(kind > JOINER)
+    i, j = np.searchsorted(firm, a), np.searchsorted(firm, b)
+    i, j = i[i < j], j[i < j]
+    a, b = firm[i], firm[j - 1] + 1
+    odds = np.concatenate([[0], np.cumsum(odd)])
+    use = (letters[a] < letters[b]) & (odds[a] < odds[b])
+    # Runs of characters that stand alone. A sign beside a letter or digit may be one of those put between.
+    word, sign = (np.concatenate([[False], x, [False]]) for x in (kind >= DIGIT, kind == SIGNS))
+    lone = sign[1:-1] & ~word[:-2] & ~word[2:] & ~sign[:-2]
+    units = np.flatnonzero(lone | word[1:-1] & ~word[:-2])
+    alone = lone[units] | ~word[units + 2] & (kind[units] != DIGIT)
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], alone, [False]])))
+    lo, hi = edge[::2], edge[1::2]
+    ra, rb = units[lo[hi - lo >= 3]], units[hi[hi - lo >= 3] - 1] + 1
+    keep = letters[ra] < letters[rb]
+    a, b = np.concatenate([a[use], ra[keep]]), np.concatenate([b[use], rb[keep]])
+    out: list[tuple[int, int]] = []
+    for x, y in sorted(zip(a.tolist(), b.tolist(), strict=True)):
+        if out and x < out[-1][1]:
+            out[-1] = (out[-1][0], max(y, out[-1][1]))
+        else:
+            out.append((x, y))
+    return out
 
 
 def symbol(c: str) -> int:
@@ -85,13 +128,19 @@ class Channel:
         before = ""
         for i, c in enumerate(span + " "):
             new: dict[tuple[int, int], tuple[float, str]] = {}
-            options = [(c, KEPT if c == " " and i < len(span) else 0.0)] if c.isalpha() or c == " " else [(x, SIGN) for x in LEET.get(c, "")]
+            last = i == len(span)  # the word's end, which no path passes by
+            if c.isalpha() or c.isspace():
+                options = [(c, KEPT if c.isspace() and not last else 0.0)]
+            else:
+                options = [(x, SIGN) for x in LEET.get(c, "")] + [(" ", KEPT)] * (not c.isalnum())
             run = c == before and (span[i - 2 : i - 1] == c and i > 1 or span[i + 1 : i + 2] == c)
-            skip = AGAIN if run else SPACED if c in " " else BETWEEN if not c.isalnum() else None
+            skip = None if last else AGAIN if run else SPACED if c.isspace() else BETWEEN if not c.isalnum() else None
             for (a, b), (cost, text) in paths.items():
                 for x, extra in options:
                     s = symbol(x)
                     if s == 27 == b:
+                        if last and cost < new.get((a, b), (math.inf,))[0]:
+                            new[a, b] = (cost, text)
                         continue
                     total = cost + extra + self.cost[a][b][s]
                     if total < new.get((b, s), (math.inf,))[0]:
@@ -105,50 +154,29 @@ class Channel:
 
     def restore(self, text: str) -> str:
         """The text in lower case, each obfuscated span replaced."""
-
-        def put(m: re.Match) -> str:
-            s = m.group(0)
-            return " ".join(self.decode(s[i : i + SPAN].rstrip("!$+|*.-_")) for i in range(0, len(s), SPAN))
-
-        return OBFUSCATED.sub(put, text.lower())
-
-
-def suspicious(data: np.ndarray) -> np.ndarray:
-    """Places of lower-case text that may lie in an obfuscated span; lines without one can't match OBFUSCATED."""
-    n = len(data)
-    if not n:
-        return np.zeros(0, np.int64)
-    x = np.concatenate([data, np.full(6, 10, np.uint8)])
-    at = lambda table, k: table[x[k : n + k]]
-    let, sign = LETTER[x], SIGNS[x]
-    found = let[:n] & sign[1 : n + 1] & (let[2 : n + 2] | sign[2 : n + 2] & let[3 : n + 3])
-    found |= at(LEADS, 0) & let[1 : n + 1] & let[2 : n + 2]
-    found |= let[:n] & (data == x[1 : n + 1]) & (data == x[2 : n + 2])
-    found |= (data >= 128) & (data == x[2 : n + 2]) & (data == x[4 : n + 4])  # letters of two bytes
-    alone = let[:n] & ~np.concatenate([[False], let[: n - 1]]) & ~let[1 : n + 1]
-    alone |= (data >= 0xC0) & (x[1 : n + 1] >= 128) & ~let[2 : n + 2] & ~np.concatenate([[False], let[: n - 1]])
-    near = np.flatnonzero(alone)
-    if len(near) > 2:
-        found[near[:-2][near[2:] - near[:-2] <= 8]] = True
-    return np.flatnonzero(found)
+        return restored(self, [text])[0]
 
 
 def restored(channel: Channel, texts: list[str | None]) -> list[str]:
-    """Each text as restore() gives it; only lines with a suspicious place are searched. Null is empty."""
+    """Each text in lower case, its spans() decoded. Null is empty."""
     low = [(t or "").lower() for t in texts]
     out: list[str] = []
-    for _, data, offsets in batches(pa.array(low, pa.large_string())):
-        places, feeds = suspicious(data), np.flatnonzero(data == 10)
-        cut = np.searchsorted(places, offsets)
-        for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-            t = low[len(out)]
-            if cut[k] < cut[k + 1]:
-                lines = t.split("\n")
-                first = np.searchsorted(feeds, a)
-                for i in np.unique(np.searchsorted(feeds, places[cut[k] : cut[k + 1]]) - first).tolist():
-                    lines[i] = channel.restore(lines[i])
-                t = "\n".join(lines)
-            out.append(t)
+    while len(out) < len(low):
+        at = [0]  # so many texts as fill a batch, with a word between that no span holds
+        for t in low[len(out) :]:
+            if at[-1] and at[-1] + len(t) > BATCH_CHARS:
+                break
+            at.append(at[-1] + len(t) + len(APART))
+        part = low[len(out) : len(out) + len(at) - 1]
+        found = spans(np.frombuffer(APART.join(part).encode("utf-32-le", "surrogatepass"), np.uint32))
+        cut = np.searchsorted(np.array([a for a, _ in found], np.int64), at)
+        for k, t in enumerate(part):
+            pieces, done = [], 0
+            for a, b in found[cut[k] : cut[k + 1]]:
+                a, b = a - at[k], b - at[k]
+                pieces += [t[done:a], " ".join(channel.decode(t[i : min(i + SPAN, b)]) for i in range(a, b, SPAN))]
+                done = b
+            out.append("".join([*pieces, t[done:]]) if pieces else t)
     return out
 
 

@@ -185,6 +185,16 @@ def test_op6_keeps_all_features_that_tell(spark):
     assert model.score(op6.Channel(np.zeros(op6.SYMBOLS**3)), ["a scoundrel"])[1] == [["scoundrel"]]
 
 
+def test_op6_gate_lets_all_of_the_channel_through(spark):
+    channel = op6.language_model(table(spark, ["the loser and the idiots and one moron say shit to the ass, ass and ass, big goons and idiot too"] * 50))
+    seen = {"5h17": "shit", "1d1075": "idiots", "l053r": "loser", "1053r": "loser", "sh!7": "shit", "a$$": "ass", "i d 1 o t": "idiot", "m 0 r 0 n": "moron", "i d i o t": "idiot", "l - o - s - e - r": "loser", "i! d! i! o! t!": "idiot", "i/d/i/o/t": "idiot", "9oon": "goon", "los€r": "loser", "£oser": "loser", "idiot/moron": "idiot moron"}
+    for t in seen:
+        assert op6.spans(np.array([*map(ord, t)])) [0] == (0, len(t))
+    assert {t: channel.restore(t) for t in seen} == seen
+    for t in ("", "plain words.", "1 2 3 4", "a b", "75 $", "(one), two", "aa bb"):
+        assert op6.spans(np.array([*map(ord, t)], np.uint32)) == []
+
+
 def test_op7_held_out(spark):
     en, fr = "the house and the garden of this town were there ", "la maison et le jardin de cette ville sont là "
     docs = table(spark, [(en if i % 2 else fr) * (i % 4 + 1) for i in range(40)] + [None, "12 34 !"], {i: "en" if i % 2 else "fr" for i in range(40)})
