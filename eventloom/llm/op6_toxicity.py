@@ -23,8 +23,8 @@ SIGN, AGAIN, BETWEEN, SPACED, KEPT = 1.0, 0.3, 0.7, 0.2, 3.0
 #: Language model: letters a-z, all other letters as one, and a space; trigrams, added counts.
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 SYMBOLS, SMOOTH = 28, 0.1
-#: Hypotheses kept at each place of the lattice; longest span that is decoded as one (longer ones are cut there).
-BEAM, SPAN = 64, 48
+#: Longest span whose result is kept for the next time.
+SEEN = 64
 #: Bound of the classifier's training rows; cells of its hash space, which bound its table at any input size; prefixes'
 #: lengths; least documents and least z of a feature.
 SAMPLE, CELLS, PREFIX, LEAST, TELLS = 20_000, 1 << 22, (4, 5, 6), 3, 2.5
@@ -115,6 +115,8 @@ class Channel:
         self.seen: dict[str, str] = {}
 
     def decode(self, span: str) -> str:
+        if len(span) > SEEN:
+            return self.cheapest(span)
         if span not in self.seen:
             if len(self.seen) > 200_000:
                 self.seen.clear()
@@ -122,12 +124,12 @@ class Channel:
         return self.seen[span]
 
     def cheapest(self, span: str) -> str:
-        # last two symbols -> cost, text
+        # last two symbols -> cost, and the text as (text before, letter): exact, and linear in the span's length
         start = symbol(" ")
-        paths: dict[tuple[int, int], tuple[float, str]] = {(start, start): (0.0, "")}
+        paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(start, start): (0.0, None)}
         before = ""
         for i, c in enumerate(span + " "):
-            new: dict[tuple[int, int], tuple[float, str]] = {}
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             last = i == len(span)  # the word's end, which no path passes by
             if c.isalpha() or c.isspace():
                 options = [(c, KEPT if c.isspace() and not last else 0.0)]
@@ -144,13 +146,17 @@ class Channel:
                         continue
                     total = cost + extra + self.cost[a][b][s]
                     if total < new.get((b, s), (math.inf,))[0]:
-                        new[b, s] = (total, text + x)
+                        new[b, s] = (total, (text, x))
                 if skip is not None and cost + skip < new.get((a, b), (math.inf,))[0]:
                     new[a, b] = (cost + skip, text)
             if new:
-                paths = dict(sorted(new.items(), key=lambda x: x[1][0])[:BEAM])
+                paths = new
             before = c
-        return min(paths.values())[1].strip()
+        text, letters = min(paths.values(), key=lambda x: x[0])[1], []
+        while text is not None:
+            text, x = text
+            letters.append(x)
+        return "".join(reversed(letters)).strip()
 
     def restore(self, text: str) -> str:
         """The text in lower case, each obfuscated span replaced."""
@@ -174,7 +180,7 @@ def restored(channel: Channel, texts: list[str | None]) -> list[str]:
             pieces, done = [], 0
             for a, b in found[cut[k] : cut[k + 1]]:
                 a, b = a - at[k], b - at[k]
-                pieces += [t[done:a], " ".join(channel.decode(t[i : min(i + SPAN, b)]) for i in range(a, b, SPAN))]
+                pieces += [t[done:a], channel.decode(t[a:b])]
                 done = b
             out.append("".join([*pieces, t[done:]]) if pieces else t)
     return out

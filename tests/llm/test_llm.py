@@ -195,6 +195,15 @@ def test_op6_gate_lets_all_of_the_channel_through(spark):
         assert op6.spans(np.array([*map(ord, t)], np.uint32)) == []
 
 
+def test_op6_decodes_long_spans_whole(spark):
+    """Each letter of two words at each distance from a span's start."""
+    channel = op6.language_model(table(spark, ["you idiot stupid " * 3] * 50))
+    for k in range(12):
+        got = channel.restore("y o u " * k + "i d 1 o t s t u p i d " * 30)
+        assert got.replace(" ", "") == "you" * k + "idiotstupid" * 30
+    assert channel.restore("1d10t." * 5000 + "x").replace(" ", "") == "idiot" * 5000 + "x"
+
+
 def test_op7_held_out(spark):
     en, fr = "the house and the garden of this town were there ", "la maison et le jardin de cette ville sont là "
     docs = table(spark, [(en if i % 2 else fr) * (i % 4 + 1) for i in range(40)] + [None, "12 34 !"], {i: "en" if i % 2 else "fr" for i in range(40)})
