@@ -26,8 +26,9 @@ SYMBOLS, SMOOTH = 28, 0.1
 #: Longest span whose result is kept for the next time.
 SEEN = 64
 #: Bound of the classifier's training rows; cells of its hash space, which bound its table at any input size; prefixes'
-#: lengths; least documents and least z of a feature.
-SAMPLE, CELLS, PREFIX, LEAST, TELLS = 20_000, 1 << 22, (4, 5, 6), 3, 2.5
+#: lengths; least documents of a feature, least z, and least ratio of its shares in toxic and clean texts, for the z of any
+#: slightly commoner word grows with the table.
+SAMPLE, CELLS, PREFIX, LEAST, TELLS, RATIO = 20_000, 1 << 22, (4, 5, 6), 3, 2.5, 2.0
 
 #: Bytes that can be part of a word.
 LETTER = np.zeros(256, bool)
@@ -235,12 +236,14 @@ class Classifier:
         return scores, tell
 
 
-def weights_of(rows: list[np.ndarray], y: np.ndarray, n: int, bias: float) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic model over sparse rows (each the features it has, of n), by accelerated gradient steps."""
-    at, f = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate([*rows, np.zeros(0, np.int64)])
+def weights_of(f: np.ndarray, sizes: np.ndarray, y: np.ndarray, n: int, bias: float) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic model, by accelerated gradient steps, over sparse rows: their features (of n) one after the other, and how many each has."""
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    parts = [(lo, min(lo + 1000, len(y))) for lo in range(0, len(y), 1000)]
+    cut = lambda lo, hi: f[first[lo] : first[hi]]
+    dot = lambda w: np.concatenate([np.bincount(np.repeat(np.arange(hi - lo), sizes[lo:hi]), w[cut(lo, hi)], hi - lo) for lo, hi in parts])
+    back = lambda g: sum(np.bincount(cut(lo, hi), np.repeat(g[lo:hi], sizes[lo:hi]), n) for lo, hi in parts)
     scale = np.bincount(f, minlength=n) + 1.0
-    dot = lambda w: np.bincount(at, w[f], len(rows))
-    back = lambda g: np.bincount(f, g[at], n)
     v, top = np.ones(n), 1.0
     for _ in range(20):  # the largest curvature of the scaled problem
         v = back(dot(v)) / scale
@@ -248,7 +251,7 @@ def weights_of(rows: list[np.ndarray], y: np.ndarray, n: int, bias: float) -> tu
         v /= top
     step = 1 / (0.25 * 1.1 * max(top, 1.0) + 0.1)
     w, old, b = np.zeros(n), np.zeros(n), bias
-    for i in range(300):
+    for i in range(200):
         ahead = w + i / (i + 3) * (w - old)
         g = 1 / (1 + np.exp(-np.clip(dot(ahead) + b, -30, 30))) - y
         old, w = w, ahead - step * (back(g) + 0.1 * ahead) / scale
@@ -259,7 +262,7 @@ def weights_of(rows: list[np.ndarray], y: np.ndarray, n: int, bias: float) -> tu
 def fit(docs: DataFrame, labels: DataFrame, channel: Channel) -> Classifier:
     """docs(doc_id, text), labels(doc_id, toxic) -> a classifier.
 
-    Features are cells of a hash space of CELLS, counted over all labelled documents; all that tell (a z of TELLS) are kept.
+    Features are cells of a hash space of CELLS, counted over all labelled documents; all that tell (by TELLS and RATIO) are kept.
     Their weights come from SAMPLE labelled rows at most, the first by a hash of doc_id.
     """
     spark = docs.sparkSession
@@ -268,19 +271,21 @@ def fit(docs: DataFrame, labels: DataFrame, channel: Channel) -> Classifier:
     rows = rows.select(F.xxhash64("doc_id").alias("h"), "text", F.col("toxic").cast("int"))
 
     def features(rows: DataFrame, known=None) -> DataFrame:
-        """h, toxic, f: each row's features, or those of them that are known."""
+        """h, toxic, f: each row's features, or those of them that are known by number, packed."""
 
         def extract(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rb in batch_iter:
                 at = 0
                 for _, _, first, _, cells in feature_batches(shared.value, rb.column(1).to_pylist()):
                     sets = [np.unique(cells[:, a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
-                    if known is not None:
-                        sets = [x[known.value[x]] for x in sets]
-                    yield pa.record_batch([rb.column(0).slice(at, len(sets)), rb.column(2).slice(at, len(sets)), pa.array(sets, pa.list_(pa.int64()))], ["h", "toxic", "f"])
+                    if known is None:
+                        f = pa.array(sets, pa.list_(pa.int64()))
+                    else:
+                        f = pa.array([(k[k >= 0]).tobytes() for k in (known.value[x] for x in sets)], pa.binary())
+                    yield pa.record_batch([rb.column(0).slice(at, len(sets)), rb.column(2).slice(at, len(sets)), f], ["h", "toxic", "f"])
                     at += len(sets)
 
-        return rows.mapInArrow(extract, "h long, toxic int, f array<long>")
+        return rows.mapInArrow(extract, f"h long, toxic int, f {'array<long>' if known is None else 'binary'}")
 
     n1, n0 = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0))).first()
     none = np.zeros(0, np.int64)
@@ -289,15 +294,21 @@ def fit(docs: DataFrame, labels: DataFrame, channel: Channel) -> Classifier:
     counts = features(rows).select(F.explode("f").alias("f"), "toxic").groupBy("f").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where(F.col("a") + F.col("b") >= LEAST)
     p, q = (F.col("a") + 0.5) / (n1 + 1), (F.col("b") + 0.5) / (n0 + 1)
     z = F.ln(p / q) / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    names = np.sort(counts.where(F.col("a") > 0).where(z > TELLS).select("f").toPandas()["f"].to_numpy(np.int64))  # CELLS rows at most
+    names = np.sort(counts.where(F.col("a") > 0).where((z > TELLS) & (p / q >= RATIO)).select("f").toPandas()["f"].to_numpy(np.int64))  # CELLS rows at most
     if not len(names):
         return Classifier(none, np.zeros(0), math.log(n1 / n0))
-    known = np.zeros(CELLS, bool)
-    known[names] = True
-    # Hashes are even, so a fifth more than SAMPLE stand below this one, and the first SAMPLE are among them.
-    near = rows if SAMPLE * 1.2 >= n1 + n0 else rows.where(F.col("h") < int(-(2**63) + 1.2 * SAMPLE / (n1 + n0) * 2**64))
-    few = features(near, spark.sparkContext.broadcast(known)).orderBy("h").limit(SAMPLE).toPandas()
-    w, b = weights_of([np.searchsorted(names, f) for f in few["f"]], few["toxic"].to_numpy(np.float64), len(names), math.log(n1 / n0))
+    known = np.full(CELLS, -1, np.int32)
+    known[names] = np.arange(len(names))
+    # The first SAMPLE hashes; as hashes are even, a fifth more than that stand below a bound known beforehand.
+    near = rows
+    if SAMPLE < n1 + n0:
+        near = rows if SAMPLE * 1.2 >= n1 + n0 else rows.where(F.col("h") < int(-(2**63) + 1.2 * SAMPLE / (n1 + n0) * 2**64))
+        near = near.where(F.col("h") <= near.select("h").orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0])
+    few = features(near, spark.sparkContext.broadcast(known)).select("toxic", "f").toArrow().combine_chunks()  # SAMPLE rows
+    f = few["f"].combine_chunks()
+    sizes = np.array([len(x.as_buffer()) // 4 if x.is_valid else 0 for x in f], np.int64)
+    flat = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in f]) if len(f) else np.zeros(0, np.int32)
+    w, b = weights_of(flat, sizes, few["toxic"].to_numpy().astype(np.float64), len(names), math.log(n1 / n0))
     return Classifier(names, w, b)
 
 
