@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from bisect import bisect_right, insort
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,15 +99,36 @@ class Index:
             for k, q in self.postings[x]:
                 found[text, k].append(p - q)
         for (text, k), diagonals in found.items():
-            last = None
-            for d in sorted(set(diagonals)):  # diagonals within a band are one candidate
-                if last is not None and d - last <= BAND:
+            for lo, hi, n in self.finds(k, hashes, int(first[text]), int(first[text + 1]), Counter(diagonals)):
+                yield text, k, lo, hi, n
+
+    def finds(self, k: int, hashes: np.ndarray, start: int, end: int, diagonals: Counter[int]) -> list[tuple[int, int, int]]:
+        """All finds of a template among the words start to end, which don't overlap: around the best supported diagonals first, in what earlier finds leave."""
+        template = self.words[k]
+        need = COVERAGE * len(template)
+        got: list[tuple[int, int, int]] = []  # in order of place
+        for d, _ in sorted(diagonals.items(), key=lambda x: (-x[1], x[0])):
+            lo, hi = max(start, d - BAND), min(end, d + len(template) + BAND)
+            i = max(bisect_right(got, (lo,)) - 1, 0)
+            parts = []  # what is left of lo to hi
+            while i < len(got) and got[i][0] < hi:
+                parts.append((lo, got[i][0]))
+                lo = max(lo, got[i][1] + 1)
+                i += 1
+            parts.append((lo, hi))
+            while parts:
+                lo, hi = parts.pop()
+                if hi - lo < need:
                     continue
-                last = d
-                lo, hi = max(int(first[text]), d - BAND), min(int(first[text + 1]), d + len(self.words[k]) + BAND)
-                got = align(self.words[k], hashes[lo:hi].tolist(), d - lo)
-                if got and got[2] >= COVERAGE * len(self.words[k]):
-                    yield text, k, lo + got[0], lo + got[1], got[2]
+                part = hashes[lo:hi].tolist()
+                here = set(part)
+                if sum(w in here for w in template) < need:
+                    continue
+                best = align(template, part, d - lo)
+                if best and best[2] >= need:
+                    insort(got, (lo + best[0], lo + best[1], best[2]))
+                    parts += [(lo, lo + best[0]), (lo + best[1] + 1, hi)]
+        return got
 
 
 def align(template: list[int], text: list[int], diagonal: int) -> tuple[int, int, int] | None:

@@ -223,6 +223,17 @@ def test_op8_finds_changed_templates(spark):
     assert (got[0, "MIT-grant"].start, got[2, "MIT-notice"].end) == (6, 30)
 
 
+def test_op8_finds_each_of_close_repeats(spark):
+    notice, full = op8.TEMPLATES[0][1], op8.TEMPLATES[8][1]
+    w = full.split()
+    stray = " ".join([*w[12:15], "x y z u", *w[:20], *["more"] * 11, *w[20:]])  # a shared gram just before, and words put between
+    texts = ["\n".join([notice] * 4), f"{notice} and then {notice}", notice, stray]
+    got = op8.licenses(table(spark, texts)).collect()
+    starts = lambda d: sorted(r.start for r in got if r.doc_id == d and r.template == "MIT-notice")
+    assert [starts(d) for d in range(3)] == [[i * (len(notice) + 1) for i in range(4)], [0, len(notice) + 10], [0]]
+    assert [(r.template, r.coverage) for r in got if r.doc_id == 3] == [("MIT-grant", 1.0)]
+
+
 def test_op9_means_and_repeats(spark):
     docs = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") % 10 == 0, "rare").otherwise("hot").alias("source"), F.lit("a").alias("copy"))
     w = spark.createDataFrame([("rare", 1.0), ("hot", 1.0)], "source string, weight double")
