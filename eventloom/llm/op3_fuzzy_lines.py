@@ -42,7 +42,7 @@ def line_sets(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np
 
 
 def line_band_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Band keys of lines longer than a shingle, all lines of a batch at once: (lines, BANDS)."""
+    """Band keys of lines of a shingle or more, all lines of a batch at once: (lines, BANDS)."""
     p, down = prefix_hash(LOWER[data])
     rolled = mix((p[SHINGLE:] - p[:-SHINGLE]) * down[: max(len(data) - SHINGLE + 1, 0)])
     x = np.append((rolled >> np.uint64(32)).astype(np.uint32), np.uint32(0xFFFFFFFF))
@@ -55,6 +55,12 @@ def line_band_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     return np.ascontiguousarray(keys.T).view(np.int64)
 
 
+def brief_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The one key of each line shorter than a shingle: lines are alike if and only if they are equal in lower case. (lines, 1)."""
+    p, down = prefix_hash(LOWER[data])
+    return mix((p[ends] - p[starts]) * down[starts] + (ends - starts).astype(np.uint64)).view(np.int64)[:, None]
+
+
 def sketch_lines(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, text -> a row for each line with a word: doc_id, line, digest and, once a batch for each line, band keys."""
     for rb in batch_iter:
@@ -69,9 +75,12 @@ def sketch_lines(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             raw = data.tobytes()
             digests = [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(starts[use].tolist(), ends[use].tolist(), strict=True)]
             new = np.unique(np.array(digests, "S16"), return_index=True)[1]
-            new = new[ends[use[new]] - starts[use[new]] > SHINGLE]
             keys: list = [None] * len(use)
             new = np.sort(new)
+            brief = ends[use[new]] - starts[use[new]] < SHINGLE
+            for k, s in zip(new[brief].tolist(), brief_keys(data, starts[use[new[brief]]], ends[use[new[brief]]]), strict=True):
+                keys[k] = s
+            new = new[~brief]
             if len(new):
                 for k, s in zip(new.tolist(), line_band_keys(data, starts[use[new]], ends[use[new]]), strict=True):
                     keys[k] = s
@@ -114,7 +123,7 @@ def chosen_lines(spark: SparkSession, bits: np.ndarray):
             out = []
             for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 for i, line in enumerate((t or "").encode().split(b"\n")):
-                    if len(line) > SHINGLE:
+                    if line and not line.isspace():
                         x = hashlib.blake2b(line, digest_size=16).digest()
                         at = int.from_bytes(x[:7], "big") % FILTER_BITS
                         if shared.value[at >> 5] >> np.uint32(at & 31) & np.uint32(1):

@@ -149,6 +149,13 @@ def test_op1_finds_items_and_wand_is_exact(spark):
             assert {j for j, _ in index.wand(passage, least)} == want
 
 
+def test_op3_short_lines(spark):
+    """Lines of a shingle or less are alike if equal in lower case; one of ten equal letters has the shingle of eleven."""
+    texts = ["Read More\nHOME\na\nabcdefghiJ\nÉté", "READ MORE\nhome\nA\nABCDEFGHIJ\nété\n ", "read more\nhomes\nb\nabcdefghik\nÉTÉ\n\n", "x" * 10, "X" * 11]
+    got = [r.text for r in op3.dedup_lines(table(spark, texts)).orderBy("doc_id").collect()]
+    assert got == [texts[0], "été\n ", "homes\nb\nabcdefghik\nÉTÉ\n\n", "x" * 10, ""]
+
+
 def test_op4_counts(spark):
     t = "a b c d e f g h x a b c d e f g h\n#tag one\n#tag one\n \nlast"
     r = op4.quality(table(spark, [t])).first()
