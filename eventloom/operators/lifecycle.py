@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Allowed moves between states.
 MOVES = {
@@ -41,14 +45,19 @@ def overlay(derived: DataFrame, journal: DataFrame, key: str) -> DataFrame:
 
 def alerts(rows: DataFrame, cooldown: int = COOLDOWN_SECONDS) -> DataFrame:
     """RULE-11: rows(key, at) -> each with sent: the first of a key, and each at least cooldown seconds after the last that was sent."""
-    ordered = rows.groupBy("key").agg(F.array_sort(F.collect_list("at")).alias("r"))
-
-    def step(acc: Column, at: Column) -> Column:
-        send = acc["last"].isNull() | (F.timestamp_diff("MILLISECOND", acc["last"], at) >= cooldown * 1000)
-        return F.struct(F.when(send, at).otherwise(acc["last"]).alias("last"), F.concat(acc["rows"], F.array(F.struct(at.alias("at"), send.alias("sent")))).alias("rows"))
-
-    start = F.struct(F.lit(None).cast("timestamp_ntz").alias("last"), F.array().cast("array<struct<at:timestamp_ntz,sent:boolean>>").alias("rows"))
-    return ordered.select("key", F.explode(F.aggregate("r", start, step, lambda a: a["rows"])).alias("x")).select("key", "x.*")
+    ordered = rows.where("at IS NOT NULL").select("key", F.col("at").cast("timestamp_ntz").alias("at")).repartition("key").sortWithinPartitions("key", "at")
+
+    def send(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last, first = None, 0, True
+        for rb in batch_iter:
+            sent = []
+            for key, at in zip(rb.column(0).to_pylist(), rb.column(1).cast(pa.int64()).to_pylist(), strict=True):
+                sent.append(first or key != now or at - last >= cooldown * 1_000_000)
+                if sent[-1]:
+                    now, last, first = key, at, False
+            yield pa.record_batch([rb.column(0), rb.column(1), pa.array(sent, pa.bool_())], ["key", "at", "sent"])
+
+    return ordered.mapInArrow(send, T.StructType([*ordered.schema, T.StructField("sent", T.BooleanType())]))
 
 
 def collapse_open(rows: DataFrame) -> DataFrame:

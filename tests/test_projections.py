@@ -102,3 +102,10 @@ def test_sampling_keeps_critical_and_shares_fate(spark):
     half = ev.where(sampling.keep_sampled({"info": 0.5})).groupBy("run_id").count().collect()
     assert 10 < len(half) < 40
     assert all(r["count"] == 4 for r in half if r.run_id != "r7")
+
+
+def test_alerts_of_a_hot_key_are_not_folded_in_one_array(spark):
+    rows = spark.range(30_000).selectExpr("'k' AS key", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id) AS at")
+    out = lifecycle.alerts(rows, 300)
+    assert out.where("sent").count() == 100
+    assert "collect_list" not in out._jdf.queryExecution().toString()
