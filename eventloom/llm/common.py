@@ -1,32 +1,16 @@
-"""Staged tables in the shared folder, and connected components."""
+"""Connected components, and groups that share a key."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); one of our own only where it is unset, as in tests."""
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: the lineage is cut, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from eventloom.functions.staging import staged, unstage
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,17 +41,21 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         new = staged(small.where("a <> b").distinct(), name)
-        if (now := fingerprint(new)) == seen:
+        now = fingerprint(new)
+        unstage(e)
+        e, done, seen = new, now == seen, now
+        if done:
             break
-        e, seen = new, now
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).union(
         e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     )
 
 
-def prefix_pairs(sets: DataFrame, num: int, den: int) -> DataFrame:
+def prefix_pairs(sets: DataFrame, num: int, den: int) -> tuple[DataFrame, list[DataFrame]]:
     """sets(id, c, s: distinct longs) -> pairs(a, b) of different c; all with den * intersection >= num * union are among them.
 
+    Also returns the staged tables that the pairs are read from.
+
     With all elements in one order, the rarest first, such sets share one of their first n - ceil(num * n / den) + 1, and
     their sizes are as near. What very many sets have stands last in that order and so finds no pairs.
     """
@@ -79,21 +67,73 @@ def prefix_pairs(sets: DataFrame, num: int, den: int) -> DataFrame:
     rows = rows.where(F.col("place") + F.col("n") - F.col("shared") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1)
     # What may come after this element bounds the intersection.
     rows = staged(rows.select("key", "id", "c", "n", (F.col("shared") - F.col("place") + 1).alias("rest")), "prefixes")
+    rows_at = rows
     mixed = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
     rows = rows.join(mixed, "key", "left_semi")
     a, b = (rows.select("key", *[F.col(x).alias(f"{x}_{k}") for x in ("id", "c", "n", "rest")]) for k in "ab")
     # An intersection of m or more is needed; this is the first common element for at least one of a pair's rows.
     least = F.ceil((F.col("n_a") + F.col("n_b")) * num / (num + den))
     near = (F.col("id_a") < F.col("id_b")) & (F.col("c_a") != F.col("c_b")) & (F.least("rest_a", "rest_b") >= least)
-    return a.join(b, (a["key"] == b["key"]) & near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    return a.join(b, (a["key"] == b["key"]) & near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), [rows_at]
+
+
+BITS = 1024
 
 
-def linked_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame], threshold: tuple[int, int], name: str, small: int = 0) -> DataFrame:
+def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set of hashes a bitmap of BITS places, each the parity of the hashes that fall on it: (sets, BITS / 64)."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    at = np.concatenate([s.view(np.uint64) & np.uint64(BITS - 1) for s in sets]).astype(np.int64) if len(sets) else np.zeros(0, np.int64)
+    counts = np.bincount(np.repeat(np.arange(len(sets)), sizes) * BITS + at, minlength=len(sets) * BITS)
+    return np.packbits((counts & 1).astype(bool).reshape(-1, BITS), axis=1).view(np.uint64)
+
+
+def near_in_buckets(num: int, den: int):
+    """Rows (key, id, c, n, bits), a key's together -> the pairs (a, b) of a key's members with different c that may be similar enough.
+
+    The places at which two sets' bitmaps differ are at most as many as the elements in one of them alone, so a pair that
+    differs at more than those may be is none: no pair that reaches the threshold is missed.
+    """
+
+    def near(key_rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        ids, c, n = (np.array(x, np.int64) for x in list(zip(*key_rows, strict=True))[1:4])
+        bits = np.frombuffer(b"".join(x[4] for x in key_rows), np.uint64).reshape(len(ids), -1)
+        order = np.argsort(ids)
+        ids, c, n, bits = ids[order], c[order], n[order], bits[order]
+        for lo in range(0, len(ids), 32):
+            part = slice(lo, lo + 32)
+            apart = np.bitwise_count(bits[part, None] ^ bits[None, lo:]).sum(-1, dtype=np.int64)
+            ok = (c[part, None] != c[None, lo:]) & (apart * (den + num) <= (n[part, None] + n[None, lo:]) * (den - num))
+            i, j = np.nonzero(np.triu(ok, 1))
+            if len(i):
+                yield pa.record_batch([pa.array(ids[lo + i]), pa.array(ids[lo + j])], ["a", "b"])
+
+    def go(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for rb in batch_iter:
+            for at in range(0, rb.num_rows, 1000):
+                for row in zip(*(x.slice(at, 1000).to_pylist() for x in rb.columns), strict=True):
+                    if held and row[0] != held[0][0]:
+                        yield from near(held)
+                        held = []
+                    held.append(row)
+        if held:
+            yield from near(held)
+
+    return go
+
+
+def linked_components(
+    members: DataFrame, verify: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame], threshold: tuple[int, int], name: str,
+    small: int = 0, maps: DataFrame | None = None,
+) -> DataFrame:
     """Components (id, component) of the links that verify finds among ids that share a key of members(key, id).
 
-    A key's members are not compared all with all: first each with the key's smallest and largest id. Where a key then
-    still holds more than one component, its members are compared across components: pair by pair if it has small members at
-    most, else by prefix_pairs over sets(ids) (id, s), which misses no pair that reaches the threshold. The result is the same as if all pairs that share a key had been compared.
+    A key's members are not compared all with all: first each with the key's smallest and largest id. Where a key of four
+    members or more (smaller ones have been compared whole) then still holds more than one component, its members are
+    compared across components: by maps(id, n, bits) of their sets if it has small members at most, else by prefix_pairs over
+    sets(ids) (id, s). Neither misses a pair that reaches the threshold, so the result is the same as if all pairs that share
+    a key had been compared.
     """
     order = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     ends = members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
@@ -103,13 +143,24 @@ def linked_components(members: DataFrame, verify: Callable[[DataFrame], DataFram
     edges = staged(verify(star), f"{name}-edges")
     comps = staged(components(edges, f"{name}-cc"), f"{name}-components")
     named = members.join(comps, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    keys = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
+    keys = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n"))
+    keys = staged(keys.where("lo < hi AND n > 3").select("key", "n"), f"{name}-keys")
     named = staged(named.join(keys, "key"), f"{name}-open")
     left = staged(named.where(F.col("n") > small).select("id", "c").distinct(), f"{name}-large")
-    other = named.where(F.col("n") <= small).select("key", F.col("id").alias("other"), F.col("c").alias("other_c"))
-    pairs = named.where(F.col("n") <= small).join(other, "key").where("id < other AND c <> other_c").select(F.col("id").alias("a"), F.col("other").alias("b"))
+    pairs, prefixed = named.sparkSession.createDataFrame([], star.schema), []
+    if maps is not None:
+        rows = named.where(F.col("n") <= small).select("key", "id", "c").join(maps, "id").select("key", "id", "c", "n", "bits")
+        kind = star.schema["a"].dataType.simpleString()
+        pairs = rows.repartition("key").sortWithinPartitions("key").mapInArrow(near_in_buckets(*threshold), f"a {kind}, b {kind}")
     if not left.isEmpty():
-        pairs = pairs.union(prefix_pairs(sets(left.select("id")).join(left, "id").select("id", "c", "s"), *threshold))
-    pairs = pairs.distinct()
-    found = staged(verify(staged(pairs.join(star, ["a", "b"], "left_anti"), f"{name}-pairs")), f"{name}-edges")
-    return comps if found.isEmpty() else staged(components(edges.union(found), f"{name}-cc"), f"{name}-components")
+        more, prefixed = prefix_pairs(sets(left.select("id")).join(left, "id").select("id", "c", "s"), *threshold)
+        pairs = pairs.union(more)
+    pairs = staged(pairs.distinct().join(star, ["a", "b"], "left_anti"), f"{name}-pairs")
+    found = staged(verify(pairs), f"{name}-edges")
+    unstage(star, keys, named, left, pairs, *prefixed)
+    if not found.isEmpty():
+        all_edges = staged(components(edges.union(found), f"{name}-cc"), f"{name}-components")
+        unstage(comps)
+        comps = all_edges
+    unstage(edges, found)
+    return comps
