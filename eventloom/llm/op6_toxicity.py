@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import documents
+from eventloom.llm.common import documents, staged, unstage
 from eventloom.llm.op7_language_id import BATCH_CHARS, code_points, held_out
 from eventloom.llm.textops import batches, mix, prefix_hash
 
@@ -259,56 +259,79 @@ def weights_of(f: np.ndarray, sizes: np.ndarray, y: np.ndarray, n: int, bias: fl
     return w, b
 
 
+def labelled_features(docs: DataFrame, labels: DataFrame, channel: Channel) -> DataFrame:
+    """h (a hash of doc_id), toxic, f (cells as 32-bit numbers) of each labelled text.
+
+    The labels may be of any number, so texts meet them in a shuffle; that is done once, and features are staged.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(channel)
+
+    def extract(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batch_iter:
+            at = 0
+            for _, _, first, _, cells in feature_batches(shared.value, rb.column(1).to_pylist()):
+                f = [np.unique(cells[:, a:b]).astype(np.int32).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+                yield pa.record_batch([rb.column(0).slice(at, len(f)), rb.column(2).slice(at, len(f)), pa.array(f, pa.binary())], ["h", "toxic", "f"])
+                at += len(f)
+
+    known = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    rows = docs.select("doc_id", "text").join(known.hint("merge"), "doc_id").select(F.xxhash64("doc_id").alias("h"), "text", "toxic")
+    return staged(rows.mapInArrow(extract, "h long, toxic int, f binary"), "toxicity-features")
+
+
+def tally(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """h, toxic, f -> cell, toxic and clean texts with it; a row for each cell of a batch."""
+    for rb in batch_iter:
+        toxic, f = np.array(rb.column(1).to_pylist(), bool), rb.column(2).to_pylist()
+        both = [np.unique(np.frombuffer(b"".join(x for x, y in zip(f, toxic, strict=True) if y == k), np.int32), return_counts=True) for k in (True, False)]
+        cells = np.union1d(both[0][0], both[1][0])
+        counts = np.zeros((2, len(cells)), np.int64)
+        for k, (c, n) in enumerate(both):
+            counts[k, np.searchsorted(cells, c)] = n
+        yield pa.record_batch([pa.array(cells.astype(np.int64)), pa.array(counts[0]), pa.array(counts[1])], ["f", "a", "b"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, channel: Channel) -> Classifier:
     """docs(doc_id, text), labels(doc_id, toxic) -> a classifier.
 
     Features are cells of a hash space of CELLS, counted over all labelled documents; all that tell (by TELLS and RATIO) are kept.
-    Their weights come from SAMPLE labelled rows at most, the first by a hash of doc_id.
+    Their weights come from SAMPLE labelled rows at most, the first by a hash of doc_id. Labels other than 0 and 1, null
+    among them, are left out; a doc_id with both counts as toxic; null and empty texts are rows without features; repeated
+    rows of docs count each. Without labels, or with one kind alone, all texts get the same score.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(channel)
-    rows = docs.select("doc_id", "text").join(labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id")
-    rows = rows.select(F.xxhash64("doc_id").alias("h"), "text", F.col("toxic").cast("int"))
-
-    def features(rows: DataFrame, known=None) -> DataFrame:
-        """h, toxic, f: each row's features, or those of them that are known by number, packed."""
-
-        def extract(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for rb in batch_iter:
-                at = 0
-                for _, _, first, _, cells in feature_batches(shared.value, rb.column(1).to_pylist()):
-                    sets = [np.unique(cells[:, a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
-                    if known is None:
-                        f = pa.array(sets, pa.list_(pa.int64()))
-                    else:
-                        f = pa.array([(k[k >= 0]).tobytes() for k in (known.value[x] for x in sets)], pa.binary())
-                    yield pa.record_batch([rb.column(0).slice(at, len(sets)), rb.column(2).slice(at, len(sets)), f], ["h", "toxic", "f"])
-                    at += len(sets)
-
-        return rows.mapInArrow(extract, f"h long, toxic int, f {'array<long>' if known is None else 'binary'}")
-
+    spark, rows = docs.sparkSession, labelled_features(docs, labels, channel)
     n1, n0 = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0))).first()
     none = np.zeros(0, np.int64)
     if not n1 or not n0:
+        unstage(rows)
         return Classifier(none, np.zeros(0), 0.0 if n1 == n0 else 4.0 if n1 else -4.0)
-    counts = features(rows).select(F.explode("f").alias("f"), "toxic").groupBy("f").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where(F.col("a") + F.col("b") >= LEAST)
+    counts = rows.mapInArrow(tally, "f long, a long, b long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") + F.col("b") >= LEAST)
     p, q = (F.col("a") + 0.5) / (n1 + 1), (F.col("b") + 0.5) / (n0 + 1)
     z = F.ln(p / q) / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
     names = np.sort(counts.where(F.col("a") > 0).where((z > TELLS) & (p / q >= RATIO)).select("f").toPandas()["f"].to_numpy(np.int64))  # CELLS rows at most
     if not len(names):
+        unstage(rows)
         return Classifier(none, np.zeros(0), math.log(n1 / n0))
     known = np.full(CELLS, -1, np.int32)
     known[names] = np.arange(len(names))
+    shared = spark.sparkContext.broadcast(known)
+
+    def numbered(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batch_iter:
+            numbers = [shared.value[np.frombuffer(x, np.int32)] for x in rb.column(2).to_pylist()]
+            yield pa.record_batch([rb.column(1), pa.array([k[k >= 0].tobytes() for k in numbers], pa.binary())], ["toxic", "f"])
+
     # The first SAMPLE hashes; as hashes are even, a fifth more than that stand below a bound known beforehand.
     near = rows
     if SAMPLE < n1 + n0:
         near = rows if SAMPLE * 1.2 >= n1 + n0 else rows.where(F.col("h") < int(-(2**63) + 1.2 * SAMPLE / (n1 + n0) * 2**64))
         near = near.where(F.col("h") <= near.select("h").orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0])
-    few = features(near, spark.sparkContext.broadcast(known)).select("toxic", "f").toArrow().combine_chunks()  # SAMPLE rows
+    few = near.mapInArrow(numbered, "toxic int, f binary").toArrow().combine_chunks()  # SAMPLE rows
     f = few["f"].combine_chunks()
-    sizes = np.array([len(x.as_buffer()) // 4 if x.is_valid else 0 for x in f], np.int64)
+    sizes = np.array([len(x.as_buffer()) // 4 for x in f], np.int64)
     flat = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in f]) if len(f) else np.zeros(0, np.int32)
     w, b = weights_of(flat, sizes, few["toxic"].to_numpy().astype(np.float64), len(names), math.log(n1 / n0))
+    unstage(rows)
     return Classifier(names, w, b)
 
 
