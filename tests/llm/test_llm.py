@@ -45,7 +45,7 @@ def corpus(seed=1, n=60):
 
 ALL = [
     ("op1", lambda d: op1.leaks(d, d.select(F.col("doc_id").alias("item_id"), "text").where("doc_id between 4 and 6"))),
-    ("op2", op2.remove_repeats), ("op3", op3.dedup_lines), ("op4", op4.quality), ("op5", op5.near_duplicates), ("op7", lambda d: op7.predict_language(d, op7.fit(d))), ("op8", op8.licenses), ("op9", op9.mix_sources), ("op10", op10.pseudonymize),
+    ("op2", op2.remove_repeats), ("op3", op3.dedup_lines), ("op4", op4.quality), ("op5", op5.near_duplicates), ("op7", lambda d: op7.predict_language(d, op7.fit(d))), ("op8", op8.licenses), ("op9", op9.mix_sources), ("op10", lambda d: op10.pseudonymize(d, "k")),
 ]
 
 
@@ -253,7 +253,7 @@ def test_op9_means_and_repeats(spark):
 
 def test_op10_is_consistent_and_distinct(spark):
     texts = ["Mail a.b1@x.org and A.B1@x.org, +1 (319) 555-5132 or 1 319 555 5132", "4111 1111 1111 1111 then 4111111111111111", "Mr. John Smith and Smith", "10.0.0.1 and 10.0.0.2", None, "password=abc123def"]
-    rows = op10.pseudonymize(table(spark, texts)).orderBy("doc_id").collect()
+    rows = op10.pseudonymize(table(spark, texts), "k").orderBy("doc_id").collect()
     for old, new in zip(texts, rows, strict=True):
         for secret in ("b1@x.org", "5132", "4111", "John", "10.0.0.1", "abc123def"):
             assert old is None or secret not in new.text
@@ -263,17 +263,52 @@ def test_op10_is_consistent_and_distinct(spark):
     assert card[0].replace(" ", "") == card[1].replace(" ", "")
     assert op10.luhn(card[1])
     assert rows[4].text is None
-    ips = [op10.surrogate("ip", f"10.0.{i // 256}.{i % 256}") for i in range(2000)]
+    ips = [op10.surrogate("k", "ip", f"10.0.{i // 256}.{i % 256}") for i in range(2000)]
     assert len(set(ips)) == 2000
     assert all(re.fullmatch(r"\d{1,3}(\.\d{1,3}){3}", x) for x in ips)
 
 
 def test_op10_draws_again_when_surrogates_clash(spark, monkeypatch):
-    entities = spark.createDataFrame([("ssn", f"{i:09d}") for i in range(50)] + [("ssn", op10.surrogate("ssn", "000000001"))], "kind string, value string")
-    again = {(r.value, r.attempt) for r in op10.assign(entities).collect()}
+    entities = spark.createDataFrame([("ssn", f"{i:09d}") for i in range(50)] + [("ssn", op10.surrogate("k", "ssn", "000000001"))], "kind string, value string")
+    again = {(r.value, r.attempt) for r in op10.assign(entities, "k").collect()}
     assert ("000000001", 1) in again
 
 
+def test_op10_later_bare_mentions(spark):
+    texts = ["Mr. John Smith spoke. Smith then left and John stayed; Smithson is no Smith.", "A Smith of no known name, and John too"]
+    rows = op10.pseudonymize(table(spark, texts), "k").orderBy("doc_id").collect()
+    given, family = rows[0].text.split()[1:3]
+    assert rows[0].text == f"Mr. {given} {family} spoke. {family} then left and {given} stayed; Smithson is no {family}."
+    assert {given, family}.isdisjoint({"John", "Smith"})
+    assert rows[0].n_entities == 5
+    assert rows[1].text == texts[1]
+
+
+def test_op10_full_formats(spark):
+    """All values of a format: their surrogates are longer, and still distinct."""
+    values = [f"{i:03d}" for i in range(1000)]
+    found = spark.createDataFrame([("secret", v) for v in values], "kind string, value string")
+    attempts = {r.value: r.attempt for r in op10.assign(found, "k").collect()}
+    new = {op10.surrogate("k", "secret", v, attempts.get(v, 0)) for v in values}
+    assert len(new) == 1000
+    assert new.isdisjoint(values)
+
+
+def test_op10_search_is_the_whole_alternation():
+    """The searches by kind against one alternation of all patterns, tried at every character."""
+    patterns = {"secret": (op10.SECRET, op10.SECRET_VALUE), "email": (op10.EMAIL,), **{f"{k}{i}": (p,) for i, (_, k, p) in enumerate(op10.NUMBERS)}, "name": (op10.NAME,)}
+    r = random.Random(3)
+    parts = ["a.b@x.org", "@", "x@y", "+1 319 555 5132", "(319) 555-5132", "319 555 5132", "4111 1111 1111 1111", "10.0.0.1", "1.2.3.4.5", "123-45-6789", "DE44 5001 0517 5407 3249 31", "Mr. John Smith", "john", "John Smith", "Anna", "Ms Иван Козлов", "password: hunter22", "token=a1b2c3d4e5", "AKIA" + "A1B2" * 4, "sk-" + "a1" * 12, "_x+y@z.co", "12", ".", "-", "Dr", "Smith", "é", "secret"]
+    for _ in range(3000):
+        text = r.choice(["", " "]).join(r.choice(parts) + r.choice(["", " ", ", ", ". "]) for _ in range(r.randint(1, 6)))
+        want, pos = [], 0
+        while pos < len(text):
+            m = next((m for ps in patterns.values() for p in ps if (m := p.match(text, pos))), None)
+            want += [m.span()] if m else []
+            pos = m.end() if m else pos + 1
+        assert [x[:2] for x in op10.entities(text)] == want, text
+
+
 def test_sets_share_a_prefix(spark):
     from eventloom.llm.common import prefix_pairs
 
@@ -281,7 +316,7 @@ def test_sets_share_a_prefix(spark):
     base = r.choice(1000, 40, replace=False)
     sets = [sorted(set(np.where(r.random(40) < q, r.integers(0, 1000, 40), base).tolist())) for q in r.random(60) * 0.4]
     df = spark.createDataFrame([(i, i, s) for i, s in enumerate(sets)], "id long, c long, s array<long>")
-    got = {(x.a, x.b) for x in prefix_pairs(df, 75, 100).collect()}
+    got = {(x.a, x.b) for x in prefix_pairs(df, 75, 100)[0].collect()}
     want = {(i, j) for j in range(60) for i in range(j) if 100 * len(set(sets[i]) & set(sets[j])) >= 75 * len(set(sets[i]) | set(sets[j]))}
     assert want
     assert want <= got
