@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import documents
+from eventloom.llm.common import documents, staged
 
 SEED, ALPHA = "mix-1", 0.5
+#: Most sources, and numbers of their distributions, that are broadcast; beyond that each source is dealt to SALT places.
+SOURCES, NUMBERS, SALT = 10_000, 500_000, 64
 
 
 def uniform(*cols: Column, seed: str = SEED) -> Column:
@@ -51,11 +53,20 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, alpha: float
 
     Returns docs' columns, with copy (1, 2, ...) and rate; columns of docs with those names are replaced. The number
     depends on doc_id and the seed alone, so a lost executor's work comes out the same. Rows with the same doc_id get the
-    same number each. Null doc_id counts as the empty string. An empty table gives an empty result.
+    same number each. Null doc_id counts as the empty string. An empty table gives an empty result. The documents
+    are shuffled once, for the order; the rates reach them by broadcast if SOURCES and NUMBERS bound it.
     """
     docs = docs.drop("copy", "rate")
-    r = rates(docs, weights, alpha, size).select(F.col("source").alias("_mix_source"), "rate", "cdf")
-    out = docs.join(r, F.col("source").eqNullSafe(F.col("_mix_source"))).withColumn("_mix_u", uniform(F.col("doc_id"), seed=seed))
+    r = staged(rates(docs, weights, alpha, size).select(F.col("source").alias("_mix_source"), "rate", "cdf"), "rates")
+    sources, numbers = r.agg(F.count("*"), F.coalesce(F.sum(F.size("cdf")), F.lit(0))).first()
+    same = F.col("source").eqNullSafe(F.col("_mix_source"))
+    if sources <= SOURCES and numbers <= NUMBERS:
+        out = docs.join(F.broadcast(r), same)
+    else:
+        out = docs.withColumn("_mix_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)))
+        r = r.withColumn("_mix_part", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        out = out.join(r, same & (F.col("_mix_salt") == F.col("_mix_part"))).drop("_mix_salt", "_mix_part")
+    out = out.withColumn("_mix_u", uniform(F.col("doc_id"), seed=seed))
     out = out.withColumn("_mix_n", F.size(F.filter("cdf", lambda c: F.col("_mix_u") >= c)))
     out = out.where("_mix_n > 0").drop("cdf", "_mix_u", "_mix_source")
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).drop("_mix_n")
