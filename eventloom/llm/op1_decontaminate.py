@@ -5,13 +5,14 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import documents
+from eventloom.llm.common import documents, staged
 from eventloom.llm.textops import LOWER, batches, mix, prefix_hash
 
 K1, B = 0.9, 0.4
@@ -44,10 +45,20 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return mix((p[ends] - p[starts]) * down[starts] + (ends - starts).astype(np.uint64)), np.searchsorted(starts, offsets)
 
 
+@dataclass
+class Statistics:
+    """Of all items, whatever their shard: number, mean and most words, documents of each word (of one shard's, at least)."""
+
+    n: int
+    mean: float
+    longest: int
+    df: dict[int, int]
+
+
 class Index:
     """Inverted index of items. Impacts are BM25 weights as shares of the item's own score, so one threshold suits all items."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], of_all: Statistics | None = None):
         items = sorted(items, key=lambda x: x[0])
         self.ids = [i for i, _ in items]
         self.words: list[list[int]] = []
@@ -55,14 +66,16 @@ class Index:
             h, first = hashed_words(data, offsets)
             self.words += [h[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)]
         counts = [defaultdict(int) for _ in items]
-        df: dict[int, int] = defaultdict(int)
+        here: dict[int, int] = defaultdict(int)
         for c, ws in zip(counts, self.words, strict=True):
             for w in ws:
                 c[w] += 1
             for w in c:
-                df[w] += 1
-        mean = max(1.0, sum(map(len, self.words)) / max(1, len(items)))
-        idf = {w: math.log(1 + (len(items) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+                here[w] += 1
+        if of_all is None:
+            of_all = Statistics(len(items), sum(map(len, self.words)) / max(1, len(items)), max(map(len, self.words), default=1), here)
+        df, mean = of_all.df, max(1.0, of_all.mean)
+        idf = {w: math.log(1 + (of_all.n - df[w] + 0.5) / (df[w] + 0.5)) for w in here}
         self.postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
         lookup: dict[int, list[tuple[int, float]]] = defaultdict(list)
         self.rest = np.zeros(len(items))
@@ -83,7 +96,7 @@ class Index:
         self.start = np.concatenate([[0], np.cumsum([len(lookup[w]) for w in self.terms.tolist()])]).astype(np.int64)
         self.item = np.array([d for d, _ in flat], np.int64)
         self.share = np.array([x for _, x in flat])
-        self.width = max(PASSAGE, 2 * max(map(len, self.words), default=1))
+        self.width = max(PASSAGE, 2 * of_all.longest)
 
     def wand(self, passage: list[int], least: float = SCORE) -> list[tuple[int, float]]:
         """All items that the passage's words score at least so high, by block-max WAND."""
@@ -177,6 +190,15 @@ class Index:
                         yield d, item, int(a - first[d]), score, q, x
 
 
+def words_of(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """item_id, text -> shard's key, words."""
+    for rb in batch_iter:
+        for i, data, offsets in batches(rb.column(1)):
+            h, first = hashed_words(data, offsets)
+            words = [h[a:b].view(np.int64) for a, b in zip(first[:-1], first[1:], strict=True)]
+            yield pa.record_batch([rb.column(0).slice(i, len(words)), pa.array(words, pa.list_(pa.int64()))], ["shard", "words"])
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs(doc_id, text), benchmark(item_id, text) -> doc_id, item_id, passage, score, question_overlap, answer_overlap.
 
@@ -188,11 +210,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.select("item_id", "text").where("text is not null")
     n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     shards = max(1, -(-n // SHARD_ITEMS), -(-chars // SHARD_CHARS))
+    items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)))
+    # Counts are those of all items, so that scores don't depend on the shards.
+    words = staged(items.select("shard", "text").mapInArrow(words_of, "shard long, words array<long>"), "item-words")
+    mean, longest = words.agg(F.coalesce(F.avg(F.size("words")), F.lit(0.0)), F.coalesce(F.max(F.size("words")), F.lit(1))).first()
+    df = words.select("shard", F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.count("*").alias("df"), F.collect_set("shard").alias("shards"))
+    df = staged(df, "item-counts")
     shape = "doc_id long, item_id long, passage long, score double, question_overlap double, answer_overlap double"
     out = spark.createDataFrame([], shape)
     for s in range(shards):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == s).collect()  # bounded by the shards' number
-        index = Index([(r[0], r[1]) for r in rows])
+        rows = items.where(F.col("shard") == s).select("item_id", "text").collect()  # bounded by the shards' number
+        counts = df.where(F.array_contains("shards", F.lit(s).cast("long"))).select("w", "df").toPandas()  # this shard's words
+        counts = dict(zip(counts["w"].to_numpy(np.int64).view(np.uint64).tolist(), counts["df"].tolist(), strict=True))
+        index = Index([(r[0], r[1]) for r in rows], Statistics(n, mean, longest, counts))
         keep = [k for k, w in enumerate(index.words) if w]
         if not keep:
             continue
@@ -218,7 +248,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that hold a test item; all columns stay."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("_leaked")).distinct()
+    # As a table of its own its size is known: Spark broadcasts it if it is small, else it shuffles.
+    bad = staged(leaks(docs, benchmark).select(F.col("doc_id").alias("_leaked")).distinct(), "leaked")
     return docs.join(bad, F.col("doc_id") == F.col("_leaked"), "left_anti")
 
 
