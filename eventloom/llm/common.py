@@ -88,25 +88,43 @@ def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
     return np.packbits((counts & 1).astype(bool).reshape(-1, BITS), axis=1).view(np.uint64)
 
 
-def near_in_buckets(num: int, den: int):
-    """Rows (key, id, c, n, bits), a key's together -> the pairs (a, b) of a key's members with different c that may be similar enough.
+def alike_sets(s: np.ndarray, t: np.ndarray, num: int, den: int) -> bool:
+    """Whether two sorted sets' Jaccard similarity is num / den or more."""
+    if den * min(len(s), len(t)) < num * max(len(s), len(t)):
+        return False
+    both = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
+    return den * both >= num * (len(s) + len(t) - both)
+
+
+def joined_in_buckets(num: int, den: int, sets_of: Callable[[list], list[np.ndarray]]):
+    """Rows (key, id, c, text), a key's together -> the links (a, b) that join a key's components c: one for each that are joined.
 
     The places at which two sets' bitmaps differ are at most as many as the elements in one of them alone, so a pair that
-    differs at more than those may be is none: no pair that reaches the threshold is missed.
+    differs at more than those may be is none; the others are held against each other whole, the nearest first, unless they
+    are in one component by then. So no link between components is missed, and no more come out than join them.
     """
 
-    def near(key_rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        ids, c, n = (np.array(x, np.int64) for x in list(zip(*key_rows, strict=True))[1:4])
-        bits = np.frombuffer(b"".join(x[4] for x in key_rows), np.uint64).reshape(len(ids), -1)
-        order = np.argsort(ids)
-        ids, c, n, bits = ids[order], c[order], n[order], bits[order]
+    def joined(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        rows.sort(key=lambda x: x[1])
+        ids = [x[1] for x in rows]
+        c = np.unique([x[2] for x in rows], return_inverse=True)[1]
+        if c.max() == 0:
+            return
+        sets = sets_of([x[3] for x in rows])
+        bits, n = bitmaps(sets), np.array([len(x) for x in sets], np.int64)
+        found = []
         for lo in range(0, len(ids), 32):
             part = slice(lo, lo + 32)
             apart = np.bitwise_count(bits[part, None] ^ bits[None, lo:]).sum(-1, dtype=np.int64)
             ok = (c[part, None] != c[None, lo:]) & (apart * (den + num) <= (n[part, None] + n[None, lo:]) * (den - num))
             i, j = np.nonzero(np.triu(ok, 1))
-            if len(i):
-                yield pa.record_batch([pa.array(ids[lo + i]), pa.array(ids[lo + j])], ["a", "b"])
+            order = np.argsort(apart[i, j], kind="stable")
+            for x, y in zip((lo + i[order]).tolist(), (lo + j[order]).tolist(), strict=True):
+                if c[x] != c[y] and alike_sets(sets[x], sets[y], num, den):
+                    c[c == c[y]] = c[x]
+                    found.append((ids[x], ids[y]))
+        if found:
+            yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
 
     def go(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -114,26 +132,26 @@ def near_in_buckets(num: int, den: int):
             for at in range(0, rb.num_rows, 1000):
                 for row in zip(*(x.slice(at, 1000).to_pylist() for x in rb.columns), strict=True):
                     if held and row[0] != held[0][0]:
-                        yield from near(held)
+                        yield from joined(held)
                         held = []
                     held.append(row)
         if held:
-            yield from near(held)
+            yield from joined(held)
 
     return go
 
 
 def linked_components(
     members: DataFrame, verify: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame], threshold: tuple[int, int], name: str,
-    small: int = 0, maps: DataFrame | None = None,
+    small: int = 0, texts: DataFrame | None = None, sets_of: Callable[[list], list[np.ndarray]] | None = None,
 ) -> DataFrame:
     """Components (id, component) of the links that verify finds among ids that share a key of members(key, id).
 
     A key's members are not compared all with all: first each with the key's smallest and largest id. Where a key of four
     members or more (smaller ones have been compared whole) then still holds more than one component, its members are
-    compared across components: by maps(id, n, bits) of their sets if it has small members at most, else by prefix_pairs over
-    sets(ids) (id, s). Neither misses a pair that reaches the threshold, so the result is the same as if all pairs that share
-    a key had been compared.
+    compared across components: in one task over texts(id, text) if it has small members at most, else by prefix_pairs over
+    sets(ids) (id, s). Neither misses a link between components, so the result is the same as if all pairs that share a key
+    had been compared.
     """
     order = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     ends = members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
@@ -147,17 +165,16 @@ def linked_components(
     keys = staged(keys.where("lo < hi AND n > 3").select("key", "n"), f"{name}-keys")
     named = staged(named.join(keys, "key"), f"{name}-open")
     left = staged(named.where(F.col("n") > small).select("id", "c").distinct(), f"{name}-large")
-    pairs, prefixed = named.sparkSession.createDataFrame([], star.schema), []
-    if maps is not None:
-        rows = named.where(F.col("n") <= small).select("key", "id", "c").join(maps, "id").select("key", "id", "c", "n", "bits")
-        kind = star.schema["a"].dataType.simpleString()
-        pairs = rows.repartition("key").sortWithinPartitions("key").mapInArrow(near_in_buckets(*threshold), f"a {kind}, b {kind}")
+    found, prefixed = edges.limit(0), []
+    if texts is not None:
+        rows = named.where(F.col("n") <= small).select("key", "id", "c").join(texts, "id").select("key", "id", "c", "text")
+        found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(joined_in_buckets(*threshold, sets_of), "a long, b long")
     if not left.isEmpty():
         more, prefixed = prefix_pairs(sets(left.select("id")).join(left, "id").select("id", "c", "s"), *threshold)
-        pairs = pairs.union(more)
-    pairs = staged(pairs.distinct().join(star, ["a", "b"], "left_anti"), f"{name}-pairs")
-    found = staged(verify(pairs), f"{name}-edges")
-    unstage(star, keys, named, left, pairs, *prefixed)
+        prefixed.append(staged(more.join(star, ["a", "b"], "left_anti"), f"{name}-pairs"))
+        found = found.union(verify(prefixed[-1]))
+    found = staged(found.distinct(), f"{name}-edges")
+    unstage(star, keys, named, left, *prefixed)
     if not found.isEmpty():
         all_edges = staged(components(edges.union(found), f"{name}-cc"), f"{name}-components")
         unstage(comps)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import bitmaps, documents, linked_components, staged, unstage
+from eventloom.llm.common import alike_sets, documents, linked_components, staged, unstage
 from eventloom.llm.op5_minhash import hash_family
 from eventloom.llm.textops import mix, prefix_hash
 
@@ -20,7 +20,7 @@ SHINGLE, THRESHOLD = 10, (80, 100)
 BANDS, ROWS = 10, 4
 #: Characters handled at a time, and distinct lines whose band keys a task holds before it sends them on.
 PIECE, HELD = 1 << 18, 100_000
-#: Most members of a bucket whose bitmaps one task compares; larger ones are compared by prefix filtering.
+#: Most members of a bucket that one task compares; larger ones are compared by prefix filtering.
 SMALL = 2048
 
 
@@ -239,15 +239,6 @@ def wanted_lines(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["uid", "text"])
 
 
-def maps_of_lines(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, text -> id, n (size of its set), bits."""
-    for rb in batch_iter:
-        for at in range(0, rb.num_rows, 500):
-            part = rb.slice(at, 500)
-            sets = line_sets(part.column(1).to_pylist())
-            yield pa.record_batch([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x.tobytes() for x in bitmaps(sets)], pa.binary())], ["id", "n", "bits"])
-
-
 def sets_of_lines(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rb in batch_iter:
         for at in range(0, rb.num_rows, 500):
@@ -266,14 +257,7 @@ def alike(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for t in (*x, *y):
                 names.setdefault(t, len(names))
             sets = line_sets(list(names))
-            keep = []
-            for s, t in ((sets[names[i]], sets[names[j]]) for i, j in zip(x, y, strict=True)):
-                if THRESHOLD[1] * min(len(s), len(t)) < THRESHOLD[0] * max(len(s), len(t)):
-                    keep.append(False)
-                    continue
-                at_most = np.minimum(np.searchsorted(t, s), len(t) - 1)
-                both = int((t[at_most] == s).sum())
-                keep.append(THRESHOLD[1] * both >= THRESHOLD[0] * (len(s) + len(t) - both))
+            keep = [alike_sets(sets[names[i]], sets[names[j]], *THRESHOLD) for i, j in zip(x, y, strict=True)]
             found = part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
             if found.num_rows:
                 yield found
@@ -306,11 +290,12 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     members = staged(members.distinct(), "lines-members")
     asked = exact.join(members.select(F.col("id").alias("uid")).distinct(), "uid", "left_semi")
     asked = asked.select("at.doc_id", F.struct("at.line", "h", "g", "uid").alias("w")).groupBy("doc_id").agg(F.collect_list("w").alias("wanted"))
-    texts = docs.join(staged(asked, "lines-asked"), "doc_id").select("text", "wanted").mapInArrow(wanted_lines, "uid long, text string")
+    # Both sides grow with the documents, so they are shuffled at any size.
+    texts = docs.join(staged(asked, "lines-asked").hint("merge"), "doc_id").select("text", "wanted").mapInArrow(wanted_lines, "uid long, text string")
     texts = staged(texts.dropDuplicates(["uid"]), "lines-texts")
     sets = lambda ids: texts.join(ids.withColumnRenamed("id", "uid"), "uid", "left_semi").mapInArrow(sets_of_lines, "id long, s array<long>")
-    maps = texts.mapInArrow(maps_of_lines, "id long, n long, bits binary")
-    comps = linked_components(members, lambda pairs: verified(pairs, texts), sets, THRESHOLD, "lines", small=SMALL, maps=maps)
+    by_id = texts.withColumnRenamed("uid", "id")
+    comps = linked_components(members, lambda pairs: verified(pairs, texts), sets, THRESHOLD, "lines", small=SMALL, texts=by_id, sets_of=line_sets)
     found = staged(comps.withColumnRenamed("id", "uid").join(exact, "uid"), "lines-found")
     keeper = found.groupBy("component").agg(F.min("at").alias("keeper"))
     near = found.join(keeper, "component").where("n > 1 OR keeper <> at").select("h", "g", "keeper")
@@ -349,7 +334,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     gone = staged(repeated_lines(docs).groupBy("doc_id").agg(F.collect_set("line").alias("_gone")), "lines-gone")
     docs = docs.drop("n_removed_lines", "_gone")
-    out = docs.join(gone, "doc_id", "left").select(*[docs[c] for c in docs.columns], "_gone")
+    out = docs.join(gone.hint("merge"), "doc_id", "left").select(*[docs[c] for c in docs.columns], "_gone")
     return out.mapInArrow(cut_lines(out.columns), docs.withColumn("n_removed_lines", F.lit(0)).schema)
 
 

@@ -156,6 +156,40 @@ def test_op3_short_lines(spark):
     assert got == [texts[0], "été\n ", "homes\nb\nabcdefghik\nÉTÉ\n\n", "x" * 10, ""]
 
 
+@pytest.mark.parametrize("small", [0, 5, 2048])
+def test_op3_large_buckets_by_either_way(spark, monkeypatch, small):
+    """Lines of one stem with ever more of it changed: near ones are linked in chains, far ones share bands only."""
+    r = random.Random(8)
+    stem = [f"{r.choice('bcdfg')}{r.choice('aeiou')}{r.choice('lmnr')}{r.choice('aeiou')}" for _ in range(24)]
+    lines = []
+    for _ in range(120):
+        w = list(stem)
+        for _ in range(r.randint(0, 5)):
+            w[r.randrange(len(w))] = r.choice(["zuzu", "vivi", "kaka", "popo"])
+        lines.append(" ".join(w))
+    lines = sorted(set(lines))
+    r.shuffle(lines)
+    sets = [{x[i : i + 10] for i in range(len(x) - 9)} for x in lines]
+    root = joined(len(lines), [(i, j) for i in range(len(lines)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])])
+    monkeypatch.setattr(op3, "SMALL", small)
+    got = {x.doc_id for x in op3.repeated_lines(table(spark, lines)).collect()}
+    assert len(set(root)) > 5
+    assert got == {i for i in range(len(lines)) if root[i] != i}
+
+
+def test_op3_cyrillic_and_long_lines(spark):
+    a = "Свет зимнего утра падал на старый деревянный стол у окна комнаты"
+    b = a.replace("зимнего", "зимнега")
+    c = " ".join(f"слово{i}" for i in range(60_000))  # one line of more than PIECE characters
+    texts = [a, b, a[:20], c, c[:-3] + "000", "\n".join(f"line number {i} of many" for i in range(30_000)) + "\n" + a]
+    got = {r.doc_id: r for r in op3.dedup_lines(table(spark, texts)).collect()}
+    same = {x[i : i + 10] for x in (a,) for i in range(len(a) - 9)}, {b[i : i + 10] for i in range(len(b) - 9)}
+    assert (got[1].text == "") == (100 * len(same[0] & same[1]) >= 80 * len(same[0] | same[1]))
+    assert [got[i].text for i in (0, 2, 3)] == [texts[i] for i in (0, 2, 3)]
+    assert got[4].text == ""
+    assert not got[5].text.endswith(a)
+
+
 def test_op4_counts(spark):
     t = "a b c d e f g h x a b c d e f g h\n#tag one\n#tag one\n \nlast"
     r = op4.quality(table(spark, [t])).first()
