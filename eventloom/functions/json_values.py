@@ -38,6 +38,19 @@ def normal_json(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
+@F.pandas_udf(T.StringType())
+def sorted_json(texts: pd.Series) -> pd.Series:
+    """The same JSON with its keys sorted and no white space. Null for what isn't JSON."""
+
+    def one(t: str | None) -> str | None:
+        try:
+            return None if t is None else json.dumps(json.loads(t), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        except (ValueError, RecursionError):
+            return None
+
+    return texts.map(one)
+
+
 def trimmed(df: DataFrame, attributes: str = "attributes", limit: int = EVENT_BYTES) -> DataFrame:
     """VAL-6: where the map of attributes is larger than the limit as JSON, its long values are cut and named in trimmed; what is still too large goes."""
     size = lambda m: F.octet_length(F.to_json(m))

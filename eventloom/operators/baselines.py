@@ -2,27 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventloom.operators.projections import producer
-from eventloom.schema import present
+from eventloom.schema import flat, present
 
 SAMPLES, LEAST = 200, 5
 
 
 def observations(ev: DataFrame) -> DataFrame:
-    """AGG-10: one row for each event with a sample: entity, metric (with its partition), base, v."""
-    is_metric = F.col("event").startswith("metric.")
+    """AGG-10: one row for each event with a sample: entity, metric (with its partition, from the tag or the key), base, v.
+
+    A metric.summary event's mean has come in as its value. The entity is that of the entities map, by role, else the
+    asset, else the run.
+    """
+    given = lambda r: present(F.try_element_at("entities", F.lit(r)))
+    is_metric = F.col("event").startswith("metric.") & F.col("metric").isNotNull()
     is_run = F.col("event").isin("pipeline.run", "dlt.pipeline.run") & (F.coalesce("duration_ms", F.lit(0.0)) != 0)
     base = F.when(is_metric, F.col("metric")).when(is_run, F.lit("run.duration_ms")).when(F.coalesce("rows_written", "row_count").isNotNull(), F.lit("rows"))
     v = F.when(is_metric, F.col("value")).when(is_run, F.col("duration_ms")).otherwise(F.coalesce("rows_written", "row_count"))
-    entity = F.when(is_run, F.concat(F.lit("job://"), producer(), F.lit("/"), F.coalesce(present("job_id"), present("pipeline")))).otherwise(
-        F.coalesce(F.concat(F.lit("asset://"), present("asset_key")), F.concat(F.lit("run://"), producer(), F.lit("/"), present("run_id")), F.concat(F.lit("service://"), present("service")))
-    )
+    of_event = F.coalesce(
+        *[given(r) for r in ("asset", "table", "model", "run", "service")], F.concat(F.lit("asset://"), present("asset_key")),
+        F.concat(F.lit("run://"), producer(), F.lit("/"), present("run_id")), F.concat(F.lit("service://"), present("service")),
+    )
+    job = F.concat(F.lit("job://"), producer(), F.lit("/"), F.coalesce(present("job_id"), present("pipeline")))
+    entity = F.when(is_run & ~is_metric, F.coalesce(job, of_event)).otherwise(of_event)
     out = ev.withColumns({"entity": entity, "base": base, "v": v}).where("base IS NOT NULL AND v IS NOT NULL AND entity IS NOT NULL")
-    return out.withColumn("metric", F.concat_ws("|", "base", present("partition_key")))
+    part = F.coalesce(present(F.try_element_at("tags", F.lit("partition"))), present("partition_key"))
+    return out.withColumn("metric", F.concat_ws("|", "base", part))
 
 
 def order(partition: tuple[str, ...] = ("entity", "metric")):
@@ -51,12 +60,38 @@ def baselines(samples: DataFrame, n: int = SAMPLES) -> DataFrame:
     )
 
 
-def summaries(ev: DataFrame, every: str = "60 seconds") -> DataFrame:
-    """AGG-12: metric samples by time slot and series: count, sum, min, max, mean, nearest-rank percentiles (exact)."""
-    rows = ev.where(F.col("event").startswith("metric.")).where("value IS NOT NULL")
+def series(ev: DataFrame) -> list[Column]:
+    """AGG-12: what tells metric series apart: the metric, its service, dimensions, entities, correlation and tags, maps as ordered JSON."""
+    maps = [F.to_json(F.array_sort(F.map_entries(c))).alias(c) for c in ("entities", "tags")]
+    dimensions = F.get_json_object("attributes", "$.dimensions").alias("dimensions")
+    return [F.col("metric"), F.col("service"), F.col("run_id"), F.col("asset_key"), dimensions, *maps]
+
+
+def summarised(groups: GroupedData) -> DataFrame:
+    """Groups by a window w -> count, sum, min, max, mean and nearest-rank percentiles (exact) of value.
+
+    A minute's values of one series are held at once, for the percentiles are exact.
+    """
     values = F.array_sort(F.collect_list("value"))
     rank = lambda p: F.element_at(values, F.greatest(F.lit(1), F.ceil(F.lit(p) * F.size(values)).cast("int")))
-    out = rows.groupBy(F.window("observed_at", every).alias("w"), "metric", "service").agg(
-        F.count("*").alias("count"), F.round(F.sum("value"), 6).alias("sum"), F.min("value").alias("min"), F.max("value").alias("max"), F.round(F.avg("value"), 6).alias("mean"), rank(0.5).alias("p50"), rank(0.95).alias("p95"), rank(0.99).alias("p99")
-    )
+    out = groups.agg(
+        F.count("*").alias("count"), F.round(F.sum("value"), 6).alias("sum"), F.min("value").alias("min"), F.max("value").alias("max"),
+        F.round(F.avg("value"), 6).alias("mean"), rank(0.5).alias("p50"), rank(0.95).alias("p95"), rank(0.99).alias("p99"),
+    )
     return out.withColumn("slot", F.col("w.start")).drop("w")
+
+
+def summaries(ev: DataFrame, every: str = "60 seconds") -> DataFrame:
+    """AGG-12: metric samples by time slot and series."""
+    rows = ev.where(F.col("event").startswith("metric.")).where("value IS NOT NULL")
+    return summarised(rows.groupBy(F.window("observed_at", every).alias("w"), *series(rows)))
+
+
+def summary_events(summaries: DataFrame) -> DataFrame:
+    """AGG-12: summaries as metric.summary events, one for each series and slot."""
+    body = F.to_json(F.struct("metric", "count", "sum", "min", "max", "mean", "p50", "p95", "p99", "dimensions"))
+    key = F.concat_ws("|", "metric", "service", "run_id", "asset_key", "dimensions", "entities", "tags", F.col("slot").cast("string"))
+    return flat(summaries.select(
+        F.substring(F.sha2(key, 256), 1, 32).alias("event_id"), F.lit("metric.summary").alias("event"), F.lit("metric").alias("category"), F.lit("unknown").alias("outcome"),
+        F.lit("info").alias("severity"), F.col("slot").cast("timestamp_ntz").alias("observed_at"), "service", "run_id", "asset_key", "metric", F.col("mean").alias("value"), body.alias("attributes"),
+    ))

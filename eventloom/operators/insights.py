@@ -9,12 +9,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventloom.operators.baselines import LEAST, observations, with_baseline
-from eventloom.operators.projections import MATERIALIZE, TERMINAL, producer, verb
+from eventloom.operators.projections import MATERIALIZE, PROVENANCE, TERMINAL, producer, verb
 from eventloom.schema import present, seconds_between
 
 QUALITY = ("quality.check", "quality.validate", "dbt.test.execute")
 DURATION_TIMES, ROWS_TIMES, GAP_SECONDS = 2, 3, 30 * 60
-SHAPE = ("rule", "entity", "severity", "kind", "summary", "event", "producer", "event_id", "observed_at")
 
 
 def run_entity() -> Column:
@@ -22,62 +21,74 @@ def run_entity() -> Column:
 
 
 def signal_entity() -> Column:
-    return F.coalesce(F.concat(F.lit("asset://"), present("asset_key")), F.concat(F.lit("table://"), present("table_name")), run_entity())
+    given = lambda r: present(F.try_element_at("entities", F.lit(r)))
+    return F.coalesce(
+        given("asset"), F.concat(F.lit("asset://"), present("asset_key")), given("model"), given("table"), F.concat(F.lit("table://"), present("table_name")), run_entity(),
+    )
 
 
-def finding(df: DataFrame, rule: str, entity: Column, severity: str, kind: Column, summary: Column) -> DataFrame:
-    return df.select(F.lit(rule).alias("rule"), entity.alias("entity"), F.lit(severity).alias("severity"), kind.alias("kind"), summary.alias("summary"), "event", producer().alias("producer"), "event_id", "observed_at")
+def finding(rule: str, hit: Column, entity: Column, severity: str, kind: Column, summary: Column) -> Column:
+    """What a rule says of an event; null where it doesn't hit."""
+    said = F.struct(
+        F.lit(rule).alias("rule"), entity.alias("entity"), F.lit(severity).alias("severity"), kind.alias("kind"), summary.alias("summary"),
+        "event", producer().alias("producer"), "event_id", "observed_at",
+    )
+    return F.when(hit, said)
 
 
-def run_failure(ev: DataFrame) -> DataFrame:
+def run_failure() -> Column:
     """RULE-1."""
-    bad = ev.where(F.col("event").isin(*TERMINAL) & (F.col("outcome") == "failure"))
+    hit = F.col("event").isin(*TERMINAL) & (F.col("outcome") == "failure")
     kind = F.when(present("retry_of").isNotNull(), "recurring_failure").otherwise("failure")
-    return finding(bad, "run-failure", run_entity(), "critical", kind, F.coalesce(present("error_message"), F.concat(F.col("event"), F.lit(" failed"))))
+    return finding("run-failure", hit, run_entity(), "critical", kind, F.coalesce(present("error_message"), F.concat(F.col("event"), F.lit(" failed"))))
 
 
-def quality_failure(ev: DataFrame) -> DataFrame:
+def quality_failure() -> Column:
     """RULE-2."""
-    bad = ev.where(F.col("event").isin(*QUALITY) & (F.col("outcome") == "failure"))
-    return finding(bad, "quality-failure", signal_entity(), "warning", F.lit("quality"), F.coalesce(present("error_message"), F.lit("quality check failed")))
+    hit = F.col("event").isin(*QUALITY) & (F.col("outcome") == "failure")
+    return finding("quality-failure", hit, signal_entity(), "warning", F.lit("quality"), F.coalesce(present("error_message"), F.lit("quality check failed")))
 
 
-def judged(ev: DataFrame) -> DataFrame:
-    return with_baseline(observations(ev))
+def judged(ev: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """Events with a sample, with what came before it in its series."""
+    return with_baseline(of_entities(observations(ev), F.col("entity"), only))
 
 
-def duration_regression(ev: DataFrame) -> DataFrame:
+def duration_regression() -> Column:
     """RULE-3: more than twice the prior median, from five samples on."""
-    hit = judged(ev).where(F.col("base").endswith("duration_ms") & (F.col("prior_n") >= LEAST) & (F.col("prior_median") != 0) & (F.col("v") > DURATION_TIMES * F.col("prior_median")))
-    return finding(hit, "duration-regression", F.col("entity"), "warning", F.lit("regression"), F.concat(F.lit("slow: "), F.col("metric")))
+    hit = F.col("base").endswith("duration_ms") & (F.col("prior_n") >= LEAST) & (F.col("prior_median") != 0) & (F.col("v") > DURATION_TIMES * F.col("prior_median"))
+    return finding("duration-regression", hit, F.col("entity"), "warning", F.lit("regression"), F.concat(F.lit("slow: "), F.col("metric")))
 
 
-def volume_spike(ev: DataFrame) -> DataFrame:
+def volume_spike() -> Column:
     """RULE-4: more than three times the prior median."""
-    hit = judged(ev).where((F.col("base") == "rows") & (F.col("prior_n") >= LEAST) & (F.col("prior_median") > 0) & (F.col("v") > ROWS_TIMES * F.col("prior_median")))
-    return finding(hit, "volume-spike", F.col("entity"), "warning", F.lit("anomaly"), F.concat(F.lit("many: "), F.col("metric")))
+    hit = (F.col("base") == "rows") & (F.col("prior_n") >= LEAST) & (F.col("prior_median") > 0) & (F.col("v") > ROWS_TIMES * F.col("prior_median"))
+    return finding("volume-spike", hit, F.col("entity"), "warning", F.lit("anomaly"), F.concat(F.lit("many: "), F.col("metric")))
 
 
-def freshness(ev: DataFrame) -> DataFrame:
+def freshness(ev: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """JOIN-3: adds the newest successful materialisation of the asset strictly before each event."""
     done = (F.col("outcome") == "success") & verb().isin(*MATERIALIZE)
     w = W.partitionBy("asset_key").orderBy("observed_at", "event_id").rowsBetween(W.unboundedPreceding, -1)
-    return ev.where(present("asset_key").isNotNull()).withColumn("materialized_before", F.max(F.when(done, F.col("observed_at"))).over(w))
+    rows = of_entities(ev.where(present("asset_key").isNotNull()), F.concat(F.lit("asset://"), "asset_key"), only)
+    return rows.withColumn("materialized_before", F.max(F.when(done, F.col("observed_at"))).over(w))
 
 
-def freshness_breach(ev: DataFrame) -> DataFrame:
+def freshness_breach() -> Column:
     """RULE-5."""
-    hit = freshness(ev).where(F.col("sla_seconds").isNotNull() & (seconds_between("materialized_before", "observed_at") > F.col("sla_seconds")))
-    return finding(hit, "freshness-breach", F.concat(F.lit("asset://"), F.col("asset_key")), "warning", F.lit("freshness"), F.lit("stale before this event"))
-
-
-#: UDF-4: rule id -> (version, function of events).
-RULES: dict[str, tuple[int, Callable[[DataFrame], DataFrame]]] = {
-    "run-failure": (1, run_failure),
-    "quality-failure": (1, quality_failure),
-    "duration-regression": (1, duration_regression),
-    "volume-spike": (1, volume_spike),
-    "freshness-breach": (1, freshness_breach),
+    hit = F.col("sla_seconds").isNotNull() & (seconds_between("materialized_before", "observed_at") > F.col("sla_seconds"))
+    return finding("freshness-breach", hit, F.concat(F.lit("asset://"), F.col("asset_key")), "warning", F.lit("freshness"), F.lit("stale before this event"))
+
+
+#: What rules look at: name -> function of events.
+VIEWS: dict[str, Callable[[DataFrame, DataFrame | None], DataFrame]] = {"events": lambda ev, only: ev, "samples": judged, "assets": freshness}
+#: UDF-4: rule id -> (version, view, the finding of a row of that view).
+RULES: dict[str, tuple[int, str, Callable[[], Column]]] = {
+    "run-failure": (1, "events", run_failure),
+    "quality-failure": (1, "events", quality_failure),
+    "duration-regression": (1, "samples", duration_regression),
+    "volume-spike": (1, "samples", volume_spike),
+    "freshness-breach": (1, "assets", freshness_breach),
 }
 
 
@@ -86,12 +97,31 @@ def dedupe_key() -> Column:
     return F.substring(F.sha2(F.to_json(F.array("rule", F.coalesce("entity", F.lit("")), "event", "producer")), 256), 1, 32)
 
 
-def findings(ev: DataFrame, rules=None) -> DataFrame:
+def of_entities(rows: DataFrame, entity: Column, only: DataFrame | None) -> DataFrame:
+    return rows if only is None else rows.withColumn("_entity", entity).join(only.withColumnRenamed("entity", "_entity"), "_entity", "left_semi").drop("_entity")
+
+
+def findings(ev: DataFrame, rules=None, only: DataFrame | None = None) -> DataFrame:
+    """What the rules say of all events: each view is gone through once, however many rules look at it.
+
+    only(entity) keeps to findings of those entities.
+    """
     rules = RULES if rules is None else rules
     out = None
-    for _, rule in rules.values():
-        out = rule(ev) if out is None else out.union(rule(ev))
-    return out.withColumn("dedupe_key", dedupe_key())
+    for name, view in VIEWS.items():
+        said = [rule() for _, at, rule in rules.values() if at == name]
+        if said:
+            rows = view(ev, only).select(F.explode(F.array_compact(F.array(*said))).alias("f")).select("f.*")
+            out = rows if out is None else out.union(rows)
+    out = out.withColumn("dedupe_key", dedupe_key())
+    return of_entities(out, F.col("entity"), only)
+
+
+def entities_judged(ev: DataFrame) -> DataFrame:
+    """Entities (entity) that findings of these events, or of those after them in a series, may have."""
+    asset = F.concat(F.lit("asset://"), present("asset_key"))
+    each = ev.select(F.explode(F.array_compact(F.array(run_entity(), signal_entity(), asset))).alias("entity"))
+    return each.union(observations(ev).select("entity"))
 
 
 def resolvers(ev: DataFrame) -> DataFrame:
@@ -102,31 +132,65 @@ def resolvers(ev: DataFrame) -> DataFrame:
     return runs.union(checks)
 
 
-def with_resolver(found: DataFrame, ev: DataFrame) -> DataFrame:
-    """JOIN-5, WIN-4: adds the first resolver of the same rule and entity at or after each finding's instant."""
-    both = found.withColumn("res", F.lit(False)).unionByName(resolvers(ev).withColumn("res", F.lit(True)), allowMissingColumns=True)
-    w = W.partitionBy("rule", "entity").orderBy("observed_at").rangeBetween(W.currentRow, W.unboundedFollowing)
+def with_resolver(found: DataFrame, ev: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """JOIN-5, WIN-4: adds the first resolver of the same rule and entity at or after each finding's instant.
+
+    Read from the newest on, all that is not before a row's instant is a growing frame, so the minimum is carried along.
+    """
+    both = found.withColumn("res", F.lit(False)).unionByName(of_entities(resolvers(ev), F.col("entity"), only).withColumn("res", F.lit(True)), allowMissingColumns=True)
+    w = W.partitionBy("rule", "entity").orderBy(F.desc("observed_at")).rangeBetween(W.unboundedPreceding, W.currentRow)
     next_one = F.min(F.when(F.col("res"), F.struct("observed_at", "event_id"))).over(w)
     out = both.withColumn("r", next_one).where("NOT res").drop("res")
     return out.withColumns({"resolved_at": F.col("r.observed_at"), "resolved_by": F.col("r.event_id")}).drop("r")
 
 
-def episodes(found: DataFrame, ev: DataFrame) -> DataFrame:
-    """RULE-7: findings of one key with the same next resolver are one insight."""
-    p = F.struct("observed_at", "event_id")
-    rows = with_resolver(found, ev).withColumn("p", p)
+def with_evidence(rows: DataFrame, key: list[str], k: int = PROVENANCE) -> DataFrame:
+    """TOP-1: adds evidence, the event's id where it is among its key's k earliest, and p, its position."""
+    w = W.partitionBy(*key).orderBy("observed_at", "event_id")
+    return rows.withColumns({"p": F.struct("observed_at", "event_id"), "evidence": F.when(F.row_number().over(w) <= k, F.struct("observed_at", "event_id"))})
+
+
+def evidence_ids() -> Column:
+    return F.transform(F.array_sort(F.collect_list("evidence")), lambda x: x["event_id"])
+
+
+def episodes(found: DataFrame, ev: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """RULE-7: findings of one key with the same next resolver are one insight, with its earliest events as evidence."""
+    rows = with_evidence(with_resolver(found, ev, only), ["dedupe_key", "resolved_by"])
     out = rows.groupBy("dedupe_key", "resolved_by").agg(
-        F.first("rule").alias("rule"), F.first("entity").alias("entity"), F.first("resolved_at").alias("resolved_at"), F.min_by("severity", "p").alias("severity"), F.min_by("kind", "p").alias("kind"), F.min_by("summary", "p").alias("summary"),
-        F.min_by("event_id", "p").alias("first_event"), F.min("observed_at").alias("observed_at"), F.max("observed_at").alias("last_observed_at"), F.count("*").alias("findings"),
+        F.first("rule").alias("rule"), F.first("entity").alias("entity"), F.first("resolved_at").alias("resolved_at"),
+        F.min_by("severity", "p").alias("severity"), F.min_by("kind", "p").alias("kind"), F.min_by("summary", "p").alias("summary"),
+        F.min_by("event_id", "p").alias("first_event"), F.min("observed_at").alias("observed_at"), F.max("observed_at").alias("last_observed_at"),
+        F.count("*").alias("findings"), evidence_ids().alias("evidence"),
     )
     before = W.partitionBy("dedupe_key").orderBy(F.col("resolved_at").asc_nulls_last(), "resolved_by")
-    return out.withColumns({"state": F.when(F.col("resolved_by").isNull(), "open").otherwise("resolved"), "open_from": F.lag("resolved_at").over(before), "insight_id": F.sha2(F.concat_ws("|", "dedupe_key", "first_event"), 256)})
+    return out.withColumns({
+        "state": F.when(F.col("resolved_by").isNull(), "open").otherwise("resolved"), "open_from": F.lag("resolved_at").over(before),
+        "insight_id": F.sha2(F.concat_ws("|", "dedupe_key", "first_event"), 256),
+    })
 
 
 def incidents(found: DataFrame, gap: int = GAP_SECONDS) -> DataFrame:
-    """RULE-8, WIN-2: critical findings of one entity, at most gap seconds apart, are one incident; one without an entity is its own."""
-    rows = found.where("severity IN ('error', 'critical')").withColumn("who", F.coalesce("entity", F.col("event_id")))
+    """RULE-8, WIN-2: error and critical findings of one entity, at most gap seconds apart, are one incident from the first critical on.
+
+    Errors alone open none. Severity is the highest by rank. A finding without an entity is its own incident.
+    """
+    rank = F.when(F.col("severity") == "critical", 60).otherwise(50)
+    rows = found.where("severity IN ('error', 'critical')").withColumns({"who": F.coalesce("entity", F.col("event_id")), "rank": rank})
     w = W.partitionBy("who").orderBy("observed_at", "event_id")
     new = F.coalesce((seconds_between(F.lag("observed_at").over(w), "observed_at") > gap).cast("int"), F.lit(1))
-    rows = rows.withColumn("new", new).withColumn("island", F.sum("new").over(w)).withColumn("p", F.struct("observed_at", "event_id"))
-    return rows.groupBy("who", "island").agg(F.first("entity").alias("entity"), F.min_by("summary", "p").alias("title"), F.min("observed_at").alias("started_at"), F.max("observed_at").alias("last_at"), F.max("severity").alias("severity"), F.count("*").alias("members"), F.min_by("event_id", "p").alias("first_event")).drop("island")
+    rows = rows.withColumn("new", new).withColumn("island", F.sum("new").over(w))
+    opened = F.max("rank").over(W.partitionBy("who", "island").orderBy("observed_at", "event_id"))
+    rows = with_evidence(rows.withColumn("opened", opened).where("opened = 60"), ["who", "island"])
+    out = rows.groupBy("who", "island").agg(
+        F.first("entity").alias("entity"), F.min_by("summary", "p").alias("title"), F.min("observed_at").alias("started_at"), F.max("observed_at").alias("last_at"),
+        F.max("rank").alias("rank"), F.count("*").alias("members"), F.min_by("event_id", "p").alias("first_event"), evidence_ids().alias("member_events"),
+    )
+    return out.withColumn("severity", F.when(F.col("rank") == 60, "critical").otherwise("error")).drop("island", "rank")
+
+
+def incident_insights(incidents: DataFrame, episodes: DataFrame) -> DataFrame:
+    """JOIN-10: the insights behind each incident: those with a member's event among their evidence."""
+    members = incidents.select(F.col("first_event").alias("incident"), F.explode("member_events").alias("event_id"))
+    behind = episodes.select("insight_id", "rule", "state", "observed_at", F.explode("evidence").alias("event_id"))
+    return members.join(behind, "event_id").select("incident", "insight_id", "rule", "state", "observed_at").distinct()

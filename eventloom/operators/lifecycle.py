@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,23 +18,60 @@ MOVES = {
 COOLDOWN_SECONDS, OPEN = 300, ("open", "acknowledged")
 
 
-def transitions(requests: DataFrame, kind: str = "insight", first: str = "open") -> DataFrame:
+def folded(rows: DataFrame, key: str, added: str, kind: str, fold: Callable[[], Callable[[dict], object]]) -> DataFrame:
+    """rows sorted within each key's partition -> with a column that fold gives them one after the other.
+
+    fold() starts anew at each key. A key's rows are streamed in order and only its state is held.
+    """
+    names = rows.columns
+
+    def go(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, step, begun = None, None, False
+        for rb in batch_iter:
+            out = []
+            for row in rb.to_pylist():
+                if not begun or row[key] != now:
+                    now, step, begun = row[key], fold(), True
+                out.append(step(row))
+            yield pa.record_batch([*rb.columns, pa.array(out, kind_of)], [*names, added])
+
+    kind_of = {"boolean": pa.bool_(), "string": pa.string()}[kind]
+    return rows.mapInArrow(go, T.StructType([*rows.schema, T.StructField(added, T.StringType() if kind == "string" else T.BooleanType())]))
+
+
+def transitions(requests: DataFrame, kind: str = "insight", first: str = "open", taken: DataFrame | None = None) -> DataFrame:
     """RULE-9: requests(target, at, seq, to) in order per target -> each with from and status (moved, same, rejected).
 
-    A target's requests are operators' clicks, and folded in one array.
+    A target's requests are streamed in order. taken(target) names those whose key another open row has: they can't be
+    opened again.
     """
-    moves = F.create_map(*[x for a, to in MOVES[kind].items() for x in (F.lit(a), F.array(*map(F.lit, to)) if to else F.array().cast("array<string>"))])
-    ordered = requests.groupBy("target").agg(F.array_sort(F.collect_list(F.struct("at", "seq", "to"))).alias("r"))
-    shape = "array<struct<at:timestamp_ntz,seq:bigint,`from`:string,`to`:string,status:string>>"
+    moves = MOVES[kind]
+    ordered = requests.select("target", F.col("at").cast("timestamp_ntz").alias("at"), F.col("seq").cast("bigint").alias("seq"), "to")
+    closed = F.lit(False)
+    if taken is not None:
+        ordered = ordered.join(taken.select("target", F.lit(True).alias("taken")).distinct(), "target", "left")
+        closed = F.coalesce("taken", F.lit(False))
+    ordered = ordered.withColumn("taken", closed).repartition("target").sortWithinPartitions("target", "at", "seq", "to")
+
+    def fold():
+        state = first
+
+        def step(row: dict) -> str:
+            nonlocal state
+            ok = row["to"] in moves.get(state, ()) and not (row["to"] == "open" and row["taken"])
+            said = f"{state}|{'same' if row['to'] == state else 'moved' if ok else 'rejected'}"
+            state = row["to"] if ok and row["to"] != state else state
+            return said
 
-    def step(acc: Column, r: Column) -> Column:
-        ok = F.array_contains(F.element_at(moves, acc["state"]), r["to"])
-        status = F.when(r["to"] == acc["state"], "same").when(ok, "moved").otherwise("rejected")
-        row = F.struct(r["at"].cast("timestamp_ntz").alias("at"), r["seq"].cast("bigint").alias("seq"), acc["state"].alias("from"), r["to"].alias("to"), status.alias("status"))
-        return F.struct(F.when(ok, r["to"]).otherwise(acc["state"]).alias("state"), F.concat(acc["rows"], F.array(row)).alias("rows"))
+        return step
 
-    start = F.struct(F.lit(first).alias("state"), F.array().cast(shape).alias("rows"))
-    return ordered.select("target", F.explode(F.aggregate("r", start, step, lambda a: a["rows"])).alias("x")).select("target", "x.*")
+    out = folded(ordered, "target", "said", "string", fold)
+    return out.select("target", "at", "seq", F.split_part("said", F.lit("|"), F.lit(1)).alias("from"), "to", F.split_part("said", F.lit("|"), F.lit(2)).alias("status"))
+
+
+def resolved_at(moved: DataFrame) -> DataFrame:
+    """RULE-9: target -> when it was resolved, null if it has left that state since."""
+    return moved.where("status = 'moved'").groupBy("target").agg(F.max_by(F.when(F.col("to") == "resolved", F.col("at")), F.struct("at", "seq")).alias("resolved_at"))
 
 
 def overlay(derived: DataFrame, journal: DataFrame, key: str) -> DataFrame:
@@ -44,20 +82,29 @@ def overlay(derived: DataFrame, journal: DataFrame, key: str) -> DataFrame:
 
 
 def alerts(rows: DataFrame, cooldown: int = COOLDOWN_SECONDS) -> DataFrame:
-    """RULE-11: rows(key, at) -> each with sent: the first of a key, and each at least cooldown seconds after the last that was sent."""
-    ordered = rows.where("at IS NOT NULL").select("key", F.col("at").cast("timestamp_ntz").alias("at")).repartition("key").sortWithinPartitions("key", "at")
+    """RULE-11: rows(key, at) -> each with sent: the first of a key, and each at least cooldown seconds after the last that was sent.
 
-    def send(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, last, first = None, 0, True
-        for rb in batch_iter:
-            sent = []
-            for key, at in zip(rb.column(0).to_pylist(), rb.column(1).cast(pa.int64()).to_pylist(), strict=True):
-                sent.append(first or key != now or at - last >= cooldown * 1_000_000)
-                if sent[-1]:
-                    now, last, first = key, at, False
-            yield pa.record_batch([rb.column(0), rb.column(1), pa.array(sent, pa.bool_())], ["key", "at", "sent"])
-
-    return ordered.mapInArrow(send, T.StructType([*ordered.schema, T.StructField("sent", T.BooleanType())]))
+    After a gap of the cooldown or more the next one is sent whatever came before, so a busy key's rows are cut there and the
+    pieces dealt over the cluster; each piece is streamed in order.
+    """
+    w = W.partitionBy("key").orderBy("at")
+    rows = rows.where("at IS NOT NULL").select("key", F.col("at").cast("timestamp_ntz").alias("at"))
+    far = F.coalesce(F.timestamp_diff("MICROSECOND", F.lag("at").over(w), F.col("at")) >= cooldown * 1_000_000, F.lit(True))
+    rows = rows.withColumn("far", far.cast("int")).withColumn("piece", F.sum("far").over(w))
+    rows = rows.select(F.struct("key", "piece").alias("piece"), "key", "at").repartition("piece").sortWithinPartitions("piece", "at")
+
+    def fold():
+        last = None
+
+        def step(row: dict) -> bool:
+            nonlocal last
+            sent = last is None or (row["at"] - last).total_seconds() >= cooldown
+            last = row["at"] if sent else last
+            return sent
+
+        return step
+
+    return folded(rows, "piece", "sent", "boolean", fold).drop("piece")
 
 
 def collapse_open(rows: DataFrame) -> DataFrame:

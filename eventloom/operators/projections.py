@@ -90,13 +90,18 @@ def with_entities(ev: DataFrame) -> DataFrame:
     return ev.withColumn("_e", F.explode(both)).withColumns({"role": F.col("_e.key"), "entity_id": F.col("_e.value")}).drop("_e")
 
 
+def entities_of(rows: DataFrame) -> DataFrame:
+    kind = F.when(F.col("role").isin(*KINDS), F.col("role")).otherwise(F.lit("custom"))
+    out = rows.groupBy("entity_id").agg(
+        F.min_by(kind, F.struct("observed_at", "event_id", "role")).alias("kind"), F.min("observed_at").alias("first_seen"),
+        F.max("observed_at").alias("last_seen"), F.count("*").alias("sightings"),
+    )
+    return out.withColumn("display_name", F.substring_index("entity_id", "://", -1))
+
+
 def entities(ev: DataFrame) -> DataFrame:
     """AGG-5: one row for each entity: kind of the first sight, name, first and last seen."""
-    rows = with_entities(ev)
-    kind = F.when(F.col("role").isin(*KINDS), F.col("role")).otherwise(F.lit("custom"))
-    return rows.groupBy("entity_id").agg(F.min_by(kind, F.struct("observed_at", "event_id", "role")).alias("kind"), F.min("observed_at").alias("first_seen"), F.max("observed_at").alias("last_seen"), F.count("*").alias("sightings")).withColumn(
-        "display_name", F.substring_index("entity_id", "://", -1)
-    )
+    return entities_of(with_entities(ev))
 
 
 def entity_sources(ev: DataFrame) -> DataFrame:
@@ -122,28 +127,35 @@ def branches(ev: DataFrame) -> DataFrame:
 
 
 def edge_type() -> Column:
-    c = F.lit(None).cast("string")
-    v = verb()
-    out = None
+    out = F.lit("part_of")
     for name, verbs in VERB_EDGE.items():
-        out = F.when(v.isin(*verbs), name) if out is None else out.when(v.isin(*verbs), name)
-    return out.otherwise("part_of") if out is not None else c
+        out = F.when(verb().isin(*verbs), name).otherwise(out)
+    return out
 
 
 def edges(ev: DataFrame) -> DataFrame:
     """AGG-7: one row for each event and edge: src, dst, type, confidence, method."""
-    derived, _ = entity_map()
-    e = ev.withColumn("_m", derived)
-    get = lambda r: F.element_at("_m", F.lit(r))
-    edge = lambda a, b, t: F.struct(a.alias("src"), b.alias("dst"), t.alias("type"))
-    all_edges = F.array(edge(get("service"), get("run"), F.lit("executes")), *[edge(get("run"), get(r), edge_type()) for r in ("asset", "table", "snapshot")], edge(get("run"), get("branch"), F.lit("writes_to")))
+    derived, other = entity_map()
+    e = ev.withColumn("_m", F.map_concat(derived, other))
+    get = lambda r: F.try_element_at("_m", F.lit(r))
+    edge = lambda a, b, t: F.struct(get(a).alias("src"), get(b).alias("dst"), t.alias("type"))
+    by_verb = [edge("run", r, edge_type()) for r in ("asset", "table", "iceberg", "model", "snapshot")]
+    others = [("service", "run", "executes"), ("run", "branch", "writes_to"), ("source", "asset", "produces"), ("run", "deployment", "deployed_as")]
+    all_edges = F.array(*[edge(a, b, F.lit(t)) for a, b, t in others], *by_verb)
     rows = e.withColumn("_x", F.explode(F.filter(all_edges, lambda x: x["src"].isNotNull() & x["dst"].isNotNull())))
     return rows.select("event_id", "observed_at", "_x.*", F.lit(1.0).alias("confidence"), F.lit("explicit").alias("method"))
 
 
+def relationships_of(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("src", "dst", "type").agg(
+        F.max("confidence").alias("confidence"), F.max("method").alias("method"), F.count("*").alias("events"),
+        F.min("observed_at").alias("first_seen"), F.max("observed_at").alias("last_seen"),
+    )
+
+
 def relationships(ev: DataFrame) -> DataFrame:
     """AGG-8: edges folded by (src, dst, type). First and last seen are the events' times, not the wall clock."""
-    return edges(ev).groupBy("src", "dst", "type").agg(F.max("confidence").alias("confidence"), F.max("method").alias("method"), F.count("*").alias("events"), F.min("observed_at").alias("first_seen"), F.max("observed_at").alias("last_seen"))
+    return relationships_of(edges(ev))
 
 
 def edge_sources(ev: DataFrame) -> DataFrame:
@@ -163,6 +175,10 @@ def assets(ev: DataFrame) -> DataFrame:
 
 
 def impact(ev: DataFrame) -> DataFrame:
-    """AGG-16: for each run and edge type its targets, distinct, and the number of events behind them."""
+    """AGG-16: for each run and edge type its targets, distinct, their number of events, and the earliest of those as evidence."""
     rows = edges(ev).where("src LIKE 'run://%'")
-    return rows.groupBy("src", "type").agg(F.array_sort(F.collect_set("dst")).alias("targets"), F.count_distinct("event_id").alias("evidence"))
+    w = W.partitionBy("src", "type").orderBy("observed_at", "event_id")
+    few = rows.select("src", "type", "event_id", "observed_at").distinct().withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= PROVENANCE)
+    ids = few.groupBy("src", "type").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "event_id"))), lambda x: x["event_id"]).alias("evidence_ids"))
+    out = rows.groupBy("src", "type").agg(F.array_sort(F.collect_set("dst")).alias("targets"), F.count_distinct("event_id").alias("evidence"))
+    return out.join(ids, ["src", "type"])

@@ -8,13 +8,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from eventloom.operators import insights
 from eventloom.operators import projections as p
 from eventloom.schema import pos, present, seconds_between
 
 PAGE, EVENT_CAP, CHANGE_CAP, COMPARABLE, CAUSES = 100, 10_000, 1000, 5, 3
 #: Fixed values.
 CHANGE_CATEGORIES, CHANGE_VERBS = ("infrastructure", "storage"), ("deploy", "commit", "create", "migrate", "release", "upgrade")
-PHASES = {"pipeline": ("pipeline", "dlt", "dbt"), "asset": ("asset",), "quality": ("quality",), "table": ("table", "iceberg"), "wap": ("wap", "nessie"), "external": ("external",)}
+PHASES = {
+    "pipeline": ("pipeline.", "ingestion.", "dlt.", "dbt."), "asset": ("asset.",), "quality": ("quality.",), "table": ("table.", "iceberg."),
+    "wap": ("wap.", "nessie."), "external": ("external.",),
+}
+LABELS = {
+    "pipeline.run": "Run", "pipeline.step": "Step", "ingestion.load": "Ingest", "ingestion.extract": "Extract", "asset.materialize": "Materialize",
+    "quality.validate": "Validate", "quality.check": "Check", "wap.branch.create": "Create branch", "wap.promote": "Promote", "table.commit": "Commit",
+    "iceberg.snapshot.create": "Snapshot", "dbt.run": "dbt run", "dbt.test": "dbt test", "external.source_event": "External event", "observer.ingest": "Observer ingest",
+}
 
 
 def search(ev: DataFrame, q: str | None = None, since=None, until=None, **equal: str) -> DataFrame:
@@ -56,11 +65,12 @@ def bounded(df: DataFrame, key: str, order: list[Column], cap: int) -> DataFrame
 
 def timeline(ev: DataFrame) -> DataFrame:
     """QRY-5: events of all runs in order, with phase, label and a line of text."""
-    head = F.substring_index("event", ".", 1)
+    head = F.concat(F.substring_index("event", ".", 1), F.lit("."))
     phase = F.lit("other")
     for name, heads in PHASES.items():
         phase = F.when(head.isin(*heads), name).otherwise(phase)
-    label = F.initcap(F.regexp_replace(p.verb(), "_", " "))
+    fixed = F.create_map(*[x for k, v in LABELS.items() for x in (F.lit(k), F.lit(v))])
+    label = F.coalesce(F.element_at(fixed, F.col("event")), F.initcap(F.regexp_replace(p.verb(), "_", " ")))
     line = (
         F.when(F.col("error_message").isNotNull(), F.concat(F.lit("failed: "), F.col("error_message")))
         .when(F.col("duration_ms").isNotNull(), F.concat(F.lit("took "), F.floor(F.col("duration_ms") / 1000).cast("string"), F.lit("."), (F.floor(F.col("duration_ms") / 100) % 10).cast("string"), F.lit(" s")))
@@ -81,20 +91,34 @@ def is_change() -> Column:
 
 
 def changes(runs: DataFrame, ev: DataFrame, hours: float = 24.0, cap: int = CHANGE_CAP) -> DataFrame:
-    """QRY-7, JOIN-6: change events at most so many hours before each run's start.
+    """QRY-7, JOIN-6: change events at most so many hours before each run's start, the newest first up to a cap, the feature.
 
-    Both sides are dealt into slots of the window's length, so the range join is an equality join on two slots.
+    Changes are numbered by time over all slots of an hour: within each by a window, across them by the slots' sums. A run's
+    changes are then the numbers between those at the window's two ends, and only its newest come out: no run meets all
+    changes of a day.
     """
     if not 0.1 <= hours <= 720:
         raise ValueError("hours is 0.1 to 720")
-    width = int(hours * 3600)
-    slot = lambda c: F.floor(F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), c) / width)
-    r = runs.select("run_id", F.coalesce("started_at", "updated_at").alias("start"))
-    r = r.withColumn("slot", F.explode(F.array(slot(F.col("start")), slot(F.col("start")) - 1)))
-    c = ev.where(is_change()).select(F.col("event_id").alias("change_id"), F.col("event").alias("change"), F.col("observed_at").alias("changed_at"), slot(F.col("observed_at")).alias("slot"))
-    gap = F.timestamp_diff("MILLISECOND", F.col("changed_at"), F.col("start"))
-    hit = r.join(c, "slot").where((gap >= 0) & (gap <= width * 1000)).drop("slot")
-    return bounded(hit, "run_id", [F.col("changed_at").desc(), F.col("change_id")], cap)
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+    slot = F.floor(F.timestamp_diff("SECOND", epoch, F.col("t")) / 3600).alias("slot")
+    start = F.coalesce("started_at", "updated_at")
+    low = F.timestamp_add("SECOND", F.lit(-round(hours * 3600)), start)
+    # Kinds: 0 before all changes of its instant, 1 a change, 2 after them.
+    ends = runs.where(start.isNotNull()).select("run_id", start.alias("start"), F.explode(F.array(F.struct(low.alias("t"), F.lit(0).alias("kind")), F.struct(start.alias("t"), F.lit(2).alias("kind")))).alias("x"))
+    ends = ends.select("run_id", "start", F.lit(None).cast("string").alias("change_id"), F.lit(None).cast("string").alias("change"), "x.t", "x.kind")
+    rows = ev.where(is_change()).select(F.lit(None).cast("string").alias("run_id"), F.lit(None).cast("timestamp_ntz").alias("start"), F.col("event_id").alias("change_id"), F.col("event").alias("change"), F.col("observed_at").alias("t"), F.lit(1).alias("kind"))
+    rows = ends.union(rows).withColumn("slot", slot)
+    is_one = (F.col("kind") == 1).cast("long")
+    # One row a slot: the hours of the log.
+    before = rows.groupBy("slot").agg(F.sum(is_one).alias("n"))
+    before = before.select("slot", (F.sum("n").over(W.orderBy("slot")) - F.col("n")).alias("before"))
+    within = W.partitionBy("slot").orderBy("t", "kind", F.desc("change_id")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("n", F.sum(is_one).over(within)).join(before, "slot").withColumn("n", F.col("n") + F.col("before"))
+    of_run = rows.where("kind <> 1").groupBy("run_id").agg(F.max("start").alias("start"), F.max(F.when(F.col("kind") == 0, F.col("n"))).alias("lo"), F.max(F.when(F.col("kind") == 2, F.col("n"))).alias("hi"))
+    of_run = of_run.where("hi > lo").withColumns({"truncated": F.col("hi") - F.col("lo") > cap, "n": F.explode(F.sequence("hi", F.greatest(F.col("lo") + 1, F.col("hi") - cap + 1), F.lit(-1).cast("long")))})
+    numbered = rows.where("kind = 1").select("n", "change_id", "change", F.col("t").alias("changed_at"))
+    out = of_run.join(numbered, "n")
+    return out.select("run_id", "start", "change_id", "change", "changed_at", (F.col("hi") - F.col("n") + 1).cast("int").alias("rn"), "truncated")
 
 
 def comparable(runs: DataFrame, k: int = COMPARABLE) -> DataFrame:
@@ -146,16 +170,76 @@ def provenance(ev: DataFrame) -> DataFrame:
     return runs.union(ents).union(edge).distinct()
 
 
+def ids_by(df: DataFrame, order: str, value: str, name: str, cap: int) -> DataFrame:
+    """run_id -> its values in order up to a cap, and whether there were more."""
+    rows = bounded(df, "run_id", [F.col(order), F.col(value)], cap)
+    return rows.groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", value))), lambda x: x[value]).alias(name), F.max("truncated").alias(f"{name}_cut"))
+
+
 def investigation(ev: DataFrame, runs: DataFrame) -> DataFrame:
-    """QRY-10: for each failed run the failures, warnings, changes, comparables and likely causes: the last failed stage, the first failure, then the newest changes."""
+    """QRY-10: for each failed run its failures, warnings, changes, comparables, impact, likely causes and evidence.
+
+    The lists have the caps of the questions of their own (EVENT_CAP, CHANGE_CAP), and truncated says if one was met. The
+    last failure is the failed stage; causes are the first failure and the newest CAUSES changes. The timeline is
+    timeline(), by run_id.
+    """
     bad = runs.where("status = 'failure'").select("run_id", "job_name", "started_at", "updated_at")
-    f = failures(ev).join(bad.select("run_id"), "run_id", "left_semi").withColumn("p", pos())
-    f = f.groupBy("run_id").agg(F.count("*").alias("failures"), F.max_by("event", "p").alias("failed_stage"), F.min_by("event_id", "p").alias("first_failure"))
-    warn = ev.where("severity IN ('warn', 'error')").groupBy("run_id").agg(F.count("*").alias("warnings"))
-    ch = changes(bad, ev, cap=CAUSES).groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "change_id"))), lambda x: x["change_id"]).alias("recent_changes"), F.max("truncated").alias("truncated"))
+    mine = ev.where(present("run_id").isNotNull()).join(bad.select("run_id"), "run_id", "left_semi")
+    events = mine.groupBy("run_id").agg(F.count("*").alias("events"))
+    failed = failures(mine)
+    f = failed.withColumn("p", pos()).groupBy("run_id").agg(F.count("*").alias("failures"), F.max_by("event", "p").alias("failed_stage"), F.min_by("event_id", "p").alias("first_failure"))
+    failed = ids_by(failed, "observed_at", "event_id", "failure_ids", EVENT_CAP)
+    warn = ids_by(mine.where("severity IN ('warn', 'error')"), "observed_at", "event_id", "warning_ids", EVENT_CAP)
+    ch = changes(bad, ev).groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "change_id"))), lambda x: x["change_id"]).alias("changes"), F.max("truncated").alias("changes_cut"))
     comp = comparable(runs).groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "other"))), lambda x: x["other"]).alias("comparables"))
-    out = bad.select("run_id", "job_name").join(f, "run_id", "left").join(warn, "run_id", "left").join(ch, "run_id", "left").join(comp, "run_id", "left")
-    return out.fillna(0, ["failures", "warnings"]).fillna(False, ["truncated"]).withColumn("causes", F.concat(F.array_compact(F.array("first_failure")), F.coalesce("recent_changes", F.array().cast("array<string>"))))
+    hit = p.edges(mine).where("src LIKE 'run://%'").select(F.substring_index("src", "/", -1).alias("run_id"), F.concat_ws(" ", "type", "dst").alias("effect")).distinct()
+    hit = hit.groupBy("run_id").agg(F.array_sort(F.collect_list("effect")).alias("impact"))
+    out = bad.select("run_id", "job_name")
+    for part in (events, f, failed, warn, ch, comp, hit):
+        out = out.join(part, "run_id", "left")
+    none = F.array().cast("array<string>")
+    lists = {c: F.coalesce(c, none) for c in ("failure_ids", "warning_ids", "changes", "comparables", "impact")}
+    cut = F.coalesce(F.greatest("failure_ids_cut", "warning_ids_cut", "changes_cut"), F.lit(False)) | (F.col("events") > EVENT_CAP)
+    out = out.fillna(0, ["failures"]).withColumns(lists | {"truncated": cut}).drop("failure_ids_cut", "warning_ids_cut", "changes_cut")
+    causes = F.concat(F.array_compact(F.array("first_failure")), F.slice("changes", 1, CAUSES))
+    return out.withColumns({"causes": causes, "evidence": F.array_sort(F.array_distinct(F.concat("failure_ids", "warning_ids", "changes")))})
+
+
+def newest(df: DataFrame, by: str, key: str, limit: int = PAGE, **equal: str) -> DataFrame:
+    """TOP-5, QRY-12: the newest rows that equal all filters; the limit is the feature."""
+    if not 1 <= limit <= 1000:
+        raise ValueError("limit is 1 to 1000")
+    for c, v in equal.items():
+        df = df.where(F.col(c) == v)
+    return df.orderBy(F.desc(by), key).limit(limit)
+
+
+def run_page(runs: DataFrame, limit: int = PAGE, after: str | None = None, **equal: str) -> DataFrame:
+    """TOP-3: the next runs by id after a cursor (the last id seen). The limit is the feature."""
+    if not 1 <= limit <= 1000:
+        raise ValueError("limit is 1 to 1000")
+    for c, v in equal.items():
+        runs = runs.where(F.col(c) == v)
+    return (runs if after is None else runs.where(F.col("run_id") > after)).orderBy("run_id").limit(limit)
+
+
+def asset_history(ev: DataFrame, limit: int = 200) -> DataFrame:
+    """QRY-11: the newest events of each asset, at most limit of each (1 to 1000), the feature."""
+    if not 1 <= limit <= 1000:
+        raise ValueError("limit is 1 to 1000")
+    rows = ev.where(present("asset_key").isNotNull())
+    return bounded(rows, "asset_key", [F.desc("observed_at"), F.desc("event_id")], limit).select("asset_key", "rn", "event_id", "event", "outcome", "observed_at", "truncated")
+
+
+def analyses(recorded: DataFrame, ev: DataFrame) -> DataFrame:
+    """QRY-15: recorded(analysis_id, subject, created_at, model, template, evidence) with the evidence that the log lacks.
+
+    newest() makes the list of it. An analysis without evidence lacks none.
+    """
+    named = recorded.select("analysis_id", F.explode("evidence").alias("event_id"))
+    lost = named.join(ev.select("event_id"), "event_id", "left_anti").groupBy("analysis_id").agg(F.array_sort(F.collect_set("event_id")).alias("missing"))
+    out = recorded.join(lost, "analysis_id", "left").withColumn("missing", F.coalesce("missing", F.array().cast("array<string>")))
+    return out.withColumn("sound", F.size("missing") == 0)
 
 
 class Questions:
@@ -170,11 +254,23 @@ class Questions:
     def get_event(self, event_id: str) -> DataFrame:
         return self.events.where(F.col("event_id") == event_id)
 
-    def list_runs(self, status: str | None = None, job_name: str | None = None) -> DataFrame:
-        out = p.runs(self.events)
-        for c, v in (("status", status), ("job_name", job_name)):
-            out = out if v is None else out.where(F.col(c) == v)
-        return out.orderBy("run_id")
+    def list_runs(self, limit: int = PAGE, after: str | None = None, **filters: str) -> DataFrame:
+        return run_page(p.runs(self.events), limit, after, **filters)
+
+    def list_insights(self, limit: int = PAGE, **filters: str) -> DataFrame:
+        return newest(insights.episodes(insights.findings(self.events), self.events), "observed_at", "insight_id", limit, **filters)
+
+    def list_incidents(self, limit: int = PAGE, **filters: str) -> DataFrame:
+        return newest(insights.incidents(insights.findings(self.events)), "last_at", "first_event", limit, **filters)
+
+    def incident(self, first_event: str) -> DataFrame:
+        """An incident, known by its first event, with its insights."""
+        found = insights.findings(self.events)
+        one = insights.incidents(found).where(F.col("first_event") == first_event)
+        return insights.incident_insights(one, insights.episodes(found, self.events))
+
+    def asset_history(self, asset_key: str, limit: int = 200) -> DataFrame:
+        return asset_history(self.events.where(F.col("asset_key") == asset_key), limit)
 
     def get_run(self, run_id: str) -> DataFrame:
         return p.runs(self.events.where(F.col("run_id") == run_id))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventloom.functions.staging import staged
 from eventloom.operators.correlate import canonical
 from eventloom.schema import from_tables, stamp
 
@@ -18,6 +19,11 @@ def over_events(f: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: texted(f(canonical(from_tables(spark, sf_dir))))
 
 
+def over_silver(f: Callable[[DataFrame], DataFrame]) -> Query:
+    """The same where the query goes through the events several times: they are written once as a table of their own."""
+    return lambda spark, sf_dir: texted(f(staged(canonical(from_tables(spark, sf_dir)), "canonical")))
+
+
 def texted(df: DataFrame) -> DataFrame:
     """Times as text with milliseconds, arrays of strings joined with commas, so that other engines can compare."""
     for name, kind in df.dtypes:

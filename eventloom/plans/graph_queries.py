@@ -88,6 +88,8 @@ QUERIES = {
     "agg9_assets": (over_events(p.assets), sql("SELECT entity_id, ts(last_event_at) AS last_event_at, ts(last_materialized_at) AS last_materialized_at, sla_seconds, status FROM asset", ASSETS)),
     "agg16_impact": (
         over_events(p.impact),
-        sql("SELECT src, type, string_agg(DISTINCT dst, ',' ORDER BY dst) AS targets, count(DISTINCT event_id) AS evidence FROM edge WHERE src LIKE 'run://%' GROUP BY src, type", EDGES),
+        sql("""SELECT src, type, targets, evidence, evidence_ids FROM (SELECT src, type, string_agg(DISTINCT dst, ',' ORDER BY dst) AS targets, count(DISTINCT event_id) AS evidence FROM edge WHERE src LIKE 'run://%' GROUP BY src, type)
+            JOIN (SELECT src, type, string_agg(event_id, ',' ORDER BY observed_at, event_id) AS evidence_ids FROM (SELECT DISTINCT src, type, event_id, observed_at FROM edge WHERE src LIKE 'run://%'
+              QUALIFY dense_rank() OVER (PARTITION BY src, type ORDER BY observed_at, event_id) <= 64) GROUP BY src, type) USING (src, type)""", EDGES),
     ),
 }

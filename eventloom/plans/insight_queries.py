@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from eventloom.operators import baselines as b
 from eventloom.operators import insights as i
-from eventloom.plans.common import over_events
+from eventloom.plans.common import over_events, over_silver
 from eventloom.schema import sql
 
 SAMPLES = """
@@ -32,10 +32,11 @@ EPISODES = (
     + """,
 res AS (SELECT 'run-failure' AS rule, 'run://' || producer || '/' || run_id AS entity, event_id AS rid, observed_at AS rat FROM ev WHERE event = 'pipeline.run' AND outcome = 'success' UNION ALL
  SELECT 'quality-failure', coalesce('asset://' || asset_key, 'run://' || producer || '/' || run_id), event_id, observed_at FROM ev WHERE event = 'quality.check' AND outcome = 'success'),
-nxt AS (SELECT f.rule, f.event_id, min((rat, rid)) AS r FROM found f JOIN res ON res.rule = f.rule AND res.entity = f.entity AND rat >= f.observed_at GROUP BY ALL),
+far AS (SELECT rule, entity, event_id, observed_at, NULL AS rid FROM found UNION ALL SELECT rule, entity, NULL, rat, rid FROM res),
+nxt AS (SELECT rule, event_id, r FROM (SELECT rule, event_id, min(CASE WHEN rid IS NOT NULL THEN (observed_at, rid) END) OVER (PARTITION BY rule, entity ORDER BY observed_at DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS r FROM far) WHERE event_id IS NOT NULL),
 fr AS (SELECT f.*, r[1] AS resolved_at, r[2] AS resolved_by FROM found f LEFT JOIN nxt USING (rule, event_id)),
 epi AS (SELECT dedupe_key, resolved_by, any_value(rule) AS rule, any_value(entity) AS entity, any_value(resolved_at) AS resolved_at, arg_min(severity, (observed_at, event_id)) AS severity, arg_min(kind, (observed_at, event_id)) AS kind, arg_min(summary, (observed_at, event_id)) AS summary,
- arg_min(event_id, (observed_at, event_id)) AS first_event, min(observed_at) AS observed_at, max(observed_at) AS last_observed_at, count(*) AS findings FROM fr GROUP BY dedupe_key, resolved_by)"""
+ arg_min(event_id, (observed_at, event_id)) AS first_event, min(observed_at) AS observed_at, max(observed_at) AS last_observed_at, count(*) AS findings, list(event_id ORDER BY observed_at, event_id)[:64] AS evidence FROM fr GROUP BY dedupe_key, resolved_by)"""
 )
 
 INCIDENTS = (
@@ -59,25 +60,25 @@ QUERIES = {
     "agg12_metric_summaries": (
         over_events(b.summaries),
         sql("""SELECT strftime(date_trunc('minute', observed_at), '%Y-%m-%d %H:%M:%S.%g') AS slot, metric, service, count(*) AS count, round(sum(value), 6) AS sum, min(value) AS min, max(value) AS max, round(avg(value), 6) AS mean,
-            list_sort(list(value))[greatest(1, CAST(ceil(0.5 * count(*)) AS BIGINT))] AS p50, list_sort(list(value))[greatest(1, CAST(ceil(0.95 * count(*)) AS BIGINT))] AS p95, list_sort(list(value))[greatest(1, CAST(ceil(0.99 * count(*)) AS BIGINT))] AS p99
-            FROM ev WHERE event LIKE 'metric.%' AND value IS NOT NULL GROUP BY date_trunc('minute', observed_at), metric, service"""),
+            list_sort(list(value))[greatest(1, CAST(ceil(0.5 * count(*)) AS BIGINT))] AS p50, list_sort(list(value))[greatest(1, CAST(ceil(0.95 * count(*)) AS BIGINT))] AS p95, list_sort(list(value))[greatest(1, CAST(ceil(0.99 * count(*)) AS BIGINT))] AS p99, run_id, asset_key, CAST(NULL AS VARCHAR) AS dimensions, CAST(NULL AS VARCHAR) AS entities, CAST(NULL AS VARCHAR) AS tags
+            FROM ev WHERE event LIKE 'metric.%' AND value IS NOT NULL GROUP BY date_trunc('minute', observed_at), metric, service, run_id, asset_key"""),
     ),
-    "rule1_5_findings": (over_events(lambda ev: i.findings(ev)), sql("SELECT * REPLACE (ts(observed_at) AS observed_at) FROM found", FOUND)),
+    "rule1_5_findings": (over_silver(lambda ev: i.findings(ev)), sql("SELECT * REPLACE (ts(observed_at) AS observed_at) FROM found", FOUND)),
     "join3_freshness_lookup": (
         over_events(lambda ev: i.freshness(ev).select("event_id", "asset_key", "materialized_before")),
         sql("SELECT event_id, asset_key, ts(mb) AS materialized_before FROM fresh", FOUND),
     ),
     "join5_finding_resolver": (
-        over_events(lambda ev: i.with_resolver(i.findings(ev), ev).select("rule", "event_id", "resolved_at", "resolved_by")),
+        over_silver(lambda ev: i.with_resolver(i.findings(ev), ev).select("rule", "event_id", "resolved_at", "resolved_by")),
         sql("SELECT rule, event_id, ts(resolved_at) AS resolved_at, resolved_by FROM fr", EPISODES),
     ),
     "rule7_episodes": (
-        over_events(lambda ev: i.episodes(i.findings(ev), ev)),
-        sql("""SELECT * REPLACE (ts(resolved_at) AS resolved_at, ts(observed_at) AS observed_at, ts(last_observed_at) AS last_observed_at), CASE WHEN resolved_by IS NULL THEN 'open' ELSE 'resolved' END AS state,
+        over_silver(lambda ev: i.episodes(i.findings(ev), ev)),
+        sql("""SELECT * REPLACE (ts(resolved_at) AS resolved_at, ts(observed_at) AS observed_at, ts(last_observed_at) AS last_observed_at, array_to_string(evidence, ',') AS evidence), CASE WHEN resolved_by IS NULL THEN 'open' ELSE 'resolved' END AS state,
             strftime(lag(resolved_at) OVER (PARTITION BY dedupe_key ORDER BY resolved_at NULLS LAST, resolved_by), '%Y-%m-%d %H:%M:%S.%g') AS open_from, sha256(dedupe_key || '|' || first_event) AS insight_id FROM epi""", EPISODES),
     ),
     "rule8_incidents": (
-        over_events(lambda ev: i.incidents(i.findings(ev))),
-        sql("""SELECT entity AS who, entity, arg_min(summary, (observed_at, event_id)) AS title, strftime(min(observed_at), '%Y-%m-%d %H:%M:%S.%g') AS started_at, strftime(max(observed_at), '%Y-%m-%d %H:%M:%S.%g') AS last_at, max(severity) AS severity, count(*) AS members, arg_min(event_id, (observed_at, event_id)) AS first_event FROM isl GROUP BY entity, island""", INCIDENTS),
+        over_silver(lambda ev: i.incidents(i.findings(ev))),
+        sql("""SELECT entity AS who, entity, arg_min(summary, (observed_at, event_id)) AS title, strftime(min(observed_at), '%Y-%m-%d %H:%M:%S.%g') AS started_at, strftime(max(observed_at), '%Y-%m-%d %H:%M:%S.%g') AS last_at, max(severity) AS severity, count(*) AS members, arg_min(event_id, (observed_at, event_id)) AS first_event, array_to_string(list(event_id ORDER BY observed_at, event_id)[:64], ',') AS member_events FROM isl GROUP BY entity, island""", INCIDENTS),
     ),
 }

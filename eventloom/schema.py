@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Enumerations of the envelope, and severities' ranks.
-CATEGORIES = ("pipeline", "asset", "quality", "table", "storage", "infrastructure", "metric", "log", "external", "wap", "query", "deployment", "security", "lifecycle", "other")
+CATEGORIES = ("application", "pipeline", "data", "quality", "wap", "query", "storage", "infrastructure", "security", "observer", "metric", "lineage", "insight", "incident", "other")
 OUTCOMES = ("success", "failure", "cancelled", "partial", "unknown")
 SEVERITY_RANK = {"trace": 10, "debug": 20, "info": 30, "warn": 40, "error": 50, "critical": 60}
 DELIVERIES = ("debug", "telemetry", "critical")
@@ -40,7 +40,7 @@ FLAT = {
     "started_at": "timestamp_ntz", "ended_at": "timestamp_ntz", "duration_ms": "double", "service": "string", "environment": "string", "producer": "string", "run_id": "string", "job_id": "string",
     "trace_id": "string", "invocation_id": "string", "asset_key": "string", "partition_key": "string", "branch": "string", "table_name": "string", "snapshot_id": "string", "pipeline": "string",
     "error_message": "string", "rows_written": "double", "row_count": "double", "metric": "string", "value": "double", "sla_seconds": "double", "retry_of": "string", "trigger": "string",
-    "base_branch": "string", "target": "string", "entities": "map<string,string>",
+    "base_branch": "string", "target": "string", "entities": "map<string,string>", "attributes": "string", "tags": "map<string,string>", "error": "string", "contract_id": "string", "contract_version": "int",
 }
 
 
@@ -54,6 +54,25 @@ def pos() -> Column:
     return F.struct("observed_at", "event_id")
 
 
+#: Flat columns that come from attributes, with the attribute's name.
+LIFTED = {
+    "rows_written": "rows_written", "row_count": "row_count", "metric": "metric", "value": "value", "sla_seconds": "freshness_sla_seconds",
+    "retry_of": "retry_of", "trigger": "trigger", "base_branch": "base_branch", "target": "target",
+}
+
+
+def lifted(attributes: Column) -> dict[str, Column]:
+    """The flat columns that an event's attributes (JSON text) hold. A summary's mean stands for its value."""
+    doc = F.try_parse_json(attributes)
+    kind = lambda c: "double" if FLAT[c] == "double" else "string"
+    out = {c: F.try_variant_get(doc, f"$.{a}", kind(c)) for c, a in LIFTED.items()}
+    out["value"] = F.coalesce(out["value"], F.try_variant_get(doc, "$.mean", "double"))
+    # What is there but null or no number hides the other.
+    written = F.get_json_object(attributes, "$.rows_written")
+    out["row_count"] = F.when(written.isNull(), out["row_count"])
+    return out
+
+
 def present(c: str | Column) -> Column:
     """Null for empty strings, which count as missing."""
     return F.nullif(F.col(c) if isinstance(c, str) else c, F.lit(""))
@@ -96,7 +115,7 @@ def from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(n == 4, "quality.check").when(n == 6, "wap.promote").when(n == 7, "table.read").when((n == 2) & (F.col("l_partkey") % 4 == 0), "wap.branch.create").otherwise("asset.materialize")
     lines = read("lineitem").select(
         F.concat_ws("-", F.lit("l"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("event_id"), name.alias("event"),
-        F.when(n == 4, "quality").when(n == 6, "storage").when(n == 7, "table").otherwise("asset").alias("category"),
+        F.when(n == 4, "quality").when(n == 6, "storage").when(n == 7, "query").otherwise("data").alias("category"),
         F.when(F.col("l_returnflag") == "R", "failure").when(F.col("l_returnflag") == "A", "success").otherwise("unknown").alias("outcome"),
         F.when(F.col("l_returnflag") == "R", "warn").otherwise("info").alias("severity"),
         at.alias("observed_at"), plus_ms(at, F.lit(120000)).alias("received_at"),
@@ -132,7 +151,7 @@ SELECT 'o-' || o_orderkey AS event_id, 'pipeline.run' AS event, 'pipeline' AS ca
  CASE WHEN o_orderstatus = 'P' AND o_orderkey % 3 = 0 THEN 'run-' || (o_orderkey - 1) END AS retry_of, o_orderpriority AS trigger, NULL AS base_branch, NULL AS target FROM o
 UNION ALL
 SELECT concat_ws('-', 'l', l_orderkey, l_linenumber, l_partkey, l_suppkey), CASE WHEN l_linenumber = 4 THEN 'quality.check' WHEN l_linenumber = 6 THEN 'wap.promote' WHEN l_linenumber = 7 THEN 'table.read'
-  WHEN l_linenumber = 2 AND l_partkey % 4 = 0 THEN 'wap.branch.create' ELSE 'asset.materialize' END, CASE l_linenumber WHEN 4 THEN 'quality' WHEN 6 THEN 'storage' WHEN 7 THEN 'table' ELSE 'asset' END,
+  WHEN l_linenumber = 2 AND l_partkey % 4 = 0 THEN 'wap.branch.create' ELSE 'asset.materialize' END, CASE l_linenumber WHEN 4 THEN 'quality' WHEN 6 THEN 'storage' WHEN 7 THEN 'query' ELSE 'data' END,
  CASE l_returnflag WHEN 'R' THEN 'failure' WHEN 'A' THEN 'success' ELSE 'unknown' END, CASE WHEN l_returnflag = 'R' THEN 'warn' ELSE 'info' END, tm, tm + INTERVAL 120 SECOND, NULL, NULL, NULL,
  'svc-' || (l_suppkey % 10), 'lines', CASE WHEN l_suppkey % 3 <> 0 THEN 'run-' || l_orderkey END, NULL, 'trace-' || l_orderkey, 'part-' || l_partkey, l_linestatus,
  CASE WHEN l_linenumber IN (2, 6) THEN 'b-' || (l_partkey % 200) END, CASE WHEN l_linenumber >= 6 THEN 't-' || l_suppkey END, CASE WHEN l_linenumber = 6 THEN 's-' || l_orderkey END, NULL,

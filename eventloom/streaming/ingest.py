@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import datetime as dt
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,90 +11,176 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
-from eventloom.operators import projections
+from eventloom.functions.staging import removed
+from eventloom.operators import baselines, insights, maintenance, projections
 from eventloom.operators.correlate import arrivals, link_traces
 from eventloom.operators.projections import TERMINAL
 from eventloom.operators.sampling import IDLE_SECONDS
-from eventloom.schema import FLAT, flat
+from eventloom.schema import FLAT, flat, present
 
-FEED_BYTES = 7000
+FEED_BYTES, WAITING = 7000, 10_000
+#: Derived tables and their keys.
+KEYS = {
+    "runs": ["run_id"], "entities": ["entity_id"], "relationships": ["src", "dst", "type"], "assets": ["entity_id"],
+    "baselines": ["entity", "metric"], "insights": ["entity"], "incidents": ["entity"],
+}
+GAP = "failure_id string, occurred_at timestamp_ntz, batch long, error string, event_ids array<string>"
 
 
 class Store:
-    """A log of events and a runs table under one folder that all executors share. One writer."""
+    """A log of events, the tables derived from it, and a log of gaps, under one folder that all executors share. One writer.
+
+    Derived tables are written as versions with rising numbers; a version counts once its mark is there, which is written
+    last. Readers take the newest version with a mark, so they see all tables of one ingest or of the one before. Two versions
+    are kept.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self.shape = ", ".join(f"{k} {t}" for k, t in FLAT.items())
+        self.empty = maintenance.rebuild(spark.createDataFrame([], self.shape))
 
-    def table(self, name: str, shape: str) -> DataFrame:
-        from pyspark.errors import AnalysisException
+    def _fs(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
-        try:
-            versions = [r["version"] for r in self.spark.read.text(f"{self.path}/{name}.current").selectExpr("value AS version").collect()]  # one line
-        except AnalysisException:
-            return self.spark.createDataFrame([], shape)
-        return self.spark.read.schema(shape).parquet(f"{self.path}/{name}-{versions[0]}")
+    def _names(self, path: str) -> list[str]:
+        fs, at = self._fs(path)
+        return [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
 
-    def swap(self, name: str, df: DataFrame) -> None:
-        """Writes a new version, then points to it: a reader sees the old or the new one whole."""
-        version = uuid.uuid4().hex
-        df.write.parquet(f"{self.path}/{name}-{version}")
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/{name}.current")
+    def versions(self) -> list[int]:
+        """Numbers of the complete versions, in order."""
+        return sorted(int(x.removeprefix("mark-")) for x in self._names(f"{self.path}/tables") if x.startswith("mark-"))
+
+    def table(self, name: str) -> DataFrame:
+        done, shape = self.versions(), self.empty[name].schema
+        if not done:
+            return self.spark.createDataFrame([], shape)
+        return self.spark.read.schema(shape).parquet(f"{self.path}/tables/v{done[-1]}/{name}")
+
+    def publish(self, tables: dict[str, DataFrame]) -> None:
+        """Writes all tables as the next version, then its mark; versions before the last two go."""
+        done = self.versions()
+        n = (done[-1] if done else 0) + 1
+        for name, df in tables.items():
+            df.write.mode("overwrite").parquet(f"{self.path}/tables/v{n}/{name}")
+        self.mark(n)
+        for old in done[:-1]:
+            removed(self.spark, f"{self.path}/tables/mark-{old}")
+            removed(self.spark, f"{self.path}/tables/v{old}")
+
+    def mark(self, n: int) -> None:
+        fs, at = self._fs(f"{self.path}/tables/mark-{n}")
+        fs.create(at, True).close()
+
+    def log(self, name: str, shape: str) -> DataFrame:
+        """A log of batches; what a batch wrote is known by its number."""
+        if not self._names(f"{self.path}/{name}"):
+            return self.spark.createDataFrame([], f"{shape}, batch long")
+        return self.spark.read.schema(f"{shape}, batch long").option("basePath", f"{self.path}/{name}").parquet(f"{self.path}/{name}/batch=*")
 
     def events(self) -> DataFrame:
-        from pyspark.errors import AnalysisException
+        return self.log("events", self.shape).select(*FLAT)
 
-        try:
-            return self.spark.read.schema(self.shape).parquet(f"{self.path}/events")
-        except AnalysisException:
-            return self.spark.createDataFrame([], self.shape)
+    def gaps(self) -> DataFrame:
+        names = [x for x in self._names(f"{self.path}/gaps") if x.startswith("gap-")]
+        return self.spark.read.schema(GAP).json([f"{self.path}/gaps/{x}" for x in names]) if names else self.spark.createDataFrame([], GAP)
 
     def ingest(self, batch: DataFrame, batch_id: int) -> None:
-        """STR-1, STR-2, STR-3: appends what isn't stored, then derives again the runs that the batch touches from all their events.
+        """STR-1, STR-2, STR-3: appends what isn't stored, then derives again all rows that the batch touches from all their events.
 
-        Late and repeated events need no special case: the result is that of a rebuild. A batch that is run again finds its
-        events stored under its own number and writes them anew.
+        Late and repeated events need no special case: the result is that of a rebuild. A batch that is run again leaves out
+        what it stored itself the first time, and so stores the same. If the derivation fails, the events stay and the gap
+        is put down; repair() makes up for it.
         """
         fresh = arrivals(flat(batch)).where("status = 'accepted'").drop("status")
-        stored = self.events()
-        fresh = fresh.join(stored.select("event_id"), "event_id", "left_anti").select(*FLAT)
-        fresh.write.mode("overwrite").parquet(f"{self.path}/events/batch={batch_id}")
+        stored = self.log("events", self.shape).where(F.col("batch") != batch_id)
+        fresh.join(stored.select("event_id"), "event_id", "left_anti").select(*FLAT).write.mode("overwrite").parquet(f"{self.path}/events/batch={batch_id}")
         fresh = self.spark.read.schema(self.shape).parquet(f"{self.path}/events/batch={batch_id}")
+        try:
+            self.derive(fresh)
+        except Exception as e:  # whatever it is, the events are stored and the gap must be known
+            ids = F.collect_list("event_id").alias("event_ids")
+            now = dt.datetime.now(dt.UTC).replace(tzinfo=None)
+            row = fresh.agg(ids).select(F.lit(f"batch-{batch_id}").alias("failure_id"), F.lit(now).alias("occurred_at"), F.lit(batch_id).alias("batch"), F.lit(str(e)[:1000]).alias("error"), "event_ids")
+            row.write.mode("overwrite").json(f"{self.path}/gaps/gap-{batch_id}")
+
+    def derive(self, fresh: DataFrame) -> None:
+        before = self.log("events", self.shape).select(*FLAT).join(fresh.select("event_id"), "event_id", "left_anti")
         log = link_traces(self.events())
-        keys = log.join(fresh.select("event_id"), "event_id", "left_semi").select("run_id").where("run_id is not null")
-        # A new run id of a trace can link older events again, so the trace's runs are touched too.
-        traces = fresh.where("trace_id is not null").select("trace_id").distinct()
-        keys = keys.union(log.join(traces, "trace_id", "left_semi").select("run_id").where("run_id is not null")).distinct()
-        again = projections.runs(log.join(keys, "run_id", "left_semi"))
-        old = self.table("runs", again._jdf.schema().toDDL())
-        self.swap("runs", old.join(keys, "run_id", "left_anti").unionByName(again))
-
-    def runs(self) -> DataFrame:
-        shape = projections.runs(self.spark.createDataFrame([], self.shape))._jdf.schema().toDDL()
-        return self.table("runs", shape)
+        # A new run id of a trace can link older events again: all of the trace's events, as they were and as they are.
+        traces = fresh.where(present("trace_id").isNotNull()).select("trace_id").distinct()
+        ids = fresh.select("event_id").union(log.join(traces, "trace_id", "left_semi").select("event_id")).distinct()
+        dirty = log.join(ids, "event_id", "left_semi").unionByName(link_traces(before).join(ids, "event_id", "left_semi"))
+        self.publish({name: self.table(name).join(keys, KEYS[name], "left_anti").unionByName(again) for name, (keys, again) in touched(log, dirty).items()})
+
+    def rebuild(self) -> None:
+        """STR-7: all tables anew from the log."""
+        self.publish(maintenance.rebuild(link_traces(self.events())))
+
+    def repair(self) -> list[str]:
+        """STR-10: rebuilds, and clears the gaps that were there at the start. A gap whose events are lost blocks it: those come back, and nothing is done."""
+        names = [x for x in self._names(f"{self.path}/gaps") if x.startswith("gap-")]
+        lost = [r.failure_id for r in maintenance.lost_evidence(self.gaps(), self.events()).select("failure_id").distinct().collect()]  # gaps, not events
+        if lost or not names:
+            return lost
+        self.rebuild()
+        for x in names:
+            removed(self.spark, f"{self.path}/gaps/{x}")
+        return []
+
+
+def touched(log: DataFrame, dirty: DataFrame) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """For each derived table the keys that dirty events touch, and those keys' rows from all their events in the log."""
+    out: dict[str, tuple[DataFrame, DataFrame]] = {}
+
+    def narrowed(name: str, keys: DataFrame, rows: DataFrame, derive: Callable[[DataFrame], DataFrame]) -> None:
+        keys = keys.distinct()
+        out[name] = keys, derive(rows.join(keys, keys.columns, "left_semi"))
+
+    narrowed("runs", dirty.where(present("run_id").isNotNull()).select("run_id"), log, projections.runs)
+    narrowed("entities", projections.with_entities(dirty).select("entity_id"), projections.with_entities(log), projections.entities_of)
+    narrowed("relationships", projections.edges(dirty).select(*KEYS["relationships"]), projections.edges(log), projections.relationships_of)
+    asset_id = F.concat(F.lit("asset://"), "asset_key").alias("entity_id")
+    assets = dirty.where(present("asset_key").isNotNull())
+    keys = assets.select(asset_id).distinct()
+    out["assets"] = keys, projections.assets(log.join(assets.select("asset_key").distinct(), "asset_key", "left_semi"))
+    narrowed("baselines", baselines.observations(dirty).select("entity", "metric"), baselines.observations(log), baselines.baselines)
+    # A late sample may change the verdicts of those after it, so all findings of a touched entity are made again.
+    entities = insights.entities_judged(dirty).distinct()
+    found = insights.findings(log, only=entities)
+    out["insights"] = entities, insights.episodes(found, log, only=entities)
+    out["incidents"] = entities, insights.incidents(found)
+    return out
 
 
 def start(stream: DataFrame, store: Store, checkpoint: str, write: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     return stream.writeStream.foreachBatch(write or store.ingest).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def change_feed(runs: DataFrame, insights: DataFrame, incidents: DataFrame) -> DataFrame:
+def change_feed(runs: DataFrame, episodes: DataFrame, incidents: DataFrame) -> DataFrame:
     """STR-4: one notice for each changed row; a long one says only that it is time to look."""
-    notice = lambda kind, df, key: df.select(F.lit(kind).alias("kind"), F.to_json(F.struct(*df.columns)).alias("body"), F.col(key).alias("key"))
-    rows = notice("run.changed", runs, "run_id").union(notice("insight.opened", insights, "insight_id")).union(notice("incident.updated", incidents, "first_event"))
+
+    def notice(kind: str, df: DataFrame, key: str) -> DataFrame:
+        return df.select(F.lit(kind).alias("kind"), F.to_json(F.struct(*df.columns)).alias("body"), F.col(key).alias("key"))
+
+    rows = notice("run.changed", runs, "run_id").union(notice("insight.opened", episodes.where("state = 'open'"), "insight_id"))
+    rows = rows.union(notice("incident.updated", incidents, "first_event"))
     long = F.octet_length("body") > FEED_BYTES
     return rows.select(F.when(long, "refresh").otherwise(F.col("kind")).alias("kind"), "key", F.when(long, F.lit(None)).otherwise(F.col("body")).alias("body"))
 
 
 def metric_rollup(stream: DataFrame, lateness: str = "10 minutes") -> DataFrame:
-    """STR-5: tumbling minutes of metric samples, put out once their time is over."""
-    rows = stream.where(F.col("event").startswith("metric.")).withColumn("at", F.col("observed_at").cast("timestamp")).withWatermark("at", lateness)
-    return rows.groupBy(F.window("at", "60 seconds"), "metric", "service").agg(F.count("*").alias("count"), F.sum("value").alias("sum"), F.min("value").alias("min"), F.max("value").alias("max"))
+    """STR-5: tumbling minutes of metric samples, put out once their time is over, with the columns of the batch's summaries."""
+    rows = stream.where(F.col("event").startswith("metric.")).where("value IS NOT NULL").withColumn("at", F.col("observed_at").cast("timestamp")).withWatermark("at", lateness)
+    return baselines.summarised(rows.groupBy(F.window("at", "60 seconds").alias("w"), *baselines.series(rows)))
 
 
 class TailSampler(StatefulProcessor):
-    """STR-6: a run's events wait for its terminal event; they go out if it failed or was slow, or once the run has been idle for an hour."""
+    """STR-6: a run's events wait for its terminal event; they go out if it failed or was slow, or once the run has been idle for an hour.
+
+    More than WAITING events go out at once. A verdict holds for late events until the run has been idle for that long too.
+    """
 
     def __init__(self, slow_ms: float):
         self.slow_ms = slow_ms
@@ -102,6 +188,7 @@ class TailSampler(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", "event_id string")
+        self.count = handle.getValueState("count", "n long")
         self.verdict = handle.getValueState("verdict", "keep boolean")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
@@ -110,29 +197,33 @@ class TailSampler(StatefulProcessor):
             if len(end):
                 last = end.iloc[-1]
                 self.verdict.update((bool(last["outcome"] == "failure" or (last["duration_ms"] or 0) >= self.slow_ms),))
-            for e in df["event_id"]:
-                self.waiting.appendValue((e,))
+            self.waiting.appendList([(e,) for e in df["event_id"]])
+            self.count.update(((self.count.get()[0] if self.count.exists() else 0) + len(df),))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(timerValues.getCurrentWatermarkInMs() + IDLE_SECONDS * 1000)
         if self.verdict.exists():
-            yield from self.release(key)
-        else:
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
-            self.handle.registerTimer(timerValues.getCurrentWatermarkInMs() + IDLE_SECONDS * 1000)
-
-    def release(self, key: tuple, keep: bool | None = None) -> Iterator[pd.DataFrame]:
-        keep = self.verdict.get()[0] if keep is None else keep
+            yield from self.release(key, self.verdict.get()[0])
+        elif self.count.exists() and self.count.get()[0] > WAITING:
+            yield from self.release(key, True)
+
+    def release(self, key: tuple, keep: bool) -> Iterator[pd.DataFrame]:
         ids = [r[0] for r in self.waiting.get()] if self.waiting.exists() else []
         self.waiting.clear()
+        self.count.clear()
         if keep and ids:
             yield pd.DataFrame({"run_id": [key[0]] * len(ids), "event_id": ids})
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self.release(key, keep=True)
+        keep = self.verdict.get()[0] if self.verdict.exists() else True
+        self.verdict.clear()
+        yield from self.release(key, keep)
 
     def close(self) -> None:
         pass
 
 
 def tail_sampled(stream: DataFrame, slow_ms: float, lateness: str = "10 minutes") -> DataFrame:
-    rows = stream.where("run_id is not null").select("run_id", "event_id", "event", "outcome", "duration_ms", F.col("observed_at").cast("timestamp").alias("at")).withWatermark("at", lateness)
+    at = F.col("observed_at").cast("timestamp").alias("at")
+    rows = stream.where("run_id is not null").select("run_id", "event_id", "event", "outcome", "duration_ms", at).withWatermark("at", lateness)
     return rows.groupBy("run_id").transformWithStateInPandas(TailSampler(slow_ms), "run_id string, event_id string", outputMode="Append", timeMode="EventTime")

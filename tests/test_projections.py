@@ -19,6 +19,10 @@ def at(minutes, seconds=0):
     return f"2024-01-{1 + minutes // 1440:02d} {minutes % 1440 // 60:02d}:{minutes % 60:02d}:{seconds:02d}"
 
 
+def only_rule(name):
+    return {name: insights.RULES[name]}
+
+
 def test_run_status_is_the_highest_and_order_free(spark):
     rows = [{"run_id": "r", "observed_at": at(i), "outcome": o, "job_id": j} for i, (o, j) in enumerate([("unknown", "a"), ("success", ""), ("failure", "b"), ("success", None)])]
     rows.append({"run_id": "r", "observed_at": at(9), "event": "pipeline.step", "severity": "warn"})
@@ -43,7 +47,7 @@ def test_duplicate_and_conflict(spark):
 def test_duration_regression_needs_five_samples_and_twice_the_median(spark):
     def found(values):
         rows = [{"run_id": f"r{i}", "job_id": "j", "observed_at": at(i), "duration_ms": float(v)} for i, v in enumerate(values)]
-        return insights.duration_regression(events(spark, rows)).count()
+        return insights.findings(events(spark, rows), only_rule("duration-regression")).count()
 
     assert found([100] * 6 + [320]) == 1
     assert found([100] * 6 + [200]) == 0
@@ -53,7 +57,7 @@ def test_duration_regression_needs_five_samples_and_twice_the_median(spark):
 
 def test_volume_spike_by_partition(spark):
     rows = [{"event": "asset.materialize", "asset_key": "a", "partition_key": k, "row_count": float(v), "observed_at": at(i)} for i, (k, v) in enumerate([("A", 50000)] * 7 + [("B", 10)] * 3 + [("A", 200000), ("B", 900)])]
-    got = insights.volume_spike(events(spark, rows)).collect()
+    got = insights.findings(events(spark, rows), only_rule("volume-spike")).collect()
     assert [r.summary for r in got] == ["many: rows|A"]
     counts = {r.metric: r["count"] for r in baselines.baselines(baselines.observations(events(spark, rows))).collect()}
     assert counts == {"rows|A": 8, "rows|B": 4}
@@ -69,7 +73,7 @@ def test_episode_resolves_at_the_same_instant_by_the_smallest_id(spark):
 def test_incident_gap_is_inclusive(spark):
     def n(last):
         rows = [{"run_id": "r", "observed_at": t, "outcome": "failure"} for t in (at(0), at(30), last)]
-        return insights.incidents(insights.run_failure(events(spark, rows))).count()
+        return insights.incidents(insights.findings(events(spark, rows), only_rule("run_failure".replace("_", "-")))).count()
 
     assert n(at(60)) == 1
     assert n(at(60, 1)) == 2

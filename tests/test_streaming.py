@@ -1,33 +1,105 @@
-"""A stream of shuffled, late and repeated events gives the runs of a rebuild."""
+"""A stream of shuffled, late and repeated events gives the tables of a rebuild, whatever fails on the way."""
 
 import tempfile
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from eventloom.operators import correlate, projections
+from eventloom.operators import correlate, maintenance
 from eventloom.schema import from_tables
-from eventloom.streaming.ingest import Store, start, tail_sampled
+from eventloom.streaming.ingest import KEYS, Store, change_feed, metric_rollup, start, tail_sampled
 
 DIR = "/root/testdata/sf0.001"
 
 
+def some_events(spark):
+    return from_tables(spark, DIR).where("xxhash64(coalesce(trace_id, '')) % 40 = 0").cache()
+
+
+def rows(df):
+    return sorted(map(str, df.select(*sorted(df.columns)).collect()))
+
+
+def assert_rebuilt(store, ev):
+    want = maintenance.rebuild(correlate.canonical(ev))
+    assert set(want) == set(KEYS)
+    for name, df in want.items():
+        assert rows(store.table(name)) == rows(df), name
+
+
+def parts(ev, n=3):
+    """Arrival out of order: by a hash of the id, so that late ones come in each part; the first part's come again."""
+    part = lambda k: ev.where(F.pmod(F.xxhash64("event_id"), F.lit(n)) == k)
+    return [part(k).union(part(0).limit(5)) for k in range(n)]
+
+
+def test_batches_run_twice_and_a_failure_between_write_and_mark(spark, monkeypatch):
+    ev = some_events(spark)
+    store = Store(spark, tempfile.mkdtemp())
+    batches = parts(ev)
+    order = [r.event_id for r in batches[0].orderBy("observed_at", "event_id").collect()]
+    assert [r.event_id for r in ev.orderBy("observed_at", "event_id").limit(len(order)).collect()] != order
+    for k, batch in enumerate(batches):
+        store.ingest(batch, k)
+        n = store.events().count()
+        store.ingest(batch, k)  # the same batch again stores the same
+        assert store.events().count() == n
+    assert_rebuilt(store, ev)
+    assert len(store.versions()) == 2
+    more = ev.withColumns({"event_id": F.concat(F.lit("x"), "event_id"), "observed_at": F.timestamp_add("DAY", F.lit(-3), "observed_at")}).limit(40).cache()
+    before = rows(store.table("runs"))
+    with monkeypatch.context() as m:
+        m.setattr(Store, "mark", lambda self, n: (_ for _ in ()).throw(OSError("no mark")))
+        store.ingest(more, 9)
+    assert rows(store.table("runs")) == before  # readers still see the version before
+    assert store.events().count() == n + 40
+    gap = store.gaps().first()
+    assert (gap.batch, len(gap.event_ids), gap.error) == (9, 40, "no mark")
+    assert store.repair() == []
+    assert store.gaps().count() == 0
+    assert_rebuilt(store, ev.union(more))
+
+
+def test_a_gap_without_its_events_blocks_repair(spark):
+    ev = some_events(spark)
+    store = Store(spark, tempfile.mkdtemp())
+    store.ingest(ev.limit(20), 0)
+    spark.createDataFrame([("f", None, 1, "e", ["gone"])], "failure_id string, occurred_at timestamp_ntz, batch long, error string, event_ids array<string>").write.json(f"{store.path}/gaps/gap-1")
+    assert store.repair() == ["f"]
+    assert store.gaps().count() == 1
+
+
 def test_stream_equals_rebuild_and_tail_sampling_runs(spark):
     src, out = tempfile.mkdtemp(), tempfile.mkdtemp()
-    ev = from_tables(spark, DIR).where("event <> 'x' AND xxhash64(coalesce(trace_id, '')) % 20 = 0").cache()
-    part = lambda k: ev.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == k)
-    for k in range(3):
-        part(k).union(part(0).limit(5)).coalesce(1).write.mode("append").parquet(src)
+    ev = some_events(spark)
+    for batch in parts(ev, 2):
+        batch.coalesce(1).write.mode("append").parquet(src)
     stream = lambda: spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(src)
     store = Store(spark, out)
-    q = start(stream(), store, tempfile.mkdtemp())
-    q.awaitTermination()
-    cols = ["run_id", "event_count", "error_count", "status", "started_at", "ended_at"]
-    want = projections.runs(correlate.canonical(ev))
-    got = sorted(map(str, store.runs().select(cols).collect()))
-    assert got == sorted(map(str, want.select(cols).collect()))
-    assert got
+    start(stream(), store, tempfile.mkdtemp()).awaitTermination()
+    assert_rebuilt(store, ev)
+    feed = {(r.kind, r.key) for r in change_feed(store.table("runs"), store.table("insights"), store.table("incidents")).collect()}
+    assert len([k for k, _ in feed if k == "run.changed"]) == store.table("runs").count()
+    long = store.table("runs").limit(1).withColumn("job_name", F.repeat(F.lit("j"), 8000))
+    assert [(r.kind, r.body) for r in change_feed(long, store.table("insights").limit(0), store.table("incidents").limit(0)).collect()] == [("refresh", None)]
     q = tail_sampled(stream(), 1e12).writeStream.format("memory").queryName("tails").option("checkpointLocation", tempfile.mkdtemp()).trigger(availableNow=True).start()
     q.awaitTermination()
     kept = spark.table("tails").join(ev.select("event_id", "outcome", "event"), "event_id").where("event = 'pipeline.run'").collect()
     assert any(r.outcome == "failure" for r in kept)
     assert not any(r.outcome == "success" for r in kept)
+
+
+def test_streaming_rollup_is_the_batch_summary(spark):
+    from eventloom.operators.baselines import summaries
+
+    src = tempfile.mkdtemp()
+    ev = some_events(spark).where("event LIKE 'metric.%'")
+    ev.coalesce(1).write.mode("append").parquet(src)
+    q = metric_rollup(spark.readStream.schema(ev.schema).parquet(src)).writeStream.format("memory").queryName("rollup").outputMode("append").option("checkpointLocation", tempfile.mkdtemp()).trigger(availableNow=True).start()
+    q.awaitTermination()
+    key = ["metric", "service", "count", "min", "max", "p50", "p99"]
+    got = spark.table("rollup").select(*key).toPandas().sort_values(key).reset_index(drop=True)
+    want = summaries(ev).select(*key).toPandas().sort_values(key).reset_index(drop=True)
+    assert 0 < len(got) <= len(want)  # the last minutes wait for the watermark
+    both = got.merge(want.drop_duplicates(), on=key)
+    assert len(pd.DataFrame(both)) >= len(got)
