@@ -77,19 +77,26 @@ def find_anchors(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def packed(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     z = zstandard.ZstdCompressor(level=3)
     for rb in batch_iter:
-        yield pa.record_batch([rb.column(0), pa.array([z.compress((t or "").encode()) for t in rb.column(1).to_pylist()], pa.binary())], ["doc_id", "z"])
+        for lo in range(0, rb.num_rows, 500):
+            part = rb.slice(lo, 500)
+            texts = [(t or "").encode() for t in part.column(1).to_pylist()]
+            yield pa.record_batch(
+                [part.column(0), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), pa.array([z.compress(t) for t in texts], pa.binary())], ["doc_id", "sha", "z"]
+            )
 
 
 def contexts(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, packed text, places, seeds -> one row for each place: what stands around it. Left bytes are reversed."""
+    """rid, packed text, places, seeds -> one row for each place: what stands around it. Left bytes are reversed."""
     z = zstandard.ZstdDecompressor()
     for rb in batch_iter:
-        for d, t, at, seeds in zip(*(c.to_pylist() for c in rb.columns), strict=True):
-            text = z.decompress(t)
-            left = [text[max(0, p - LENGTH + SEED) : p][::-1] for p in at]
-            right = [text[p : p + LENGTH] for p in at]
-            ctx = [hashlib.blake2b(x + b"%d" % len(x) + y, digest_size=16).digest() for x, y in zip(left, right, strict=True)]
-            yield pa.record_batch([pa.array([d] * len(at), pa.int64()), pa.array(at, pa.int64()), pa.array(seeds, pa.int64()), pa.array(ctx, pa.binary()), pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["doc_id", "at", "seed", "ctx", "lft", "rgt"])
+        for rid, t, places, seeds in zip(*rb.columns, strict=True):
+            text, places, seeds = z.decompress(t.as_py()), places.values, seeds.values
+            for lo in range(0, len(places), 5000):
+                at = places.slice(lo, 5000)
+                left = [text[max(0, p - LENGTH + SEED) : p][::-1] for p in at.to_pylist()]
+                right = [text[p : p + LENGTH] for p in at.to_pylist()]
+                ctx = [hashlib.blake2b(x + b"%d" % len(x) + y, digest_size=16).digest() for x, y in zip(left, right, strict=True)]
+                yield pa.record_batch([pa.array([rid.as_py()] * len(at), pa.int64()), at, seeds.slice(lo, 5000), pa.array(ctx, pa.binary()), pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["rid", "at", "seed", "ctx", "lft", "rgt"])
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -103,37 +110,46 @@ def common(a: bytes, b: bytes) -> int:
     return lo
 
 
-def stack_scan(lefts: list[bytes], rights: list[bytes]) -> Iterator[tuple[int, int, list[int], list[int]]]:
-    """Repeats of a piece of the suffix array (rights sorted): length to the left, to the right, members, each one's own reach to the left.
-
-    An interval's members with the same LENGTH - r bytes to the left repeat a string of LENGTH bytes; that string is
-    extended to the left until its occurrences differ. A set of members that lies in one child interval was put out
-    there, with a longer string.
-    """
-    n = len(rights)
-    lcp = [common(rights[i - 1], rights[i]) for i in range(1, n)] + [-1]
+def intervals(lcp: list[int], least: int) -> Iterator[tuple[int, int, int]]:
+    """The interval tree of a sorted list by the common lengths of its neighbours: (length, first, last) of each interval of least or more."""
     stack: list[tuple[int, int]] = []
-    for i, h in enumerate(lcp):
+    for i, h in enumerate([*lcp, -1]):
         start = i
         while stack and stack[-1][0] > h:
-            r, start = stack.pop()
-            need = LENGTH - r
-            child, groups = 0, defaultdict(list)
-            for m in range(start, i + 1):
-                if m > start and lcp[m - 1] == r:
-                    child += 1
-                if len(lefts[m]) >= need:
-                    groups[lefts[m][:need]].append((lefts[m], m, child))
-            for g in groups.values():
-                if len(g) > 1 and len({c for _, _, c in g}) > 1:
-                    g.sort()
-                    near = [common(g[k - 1][0], g[k][0]) for k in range(1, len(g))]
-                    yield min(near), r, [m for _, m, _ in g], [max(x, y) for x, y in zip([0, *near], [*near, 0], strict=True)]
-        if h >= SEED and (not stack or stack[-1][0] < h):
+            n, start = stack.pop()
+            yield n, start, i
+        if h >= least and (not stack or stack[-1][0] < h):
             stack.append((h, start))
 
 
-def scan_pieces(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def stack_scan(lefts: list[bytes], rights: list[bytes], deep: bool = False) -> Iterator[tuple[int, int, list[int], list[int]]]:
+    """Repeats of a piece of the suffix array (rights sorted): length to the left, to the right, members, each one's own reach to the left.
+
+    An interval's members with the same LENGTH - r bytes to the left repeat a string of LENGTH bytes; that string is
+    extended to the left until its occurrences differ. A set of members that lies in one child interval was put out
+    there, with a longer string. Deep, the members that agree further to the left are put out too, each set of them: the
+    intervals of the left contexts within the interval of the right ones. What is covered is the same.
+    """
+    lcp = [common(rights[i - 1], rights[i]) for i in range(1, len(rights))]
+    for r, start, end in intervals(lcp, SEED):
+        need = LENGTH - r
+        child, groups = 0, defaultdict(list)
+        for m in range(start, end + 1):
+            if m > start and lcp[m - 1] == r:
+                child += 1
+            if len(lefts[m]) >= need:
+                groups[lefts[m][:need]].append((lefts[m], m, child))
+        for g in groups.values():
+            if len(g) > 1 and len({c for _, _, c in g}) > 1:
+                g.sort()
+                near = [common(g[k - 1][0], g[k][0]) for k in range(1, len(g))]
+                reach = [max(x, y) for x, y in zip([0, *near], [*near, 0], strict=True)]
+                for n, lo, hi in intervals(near, need) if deep else [(min(near), 0, len(g) - 1)]:
+                    if len({c for _, _, c in g[lo : hi + 1]}) > 1:
+                        yield n, r, [m for _, m, _ in g[lo : hi + 1]], reach[lo : hi + 1]
+
+
+def scan_pieces(batch_iter: Iterator[pa.RecordBatch], deep: bool = False) -> Iterator[pa.RecordBatch]:
     """Rows (seed, ctx, n, lft, rgt) sorted by seed and rgt -> rows of repeats: seed, ctx, repeat, l, r, reach."""
     held: list = []
 
@@ -144,18 +160,23 @@ def scan_pieces(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             j = i + 1
             while j < len(rows) and rows[j][0] == rows[i][0]:
                 j += 1
-            for k in range(i, j):  # a context that occurs twice or more repeats as a whole
-                if rows[k][2] > 1 and len(rows[k][3]) + len(rows[k][4]) >= LENGTH:
-                    out.append((rows[k][0], rows[k][1], -1 - k + i, len(rows[k][3]), len(rows[k][4]), len(rows[k][3])))
+            found: list = []
             if j - i == 2:
                 a, b = rows[i], rows[i + 1]
                 r = common(a[4], b[4])
                 if r >= SEED and r + len(a[3]) >= LENGTH and a[3][: LENGTH - r] == b[3][: LENGTH - r] and len(b[3]) >= LENGTH - r:
                     n = common(a[3], b[3])
-                    out += [(x[0], x[1], 0, n, r, n) for x in (a, b)]
+                    found += [(x[0], x[1], 0, n, r, n) for x in (a, b)]
             elif j - i > 2:
-                for g, (n, r, members, reach) in enumerate(stack_scan([x[3] for x in rows[i:j]], [x[4] for x in rows[i:j]])):
-                    out += [(rows[i][0], rows[i + m][1], g, n, r, own) for m, own in zip(members, reach, strict=True)]
+                for g, (n, r, members, reach) in enumerate(stack_scan([x[3] for x in rows[i:j]], [x[4] for x in rows[i:j]], deep)):
+                    found += [(rows[i][0], rows[i + m][1], g, n, r, own) for m, own in zip(members, reach, strict=True)]
+            # A context that occurs twice or more repeats as a whole, if it isn't in a repeat of just these bytes.
+            same = {(x[1], x[3], x[4]) for x in found}
+            for k in range(i, j):
+                seed, ctx, n, left, right = rows[k]
+                if n > 1 and len(left) + len(right) >= LENGTH and (ctx, len(left), len(right)) not in same:
+                    found.append((seed, ctx, -1 - k + i, len(left), len(right), len(left)))
+            out += found
             i = j
         if out:
             cols = list(zip(*out, strict=True))
@@ -186,7 +207,7 @@ def windows_of(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def cut_out(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, packed text, spans -> what is removed and a digest of what stays."""
+    """rid, packed text, spans -> what is removed and a digest of what stays."""
     z = zstandard.ZstdDecompressor()
     for rb in batch_iter:
         out = []
@@ -204,52 +225,82 @@ def cut_out(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept.update(text[at:])
             out.append((d, sum(b - a for a, b in runs), len(runs), kept.hexdigest(), runs))
         cols = list(zip(*out, strict=True)) if out else [[]] * 5
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64()))), strict=True)], ["doc_id", "n_removed", "n_spans", "kept_sha256", "spans"])
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64()))), strict=True)], ["rid", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
 class Repeats:
-    """The steps' tables: .occurrences (doc_id, at, seed, repeat, l, r, reach), one row for each occurrence of a maximal repeat, and .removed()."""
+    """The steps' tables, .occurrences() and .removed().
+
+    A row is known by rid, a hash of its doc_id and text: rows that share a doc_id are told apart. Of equal texts one is
+    searched. A seed's contexts are scanned in one task up to GROUP of them. A passage that very many texts share has more,
+    each with other text around it; so they can't be brought together in one task, and are counted window by window.
+    """
 
     def __init__(self, docs: DataFrame):
-        docs = docs.select("doc_id", "text")
-        self.found = staged(docs.mapInArrow(find_anchors, "doc_id long, n_bytes long, sha binary, at array<long>, seeds array<long>"), "repeats-anchors")
-        self.texts = self.found.groupBy("sha").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-        one = self.found.join(self.texts.select("doc_id"), "doc_id", "left_semi")
-        rows = one.select("doc_id", F.explode(F.arrays_zip("at", "seeds")).alias("x")).select("doc_id", "x.at", F.col("x.seeds").alias("seed"))
+        docs, rid = docs.select("doc_id", "text"), F.xxhash64("doc_id", "sha").alias("rid")
+        found = docs.mapInArrow(find_anchors, "doc_id long, n_bytes long, sha binary, at array<long>, seeds array<long>")
+        self.found = staged(found.select(rid, "*"), "repeats-anchors")
+        self.texts = self.found.groupBy("sha").agg(F.min("rid").alias("rid"), F.count("*").alias("copies"))
+        one = self.found.join(self.texts.select("rid"), "rid", "left_semi")
+        rows = one.select("rid", F.explode(F.arrays_zip("at", "seeds")).alias("x")).select("rid", "x.at", F.col("x.seeds").alias("seed"))
         twice = rows.groupBy("seed").count().where("count > 1").select("seed")
-        hits = rows.join(twice, "seed").groupBy("doc_id").agg(F.collect_list(F.struct("at", "seed")).alias("x"))
-        hits = hits.select("doc_id", F.col("x.at").alias("at"), F.col("x.seed").alias("seeds"))
-        self.hits = staged(docs.mapInArrow(packed, "doc_id long, z binary").join(hits, "doc_id"), "repeats-hits")
-        near = self.hits.select("doc_id", "z", "at", "seeds").mapInArrow(contexts, "doc_id long, at long, seed long, ctx binary, lft binary, rgt binary")
-        self.near = near.select("doc_id", "at", "seed", "ctx")
+        hits = rows.join(twice, "seed").groupBy("rid").agg(F.collect_list(F.struct("at", "seed")).alias("x"))
+        hits = hits.select("rid", F.col("x.at").alias("at"), F.col("x.seed").alias("seeds"))
+        # Both sides grow with the documents, so they are shuffled at any size.
+        self.hits = staged(docs.mapInArrow(packed, "doc_id long, sha binary, z binary").select(rid, "z").join(hits.hint("merge"), "rid"), "repeats-hits")
+        near = self.hits.select("rid", "z", "at", "seeds").mapInArrow(contexts, "rid long, at long, seed long, ctx binary, lft binary, rgt binary")
+        self.near = near.select("rid", "at", "seed", "ctx")
         kinds = staged(near.groupBy("seed", "ctx").agg(F.count("*").alias("n"), F.first("lft").alias("lft"), F.first("rgt").alias("rgt")), "repeats-contexts")
         size = kinds.groupBy("seed").agg(F.count("*").alias("kinds"), F.sum("n").alias("all")).where("all > 1")
         sized = kinds.join(size, "seed")
         few = sized.where(F.col("kinds") <= GROUP).select("seed", "ctx", "n", "lft", "rgt")
-        shape = "seed long, ctx binary, repeat long, l long, r long, reach long"
-        self.scanned = staged(few.repartition("seed").sortWithinPartitions("seed", "rgt").mapInArrow(scan_pieces, shape), "repeats-scanned")
+        self.pieces = few.repartition("seed").sortWithinPartitions("seed", "rgt")
+        self.shape = "seed long, ctx binary, repeat long, l long, r long, reach long"
+        self.scanned = staged(self.pieces.mapInArrow(scan_pieces, self.shape), "repeats-scanned")
         self.large = staged(sized.where(F.col("kinds") > GROUP).select("seed", "ctx", "n", "lft", "rgt"), "repeats-large")
 
+    def windows(self) -> tuple[DataFrame, DataFrame]:
+        """Of the large groups: each context's windows (seed, ctx, n, j, w), and those that occur twice, with a hash of the set of contexts that have them."""
+        each = self.large.mapInArrow(windows_of, "seed long, ctx binary, n long, j long, w long")
+        mark = F.xxhash64("ctx")
+        twice = each.groupBy("seed", "j", "w").agg(F.sum("n").alias("all"), F.xxhash64(F.bit_xor(mark), F.sum(F.shiftright(mark, 20)), F.count("*")).alias("set")).where("all > 1")
+        return each, twice.drop("all")
+
     def reach(self) -> DataFrame:
         """seed, ctx -> how far to the left and to the right of the anchor its bytes are covered."""
         near = self.scanned.groupBy("seed", "ctx").agg(F.max("reach").alias("l"), F.max("r").alias("r"))
         if self.large.isEmpty():
             return near
-        each = self.large.mapInArrow(windows_of, "seed long, ctx binary, n long, j long, w long")
-        twice = each.groupBy("seed", "j", "w").agg(F.sum("n").alias("all")).where("all > 1").drop("all")
+        each, twice = self.windows()
         far = each.join(twice, ["seed", "j", "w"]).groupBy("seed", "ctx").agg(F.max("j").alias("l"), (LENGTH - F.min("j")).alias("r"))
         return near.union(far)
 
     def occurrences(self) -> DataFrame:
-        """One row for each occurrence of a maximal repeat of the scanned pieces: repeat id, doc_id, its bytes."""
-        x = self.scanned.join(self.near, ["seed", "ctx"])
-        return x.select(F.struct("seed", "repeat", "r", "l").alias("repeat_id"), "doc_id", (F.col("at") - F.col("l")).alias("start"), (F.col("at") + F.col("r")).alias("end"))
+        """repeat_id, doc_id, start, end (bytes): one row for each occurrence of a repeat, copies of equal texts among them.
+
+        A repeat is a string that, made longer on either side, occurs less often. It reaches as far from its anchor as windows
+        of LENGTH bytes do: a longer one comes out anchor by anchor. In groups beyond GROUP it is the union of the windows that occur in just the
+        same contexts. Equal texts of LENGTH bytes or more are a repeat of their own.
+        """
+        deep = self.pieces.mapInArrow(lambda it: scan_pieces(it, True), self.shape)
+        rows = deep.select("seed", "ctx", F.xxhash64("repeat", "r", "l").alias("set"), "l", "r")
+        if not self.large.isEmpty():
+            each, twice = self.windows()
+            both = each.join(twice, ["seed", "j", "w"])
+            rows = rows.union(both.groupBy("seed", "ctx", "set").agg(F.max("j").alias("l"), (LENGTH - F.min("j")).alias("r")))
+        copies = self.found.select("sha", "doc_id", "n_bytes").join(self.texts, "sha")
+        x = rows.join(self.near, ["seed", "ctx"]).join(copies.select("rid", "doc_id"), "rid")
+        x = x.select(F.struct("seed", "set").alias("repeat_id"), "doc_id", (F.col("at") - F.col("l")).alias("start"), (F.col("at") + F.col("r")).alias("end"))
+        whole = copies.where((F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH))
+        whole = whole.select(F.struct(F.col("rid").alias("seed"), F.lit(0).cast("long").alias("set")).alias("repeat_id"), "doc_id", F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end"))
+        return x.union(whole)
 
     def removed(self) -> DataFrame:
-        spans = self.near.join(self.reach(), ["seed", "ctx"]).groupBy("doc_id").agg(F.collect_list(F.struct((F.col("at") - F.col("l")).alias("s"), (F.col("at") + F.col("r")).alias("e"))).alias("spans"))
-        cut = self.hits.select("doc_id", "z").join(spans, "doc_id").mapInArrow(cut_out, "doc_id long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")
+        spans = self.near.join(self.reach(), ["seed", "ctx"]).groupBy("rid").agg(F.collect_list(F.struct((F.col("at") - F.col("l")).alias("s"), (F.col("at") + F.col("r")).alias("e"))).alias("spans"))
+        cut = self.hits.select("rid", "z").join(spans, "rid").mapInArrow(cut_out, "rid long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")
+        cut = cut.dropDuplicates(["rid"])  # repeated rows are one text
         whole = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
-        out = self.found.select("doc_id", "n_bytes", "sha").join(self.texts.select("sha", "copies"), "sha").join(cut, "doc_id", "left")
+        out = self.found.select("rid", "doc_id", "n_bytes", "sha").join(self.texts.select("sha", "copies"), "sha").join(cut, "rid", "left")
         return out.select(
             "doc_id", "n_bytes",
             F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
@@ -263,7 +314,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans; other columns are not read.
 
     Removes each byte covered by a string of LENGTH bytes that also starts anywhere else. Null is an empty text; texts
-    shorter than LENGTH stay whole; equal texts are removed whole; an empty table gives an empty result.
+    shorter than LENGTH stay whole; equal texts and repeated rows are removed whole; rows that share a doc_id and differ are
+    texts of their own; an empty table gives an empty result.
     """
     return Repeats(docs).removed()
 
