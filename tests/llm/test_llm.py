@@ -2,10 +2,12 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,17 +45,38 @@ def corpus(seed=1, n=60):
     return out
 
 
-ALL = [
-    ("op1", lambda d: op1.leaks(d, d.select(F.col("doc_id").alias("item_id"), "text").where("doc_id between 4 and 6"))),
-    ("op2", op2.remove_repeats), ("op3", op3.dedup_lines), ("op4", op4.quality), ("op5", op5.near_duplicates), ("op7", lambda d: op7.predict_language(d, op7.fit(d))), ("op8", op8.licenses), ("op9", op9.mix_sources), ("op10", lambda d: op10.pseudonymize(d, "k")),
-]
+ODD = [None, "", " \n\t", "a", "same same", "same same", "word " * 5000, "é" * 300]
 
 
-@pytest.mark.parametrize(("name", "f"), ALL, ids=[n for n, _ in ALL])
-def test_empty_table_and_odd_rows(spark, name, f):
+def leaks_of_some(d):
+    return op1.leaks(d, d.select(F.col("doc_id").alias("item_id"), "text").where("doc_id between 4 and 6"))
+
+
+def by_doc(rows, *names):
+    return sorted(tuple(r[n] for n in ("doc_id", *names)) for r in rows)
+
+
+#: Operator, and what its rows are on the odd texts, sorted by doc_id.
+CASES = {
+    "op1": (leaks_of_some, lambda rows: by_doc(rows, "item_id", "passage") == [(4, 4, 0), (4, 5, 0), (5, 4, 0), (5, 5, 0), (6, 6, 0)]),
+    "op2": (op2.remove_repeats, lambda rows: by_doc(rows, "n_bytes", "n_removed", "n_spans") == [(i, len((t or "").encode()), n, int(n > 0)) for i, (t, n) in enumerate(zip(ODD, [0] * 6 + [25000, 600], strict=True))]),
+    "op3": (op3.dedup_lines, lambda rows: [r.text for r in sorted(rows, key=lambda r: r.doc_id)] == [*ODD[:5], "", *ODD[6:]] and [r.n_removed_lines for r in sorted(rows, key=lambda r: r.doc_id)] == [0] * 5 + [1, 0, 0]),
+    "op4": (op4.quality, lambda rows: by_doc(rows, "n_words", "base_failed") == [(i, n, True) for i, n in enumerate([0, 0, 0, 1, 2, 2, 5000, 1])]),
+    "op5": (op5.near_duplicates, lambda rows: by_doc(rows, "n_shingles", "component_id") == [(0, 0, 0), (1, 0, 1), (2, 0, 2), (3, 1, 3), (4, 1, 4), (5, 1, 4), (6, 1, 6), (7, 1, 7)]),
+    "op6": (lambda d: op6.score_toxicity(d, ch := op6.language_model(d), op6.fit(d, d.select("doc_id", F.lit(None).cast("int").alias("toxic")), ch)), lambda rows: [(r.doc_id, r.score, r.restored) for r in sorted(rows)] == [(i, 0.5, []) for i in range(8)]),
+    "op7": (lambda d: op7.predict_language(d, op7.fit(d)), lambda rows: by_doc(rows, "lang_pred") == [(i, "und" if i < 3 else "en") for i in range(8)]),
+    "op8": (op8.licenses, lambda rows: rows == []),
+    "op9": (op9.mix_sources, lambda rows: sorted({r.copy for r in rows}) == list(range(1, max(r.copy for r in rows) + 1)) and len({(r.doc_id, r.copy) for r in rows}) == len(rows) and {r.kept for r in rows} == {"x"}),
+    "op10": (lambda d: op10.pseudonymize(d, "k"), lambda rows: by_doc(rows, "n_entities") == [(i, 0) for i in range(8)] and [r.text for r in sorted(rows, key=lambda r: r.doc_id)] == ODD),
+}
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_empty_table_and_odd_rows(spark, name):
+    f, holds = CASES[name]
     assert f(table(spark, ["x"]).where("doc_id < 0")).count() == 0
-    rows = table(spark, [None, "", " \n\t", "a", "same same", "same same", "word " * 5000, "é" * 300])
-    assert f(rows).count() >= 0
+    rows = f(table(spark, ODD)).collect()
+    assert holds(rows), rows
 
 
 def shingles(t):
@@ -110,6 +133,41 @@ def test_op2_large_groups_are_counted_by_window(spark, monkeypatch):
     assert op2.remove_repeats(table(spark, texts)).drop("spans").orderBy("doc_id").collect() == want
 
 
+@pytest.mark.parametrize("group", [20_000, 1])
+def test_op2_occurrences_are_all_repeats(spark, monkeypatch, group):
+    """Each repeat's occurrences have the same bytes, 200 or more, and all occurrences of those bytes are there; they cover what is removed."""
+    monkeypatch.setattr(op2, "GROUP", group)
+    texts = [t and t[:1200] for t in corpus()]
+    data = [(t or "").encode() for t in texts]
+    r = op2.Repeats(table(spark, texts))
+    groups = collections.defaultdict(set)
+    for x in r.occurrences().collect():
+        groups[x.repeat_id].add((x.doc_id, x.start, x.end))
+    assert len(groups) > 10
+    covered = collections.defaultdict(set)
+    for members in groups.values():
+        strings = {data[d][a:b] for d, a, b in members}
+        assert len(strings) == 1
+        one = strings.pop()
+        assert len(one) >= 200
+        assert len(members) > 1
+        everywhere = {(d, i) for d, t in enumerate(data) for i in range(len(t) - len(one) + 1) if t.startswith(one, i)}
+        assert {(d, a) for d, a, _ in members} <= everywhere
+        # Copies of equal texts also form a repeat of their own; all others hold every occurrence.
+        assert {(d, a) for d, a, _ in members} == everywhere or len({data[d] for d, _, _ in members}) == 1
+        for d, a, b in members:
+            covered[d].update(range(a, b))
+    for x in r.removed().collect():
+        assert sum(len(range(*s)) for s in x.spans) == x.n_removed == len(covered[x.doc_id])
+
+
+def test_op2_rows_that_share_a_doc_id(spark):
+    long = " ".join(corpus()[4:8])[:900]
+    rows = [(1, long), (1, "a text of its own without any repeat " * 3), (2, long[:500]), (3, "once"), (3, "once")]
+    got = op2.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed) for r in got) == [(1, 111, 0), (1, 900, 500), (2, 500, 500), (3, 4, 0), (3, 4, 0)]
+
+
 def test_op3_is_brute_force(spark):
     r = random.Random(2)
     texts = ["\n".join([t, "the same line of some length in many", f"item {r.randrange(3)} of a list that is nearly the same in all of its characters and words {r.randrange(3)}", " "]) for t in corpus()[4:40]]
@@ -149,6 +207,37 @@ def test_op1_finds_items_and_wand_is_exact(spark):
             assert {j for j, _ in index.wand(passage, least)} == want
 
 
+@pytest.mark.parametrize("shard", [50_000, 4])
+def test_op1_is_brute_force(spark, monkeypatch, shard):
+    """All passages of all documents, scored for all items; shards don't change the result."""
+    r = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(60)]
+    items = [(k, " ".join(r.choice(vocabulary) for _ in range(r.randint(4, 30)))) for k in range(12)]
+    texts = []
+    for d in range(30):
+        words = [r.choice(vocabulary) for _ in range(r.randint(0, 400))]
+        if d % 3 == 0:
+            at = r.randrange(len(words) + 1)
+            words[at:at] = items[d % 12][1].split()[: r.choice([100, 8])]
+        texts.append(" ".join(words))
+    monkeypatch.setattr(op1, "SHARD_ITEMS", shard)
+    got = {(x.doc_id, x.item_id): (x.passage, round(x.score, 9)) for x in op1.leaks(table(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    index = op1.Index(items)
+    half, want = index.width // 2, {}
+    for d, t in enumerate(texts):
+        for _, data, offsets in op1.batches(pa.array([t], pa.large_string())):
+            words = op1.hashed_words(data, offsets)[0].tolist()
+            for at in range(0, max(len(words), 1), half):
+                passage = words[at : at + index.width]
+                for k in range(len(items)):
+                    score = sum(s for w, p in index.postings.items() if w in set(passage) for i, s in p if i == k)
+                    q, a = index.overlaps(k, passage) if passage else (0, 0)
+                    if score >= op1.SCORE - 1e-9 and q >= op1.QUESTION and a >= op1.ANSWER and ((d, k) not in want or round(score, 9) > want[d, k][1]):
+                        want[d, k] = (at, round(score, 9))
+    assert len(want) > 4
+    assert got == want
+
+
 def test_op3_short_lines(spark):
     """Lines of a shingle or less are alike if equal in lower case; one of ten equal letters has the shingle of eleven."""
     texts = ["Read More\nHOME\na\nabcdefghiJ\nÉté", "READ MORE\nhome\nA\nABCDEFGHIJ\nété\n ", "read more\nhomes\nb\nabcdefghik\nÉTÉ\n\n", "x" * 10, "X" * 11]
@@ -245,6 +334,72 @@ def test_op6_decodes_long_spans_whole(spark):
     assert channel.restore("1d10t." * 5000 + "x").replace(" ", "") == "idiot" * 5000 + "x"
 
 
+def test_op6_decode_is_the_best_of_all_paths(spark):
+    """Every reading of short spans, with its cost, against the lattice."""
+    channel = op6.language_model(table(spark, ["the loser and the idiot shit on a moron"] * 20))
+    space = op6.symbol(" ")
+
+    def readings(span, i, a, b, cost, text):
+        if i == len(span):
+            yield (cost if b == space else cost + channel.cost[a][b][space]), text.strip()
+            return
+        c = span[i]
+        if c.isalpha() or c.isspace():
+            options = [(c, op6.KEPT if c.isspace() else 0.0)]
+        else:
+            options = [(x, op6.SIGN) for x in op6.LEET.get(c, "")] + [(" ", op6.KEPT)] * (not c.isalnum())
+        run = i and c == span[i - 1] and (i > 1 and span[i - 2] == c or span[i + 1 : i + 2] == c)
+        skip = op6.AGAIN if run else op6.SPACED if c.isspace() else op6.BETWEEN if not c.isalnum() else None
+        for x, extra in options:
+            s = op6.symbol(x)
+            if not (s == space == b):
+                yield from readings(span, i + 1, b, s, cost + extra + channel.cost[a][b][s], text + x)
+        if skip is not None:
+            yield from readings(span, i + 1, a, b, cost + skip, text)
+
+    r = random.Random(4)
+    for _ in range(300):
+        span = "".join(r.choice("losert10537!$. -") for _ in range(r.randint(2, 7)))
+        if not any(c.isalpha() for c in span) or any(c.isdigit() and c not in op6.LEET for c in span):
+            continue
+        best = sorted(readings(span, 0, space, space, 0.0, ""))
+        ties = {t for c, t in best if c < best[0][0] + 1e-9}
+        assert channel.cheapest(span) in ties, (span, best[:3])
+
+
+def test_op7_is_plain_naive_bayes(spark):
+    r = random.Random(6)
+    sounds = {"aa": ["ka", "to", "mi"], "bb": ["ki", "ta", "mo"], "cc": ["ka", "ta", "zu"]}
+    texts = [" ".join("".join(r.choice(sounds[lang]) for _ in range(3)) for _ in range(r.randint(1, 6))) for lang in sounds for _ in range(12)]
+    langs = {i: list(sounds)[i // 12] for i in range(36)}
+    docs = table(spark, texts, langs)
+    model = op7.fit(docs.where("doc_id % 3 > 0"))
+    got = {x.doc_id: (x.lang_pred, x.score) for x in op7.predict_language(docs, model).collect()}
+
+    def grams(t):
+        t = "".join(c if c.isalpha() else " " for c in t.lower() + " ")
+        for n in op7.GRAMS:
+            for i in range(len(t) - n + 1):
+                if t[i : i + n].strip():
+                    h = 0
+                    for k in range(n):  # from the last character to the first
+                        h = (h * 0x9E3779B1 + ord(t[i + n - 1 - k]) + k + 1) % 2**32
+                    h ^= h >> 15
+                    h = h * 0x85EBCA6B % 2**32
+                    yield (h ^ (h >> 13)) % model.buckets
+
+    train = [i for i in range(36) if i % 3]
+    counts = {x: collections.Counter(g for i in train if langs[i] == x for g in grams(texts[i])) for x in sounds}
+    for i, t in enumerate(texts):
+        logs = {}
+        for x, c in counts.items():
+            total = sum(c.values()) + op7.SMOOTHING * model.buckets
+            logs[x] = math.log(sum(langs[k] == x for k in train) / len(train)) + sum(math.log((c[g] + op7.SMOOTHING) / total) for g in grams(t))
+        best = max(sorted(logs), key=lambda x: logs[x])
+        assert got[i][0] == best
+        assert abs(got[i][1] - 1 / sum(math.exp(v - logs[best]) for v in logs.values())) < 1e-9
+
+
 def test_op7_held_out(spark):
     en, fr = "the house and the garden of this town were there ", "la maison et le jardin de cette ville sont là "
     docs = table(spark, [(en if i % 2 else fr) * (i % 4 + 1) for i in range(40)] + [None, "12 34 !"], {i: "en" if i % 2 else "fr" for i in range(40)})
@@ -275,6 +430,51 @@ def test_op8_finds_each_of_close_repeats(spark):
     assert [(r.template, r.coverage) for r in got if r.doc_id == 3] == [("MIT-grant", 1.0)]
 
 
+def test_op8_is_full_alignment(spark):
+    """Templates with words exchanged, put in and left out among other words, against the longest common subsequence with each template."""
+    r = random.Random(9)
+    plain = lambda t: re.findall(r"[a-z0-9]+", t.lower())
+    texts, own = [], []
+    for _ in range(120):
+        own.append(r.randrange(len(op8.TEMPLATES)))
+        words = plain(op8.TEMPLATES[own[-1]][1])
+        for _ in range(r.choice([0, 1, len(words) // 12, len(words) // 6, len(words) // 3])):
+            at = r.randrange(len(words))
+            words[at : at + r.choice([0, 1, 1])] = r.choice([[], ["zzz"], ["qqq"]])
+        texts.append(" ".join([f"x{i}" for i in range(r.randint(0, 30))] + words + [f"y{i}" for i in range(r.randint(0, 30))]))
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    got = {(x.doc_id, x.template): x.words for x in op8.licenses(table(spark, texts)).collect()}
+    want = {}
+    for d, t in enumerate(texts):
+        for name, template in op8.TEMPLATES:
+            n = common(plain(template), plain(t))
+            if n >= op8.COVERAGE * len(plain(template)):
+                want[d, name] = n
+    assert set(got) <= set(want)
+    # A subsequence of all of the text may be strewn over it; one of the template that the text was made from is not.
+    made = {(d, op8.TEMPLATES[k][0]) for d, k in enumerate(own)} & set(want)
+    assert len(made) > 60
+    assert len(made & set(got)) >= 0.97 * len(made)  # what shares no fingerprint, or leaves the band
+    assert all(n <= want[k] for k, n in got.items())
+
+
+def test_op8_finds_whole_licenses(spark):
+    names = [n for n, _ in op8.LICENSES]
+    texts = [t.replace("\n", "\r\n * ") for _, t in op8.LICENSES] + ["Copyright (c) 2020 A. Author\n\n" + op8.LICENSES[0][1].replace("THE SOFTWARE", "THE PROGRAM")]
+    got = {(x.doc_id, x.template): x.coverage for x in op8.licenses(table(spark, texts)).collect()}
+    assert all(got[i, n] == 1.0 for i, n in enumerate(names))
+    assert 0.9 < got[len(names), names[0]] < 1.0
+
+
 def test_op9_means_and_repeats(spark):
     docs = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") % 10 == 0, "rare").otherwise("hot").alias("source"), F.lit("a").alias("copy"))
     w = spark.createDataFrame([("rare", 1.0), ("hot", 1.0)], "source string, weight double")
@@ -318,6 +518,26 @@ def test_op10_later_bare_mentions(spark):
     assert rows[1].text == texts[1]
 
 
+def test_op10_draws_are_those_of_brute_force(spark):
+    r = random.Random(2)
+    values = sorted({"".join(r.choice("ab1") for _ in range(2)) for _ in range(30)} | {f"{i}" for i in range(6)} | {"xy", "qa"})
+    found = spark.createDataFrame([("secret", v) for v in values], "kind string, value string")
+    got = {x.value: x.attempt for x in op10.assign(found, "k").collect()}
+    attempt = dict.fromkeys(values, 0)
+    while True:
+        new = {v: op10.surrogate("k", "secret", v, a) for v, a in attempt.items()}
+        first = {}
+        for v in values:
+            first.setdefault(new[v], v)
+        again = {v for v in values if first[new[v]] != v or new[v] in attempt}
+        if not again:
+            break
+        for v in again:
+            attempt[v] += 1
+    assert got == {v: a for v, a in attempt.items() if a}
+    assert got
+
+
 def test_op10_full_formats(spark):
     """All values of a format: their surrogates are longer, and still distinct."""
     values = [f"{i:03d}" for i in range(1000)]
