@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
-from eventloom.functions.staging import removed
+from eventloom.functions.staging import removed, staged, unstage
 from eventloom.operators import baselines, insights, maintenance, projections
 from eventloom.operators.correlate import arrivals, link_traces
 from eventloom.operators.projections import TERMINAL
@@ -107,16 +107,25 @@ class Store:
 
     def derive(self, fresh: DataFrame) -> None:
         before = self.log("events", self.shape).select(*FLAT).join(fresh.select("event_id"), "event_id", "left_anti")
-        log = link_traces(self.events())
+        log = staged(link_traces(self.events()), "log")
         # A new run id of a trace can link older events again: all of the trace's events, as they were and as they are.
         traces = fresh.where(present("trace_id").isNotNull()).select("trace_id").distinct()
         ids = fresh.select("event_id").union(log.join(traces, "trace_id", "left_semi").select("event_id")).distinct()
         dirty = log.join(ids, "event_id", "left_semi").unionByName(link_traces(before).join(ids, "event_id", "left_semi"))
-        self.publish({name: self.table(name).join(keys, KEYS[name], "left_anti").unionByName(again) for name, (keys, again) in touched(log, dirty).items()})
+        dirty = staged(dirty, "dirty")
+        entities = staged(insights.entities_judged(dirty).distinct(), "judged")
+        found = staged(insights.findings(log, only=entities), "found")
+        try:
+            derived = touched(log, dirty, entities, found)
+            self.publish({name: self.table(name).join(keys, KEYS[name], "left_anti").unionByName(again) for name, (keys, again) in derived.items()})
+        finally:
+            unstage(log, dirty, entities, found)
 
     def rebuild(self) -> None:
         """STR-7: all tables anew from the log."""
-        self.publish(maintenance.rebuild(link_traces(self.events())))
+        log = staged(link_traces(self.events()), "log")
+        self.publish(maintenance.rebuild(log))
+        unstage(log)
 
     def repair(self) -> list[str]:
         """STR-10: rebuilds, and clears the gaps that were there at the start. A gap whose events are lost blocks it: those come back, and nothing is done."""
@@ -130,8 +139,11 @@ class Store:
         return []
 
 
-def touched(log: DataFrame, dirty: DataFrame) -> dict[str, tuple[DataFrame, DataFrame]]:
-    """For each derived table the keys that dirty events touch, and those keys' rows from all their events in the log."""
+def touched(log: DataFrame, dirty: DataFrame, entities: DataFrame, found: DataFrame) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """For each derived table the keys that dirty events touch, and those keys' rows from all their events in the log.
+
+    A late sample may change the verdicts of those after it, so found has all findings of the touched entities, made again.
+    """
     out: dict[str, tuple[DataFrame, DataFrame]] = {}
 
     def narrowed(name: str, keys: DataFrame, rows: DataFrame, derive: Callable[[DataFrame], DataFrame]) -> None:
@@ -146,9 +158,6 @@ def touched(log: DataFrame, dirty: DataFrame) -> dict[str, tuple[DataFrame, Data
     keys = assets.select(asset_id).distinct()
     out["assets"] = keys, projections.assets(log.join(assets.select("asset_key").distinct(), "asset_key", "left_semi"))
     narrowed("baselines", baselines.observations(dirty).select("entity", "metric"), baselines.observations(log), baselines.baselines)
-    # A late sample may change the verdicts of those after it, so all findings of a touched entity are made again.
-    entities = insights.entities_judged(dirty).distinct()
-    found = insights.findings(log, only=entities)
     out["insights"] = entities, insights.episodes(found, log, only=entities)
     out["incidents"] = entities, insights.incidents(found)
     return out
