@@ -106,7 +106,10 @@ class Model:
 
 
 def fit(docs: DataFrame) -> Model | None:
-    """docs(lang, text), null langs left out -> a model, or None if nothing is left. Languages are in order, so ties are too."""
+    """docs(lang, text), null langs left out -> a model, or None if nothing is left. Languages are in order, so ties are too.
+
+    More than CELLS // 256 languages raise a ValueError: the matrix, and so the broadcast, has a bound.
+    """
     docs = docs.where("lang is not null")
     n = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().orderBy("lang").limit(CELLS // 256 + 1).collect()}
     if not n:
