@@ -46,7 +46,7 @@ def accepted(df: DataFrame) -> DataFrame:
 def link_traces(df: DataFrame) -> DataFrame:
     """JOIN-1: events with a trace and no run take the smallest run of that trace. One row for each trace meets the join, so a busy trace is no hot key on its side."""
     link = df.where(present("trace_id").isNotNull() & present("run_id").isNotNull()).groupBy("trace_id").agg(F.min("run_id").alias("linked"))
-    return df.join(link, "trace_id", "left").withColumn("run_id", F.coalesce(present("run_id"), "linked")).drop("linked")
+    return df.join(link, "trace_id", "left").withColumn("run_id", F.coalesce(present("run_id"), "linked")).select(*df.columns)
 
 
 def correlation_method() -> Column:

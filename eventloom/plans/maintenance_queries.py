@@ -11,7 +11,7 @@ from eventloom.operators import maintenance as m
 from eventloom.operators import projections as p
 from eventloom.plans.common import over_events, over_silver
 from eventloom.plans.graph_queries import ASSETS, ROLES, RUNS
-from eventloom.plans.insight_queries import EPISODES, FOUND
+from eventloom.plans.insight_queries import EPISODES, FOUND, INCIDENTS
 from eventloom.schema import sql
 
 AS_OF = "1998-06-01"
@@ -27,6 +27,18 @@ def _requests(ev):
     return ev.where("event = 'quality.check'").select(F.col("asset_key").alias("target"), F.col("observed_at").alias("at"), F.dense_rank().over(W.partitionBy("asset_key", "observed_at").orderBy("event_id")).alias("seq"), to.alias("to"))
 
 
+def _carried(episodes):
+    """Insights against older rows of them, with other ids and a part of the evidence."""
+    shape = lambda df: df.select("id", "rule", "dedupe_key", "entity", "events")
+    fresh = episodes.withColumns({"id": F.col("insight_id"), "events": F.col("evidence")})
+    old = episodes.where("findings >= 2").withColumns({"id": F.concat(F.lit("old-"), "insight_id"), "events": F.slice("evidence", 2, 2)})
+    return lc.carried_ids(shape(old), shape(fresh))
+
+
+def _raw(ev):
+    return ev.where("event = 'pipeline.run'").select(F.timestamp_add("DAY", F.lit(14), "received_at").alias("expires_at"))
+
+
 def _gaps(ev):
     g = ev.where("event = 'pipeline.run' AND outcome = 'failure'").groupBy(F.col("job_id").alias("failure_id")).agg(F.min("observed_at").alias("occurred_at"), F.collect_list("event_id").alias("event_ids"))
     return g.withColumn("event_ids", F.when(F.col("failure_id").endswith("7"), F.concat("event_ids", F.array(F.lit("gone")))).otherwise(F.col("event_ids")))
@@ -87,4 +99,16 @@ QUERIES = {
             SELECT 'runs', count(*) FILTER (updated_at > TIMESTAMP '{AS_OF}' - INTERVAL 365 DAY), count(*) FILTER (updated_at <= TIMESTAMP '{AS_OF}' - INTERVAL 365 DAY) FROM run UNION ALL
             SELECT 'insights', count(*) FILTER (resolved_by IS NULL OR last_observed_at > TIMESTAMP '{AS_OF}' - INTERVAL 365 DAY), count(*) FILTER (resolved_by IS NOT NULL AND last_observed_at <= TIMESTAMP '{AS_OF}' - INTERVAL 365 DAY) FROM epi""", EPISODES + "," + RUNS),
     ),
+    "join16_carried_ids": (
+        over_silver(lambda ev: _carried(i.episodes(i.findings(ev), ev))),
+        sql("SELECT 'old-' || sha256(dedupe_key || '|' || first_event) AS old_id, sha256(dedupe_key || '|' || first_event) AS new_id, false AS ambiguous FROM epi WHERE findings >= 2", EPISODES),
+    ),
+    "str11_retained": (
+        over_silver(lambda ev: m.retention({"events": ev, "runs": p.runs(ev), "insights": i.episodes(i.findings(ev), ev), "incidents": i.incidents(i.findings(ev)).withColumn("state", F.lit("resolved")), "raw": _raw(ev)}, _now())[1]),
+        sql(f"""SELECT 'events' AS name, count(*) FILTER (received_at > TIMESTAMP '{AS_OF}' - INTERVAL 90 DAY) AS stay, count(*) FILTER (received_at <= TIMESTAMP '{AS_OF}' - INTERVAL 90 DAY) AS go FROM ev UNION ALL
+            SELECT 'runs', count(*) FILTER (updated_at > TIMESTAMP '{AS_OF}' - INTERVAL 365 DAY), count(*) FILTER (updated_at <= TIMESTAMP '{AS_OF}' - INTERVAL 365 DAY) FROM run UNION ALL
+            SELECT 'insights', count(*) FILTER (resolved_by IS NULL OR last_observed_at > TIMESTAMP '{AS_OF}' - INTERVAL 365 DAY), count(*) FILTER (resolved_by IS NOT NULL AND last_observed_at <= TIMESTAMP '{AS_OF}' - INTERVAL 365 DAY) FROM epi UNION ALL
+            SELECT 'incidents', count(*) FILTER (t > TIMESTAMP '{AS_OF}' - INTERVAL 365 DAY), count(*) FILTER (t <= TIMESTAMP '{AS_OF}' - INTERVAL 365 DAY) FROM (SELECT max(observed_at) AS t FROM isl GROUP BY entity, island) UNION ALL
+            SELECT 'raw', count(*) FILTER (received_at + INTERVAL 14 DAY > TIMESTAMP '{AS_OF}'), count(*) FILTER (received_at + INTERVAL 14 DAY <= TIMESTAMP '{AS_OF}') FROM ev WHERE event = 'pipeline.run'""", EPISODES + INCIDENTS[len(FOUND):] + "," + RUNS),
+    ),
 }
