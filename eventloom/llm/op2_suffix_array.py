@@ -149,48 +149,72 @@ def stack_scan(lefts: list[bytes], rights: list[bytes], deep: bool = False) -> I
                         yield n, r, [m for _, m, _ in g[lo : hi + 1]], reach[lo : hi + 1]
 
 
-def scan_pieces(batch_iter: Iterator[pa.RecordBatch], deep: bool = False) -> Iterator[pa.RecordBatch]:
-    """Rows (seed, ctx, n, lft, rgt) sorted by seed and rgt -> rows of repeats: seed, ctx, repeat, l, r, reach."""
-    held: list = []
-
-    def flush(rows: list) -> Iterator[pa.RecordBatch]:
-        out: list = []
-        i = 0
-        while i < len(rows):
-            j = i + 1
-            while j < len(rows) and rows[j][0] == rows[i][0]:
-                j += 1
-            found: list = []
-            if j - i == 2:
-                a, b = rows[i], rows[i + 1]
-                r = common(a[4], b[4])
-                if r >= SEED and r + len(a[3]) >= LENGTH and a[3][: LENGTH - r] == b[3][: LENGTH - r] and len(b[3]) >= LENGTH - r:
-                    n = common(a[3], b[3])
-                    found += [(x[0], x[1], 0, n, r, n) for x in (a, b)]
-            elif j - i > 2:
-                for g, (n, r, members, reach) in enumerate(stack_scan([x[3] for x in rows[i:j]], [x[4] for x in rows[i:j]], deep)):
-                    found += [(rows[i][0], rows[i + m][1], g, n, r, own) for m, own in zip(members, reach, strict=True)]
-            # A context that occurs twice or more repeats as a whole, if it isn't in a repeat of just these bytes.
-            same = {(x[1], x[3], x[4]) for x in found}
-            for k in range(i, j):
-                seed, ctx, n, left, right = rows[k]
-                if n > 1 and len(left) + len(right) >= LENGTH and (ctx, len(left), len(right)) not in same:
-                    found.append((seed, ctx, -1 - k + i, len(left), len(right), len(left)))
-            out += found
-            i = j
-        if out:
-            cols = list(zip(*out, strict=True))
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), *[pa.int64()] * 4), strict=True)], ["seed", "ctx", "repeat", "l", "r", "reach"])
-
+def pieces_of(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows (seed, ctx, n, lft, rgt) sorted by seed and rgt -> each seed's."""
+    held: list[tuple] = []
     for rb in batch_iter:
-        for lo in range(0, rb.num_rows, 4096):
-            held += zip(*(c.to_pylist() for c in rb.slice(lo, 4096).columns), strict=True)
-            cut = len(held) - 1
-            while cut > 0 and held[cut - 1][0] == held[-1][0]:
-                cut -= 1
-            yield from flush(held[:cut])
-            held = held[cut:]
-    yield from flush(held)
+        for lo in range(0, rb.num_rows, 2000):
+            for row in zip(*(c.to_pylist() for c in rb.slice(lo, 2000).columns), strict=True):
+                if held and row[0] != held[0][0]:
+                    yield held
+                    held = []
+                held.append(row)
+    if held:
+        yield held
+
+
+def scan_reach(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each seed's piece -> seed, ctx, and how far the bytes left and right of the anchor are covered by repeats: a row for each context that is."""
+    cols: tuple[list, ...] = ([], [], [], [])
+
+    def batch() -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["seed", "ctx", "l", "r"])
+
+    for rows in pieces_of(batch_iter):
+        far, right = [0] * len(rows), [0] * len(rows)
+        if len(rows) == 2:
+            a, b = rows
+            r = common(a[4], b[4])
+            if r >= SEED and r + min(len(a[3]), len(b[3])) >= LENGTH and a[3][: LENGTH - r] == b[3][: LENGTH - r]:
+                far, right = [common(a[3], b[3])] * 2, [r] * 2
+        elif len(rows) > 2:
+            for _, r, members, reach in stack_scan([x[3] for x in rows], [x[4] for x in rows]):
+                for m, own in zip(members, reach, strict=True):
+                    far[m], right[m] = max(far[m], own), max(right[m], r)
+        for k, (seed, ctx, n, x, y) in enumerate(rows):
+            if n > 1 and len(x) + len(y) >= LENGTH:  # a context that occurs twice or more repeats as a whole
+                far[k], right[k] = len(x), len(y)
+            if right[k]:
+                for c, v in zip(cols, (seed, ctx, far[k], right[k]), strict=True):
+                    c.append(v)
+        if len(cols[0]) > 20_000:
+            yield batch()
+            for c in cols:
+                c.clear()
+    if cols[0]:
+        yield batch()
+
+
+def scan_repeats(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each seed's piece -> its repeats with their members: seed, ctx, repeat, l, r."""
+    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+    for rows in pieces_of(batch_iter):
+        twice = {x[1] for x in rows if x[2] > 1}
+        same, out, repeat = set(), [], 0
+        scan = stack_scan([x[3] for x in rows], [x[4] for x in rows], deep=True) if len(rows) > 1 else ()
+        for repeat, (n, r, members, _) in enumerate(scan, 1):
+            out += [(rows[0][0], rows[m][1], repeat, n, r) for m in members]
+            same.update((rows[m][1], n, r) for m in members if rows[m][1] in twice)
+            if len(out) > 50_000:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["seed", "ctx", "repeat", "l", "r"])
+                out = []
+        # A context that occurs twice or more repeats as a whole, if it isn't in a repeat of just these bytes.
+        for seed, ctx, n, x, y in rows:
+            if n > 1 and len(x) + len(y) >= LENGTH and (ctx, len(x), len(y)) not in same:
+                repeat += 1
+                out.append((seed, ctx, repeat, len(x), len(y)))
+        if out:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["seed", "ctx", "repeat", "l", "r"])
 
 
 def windows_of(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,8 +279,7 @@ class Repeats:
         sized = kinds.join(size, "seed")
         few = sized.where(F.col("kinds") <= GROUP).select("seed", "ctx", "n", "lft", "rgt")
         self.pieces = few.repartition("seed").sortWithinPartitions("seed", "rgt")
-        self.shape = "seed long, ctx binary, repeat long, l long, r long, reach long"
-        self.scanned = staged(self.pieces.mapInArrow(scan_pieces, self.shape), "repeats-scanned")
+        self.scanned = staged(self.pieces.mapInArrow(scan_reach, "seed long, ctx binary, l long, r long"), "repeats-scanned")
         self.large = staged(sized.where(F.col("kinds") > GROUP).select("seed", "ctx", "n", "lft", "rgt"), "repeats-large")
 
     def windows(self) -> tuple[DataFrame, DataFrame]:
@@ -268,12 +291,11 @@ class Repeats:
 
     def reach(self) -> DataFrame:
         """seed, ctx -> how far to the left and to the right of the anchor its bytes are covered."""
-        near = self.scanned.groupBy("seed", "ctx").agg(F.max("reach").alias("l"), F.max("r").alias("r"))
         if self.large.isEmpty():
-            return near
+            return self.scanned
         each, twice = self.windows()
         far = each.join(twice, ["seed", "j", "w"]).groupBy("seed", "ctx").agg(F.max("j").alias("l"), (LENGTH - F.min("j")).alias("r"))
-        return near.union(far)
+        return self.scanned.union(far)
 
     def occurrences(self) -> DataFrame:
         """repeat_id, doc_id, start, end (bytes): one row for each occurrence of a repeat, copies of equal texts among them.
@@ -282,7 +304,7 @@ class Repeats:
         of LENGTH bytes do: a longer one comes out anchor by anchor. In groups beyond GROUP it is the union of the windows that occur in just the
         same contexts. Equal texts of LENGTH bytes or more are a repeat of their own.
         """
-        deep = self.pieces.mapInArrow(lambda it: scan_pieces(it, True), self.shape)
+        deep = self.pieces.mapInArrow(scan_repeats, "seed long, ctx binary, repeat long, l long, r long")
         rows = deep.select("seed", "ctx", F.xxhash64("repeat", "r", "l").alias("set"), "l", "r")
         if not self.large.isEmpty():
             each, twice = self.windows()
