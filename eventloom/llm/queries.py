@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from eventloom.llm import op1_decontaminate as op1
 from eventloom.llm import op10_surrogates as op10
+from eventloom.llm import op11_prefix_trie as op11
+from eventloom.llm import op12_substrings as op12
 from eventloom.llm import op13_merkle as op13
 from eventloom.llm import op2_suffix_array as op2
 from eventloom.llm import op3_fuzzy_lines as op3
@@ -27,9 +29,17 @@ def queries() -> dict:
         "op8_licenses": op8.op8_licenses,
         "op9_mixing": op9.op9_mixing,
         "op10_surrogates": op10.op10_surrogates,
+        "op11_prefix_trie": op11.op11_prefix_trie,
+        "op12_substrings": op12.op12_substrings,
         "op13_merkle": op13.op13_merkle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": op4.ORACLE_SQL, "op9_mixing": op9.ORACLE_SQL, "op13_merkle": op13.ORACLE_SQL}
+    return {
+        "op4_quality_rules": op4.ORACLE_SQL,
+        "op9_mixing": op9.ORACLE_SQL,
+        "op11_prefix_trie": op11.ORACLE_SQL,
+        "op12_substrings": op12.ORACLE_SQL,
+        "op13_merkle": op13.ORACLE_SQL,
+    }
