@@ -132,12 +132,14 @@ def resolvers(ev: DataFrame) -> DataFrame:
     return runs.union(checks)
 
 
-def with_resolver(found: DataFrame, ev: DataFrame, only: DataFrame | None = None) -> DataFrame:
+def with_resolver(found: DataFrame, ev: DataFrame | None, only: DataFrame | None = None, ends: DataFrame | None = None) -> DataFrame:
     """JOIN-5, WIN-4: adds the first resolver of the same rule and entity at or after each finding's instant.
 
-    Read from the newest on, all that is not before a row's instant is a growing frame, so the minimum is carried along.
+    ends are the resolvers, if they are known already. Read from the newest on, all that is not before a row's instant is a
+    growing frame, so the minimum is carried along.
     """
-    both = found.withColumn("res", F.lit(False)).unionByName(of_entities(resolvers(ev), F.col("entity"), only).withColumn("res", F.lit(True)), allowMissingColumns=True)
+    ends = of_entities(resolvers(ev), F.col("entity"), only) if ends is None else ends
+    both = found.withColumn("res", F.lit(False)).unionByName(ends.withColumn("res", F.lit(True)), allowMissingColumns=True)
     w = W.partitionBy("rule", "entity").orderBy(F.desc("observed_at")).rangeBetween(W.unboundedPreceding, W.currentRow)
     next_one = F.min(F.when(F.col("res"), F.struct("observed_at", "event_id"))).over(w)
     out = both.withColumn("r", next_one).where("NOT res").drop("res")
@@ -154,9 +156,9 @@ def evidence_ids() -> Column:
     return F.transform(F.array_sort(F.collect_list("evidence")), lambda x: x["event_id"])
 
 
-def episodes(found: DataFrame, ev: DataFrame, only: DataFrame | None = None) -> DataFrame:
+def episodes(found: DataFrame, ev: DataFrame | None, only: DataFrame | None = None, ends: DataFrame | None = None) -> DataFrame:
     """RULE-7: findings of one key with the same next resolver are one insight, with its earliest events as evidence."""
-    rows = with_evidence(with_resolver(found, ev, only), ["dedupe_key", "resolved_by"])
+    rows = with_evidence(with_resolver(found, ev, only, ends), ["dedupe_key", "resolved_by"])
     out = rows.groupBy("dedupe_key", "resolved_by").agg(
         F.first("rule").alias("rule"), F.first("entity").alias("entity"), F.first("resolved_at").alias("resolved_at"),
         F.min_by("severity", "p").alias("severity"), F.min_by("kind", "p").alias("kind"), F.min_by("summary", "p").alias("summary"),

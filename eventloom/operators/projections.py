@@ -19,7 +19,8 @@ VERB_EDGE = {
     "promotes": ("promote", "publish"),
 }
 MATERIALIZE = ("materialize", "materialized", "produce", "write", "load", "execute")
-KINDS = ("run", "asset", "table", "branch", "snapshot", "service", "model", "iceberg", "source", "deployment", "job")
+#: Roles whose entities are of a kind with another name; any other role is a kind of its own.
+KIND_OF_ROLE = {"quality_suite": "quality"}
 PROVENANCE, EDGE_SOURCES, RUN_ASSETS = 64, 32, 1000
 
 
@@ -90,10 +91,15 @@ def with_entities(ev: DataFrame) -> DataFrame:
     return ev.withColumn("_e", F.explode(both)).withColumns({"role": F.col("_e.key"), "entity_id": F.col("_e.value")}).drop("_e")
 
 
+def kind_of(role: Column) -> Column:
+    for name, kind in KIND_OF_ROLE.items():
+        role = F.when(role == name, kind).otherwise(role)
+    return role
+
+
 def entities_of(rows: DataFrame) -> DataFrame:
-    kind = F.when(F.col("role").isin(*KINDS), F.col("role")).otherwise(F.lit("custom"))
     out = rows.groupBy("entity_id").agg(
-        F.min_by(kind, F.struct("observed_at", "event_id", "role")).alias("kind"), F.min("observed_at").alias("first_seen"),
+        F.min_by(kind_of(F.col("role")), F.struct("observed_at", "event_id", "role")).alias("kind"), F.min("observed_at").alias("first_seen"),
         F.max("observed_at").alias("last_seen"), F.count("*").alias("sightings"),
     )
     return out.withColumn("display_name", F.substring_index("entity_id", "://", -1))

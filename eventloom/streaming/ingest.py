@@ -2,165 +2,21 @@
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
-from eventloom.functions.staging import removed, staged, unstage
-from eventloom.operators import baselines, insights, maintenance, projections
-from eventloom.operators.correlate import arrivals, link_traces
+from eventloom.operators import baselines
 from eventloom.operators.projections import TERMINAL
 from eventloom.operators.sampling import IDLE_SECONDS
-from eventloom.schema import FLAT, flat, present
+from eventloom.streaming.store import KEYS as KEYS
+from eventloom.streaming.store import Store as Store
 
 FEED_BYTES, WAITING = 7000, 10_000
-#: Derived tables and their keys.
-KEYS = {
-    "runs": ["run_id"], "entities": ["entity_id"], "relationships": ["src", "dst", "type"], "assets": ["entity_id"],
-    "baselines": ["entity", "metric"], "insights": ["entity"], "incidents": ["entity"],
-}
-GAP = "failure_id string, occurred_at timestamp_ntz, batch long, error string, event_ids array<string>"
-
-
-class Store:
-    """A log of events, the tables derived from it, and a log of gaps, under one folder that all executors share. One writer.
-
-    Derived tables are written as versions with rising numbers; a version counts once its mark is there, which is written
-    last. Readers take the newest version with a mark, so they see all tables of one ingest or of the one before. Two versions
-    are kept.
-    """
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self.shape = ", ".join(f"{k} {t}" for k, t in FLAT.items())
-        self.empty = maintenance.rebuild(spark.createDataFrame([], self.shape))
-
-    def _fs(self, path: str):
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
-
-    def _names(self, path: str) -> list[str]:
-        fs, at = self._fs(path)
-        return [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
-
-    def versions(self) -> list[int]:
-        """Numbers of the complete versions, in order."""
-        return sorted(int(x.removeprefix("mark-")) for x in self._names(f"{self.path}/tables") if x.startswith("mark-"))
-
-    def table(self, name: str) -> DataFrame:
-        done, shape = self.versions(), self.empty[name].schema
-        if not done:
-            return self.spark.createDataFrame([], shape)
-        return self.spark.read.schema(shape).parquet(f"{self.path}/tables/v{done[-1]}/{name}")
-
-    def publish(self, tables: dict[str, DataFrame]) -> None:
-        """Writes all tables as the next version, then its mark; versions before the last two go."""
-        done = self.versions()
-        n = (done[-1] if done else 0) + 1
-        for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.path}/tables/v{n}/{name}")
-        self.mark(n)
-        for old in done[:-1]:
-            removed(self.spark, f"{self.path}/tables/mark-{old}")
-            removed(self.spark, f"{self.path}/tables/v{old}")
-
-    def mark(self, n: int) -> None:
-        fs, at = self._fs(f"{self.path}/tables/mark-{n}")
-        fs.create(at, True).close()
-
-    def log(self, name: str, shape: str) -> DataFrame:
-        """A log of batches; what a batch wrote is known by its number."""
-        if not self._names(f"{self.path}/{name}"):
-            return self.spark.createDataFrame([], f"{shape}, batch long")
-        return self.spark.read.schema(f"{shape}, batch long").option("basePath", f"{self.path}/{name}").parquet(f"{self.path}/{name}/batch=*")
-
-    def events(self) -> DataFrame:
-        return self.log("events", self.shape).select(*FLAT)
-
-    def gaps(self) -> DataFrame:
-        names = [x for x in self._names(f"{self.path}/gaps") if x.startswith("gap-")]
-        return self.spark.read.schema(GAP).json([f"{self.path}/gaps/{x}" for x in names]) if names else self.spark.createDataFrame([], GAP)
-
-    def ingest(self, batch: DataFrame, batch_id: int) -> None:
-        """STR-1, STR-2, STR-3: appends what isn't stored, then derives again all rows that the batch touches from all their events.
-
-        Late and repeated events need no special case: the result is that of a rebuild. A batch that is run again leaves out
-        what it stored itself the first time, and so stores the same. If the derivation fails, the events stay and the gap
-        is put down; repair() makes up for it.
-        """
-        fresh = arrivals(flat(batch)).where("status = 'accepted'").drop("status")
-        stored = self.log("events", self.shape).where(F.col("batch") != batch_id)
-        fresh.join(stored.select("event_id"), "event_id", "left_anti").select(*FLAT).write.mode("overwrite").parquet(f"{self.path}/events/batch={batch_id}")
-        fresh = self.spark.read.schema(self.shape).parquet(f"{self.path}/events/batch={batch_id}")
-        try:
-            self.derive(fresh)
-        except Exception as e:  # whatever it is, the events are stored and the gap must be known
-            ids = F.collect_list("event_id").alias("event_ids")
-            now = dt.datetime.now(dt.UTC).replace(tzinfo=None)
-            row = fresh.agg(ids).select(F.lit(f"batch-{batch_id}").alias("failure_id"), F.lit(now).alias("occurred_at"), F.lit(batch_id).alias("batch"), F.lit(str(e)[:1000]).alias("error"), "event_ids")
-            row.write.mode("overwrite").json(f"{self.path}/gaps/gap-{batch_id}")
-
-    def derive(self, fresh: DataFrame) -> None:
-        before = self.log("events", self.shape).select(*FLAT).join(fresh.select("event_id"), "event_id", "left_anti")
-        log = staged(link_traces(self.events()), "log")
-        # A new run id of a trace can link older events again: all of the trace's events, as they were and as they are.
-        traces = fresh.where(present("trace_id").isNotNull()).select("trace_id").distinct()
-        ids = fresh.select("event_id").union(log.join(traces, "trace_id", "left_semi").select("event_id")).distinct()
-        dirty = log.join(ids, "event_id", "left_semi").unionByName(link_traces(before).join(ids, "event_id", "left_semi"))
-        dirty = staged(dirty, "dirty")
-        entities = staged(insights.entities_judged(dirty).distinct(), "judged")
-        found = staged(insights.findings(log, only=entities), "found")
-        try:
-            derived = touched(log, dirty, entities, found)
-            self.publish({name: self.table(name).join(keys, KEYS[name], "left_anti").unionByName(again) for name, (keys, again) in derived.items()})
-        finally:
-            unstage(log, dirty, entities, found)
-
-    def rebuild(self) -> None:
-        """STR-7: all tables anew from the log."""
-        log = staged(link_traces(self.events()), "log")
-        self.publish(maintenance.rebuild(log))
-        unstage(log)
-
-    def repair(self) -> list[str]:
-        """STR-10: rebuilds, and clears the gaps that were there at the start. A gap whose events are lost blocks it: those come back, and nothing is done."""
-        names = [x for x in self._names(f"{self.path}/gaps") if x.startswith("gap-")]
-        lost = [r.failure_id for r in maintenance.lost_evidence(self.gaps(), self.events()).select("failure_id").distinct().collect()]  # gaps, not events
-        if lost or not names:
-            return lost
-        self.rebuild()
-        for x in names:
-            removed(self.spark, f"{self.path}/gaps/{x}")
-        return []
-
-
-def touched(log: DataFrame, dirty: DataFrame, entities: DataFrame, found: DataFrame) -> dict[str, tuple[DataFrame, DataFrame]]:
-    """For each derived table the keys that dirty events touch, and those keys' rows from all their events in the log.
-
-    A late sample may change the verdicts of those after it, so found has all findings of the touched entities, made again.
-    """
-    out: dict[str, tuple[DataFrame, DataFrame]] = {}
-
-    def narrowed(name: str, keys: DataFrame, rows: DataFrame, derive: Callable[[DataFrame], DataFrame]) -> None:
-        keys = keys.distinct()
-        out[name] = keys, derive(rows.join(keys, keys.columns, "left_semi"))
-
-    narrowed("runs", dirty.where(present("run_id").isNotNull()).select("run_id"), log, projections.runs)
-    narrowed("entities", projections.with_entities(dirty).select("entity_id"), projections.with_entities(log), projections.entities_of)
-    narrowed("relationships", projections.edges(dirty).select(*KEYS["relationships"]), projections.edges(log), projections.relationships_of)
-    asset_id = F.concat(F.lit("asset://"), "asset_key").alias("entity_id")
-    assets = dirty.where(present("asset_key").isNotNull())
-    keys = assets.select(asset_id).distinct()
-    out["assets"] = keys, projections.assets(log.join(assets.select("asset_key").distinct(), "asset_key", "left_semi"))
-    narrowed("baselines", baselines.observations(dirty).select("entity", "metric"), baselines.observations(log), baselines.baselines)
-    out["insights"] = entities, insights.episodes(found, log, only=entities)
-    out["incidents"] = entities, insights.incidents(found)
-    return out
 
 
 def start(stream: DataFrame, store: Store, checkpoint: str, write: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
