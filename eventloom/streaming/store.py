@@ -60,13 +60,13 @@ def matched(old: DataFrame, new: DataFrame, kind: str) -> DataFrame:
 class Store:
     """One writer. Readers see all tables of the last whole batch.
 
-    Under path: events/day=/batch= (the log), arrivals (what wasn't stored), changes (the feed), journal, gaps, and the segments of
+    Under path: events/batch=/day= (the log; day is the first day of the arrival's period, a day unless every says otherwise), arrivals (what wasn't stored), changes (the feed), journal, gaps, and the segments of
     the log (ids, orphans, links) and of the tables, each with a manifest. A batch is first stored, which publishes the log's
     manifest, and then derived, which publishes the tables'. A batch that runs again replaces its own files.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.folder = spark, path.rstrip("/"), Folder(spark, path)
+    def __init__(self, spark: SparkSession, path: str, every: str = "DAY"):
+        self.spark, self.path, self.folder, self.every = spark, path.rstrip("/"), Folder(spark, path), every
         self.shape = ", ".join(f"{k} {t}" for k, t in FLAT.items())
         self.log_manifest, self.table_manifest = Manifest(spark, f"{self.path}/manifest-log"), Manifest(spark, f"{self.path}/manifest-tables")
         none = spark.createDataFrame([], self.shape)
@@ -183,8 +183,8 @@ class Store:
             ids = kept[0].select(F.lit(f"batch-{number}").alias("failure_id"), F.lit(now).alias("occurred_at"), F.lit(number).alias("batch"), F.lit(str(e)[:1000]).alias("error"), F.array("event_id").alias("event_ids"))
             ids.write.mode("overwrite").json(f"{self.path}/gaps/gap-{number}")
 
-    def store(self, batch: DataFrame, number: int) -> tuple[DataFrame, DataFrame, int] | None:
-        """Stores the batch's new events; gives them linked, the orphans that get a run by them, and the events' number. None where the batch is part of a merged segment already."""
+    def store(self, batch: DataFrame, number: int) -> tuple[DataFrame, DataFrame | None, int] | None:
+        """Stores the batch's new events; gives them linked, the orphans that get a run by them if any do, and the events' number. None where the batch is part of a merged segment already."""
         doc, name = self.log_manifest.load(), f"b{number}"
         if number < doc["batch"]:
             return None
@@ -202,17 +202,17 @@ class Store:
         links = staged(folded(fresh, FOLDS["links"]), "links")
         now = staged(old.join(links, "trace_id", "full").select("trace_id", "old", F.least("old", "run_id").alias("run")), "traces")
         changed = now.where("old IS NULL OR run < old")
-        orphans = staged(self.segments["orphans"].lookup(listed["orphans"], changed.select("trace_id")).join(changed, "trace_id"), "relinked")
+        orphans = self.segments["orphans"].lookup(listed["orphans"], changed.select("trace_id")).join(changed, "trace_id")
         linked = fresh.join(now.select("trace_id", "run"), "trace_id", "left").withColumn("run_id", F.coalesce(present("run_id"), "run")).select(*FLAT)
-        day = F.to_date("received_at").alias("day")
+        day = F.to_date(F.date_trunc(self.every, "received_at")).alias("day")
 
         def events() -> None:
-            rows = fresh.select(*FLAT, day, F.lit(number).cast("long").alias("batch"))
-            rows.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("day", "batch").parquet(f"{self.path}/events")
+            # One file for each day, however many tasks hold some of it.
+            fresh.select(*FLAT, day).repartition("day").write.mode("overwrite").partitionBy("day").parquet(f"{self.path}/events/batch={number}")
 
         parts = {"ids": self._ids(fresh, number), "orphans": self._orphans(fresh.select(*FLAT)), "links": links}
         steps: list[Callable] = [lambda k=k, df=df: self.segments[k].write(df, name, max(expected, 1)) for k, df in parts.items()]
-        kept = at_once([*steps, events, lambda: others.write.mode("overwrite").parquet(f"{self.path}/arrivals/batch={number}"), lambda: staged(linked, "linked")])
+        kept = at_once([*steps, events, lambda: others.write.mode("overwrite").parquet(f"{self.path}/arrivals/batch={number}"), lambda: staged(linked, "linked"), lambda: staged(orphans, "relinked")])
         segments, gone = {}, []
         for (k, one) in zip(parts, kept, strict=False):
             segments[k], old_names = self.segments[k].compacted([*listed[k], one], name)
@@ -221,56 +221,65 @@ class Store:
         for k, x in gone:
             self.segments[k].drop(x)
         unstage(came, judged, links, now)
-        return kept[-1], orphans, expected
+        return kept[-2], None if kept[-1].isEmpty() else kept[-1], expected
 
-    def derive(self, fresh: DataFrame, orphans: DataFrame, expected: int, number: int) -> None:
+    def derive(self, fresh: DataFrame, orphans: DataFrame | None, expected: int, number: int) -> None:
         """Adds to the tables what fresh events, and orphans that have found a run, bring."""
         doc, name = self.table_manifest.load(), f"b{number}"
         listed = {k: [s for s in doc["segments"].get(k, []) if s["name"] != name] for k in self.folds}
-        was, now = self._events_of(orphans, F.col("old")), self._events_of(orphans, F.col("run"))
-        taken_away = orphans.where("old IS NOT NULL").isEmpty()
-        if not taken_away or not self._moved(was, now).isEmpty():
-            # A trace's events go from one run to another: what they added there can't be taken back from a sum.
-            return self.rebuild(check=False)
-        temporary: list[DataFrame] = [orphans]
-
-        def keep(df: DataFrame, what: str) -> DataFrame:
-            temporary.append(staged(df, what))
+        was = now = None
+        if orphans is not None:
+            was, now = self._events_of(orphans, F.col("old")), self._events_of(orphans, F.col("run"))
+            if not orphans.where("old IS NOT NULL").isEmpty() or not self._moved(was, now).isEmpty():
+                # A trace's events go from one run to another: what they added there can't be taken back from a sum.
+                return self.rebuild(check=False)
+        temporary: list[DataFrame] = []
+
+        def keep(df: DataFrame) -> DataFrame:
+            # Written rather than cached: what follows then starts from a file, not from the plan so far.
+            temporary.append(staged(df, "batch"))
             return temporary[-1]
 
+        fresh_runs = fresh if now is None else fresh.unionByName(now)
         found = self._findings(fresh, was, now, listed, number)
-        ends = folds.resolving(insights.resolvers(was), number, False).union(folds.resolving(insights.resolvers(fresh.unionByName(now)), number))
-        said, resolved, added = at_once([
-            lambda: keep(merged(found, FOLDS["findings"]), "verdicts"), lambda: keep(merged(ends, FOLDS["resolvers"]), "resolvers"), lambda: {k: self._added(FOLDS[k], fresh, was, now) for k in ADDITIVE},
+        ends = folds.resolving(insights.resolvers(fresh_runs), number)
+        if was is not None:
+            ends = ends.union(folds.resolving(insights.resolvers(was), number, False))
+        said, resolved, *parts = at_once([
+            lambda: keep(merged(found, FOLDS["findings"])), lambda: keep(merged(ends, FOLDS["resolvers"])), *[lambda k=k: self._added(FOLDS[k], fresh, was, now) for k in ADDITIVE],
         ])
-        entities = keep(said.select("entity").union(resolved.select("entity")).distinct(), "entities")
+        added = dict(zip(ADDITIVE, parts, strict=True))
+        entities = keep(said.select("entity").union(resolved.select("entity")).distinct())
         made = self._identified(entities, {"findings": said, "resolvers": resolved}, listed, number, keep)
         rows = {**added, "findings": said, "resolvers": resolved, **{k: x for k, (x, _, _) in made.items()}}
         sizes = {"runs": 1, "assets": 1, "findings": 1, "resolvers": 1, "insights": 1, "incidents": 1}
-        written = at_once([lambda k=k, df=df: self.segments[k].write(df, name, max(1, expected * sizes.get(k, 4))) for k, df in rows.items()])
-        fresh_segments = dict(zip(rows, written, strict=True))
-        self._notices(fresh_segments["runs"], made, listed, number)
+        written = at_once([lambda k=k, df=df: self.segments[k].write(df, name, max(1, expected * sizes.get(k, 4))) for k, df in rows.items()] + [lambda: self._notices(added["runs"], made, listed, number)])
+        fresh_segments = dict(zip(rows, written, strict=False))
         merged_now = dict(zip(self.folds, at_once([lambda k=k: self.segments[k].compacted([*listed[k], fresh_segments[k]], name) for k in self.folds]), strict=True))
         self.mark({"segments": {k: s for k, (s, _) in merged_now.items()}, "batch": number})
         for k, (_, gone) in merged_now.items():
             for x in gone:
                 self.segments[k].drop(x)
-        unstage(*temporary)
+        unstage(*temporary, fresh, *([] if orphans is None else [orphans]))
 
     def _moved(self, was: DataFrame, now: DataFrame) -> DataFrame:
         """Samples whose series is another now that their event has a run."""
         a, b = (baselines.observations(x).select("event_id", "entity", "metric") for x in (was, now))
         return a.exceptAll(b)
 
-    def _added(self, fold: Fold, fresh: DataFrame, was: DataFrame, now: DataFrame) -> DataFrame:
+    def _added(self, fold: Fold, fresh: DataFrame, was: DataFrame | None, now: DataFrame | None) -> DataFrame:
         """What the fold gains: all of fresh events, and of relinked ones what they didn't add before."""
+        if was is None or now is None:
+            return folded(fresh, fold)
         return merged(fold.parts(fresh).unionByName(fold.parts(now).exceptAll(fold.parts(was))), fold)
 
-    def _findings(self, fresh: DataFrame, was: DataFrame, now: DataFrame, listed: dict, number: int) -> DataFrame:
+    def _findings(self, fresh: DataFrame, was: DataFrame | None, now: DataFrame | None, listed: dict, number: int) -> DataFrame:
         """Verdicts on fresh events, and on stored ones that fresh events change, as rows of the fold `findings`."""
         direct = {k: r for k, r in insights.RULES.items() if r[1] == "events"}
         hit = lambda df, yes=True: folds.verdicts(df.withColumn("hit", F.lit(yes)), number)
-        out = hit(insights.findings(fresh.unionByName(now), direct)).union(hit(insights.findings(was, direct), False))
+        out = hit(insights.findings(fresh if now is None else fresh.unionByName(now), direct))
+        if was is not None:
+            out = out.union(hit(insights.findings(was, direct), False))
         series, late_series = self._judged_samples(fresh, listed)
         assets, late_assets = self._judged_assets(fresh, listed)
         for rows, rules in ((series, ("duration-regression", "volume-spike")), (assets, ("freshness-breach",))):
@@ -279,8 +288,9 @@ class Store:
                 said = rows.withColumn("service", F.lit(None).cast("string")).withColumn("f", of)
                 no = said.where("f IS NULL AND NOT fresh").select(F.lit(rule).alias("rule"), "entity", F.lit("").alias("severity"), F.lit("").alias("kind"), F.lit("").alias("summary"), "event", "producer", "event_id", "observed_at")
                 out = out.union(hit(said.where("f IS NOT NULL").select("f.*").withColumn("dedupe_key", insights.dedupe_key()))).union(hit(no.withColumn("dedupe_key", F.lit("")), False))
-        late = staged(late_series.union(late_assets).distinct(), "late")
+        late = late_series.union(late_assets).distinct()
         if not late.isEmpty():
+            late = staged(late, "late")
             # Events older than what a series keeps: those series' verdicts are made again from their events in the log.
             again = insights.findings(link_traces(self.events()), {k: r for k, r in insights.RULES.items() if r[1] != "events"}, only=late)
             before = folds.live_findings(self.segments["findings"].lookup(listed["findings"], late)).where(F.col("rule").isin(*[k for k in insights.RULES if k not in direct]))
@@ -326,16 +336,19 @@ class Store:
     def _identified(self, entities: DataFrame, delta: dict[str, DataFrame], listed: dict, number: int, keep: Callable) -> dict[str, tuple[DataFrame, DataFrame, DataFrame]]:
         """Insights and incidents of these entities, made again: rows of their folds, the rows as they are now, and as they were."""
         both = {k: merged(self.segments[k].lookup(listed[k], entities).unionByName(delta[k]), FOLDS[k]) for k in delta}
-        found, ends = keep(folds.live_findings(both["findings"]), "found"), folds.live_resolvers(both["resolvers"])
+        found, ends = keep(folds.live_findings(both["findings"])), folds.live_resolvers(both["resolvers"])
         now = F.lit(dt.datetime.now(dt.UTC).replace(tzinfo=None))
         critical = found.withColumn("who", F.coalesce("entity", F.col("event_id"))).select("who").distinct()
-        out = {}
-        for kind in IDENTIFIED:
-            new = keep(insights.episodes(found, None, ends=ends) if kind == "insights" else with_incident_ids(insights.incidents(found)), kind)
+
+        def made(kind: str) -> tuple[DataFrame, DataFrame, DataFrame]:
             keys = entities if kind == "insights" else entities.union(critical)
-            old = keep(self._live(self.segments[kind].lookup(listed[kind], keys), kind), f"{kind}-before")
-            out[kind] = (*self._with_ids(old, new, kind, number, now, keep), old)
-        return out
+            new, old = at_once([
+                lambda: keep(insights.episodes(found, None, ends=ends) if kind == "insights" else with_incident_ids(insights.incidents(found))),
+                lambda: keep(self._live(self.segments[kind].lookup(listed[kind], keys), kind)),
+            ])
+            return (*self._with_ids(old, new, kind, number, now, keep), old)
+
+        return dict(zip(IDENTIFIED, at_once([lambda kind=kind: made(kind) for kind in IDENTIFIED]), strict=True))
 
     def _with_ids(self, old: DataFrame, new: DataFrame, kind: str, number: int, now: Column, keep: Callable) -> tuple[DataFrame, DataFrame]:
         """New rows under the old ones' ids where they match; where several do, the earliest row has the id. Undecided old rows without a match are gone."""
@@ -344,7 +357,7 @@ class Store:
         pairs = matched(old, new, kind).join(new.select(F.col(name).alias("new_id"), F.col(start).alias("at")), "new_id")
         pairs = pairs.withColumn("a", F.row_number().over(W.partitionBy("old_id").orderBy("at", "new_id"))).where("a = 1")
         pairs = pairs.withColumn("b", F.row_number().over(W.partitionBy("new_id").orderBy("old_id"))).where("b = 1").select("old_id", "new_id")
-        pairs = keep(pairs, f"{kind}-pairs")
+        pairs = keep(pairs)
         was = old.select(F.col(name).alias("old_id"), "created_at")
         ids = pairs.join(was, "old_id").withColumnRenamed("new_id", name)
         # An id that a match has taken is not given to another row that would have it by its first event.
@@ -353,16 +366,15 @@ class Store:
         rows = rows.join(taken, F.col(name) == F.col("t"), "left")
         own = F.when(F.col("t").isNull(), F.col(name)).otherwise(hashed(F.col(name), F.lit("again")))
         rows = rows.withColumns({name: F.coalesce("old_id", own), "created_at": F.coalesce("created_at", now), "opened": F.col("old_id").isNull()}).drop("old_id", "t")
-        rows = keep(rows, f"{kind}-now")
+        rows = keep(rows)
         gone = old.join(pairs.select(F.col("old_id").alias(name)), name, "left_anti").join(rows.select(name), name, "left_anti")
         decided = self.journal().where("status = 'moved'").select(F.col("target").alias(name)).distinct()
         gone = gone.join(decided, name, "left_anti")
         return self._said(rows, kind, number).unionByName(self._said(gone, kind, number, False)), rows
 
-    def _notices(self, runs: dict, made: dict, listed: dict, number: int) -> None:
+    def _notices(self, delta: DataFrame, made: dict, listed: dict, number: int) -> None:
         """STR-4: writes the batch's notices. A row that is as it was gives none; a long one says only that it is time to look."""
         fold, of = FOLDS["runs"], self.segments["runs"]
-        delta = of.read([runs])
         before = of.lookup(listed["runs"], delta.select("run_id"))
         after = fold.final(merged(before.unionByName(delta), fold))
         body = lambda df: df.select(F.col("run_id").alias("key"), F.to_json(F.struct(*sorted(df.columns))).alias("body"))
@@ -391,18 +403,18 @@ class Store:
         name = f"r{(self.versions() or [0])[-1] + 1}"
         temporary = [log]
 
-        def keep(df: DataFrame, what: str) -> DataFrame:
-            temporary.append(staged(df, what))
+        def keep(df: DataFrame) -> DataFrame:
+            temporary.append(staged(df, "rebuild"))
             return temporary[-1]
 
         try:
             rows = {k: folded(log, FOLDS[k], SALTS) for k in (*ADDITIVE, "findings", "resolvers")}
-            found = keep(insights.findings(log), "found")
+            found = keep(insights.findings(log))
             rows["findings"] = folds.verdicts(found.withColumn("hit", F.lit(True)), number)
             now = F.lit(dt.datetime.now(dt.UTC).replace(tzinfo=None))
             for kind in IDENTIFIED:
-                new = keep(insights.episodes(found, log) if kind == "insights" else with_incident_ids(insights.incidents(found)), kind)
-                old = keep(self._live(self.segments[kind].state(doc["segments"].get(kind, [])), kind), f"{kind}-before")
+                new = keep(insights.episodes(found, log) if kind == "insights" else with_incident_ids(insights.incidents(found)))
+                old = keep(self._live(self.segments[kind].state(doc["segments"].get(kind, [])), kind))
                 if check:
                     several = matched(old, new, kind).where("ambiguous").select("old_id").limit(5).collect()  # a few, for the message
                     if several:
@@ -474,8 +486,11 @@ class Store:
         """
         gone = {}
         first_day = (as_of - dt.timedelta(days=maintenance.EVENT_DAYS)).date()
-        days = [x for x in self.folder.names("events") if x.startswith("day=") and x[4:5].isdigit() and dt.date.fromisoformat(x[4:]) < first_day]
-        gone["events"] = self.log().where(F.col("day").isin(*[dt.date.fromisoformat(x[4:]) for x in days])).count() if days else 0
+        # A period's last day decides: 31 days after the first, at most, for months.
+        ends = lambda x: dt.date.fromisoformat(x[4:]) + dt.timedelta(days={"DAY": 0, "WEEK": 6, "MONTH": 30}[self.every])
+        days = [f"{b}/{x}" for b in self.folder.names("events") if b.startswith("batch=") for x in self.folder.names(f"events/{b}") if x[:4] == "day=" and x[4:5].isdigit() and ends(x) < first_day]
+        old = sorted({dt.date.fromisoformat(x.rpartition("=")[2]) for x in days})
+        gone["events"] = self.log().where(F.col("day").isin(*old)).count() if old else 0
         for x in days:
             self.folder.drop(f"events/{x}")
         doc, now = self.table_manifest.load(), F.lit(as_of)
