@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,7 +32,9 @@ NAMES = {
 TITLES = {"mr": "m", "mister": "m", "herr": "m", "monsieur": "m", "señor": "m", "sr": "m", "mrs": "f", "ms": "f", "miss": "f", "frau": "f", "madame": "f", "mme": "f", "señora": "f", "sra": "f", "dr": "", "prof": ""}
 GENDER = {n: g for (_, g), names in NAMES.items() if g in "fm" for n in names}
 
-_NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+"
+_UPPER, _LOWER = "A-ZÀ-ÖØ-ÞА-ЯЁ", "a-zß-öø-ÿа-яё"
+#: A capitalised word, with hyphened parts and an O' or D' before it.
+_NAME = rf"(?:[{_UPPER}]['’])?[{_UPPER}][{_LOWER}]+(?:[-'’][{_UPPER}]?[{_LOWER}]+)*"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _KEYWORDS = ("password", "passwd", "pwd", "token", "secret", "apikey", "api_key", "api-key")
 SECRET = re.compile(r"\b(?:AKIA[0-9A-Z]{16}\b|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9]{20,})")
@@ -47,7 +50,8 @@ NUMBERS = (
     (0, "phone", re.compile(r"(?<![\w+])\d{2,4}[ .-]\d{3,4}[ .-]?\d{3,4}(?!\w)")),
 )
 NAME = re.compile(rf"(?i:\b(?:{'|'.join(TITLES)}))\.?[ ]{_NAME}(?:[ ]{_NAME})?|\b(?:{'|'.join(sorted(GENDER))})[ ]{_NAME}")
-RUN, CAPITAL = re.compile(r"\d+"), re.compile(r" [A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]")
+RUN, CAPITAL = re.compile(r"\d+"), re.compile(rf" [{_UPPER}](?:[{_LOWER}]|['’][{_UPPER}])")
+WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 LONGEST = max(map(len, (*TITLES, *GENDER)))
 
 Found = tuple[int, int, str, re.Match]
@@ -139,7 +143,7 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
         if kind == "secret" and m.re is SECRET_VALUE:
             out.append((*m.span("value"), kind, m.group("value")))
         elif kind == "name":
-            words = [(w.start() + a, w.group(0)) for w in re.finditer(r"[^\W\d_]+", m.group(0))]
+            words = [(w.start() + a, w.group(0)) for w in WORD.finditer(m.group(0))]
             gender = ""
             if words[0][1].lower() in TITLES:
                 gender = TITLES[words.pop(0)[1].lower()]
@@ -152,7 +156,7 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
     if names:
         taken = [(a, b) for a, b, _, _ in out]
         k = 0
-        for m in re.finditer(rf"\b(?:{'|'.join(sorted(names, key=len, reverse=True))})\b", text):
+        for m in re.finditer(rf"\b(?:{'|'.join(map(re.escape, sorted(names, key=len, reverse=True)))})\b", text):
             while k < len(taken) and taken[k][1] <= m.start():
                 k += 1
             if k == len(taken) or m.end() <= taken[k][0]:
@@ -175,19 +179,39 @@ def shuffled(key: str, x: int, size: int, tweak: str) -> int:
             return x
 
 
-def alphabet(c: str) -> str:
-    """The signs that may stand for c: of its script and case, or digits."""
+def letters(c: str, signs: bool) -> bool:
+    """Whether a format leaves c open: letters and digits of any script, and in secrets every sign."""
+    return c.isalnum() or signs and not c.isspace() and c not in "\"',;"
+
+
+@lru_cache(20_000)
+def alphabet(c: str, signs: bool = False) -> str:
+    """The characters that may stand for c: of its script and case, or digits; in any script those of c's category in its block of 256."""
     if c.isdigit() and c.isascii():
         return "0123456789"
-    for low, high in (("a", "z"), ("A", "Z"), ("а", "я"), ("А", "Я")):
+    ranges = (("a", "z"), ("A", "Z"), ("а", "я"), ("А", "Я"))
+    for low, high in ranges:
         if low <= c <= high:
             return "".join(map(chr, range(ord(low), ord(high) + 1)))
-    return c
+    if not letters(c, signs):
+        return c
+    block, kind = ord(c) & ~0xFF, unicodedata.category(c)
+    if c.isascii():  # signs, whatever their category
+        return "".join(x for x in map(chr, range(0x21, 0x7F)) if not x.isalnum() and letters(x, signs))
+    own = (x for x in map(chr, range(block, block + 256)) if unicodedata.category(x) == kind and not x.isascii() and letters(x, signs))
+    return "".join(x for x in own if not any(low <= x <= high for low, high in ranges))
+
 
+def left_over(value: str, new: str) -> bool:
+    """Whether a run of three characters of the value, a letter or digit among them, is still in its replacement, or all of a shorter value."""
+    if len(value) < 3:
+        return value == new
+    return any(value[i : i + 3] in new and any(c.isalnum() for c in value[i : i + 3]) for i in range(len(value) - 2)) or value == new
 
-def same_format(key: str, value: str, tweak: str) -> str:
+
+def same_format(key: str, value: str, tweak: str, signs: bool = False) -> str:
     """Another string of the same format. A permutation of all strings of that format, so distinct ones stay distinct."""
-    sets = [alphabet(c) for c in value]
+    sets = [alphabet(c, signs) for c in value]
     size, x = 1, 0
     for c, s in zip(value, sets, strict=True):
         size *= len(s)
@@ -207,6 +231,11 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def iban_digits(country: str, body: str) -> str:
+    """The check digits that make an IBAN's remainder 1."""
+    return f"{98 - int(''.join(str(int(c, 36)) for c in body + country + '00')) % 97:02d}"
+
+
 def keyed(key: str, *parts: object) -> bytes:
     return hmac.new(key.encode(), "|".join(map(str, parts)).encode(), hashlib.sha256).digest()
 
@@ -221,13 +250,18 @@ def surrogate(key: str, kind: str, value: str, attempt: int = 0) -> str:
         more = int.from_bytes(keyed(key, kind, value, attempt), "big")
         signs = "0123456789" if value[-1:].isdigit() else "abcdefghijklmnopqrstuvwxyz"
         tail = "".join(signs[more // len(signs) ** i % len(signs)] for i in range(DIGITS))
+        if kind == "secret":  # nothing of the value: keyed signs, as long as it and DIGITS more
+            return "".join(chr(ord("a") + x % 26) for i in range(len(value) // 32 + 1) for x in keyed(key, kind, value, attempt, i))[: len(value)] + tail
         return tail + value[value.index("@") :] if kind == "email" else same_format(key, value, f"{kind}|{attempt}") + tail
     for step in range(1000):
         tweak = f"{kind}|{attempt}|{step}"
         if kind == "email":
             local, _, domain = value.rpartition("@")
             name, _, top = domain.rpartition(".")
-            out = f"{same_format(key, local, tweak)}@{same_format(key, name, tweak + local)}.{top}"
+            new = same_format(key, local, tweak)
+            if left_over(local, new):
+                continue
+            out = f"{new}@{same_format(key, name, tweak + local)}.{top}"
         elif kind == "ip":
             x = 0
             for part in value.split("."):
@@ -239,6 +273,9 @@ def surrogate(key: str, kind: str, value: str, attempt: int = 0) -> str:
             out = next(body + c for c in "0123456789" if luhn(body + c))
         elif kind == "phone" and len(value) > 8:  # the first digits are country and area
             out = value[: len(value) - 8] + same_format(key, value[len(value) - 8 :], tweak + value[: len(value) - 8])
+        elif kind == "iban" and value[2:4] == iban_digits(value[:2], value[4:]):  # check digits again
+            body = same_format(key, value[4:], tweak + value[:2])
+            out = value[:2] + iban_digits(value[:2], body) + body
         elif kind == "iban":
             out = value[:2] + same_format(key, value[2:], tweak + value[:2])
         elif kind == "family" or kind.startswith("given"):
@@ -253,6 +290,10 @@ def surrogate(key: str, kind: str, value: str, attempt: int = 0) -> str:
                 out = base + same_format(key, value, tweak).lower()
         elif kind == "secret" and value.startswith("AKIA"):
             out = "AKIA" + same_format(key, value[4:], tweak)
+        elif kind == "secret":
+            out = same_format(key, value, tweak, signs=True)
+            if left_over(value, out):
+                continue
         else:
             out = same_format(key, value, tweak)
         if out != value:

@@ -339,6 +339,6 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 
 def op3_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(documents(spark, sf_dir))
-    n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n")))
-    return out.select("doc_id", F.when((F.col("text") == "") & (F.col("n_removed_lines") > 0), F.lit(0)).otherwise(n).alias("n_kept_lines"), "n_removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n")))
+    out = dedup_lines(documents(spark, sf_dir).withColumn("n_lines", lines))
+    return out.select("doc_id", (F.col("n_lines") - F.col("n_removed_lines")).alias("n_kept_lines"), "n_removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))

@@ -280,3 +280,33 @@ def test_van_emde_boas_addresses():
     for k in range(27):
         part = sorted(itertools.chain(*(x[k].tolist() for x in under)))
         assert part == list(range(top + k * low, top + (k + 1) * low))
+
+
+# --- op10: nothing of a value stays
+
+
+@pytest.mark.parametrize("value", ["密码密码密码", "contraseña-ñandú", "пароль-ёжик", "κωδικός_μου", "كلمةالسر", "סיסמהסודית", "비밀번호암호", "Abc123!密éя", "!#%&()*+!#", "日本語pass99"])
+def test_surrogates_leave_nothing_of_a_secret(value):
+    from eventloom.llm import op10_surrogates as op10
+
+    for kind, of in (("secret", value), ("email", f"{value.strip('!#').replace('(', '').replace(')', '') or 'x'}@beispiel.example.org")):
+        new = op10.surrogate("k", kind, of)
+        a, b = (x.partition("@")[0] if kind == "email" else x for x in (of, new))
+        assert a != b
+        assert not any(a[i : i + 3] in b for i in range(len(a) - 2) if any(c.isalnum() for c in a[i : i + 3]))
+        assert new == op10.surrogate("k", kind, of)
+        assert op10.surrogate("k", kind, of, op10.ATTEMPTS).find(a) < 0
+
+
+def test_surrogates_of_short_and_accented_values():
+    from eventloom.llm import op10_surrogates as op10
+
+    assert op10.surrogate("k", "email", "éñü@x.org").partition("@")[0] != "éñü"
+    assert not op10.surrogate("k", "given_m", "José").endswith("é")
+    iban = "DE" + op10.iban_digits("DE", "370400440532013000") + "370400440532013000"
+    assert iban == "DE89370400440532013000"
+    new = op10.surrogate("k", "iban", iban)
+    assert new != iban
+    assert new[2:4] == op10.iban_digits("DE", new[4:])
+    found = [(k, v) for _, _, k, v in op10.mentions("I met Mr. Jean-Luc Picard and Mrs. O'Brien. Jean-Luc left.")]
+    assert found == [("given_m", "Jean-Luc"), ("family", "Picard"), ("family", "O'Brien"), ("given_m", "Jean-Luc")]
