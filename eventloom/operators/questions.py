@@ -15,10 +15,7 @@ from eventloom.schema import pos, present, seconds_between
 PAGE, EVENT_CAP, CHANGE_CAP, COMPARABLE, CAUSES = 100, 10_000, 1000, 5, 3
 #: Fixed values.
 CHANGE_CATEGORIES, CHANGE_VERBS = ("infrastructure", "storage"), ("deploy", "commit", "create", "migrate", "release", "upgrade")
-PHASES = {
-    "pipeline": ("pipeline.", "ingestion.", "dlt.", "dbt."), "asset": ("asset.",), "quality": ("quality.",), "table": ("table.", "iceberg."),
-    "wap": ("wap.", "nessie."), "external": ("external.",),
-}
+PHASES = ("pipeline", "asset", "quality", "table", "wap", "external")
 LABELS = {
     "pipeline.run": "Run", "pipeline.step": "Step", "ingestion.load": "Ingest", "ingestion.extract": "Extract", "asset.materialize": "Materialize",
     "quality.validate": "Validate", "quality.check": "Check", "wap.branch.create": "Create branch", "wap.promote": "Promote", "table.commit": "Commit",
@@ -63,22 +60,38 @@ def bounded(df: DataFrame, key: str, order: list[Column], cap: int) -> DataFrame
     return df.withColumns({"rn": F.row_number().over(w.orderBy(*order)), "truncated": F.count("*").over(w) > cap}).where(F.col("rn") <= cap)
 
 
+def summary() -> Column:
+    """What a step did, in a line: its error, else what its kind of event says of itself; null where it says nothing."""
+    attr = lambda name: F.get_json_object("attributes", f"$.{name}")
+    number = lambda name: F.try_variant_get(F.try_parse_json("attributes"), f"$.{name}", "double")
+    rows = F.coalesce(number("rows_out"), number("rows_in"))
+    total, passed = number("checks_total").cast("long"), F.coalesce(number("checks_passed").cast("long"), F.lit(0).cast("long"))
+    verdict = F.when(attr("passed") == "true", "passed").otherwise("failed")
+    branch, target = F.coalesce(present(attr("branch")), F.col("branch")), F.coalesce(attr("target"), F.col("target"))
+    subject = F.coalesce(present("asset_key"), present("table_name"))
+    event = F.col("event")
+    of_kind = (
+        F.when(event.startswith("ingestion.") & rows.isNotNull(), F.concat(F.format_number(F.floor(rows), 0), F.lit(" rows")))
+        .when((event == "quality.validate") & (total > 0), F.concat(passed.cast("string"), F.lit("/"), total.cast("string"), F.lit(" checks passed")))
+        .when(event == "quality.validate", attr("suite"))
+        .when(event == "quality.check", F.concat_ws(" ", present(attr("check_name")), verdict))
+        .when(event == "wap.promote", F.when(present(branch).isNotNull() & present(target).isNotNull(), F.concat(branch, F.lit(" -> "), target)).otherwise(branch))
+        .when(event == "wap.branch.create", F.concat(F.lit("branch "), present(branch)))
+        .when(event == "pipeline.step", attr("step_key"))
+        .when(event == "pipeline.run", F.coalesce(present(attr("job")), F.col("job_id")))
+        .otherwise(subject)
+    )
+    return F.coalesce(present("error_message"), of_kind)
+
+
 def timeline(ev: DataFrame) -> DataFrame:
     """QRY-5: events of all runs in order, with phase, label and a line of text."""
-    head = F.concat(F.substring_index("event", ".", 1), F.lit("."))
-    phase = F.lit("other")
-    for name, heads in PHASES.items():
-        phase = F.when(head.isin(*heads), name).otherwise(phase)
+    head = F.substring_index("event", ".", 1)
+    phase = F.when(head.isin(*PHASES) & F.contains("event", F.lit(".")), head).otherwise("other")
     fixed = F.create_map(*[x for k, v in LABELS.items() for x in (F.lit(k), F.lit(v))])
     label = F.coalesce(F.element_at(fixed, F.col("event")), F.initcap(F.regexp_replace(p.verb(), "_", " ")))
-    line = (
-        F.when(F.col("error_message").isNotNull(), F.concat(F.lit("failed: "), F.col("error_message")))
-        .when(F.col("duration_ms").isNotNull(), F.concat(F.lit("took "), F.floor(F.col("duration_ms") / 1000).cast("string"), F.lit("."), (F.floor(F.col("duration_ms") / 100) % 10).cast("string"), F.lit(" s")))
-        .when(F.col("row_count").isNotNull(), F.concat(F.col("row_count").cast("long").cast("string"), F.lit(" rows")))
-        .otherwise(F.col("outcome"))
-    )
     rows = bounded(ev.where(present("run_id").isNotNull()), "run_id", [F.col("observed_at"), F.col("event_id")], EVENT_CAP)
-    return rows.select("run_id", "rn", "event_id", "observed_at", phase.alias("phase"), label.alias("label"), line.alias("summary"), "truncated")
+    return rows.select("run_id", "rn", "event_id", "observed_at", phase.alias("phase"), label.alias("label"), summary().alias("summary"), "truncated")
 
 
 def failures(ev: DataFrame) -> DataFrame:

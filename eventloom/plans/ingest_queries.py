@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.functions import json_values as j
@@ -27,6 +27,26 @@ def _redelivered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.union(late(runs, 5)).union(late(runs.where("outcome = 'failure'").withColumn("outcome", F.lit("cancelled")), 9).select(ev.columns))
 
 
+def odd_entities(ev: DataFrame) -> DataFrame:
+    """Ids that don't conform, or are of no known namespace, made of the tables' names."""
+    forms = F.array(*[F.concat(F.lit(a), F.col("table_name"), F.lit(b)) for a, b in (("zzz://", ""), ("my-ns://", ""), ("table://", " x"), ("Table://", ""), ("", ""))])
+    return ev.where("table_name IS NOT NULL").select("producer", F.explode(forms).alias("entity_id"))
+
+
+def odd_urls(n: Column, url: Column) -> Column:
+    """URLs with credentials, secret and harmless query names, a password with signs, a bad port, a user alone."""
+    bare = F.regexp_replace(url, r"[?#].*", "")
+    user = lambda who: F.regexp_replace(bare, "://", f"://{who}@")
+    forms = (
+        F.concat(user("user:pw"), F.lit("?access_token=abc&tokenizer=a")), F.concat(bare, F.lit("?q=a%20b&Api-Key=x&empty=&#part")), F.concat(bare, F.lit("?")), user("user:p:w@x"),
+        F.regexp_replace(bare, "^(https?://[^/]+)", "$1:abc"), F.concat(user("me"), F.lit("?secretary=z")),
+    )
+    out = forms[-1]
+    for k, form in enumerate(forms[:-1]):
+        out = F.when(n % len(forms) == k, form).otherwise(out)
+    return out
+
+
 def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN-2, AGG-13: status counts by producer."""
     return c.arrivals(_redelivered(spark, sf_dir)).groupBy("producer", "status").agg(F.count("*").alias("n"))
@@ -114,8 +134,11 @@ QUERIES = {
         sql("SELECT strftime(received_at, '%Y-%m-%d') AS batch, count(*) AS n, count(*) <= 40 AS accepted FROM raw GROUP BY 1"),
     ),
     "val8_entity_conformance": (
-        over_events(lambda ev: v.entity_conformance(p.with_entities(ev))),
-        sql("SELECT producer, split_part(entity_id, '://', 1) AS kind, count(*) AS n, count(*) FILTER (NOT regexp_matches(entity_id, '^[a-z][a-z0-9_+.-]*://.+$')) AS violations FROM roles GROUP BY ALL", ROLES),
+        over_events(lambda ev: v.entity_conformance(p.with_entities(ev).select("producer", "entity_id").union(odd_entities(ev)))),
+        sql("""SELECT producer, CASE WHEN regexp_matches(entity_id, '^[a-z][a-z0-9]*://[^\\s]+$') AND split_part(entity_id, '://', 1) IN ('run', 'asset', 'table', 'branch', 'snapshot', 'service') THEN split_part(entity_id, '://', 1) ELSE 'custom' END AS kind,
+            count(*) AS n, count(*) FILTER (NOT regexp_matches(entity_id, '^[a-z][a-z0-9]*://[^\\s]+$')) AS violations
+            FROM (SELECT producer, entity_id FROM roles UNION ALL SELECT producer, replace(pattern, '?', table_name) FROM ev, (VALUES ('zzz://?'), ('my-ns://?'), ('table://? x'), ('Table://?'), ('?')) x (pattern) WHERE table_name IS NOT NULL)
+            GROUP BY ALL""", ROLES),
     ),
     "val9_contract_violations": (
         contracts,
@@ -158,8 +181,9 @@ QUERIES = {
         r"""SELECT key, regexp_matches(lower(regexp_replace(key, '([a-z0-9])([A-Z])', '\1_\2', 'g')), '(^|_)(password|passwd|secret|token|api_key|apikey|authorization|cookie|set_cookie|client_secret|access_key|private_key|credentials)(_|$)') AS secret, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '([\p{L}\p{N}_]+) ?= ?"?[\p{L}\p{N}_]+', 1)) AS key FROM documents) GROUP BY ALL""",
     ),
     "val15_urls": (
-        lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", pv.strip_url(F.concat(F.regexp_replace("url", "://", "://user:pw@"), F.lit("&token=abc"))).alias("url")),
-        "SELECT page_id, replace(url, '://', '://user:[REDACTED]@') || '&token=[REDACTED]' AS url FROM pages",
+        lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", pv.strip_url(odd_urls(F.col("page_id"), F.col("url"))).alias("url")),
+        """SELECT page_id, CASE page_id % 6 WHEN 0 THEN replace(url, '://', '://user:***@') || '?access_token=%5BREDACTED%5D&tokenizer=a' WHEN 1 THEN url || '?q=a+b&Api-Key=%5BREDACTED%5D&empty=#part' WHEN 2 THEN url
+            WHEN 3 THEN replace(url, '://', '://user:***@') WHEN 4 THEN '[REDACTED]' ELSE replace(url, '://', '://me:***@') || '?secretary=z' END AS url FROM (SELECT page_id, split_part(split_part(url, '?', 1), '#', 1) AS url FROM pages)""",
     ),
     "src10_sql_fingerprints": (
         docs_column(lambda d: d.withColumn("q", F.concat(F.lit("SELECT /* c */ * FROM t -- x\nWHERE id = "), F.col("doc_id").cast("string"), F.lit(" AND s = '"), F.col("source"), F.lit("' AND lang = "), F.col("lang"))).groupBy(pv.sql_fingerprint(F.col("q")).alias("fingerprint"), pv.sql_class(F.col("q")).alias("class")).agg(F.count("*").alias("n"))),

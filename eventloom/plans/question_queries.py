@@ -46,7 +46,8 @@ QUERIES = {
         over_events(q.timeline),
         sql("""SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY observed_at, event_id) AS INTEGER) AS rn, event_id, ts(observed_at) AS observed_at,
             CASE split_part(event, '.', 1) WHEN 'pipeline' THEN 'pipeline' WHEN 'asset' THEN 'asset' WHEN 'quality' THEN 'quality' WHEN 'table' THEN 'table' WHEN 'wap' THEN 'wap' ELSE 'other' END AS phase,
-            CASE event WHEN 'pipeline.run' THEN 'Run' WHEN 'quality.check' THEN 'Check' WHEN 'wap.branch.create' THEN 'Create branch' ELSE upper(verb[1]) || verb[2:] END AS label, CASE WHEN error_message IS NOT NULL THEN 'failed: ' || error_message WHEN duration_ms IS NOT NULL THEN 'took ' || CAST(floor(duration_ms / 1000) AS BIGINT) || '.' || (CAST(floor(duration_ms / 100) AS BIGINT) % 10) || ' s' WHEN row_count IS NOT NULL THEN CAST(row_count AS BIGINT) || ' rows' ELSE outcome END AS summary, false AS truncated FROM ev WHERE run_id IS NOT NULL"""),
+            CASE event WHEN 'pipeline.run' THEN 'Run' WHEN 'quality.check' THEN 'Check' WHEN 'wap.branch.create' THEN 'Create branch' ELSE upper(verb[1]) || verb[2:] END AS label, coalesce(error_message, CASE WHEN event = 'quality.check' THEN 'failed' WHEN event = 'wap.promote' THEN CASE WHEN branch IS NOT NULL AND target IS NOT NULL THEN branch || ' -> ' || target ELSE branch END
+            WHEN event = 'wap.branch.create' THEN 'branch ' || branch WHEN event = 'pipeline.run' THEN job_id ELSE coalesce(asset_key, table_name) END) AS summary, false AS truncated FROM ev WHERE run_id IS NOT NULL"""),
     ),
     "qry6_run_failures": (over_events(q.failures), sql("SELECT run_id, event_id, event, outcome, error_message, ts(observed_at) AS observed_at FROM ev WHERE run_id IS NOT NULL AND (outcome = 'failure' OR error_message IS NOT NULL)")),
     "qry7_run_changes": (

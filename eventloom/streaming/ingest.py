@@ -13,6 +13,7 @@ from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValu
 from eventloom.operators import baselines
 from eventloom.operators.projections import TERMINAL
 from eventloom.operators.sampling import IDLE_SECONDS
+from eventloom.schema import present
 from eventloom.streaming.store import KEYS as KEYS
 from eventloom.streaming.store import Store as Store
 
@@ -89,6 +90,8 @@ class TailSampler(StatefulProcessor):
 
 
 def tail_sampled(stream: DataFrame, slow_ms: float, lateness: str = "10 minutes") -> DataFrame:
+    """STR-6: run_id, event_id of the events that stay. Those without a run have no run to wait for and go straight through."""
     at = F.col("observed_at").cast("timestamp").alias("at")
-    rows = stream.where("run_id is not null").select("run_id", "event_id", "event", "outcome", "duration_ms", at).withWatermark("at", lateness)
-    return rows.groupBy("run_id").transformWithStateInPandas(TailSampler(slow_ms), "run_id string, event_id string", outputMode="Append", timeMode="EventTime")
+    rows = stream.where(present("run_id").isNotNull()).select("run_id", "event_id", "event", "outcome", "duration_ms", at).withWatermark("at", lateness)
+    kept = rows.groupBy("run_id").transformWithStateInPandas(TailSampler(slow_ms), "run_id string, event_id string", outputMode="Append", timeMode="EventTime")
+    return kept.union(stream.where(present("run_id").isNull()).select("run_id", "event_id"))

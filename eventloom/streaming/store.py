@@ -338,7 +338,9 @@ class Store:
         both = {k: merged(self.segments[k].lookup(listed[k], entities).unionByName(delta[k]), FOLDS[k]) for k in delta}
         found, ends = keep(folds.live_findings(both["findings"])), folds.live_resolvers(both["resolvers"])
         now = F.lit(dt.datetime.now(dt.UTC).replace(tzinfo=None))
-        critical = found.withColumn("who", F.coalesce("entity", F.col("event_id"))).select("who").distinct()
+        # A finding without an entity is an incident of its own, which goes when a run takes its event.
+        who = F.coalesce("entity", F.col("event_id")).alias("who")
+        critical = found.select(who).union(delta["findings"].select(who)).distinct()
 
         def made(kind: str) -> tuple[DataFrame, DataFrame, DataFrame]:
             keys = entities if kind == "insights" else entities.union(critical)

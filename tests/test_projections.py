@@ -95,7 +95,7 @@ def test_secrets(spark):
     df = spark.createDataFrame([("api_key",), ("userToken",), ("x-secret-y",), ("tokens",), ("keyboard",)], "k string")
     assert [r[0] for r in df.select(privacy.is_secret_key(F.col("k"))).collect()] == [True, True, True, False, False]
     u = spark.createDataFrame([("http://u:pw@h/p?token=1&a=2",), (None,)], "u string").select(privacy.strip_url(F.col("u"))).collect()
-    assert u[0][0] == "http://u:[REDACTED]@h/p?token=[REDACTED]&a=2"
+    assert u[0][0] == "http://u:***@h/p?token=%5BREDACTED%5D&a=2"
     assert u[1][0] is None
 
 
