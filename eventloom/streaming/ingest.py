@@ -11,7 +11,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from eventloom.operators import baselines
-from eventloom.operators.projections import TERMINAL
+from eventloom.operators.insights import GAP_SECONDS
+from eventloom.operators.lifecycle import COOLDOWN_SECONDS
+from eventloom.operators.projections import PROVENANCE, TERMINAL
 from eventloom.operators.sampling import IDLE_SECONDS
 from eventloom.schema import present
 from eventloom.streaming.store import KEYS as KEYS
@@ -95,3 +97,63 @@ def tail_sampled(stream: DataFrame, slow_ms: float, lateness: str = "10 minutes"
     rows = stream.where(present("run_id").isNotNull()).select("run_id", "event_id", "event", "outcome", "duration_ms", at).withWatermark("at", lateness)
     kept = rows.groupBy("run_id").transformWithStateInPandas(TailSampler(slow_ms), "run_id string, event_id string", outputMode="Append", timeMode="EventTime")
     return kept.union(stream.where(present("run_id").isNull()).select("run_id", "event_id"))
+
+
+class Cooldown(StatefulProcessor):
+    """RULE-11: what was sent last for a key is kept until the cooldown is over, then the key has no state."""
+
+    def __init__(self, seconds: int):
+        self.seconds = seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "at timestamp")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        at = sorted(x for df in rows for x in df["at"])
+        last, sent = pd.Timestamp(self.last.get()[0]) if self.last.exists() else None, []
+        for x in at:
+            sent.append(last is None or (x - last).total_seconds() >= self.seconds)
+            last = x if sent[-1] else last
+        if any(sent):
+            self.last.update((last.to_pydatetime(),))
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(int(last.timestamp() * 1000) + self.seconds * 1000)
+        yield pd.DataFrame({"key": [key[0]] * len(at), "at": at, "sent": sent})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def alert_stream(stream: DataFrame, cooldown: int = COOLDOWN_SECONDS, lateness: str = "10 minutes") -> DataFrame:
+    """RULE-11: rows(key, at) -> key, at, sent, as lifecycle.alerts gives them for rows that arrive in order.
+
+    A row that is older than the last one sent is not sent. State goes when the watermark passes the cooldown's end.
+    """
+    rows = stream.where("at IS NOT NULL").select("key", F.col("at").cast("timestamp").alias("at")).withWatermark("at", lateness)
+    return rows.groupBy("key").transformWithStateInPandas(Cooldown(cooldown), "key string, at timestamp, sent boolean", outputMode="Append", timeMode="EventTime")
+
+
+def incident_stream(findings: DataFrame, gap: int = GAP_SECONDS, lateness: str = "10 minutes") -> DataFrame:
+    """RULE-8, WIN-2: incidents of a stream of findings, each put out once no finding can join it any more.
+
+    A session takes in what is at most gap apart, to the millisecond; late findings that bridge two sessions make them one. Its
+    findings from the first critical one on are the incident; without one there is none. A session's findings are its state.
+    """
+    rows = findings.where("severity IN ('error', 'critical')").withColumns({"who": F.coalesce("entity", F.col("event_id")), "at": F.col("observed_at").cast("timestamp")}).withWatermark("at", lateness)
+    one = F.struct("observed_at", "event_id", "severity", "summary", "entity")
+    out = rows.groupBy(F.session_window("at", f"{gap * 1000 + 1} milliseconds").alias("session"), "who").agg(F.array_sort(F.collect_list(one)).alias("all"))
+    first = F.element_at(F.filter("all", lambda x: x["severity"] == "critical"), 1)
+    out = out.where(F.exists("all", lambda x: x["severity"] == "critical")).withColumn("first", first)
+    since = F.struct("first.observed_at", "first.event_id")
+    members = F.filter("all", lambda x: F.struct(x["observed_at"], x["event_id"]) >= since)
+    out = out.select("who", members.alias("m"), F.col("first.entity").alias("entity"), F.col("first.summary").alias("title"), F.col("first.observed_at").alias("started_at"), F.col("first.event_id").alias("first_event"))
+    ids = F.transform(F.slice("m", 1, PROVENANCE), lambda x: x["event_id"])
+    return out.select(
+        "who", "entity", "title", "started_at", F.element_at("m", -1)["observed_at"].alias("last_at"), F.size("m").cast("long").alias("members"), "first_event", ids.alias("member_events"), F.lit("critical").alias("severity"),
+    )
