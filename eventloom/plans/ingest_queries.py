@@ -73,7 +73,10 @@ def _drifts(spark: SparkSession, sf_dir: str) -> DataFrame:
     tax = F.when(new, "0.5").otherwise("0")
     flag = F.when(F.col("l_returnflag") != "R", F.concat(F.lit(',"flag":"'), "l_returnflag", F.lit('"'))).otherwise("")
     big = F.when(new & (F.col("l_quantity") > 25), ',"big":true').otherwise("")
-    body = F.concat(F.lit('{"quantity":'), F.col("l_quantity").cast("long").cast("string"), F.lit(',"tax":'), tax, flag, big, F.lit("}"))
+    odd = F.col("l_quantity") % 2 == 1
+    mixed = lambda side: F.when(side & odd, '"x"').otherwise("1")
+    unions = F.concat(F.lit(',"wider":'), mixed(new), F.lit(',"narrower":'), mixed(old))
+    body = F.concat(F.lit('{"quantity":'), F.col("l_quantity").cast("long").cast("string"), F.lit(',"tax":'), tax, unions, flag, big, F.lit("}"))
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where(old | new)
     seen = v.observed_fields(rows.select(F.concat_ws("|", (F.col("l_suppkey") % 7).cast("string"), "l_linestatus").alias("event"), body.alias("attributes")))
     seen = seen.select(F.concat_ws("|", F.split_part("event", F.lit("|"), F.lit(1)), "field").alias("field"), F.split_part("event", F.lit("|"), F.lit(2)).alias("version"), "type", "required")
@@ -154,14 +157,16 @@ QUERIES = {
         lambda spark, sf_dir: _drifts(spark, sf_dir),
         """WITH l AS (SELECT CAST(l_suppkey % 7 AS VARCHAR) AS mode, l_linestatus AS v, l_quantity, l_tax, l_returnflag FROM lineitem),
             f AS (SELECT mode, v, unnest([{'field': 'quantity', 'type': 'int', 'there': true}, {'field': 'tax', 'type': CASE WHEN v = 'O' THEN 'float' ELSE 'int' END, 'there': true},
-              {'field': 'flag', 'type': 'string', 'there': l_returnflag <> 'R'}, {'field': 'big', 'type': 'bool', 'there': v = 'O' AND l_quantity > 25}]) AS x FROM l),
+              {'field': 'flag', 'type': 'string', 'there': l_returnflag <> 'R'}, {'field': 'big', 'type': 'bool', 'there': v = 'O' AND l_quantity > 25},
+              {'field': 'wider', 'type': CASE WHEN v = 'O' AND l_quantity % 2 = 1 THEN 'string' ELSE 'int' END, 'there': true}, {'field': 'narrower', 'type': CASE WHEN v = 'F' AND l_quantity % 2 = 1 THEN 'string' ELSE 'int' END, 'there': true}]) AS x FROM l),
             n AS (SELECT mode, v, count(*) AS n FROM l GROUP BY ALL),
-            t AS (SELECT mode, v, x.field AS field, x.type AS type, count(*) AS c FROM f WHERE x.there GROUP BY ALL),
+            t AS (SELECT mode, v, x.field AS field, string_agg(DISTINCT x.type, '|' ORDER BY x.type) AS type, count(*) AS c FROM f WHERE x.there GROUP BY mode, v, x.field),
             r AS (SELECT t.*, c = n AS required FROM t JOIN n USING (mode, v)),
             j AS (SELECT coalesce(a.mode, b.mode) AS mode, coalesce(a.field, b.field) AS field, a.type AS t0, b.type AS t1, a.required AS r0, b.required AS r1
               FROM (SELECT * FROM r WHERE v = 'F') a FULL JOIN (SELECT * FROM r WHERE v = 'O') b ON a.mode = b.mode AND a.field = b.field),
-            c AS (SELECT mode, field, CASE WHEN t1 IS NULL THEN 'removed' WHEN t0 IS NULL AND r1 THEN 'new_required' WHEN t0 IS NULL THEN 'new_optional' WHEN t0 = 'int' AND t1 = 'float' THEN 'widened' WHEN t0 <> t1 THEN 'type_changed'
-              WHEN NOT r0 AND r1 THEN 'now_required' WHEN r0 AND NOT r1 THEN 'now_optional' END AS change FROM j)
+            c AS (SELECT mode, field, unnest([CASE WHEN t1 IS NULL THEN 'removed' WHEN t0 IS NULL AND r1 THEN 'new_required' WHEN t0 IS NULL THEN 'new_optional' END,
+              CASE WHEN t0 = t1 THEN NULL WHEN list_contains(string_split(t1, '|'), t0) OR (t0 = 'int' AND t1 = 'float') THEN 'widened' WHEN t0 <> t1 THEN 'type_changed' END,
+              CASE WHEN NOT r0 AND r1 THEN 'now_required' WHEN r0 AND NOT r1 THEN 'now_optional' END]) AS change FROM j)
             SELECT mode, field, change, change IN ('removed', 'new_required', 'type_changed', 'now_required') AS breaking FROM c WHERE change IS NOT NULL""",
     ),
     "val4_normal_json": (

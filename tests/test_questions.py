@@ -35,7 +35,7 @@ def test_questions_by_name(spark, ev):
     assert "Run" in {r.label for r in timeline}
     assert run.event_id in {r.event_id for r in q.run_failures(run.run_id).collect()}
     assert {r.run_id for r in q.run_changes(run.run_id, 720.0).collect()} <= {run.run_id}
-    assert q.run_impact(run.run_id).count() >= 0
+    assert {r.src for r in q.run_impact(run.run_id).collect()} <= {f"run://{who}/{run.run_id}" for who in ("orders", "lines")}
     assert q.compare_runs(runs[0], runs[1]).count() == 1
     assert {r.run_id for r in q.investigate().collect()} == {r.run_id for r in q.list_runs(1000, status="failure").collect()}
     assert q.asset_health("2001-01-01").where("breached").count() > 0
@@ -97,6 +97,19 @@ def test_contract_of_a_struct_and_drift(spark):
     assert validate.contract_violations(ev, b, "strict").count() == 1
 
 
+def test_drift_of_unions(spark):
+    shape = "field string, type string, required boolean"
+    old = [("a", "int", True), ("b", "int|string", True), ("c", "int|string", False), ("d", "int", True), ("e", "string", False), ("f", "bool", True)]
+    new = [("a", "int|string", False), ("b", "int", True), ("c", "float|int|string", False), ("d", "float|string", True), ("e", "string", True), ("f", "bool", True)]
+    got = {(r.field, r.change, r.breaking) for r in validate.drift(spark.createDataFrame(old, shape), spark.createDataFrame(new, shape)).collect()}
+    assert got == {("a", "widened", False), ("a", "now_optional", False), ("b", "type_changed", True), ("c", "type_changed", True), ("d", "widened", False), ("e", "now_required", True)}
+    ev = spark.createDataFrame([("1", "e", '{"a": 1}'), ("2", "e", '{"a": "1"}'), ("3", "e", '{"a": true}')], "event_id string, event string, attributes string")
+    seen = validate.observed_fields(ev.where("event_id < '3'"))
+    assert [(r.field, r.type) for r in seen.collect()] == [("a", "int|string")]
+    checked = validate.contract_violations(ev, seen.withColumn("version", F.lit(1)))
+    assert {r.event_id: r.violations for r in checked.collect()} == {"1": [], "2": [], "3": ["type:a"]}
+
+
 def test_incidents_need_a_critical_finding_and_rank_severities(spark):
     shape = "rule string, entity string, severity string, kind string, summary string, event string, producer string, event_id string, observed_at string"
     rows = [("r", "e", severity, "k", "s", "ev", "p", f"x{i}", at(i * 10)) for i, severity in enumerate(["error", "critical", "error", "error"])]
