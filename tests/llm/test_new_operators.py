@@ -310,3 +310,12 @@ def test_surrogates_of_short_and_accented_values():
     assert new[2:4] == op10.iban_digits("DE", new[4:])
     found = [(k, v) for _, _, k, v in op10.mentions("I met Mr. Jean-Luc Picard and Mrs. O'Brien. Jean-Luc left.")]
     assert found == [("given_m", "Jean-Luc"), ("family", "Picard"), ("family", "O'Brien"), ("given_m", "Jean-Luc")]
+
+
+def test_op9_salted_rates_are_the_broadcast_ones(spark, monkeypatch):
+    from eventloom.llm import op9_mixing as op9
+
+    df = spark.createDataFrame([(i, f"t{i}", "en", f"s{i % 7}" if i % 11 else None, 1, "l", "t", "p") for i in range(300)], DOCS)
+    want = sorted(map(str, op9.mix_sources(df).collect()))
+    monkeypatch.setattr(op9, "SOURCES", 0)
+    assert sorted(map(str, op9.mix_sources(df).collect())) == want
