@@ -12,7 +12,7 @@ from eventloom.operators import insights
 from eventloom.operators import projections as p
 from eventloom.schema import pos, present, seconds_between
 
-PAGE, EVENT_CAP, CHANGE_CAP, COMPARABLE, CAUSES = 100, 10_000, 1000, 5, 3
+PAGE, EVENT_CAP, CHANGE_CAP, COMPARABLE, CAUSES, LINEAGE_CAP = 100, 10_000, 1000, 5, 3, 5000
 #: Fixed values.
 CHANGE_CATEGORIES, CHANGE_VERBS = ("infrastructure", "storage"), ("deploy", "commit", "create", "migrate", "release", "upgrade")
 PHASES = ("pipeline", "asset", "quality", "table", "wap", "external")
@@ -156,11 +156,15 @@ def run_entities(edges: DataFrame) -> DataFrame:
     return out.union(into).distinct()
 
 
-def lineage(edges: DataFrame, entity_prefix: str = "asset://") -> DataFrame:
-    """JOIN-8, QRY-11: one hop up and down from each entity of a kind."""
-    up = edges.where(F.col("dst").startswith(entity_prefix)).select(F.col("dst").alias("entity_id"), F.lit("upstream").alias("direction"), F.col("src").alias("neighbour"), "type", F.when(F.col("method") == "explicit", "runtime").otherwise(F.col("method")).alias("kind"))
-    down = edges.where(F.col("src").startswith(entity_prefix)).select(F.col("src").alias("entity_id"), F.lit("downstream").alias("direction"), F.col("dst").alias("neighbour"), "type", F.when(F.col("method") == "explicit", "runtime").otherwise(F.col("method")).alias("kind"))
-    return up.union(down)
+def lineage(edges: DataFrame, entity_prefix: str = "asset://", cap: int = LINEAGE_CAP) -> DataFrame:
+    """JOIN-8, QRY-11: one hop up and down from each entity of a kind: a side's first neighbours up to a cap, truncated true where there were more. The cap is the feature."""
+    kind = F.when(F.col("method") == "explicit", "runtime").otherwise(F.col("method")).alias("kind")
+
+    def hop(direction: str, at: str, to: str) -> DataFrame:
+        return edges.where(F.col(at).startswith(entity_prefix)).select(F.col(at).alias("entity_id"), F.lit(direction).alias("direction"), F.col(to).alias("neighbour"), "type", kind)
+
+    both = hop("upstream", "dst", "src").union(hop("downstream", "src", "dst")).withColumn("side", F.struct("entity_id", "direction"))
+    return bounded(both, "side", [F.col("neighbour"), F.col("type")], cap).drop("side", "rn")
 
 
 def asset_health(assets: DataFrame, as_of: Column) -> DataFrame:

@@ -78,7 +78,7 @@ QUERIES = {
     ),
     "join8_lineage": (
         over_events(lambda ev: q.lineage(p.relationships(ev))),
-        sql("SELECT DISTINCT dst AS entity_id, 'upstream' AS direction, src AS neighbour, type, 'runtime' AS kind FROM edge WHERE dst LIKE 'asset://%'", EDGES),
+        sql("SELECT DISTINCT dst AS entity_id, 'upstream' AS direction, src AS neighbour, type, 'runtime' AS kind, false AS truncated FROM edge WHERE dst LIKE 'asset://%'", EDGES),
     ),
     "qry11_asset_health": (
         over_events(lambda ev: q.asset_health(p.assets(ev), F.lit("2001-01-01").cast("timestamp_ntz"))),

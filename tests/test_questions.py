@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventloom.operators import correlate, insights, lifecycle, maintenance, questions, validate
+from eventloom.operators import correlate, insights, lifecycle, maintenance, projections, questions, validate
 from eventloom.schema import from_tables
 from eventloom.sources import payloads as s
 from tests.test_projections import at, events
@@ -97,6 +97,32 @@ def test_contract_of_a_struct_and_drift(spark):
     assert validate.contract_violations(ev, b, "strict").count() == 1
 
 
+def test_lineage_is_cut_by_side(spark):
+    edges = spark.createDataFrame([(f"run://p/r{i}", "asset://a", "produces", "explicit") for i in range(5)] + [("asset://a", "asset://b", "part_of", "guess")], "src string, dst string, type string, method string")
+    got = {(r.entity_id, r.direction, r.neighbour, r.kind, r.truncated) for r in questions.lineage(edges, cap=3).collect()}
+    want = {("asset://a", "upstream", f"run://p/r{i}", "runtime", True) for i in range(3)}
+    assert got == want | {("asset://a", "downstream", "asset://b", "guess", False), ("asset://b", "upstream", "asset://a", "guess", False)}
+
+
+def test_kinds_of_roles_and_first_errors_by_number(spark):
+    ev = events(spark, [{"entities": {"widget": "widget://x", "quality_suite": "quality://s", "asset": "asset://a"}}])
+    assert {r.entity_id: r.kind for r in projections.entities(ev).where("entity_id NOT LIKE 'service%'").collect()} == {"widget://x": "widget", "quality://s": "quality", "asset://a": "asset"}
+    payloads = spark.createDataFrame([("p", "[]", None)], "payload_id string, payload string, received_at timestamp_ntz")
+    errors = spark.createDataFrame([("p", "10", "B", "b"), ("p", "2", "A", "a")], "payload_id string, `index` string, code string, message string")
+    assert s.quarantined(payloads, errors, payloads.limit(0), "canonical").first().code == "A"
+
+
+def test_summaries_of_timelines(spark):
+    rows = [
+        ("ingestion.load", '{"rows_out": 1234567.0}', "1,234,567 rows"), ("ingestion.load", '{"rows_in": 0}', "0 rows"), ("quality.validate", '{"checks_total": 4, "checks_passed": 3}', "3/4 checks passed"),
+        ("quality.validate", '{"suite": "s"}', "s"), ("quality.check", '{"check_name": "c", "passed": true}', "c passed"), ("quality.check", None, "failed"), ("wap.promote", '{"branch": "b", "target": "main"}', "b -> main"),
+        ("wap.branch.create", '{"branch": "b"}', "branch b"), ("pipeline.step", '{"step_key": "k"}', "k"), ("pipeline.run", '{"job": "j"}', "j"), ("other.thing", None, None),
+    ]
+    ev = events(spark, [{"event": e, "attributes": a, "run_id": "r", "observed_at": at(i)} for i, (e, a, _) in enumerate(rows)])
+    assert [r.summary for r in questions.timeline(ev).orderBy("rn").collect()] == [x for _, _, x in rows]
+    assert {r.phase for r in questions.timeline(ev).collect()} == {"other", "quality", "wap", "pipeline"}
+
+
 def test_drift_of_unions(spark):
     shape = "field string, type string, required boolean"
     old = [("a", "int", True), ("b", "int|string", True), ("c", "int|string", False), ("d", "int", True), ("e", "string", False), ("f", "bool", True)]
