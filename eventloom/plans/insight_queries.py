@@ -24,7 +24,7 @@ SELECT 'quality-failure', coalesce('asset://' || asset_key, 'run://' || producer
 SELECT 'duration-regression', entity, 'warning', 'regression', 'slow: ' || metric, event, producer, event_id, observed_at FROM win WHERE base = 'run.duration_ms' AND pn >= 5 AND pm <> 0 AND v > 2 * pm UNION ALL
 SELECT 'volume-spike', entity, 'warning', 'anomaly', 'many: ' || metric, event, producer, event_id, observed_at FROM win WHERE base = 'rows' AND pn >= 5 AND pm > 0 AND v > 3 * pm UNION ALL
 SELECT 'freshness-breach', 'asset://' || asset_key, 'warning', 'freshness', 'stale before this event', event, producer, event_id, observed_at FROM fresh WHERE sla_seconds IS NOT NULL AND epoch_ms(observed_at) - epoch_ms(mb) > sla_seconds * 1000),
-found AS (SELECT *, substr(sha256('["' || rule || '","' || entity || '","' || event || '","' || producer || '"]'), 1, 32) AS dedupe_key FROM fnd)"""
+found AS MATERIALIZED (SELECT *, substr(sha256('["' || rule || '","' || entity || '","' || event || '","' || producer || '"]'), 1, 32) AS dedupe_key FROM fnd)"""
 )
 
 EPISODES = (
@@ -33,7 +33,7 @@ EPISODES = (
 res AS (SELECT 'run-failure' AS rule, 'run://' || producer || '/' || run_id AS entity, event_id AS rid, observed_at AS rat FROM ev WHERE event = 'pipeline.run' AND outcome = 'success' UNION ALL
  SELECT 'quality-failure', coalesce('asset://' || asset_key, 'run://' || producer || '/' || run_id), event_id, observed_at FROM ev WHERE event = 'quality.check' AND outcome = 'success'),
 far AS (SELECT rule, entity, event_id, observed_at, NULL AS rid FROM found UNION ALL SELECT rule, entity, NULL, rat, rid FROM res),
-nxt AS (SELECT rule, event_id, r FROM (SELECT rule, event_id, min(CASE WHEN rid IS NOT NULL THEN (observed_at, rid) END) OVER (PARTITION BY rule, entity ORDER BY observed_at DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS r FROM far) WHERE event_id IS NOT NULL),
+nxt AS MATERIALIZED (SELECT rule, event_id, r FROM (SELECT rule, event_id, min(CASE WHEN rid IS NOT NULL THEN (observed_at, rid) END) OVER (PARTITION BY rule, entity ORDER BY observed_at DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS r FROM far) WHERE event_id IS NOT NULL),
 fr AS (SELECT f.*, r[1] AS resolved_at, r[2] AS resolved_by FROM found f LEFT JOIN nxt USING (rule, event_id)),
 epi AS (SELECT dedupe_key, resolved_by, any_value(rule) AS rule, any_value(entity) AS entity, any_value(resolved_at) AS resolved_at, arg_min(severity, (observed_at, event_id)) AS severity, arg_min(kind, (observed_at, event_id)) AS kind, arg_min(summary, (observed_at, event_id)) AS summary,
  arg_min(event_id, (observed_at, event_id)) AS first_event, min(observed_at) AS observed_at, max(observed_at) AS last_observed_at, count(*) AS findings, list(event_id ORDER BY observed_at, event_id)[:64] AS evidence FROM fr GROUP BY dedupe_key, resolved_by)"""
