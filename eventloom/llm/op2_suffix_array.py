@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import documents, staged
+from eventloom.llm.common import documents, staged, unstage
 from eventloom.llm.textops import batches, mix, prefix_hash
 
 LENGTH, SEED = 200, 64
@@ -122,13 +122,13 @@ def intervals(lcp: list[int], least: int) -> Iterator[tuple[int, int, int]]:
             stack.append((h, start))
 
 
-def stack_scan(lefts: list[bytes], rights: list[bytes], deep: bool = False) -> Iterator[tuple[int, int, list[int], list[int]]]:
-    """Repeats of a piece of the suffix array (rights sorted): length to the left, to the right, members, each one's own reach to the left.
+def stack_scan(lefts: list[bytes], rights: list[bytes], rank: list[int]) -> Iterator[tuple[int, list[int], list[int], list[tuple[int, int, int]]]]:
+    """Repeats of a piece of the suffix array (rights sorted; rank: each row's place in the order of lefts).
 
-    An interval's members with the same LENGTH - r bytes to the left repeat a string of LENGTH bytes; that string is
-    extended to the left until its occurrences differ. A set of members that lies in one child interval was put out
-    there, with a longer string. Deep, the members that agree further to the left are put out too, each set of them: the
-    intervals of the left contexts within the interval of the right ones. What is covered is the same.
+    Length to the right, members in the order of rank, each one's own reach to the left, and the repeats among them as
+    (length to the left, first, last). An interval's members with the same LENGTH - r bytes to the left repeat a string of
+    LENGTH bytes; the intervals of their left contexts are the strings that can't be made longer to the left without losing
+    an occurrence. A set of members that lies in one child interval was put out there, with a longer string.
     """
     lcp = [common(rights[i - 1], rights[i]) for i in range(1, len(rights))]
     for r, start, end in intervals(lcp, SEED):
@@ -138,15 +138,17 @@ def stack_scan(lefts: list[bytes], rights: list[bytes], deep: bool = False) -> I
             if m > start and lcp[m - 1] == r:
                 child += 1
             if len(lefts[m]) >= need:
-                groups[lefts[m][:need]].append((lefts[m], m, child))
+                groups[lefts[m][:need]].append((rank[m], m, child))
         for g in groups.values():
-            if len(g) > 1 and len({c for _, _, c in g}) > 1:
-                g.sort()
-                near = [common(g[k - 1][0], g[k][0]) for k in range(1, len(g))]
+            g.sort()
+            changes = [0]
+            for k in range(1, len(g)):
+                changes.append(changes[-1] + (g[k - 1][2] != g[k][2]))
+            if changes[-1]:
+                near = [common(lefts[g[k - 1][1]], lefts[g[k][1]]) for k in range(1, len(g))]
                 reach = [max(x, y) for x, y in zip([0, *near], [*near, 0], strict=True)]
-                for n, lo, hi in intervals(near, need) if deep else [(min(near), 0, len(g) - 1)]:
-                    if len({c for _, _, c in g[lo : hi + 1]}) > 1:
-                        yield n, r, [m for _, m, _ in g[lo : hi + 1]], reach[lo : hi + 1]
+                nodes = [(n, lo, hi) for n, lo, hi in intervals(near, need) if changes[hi] > changes[lo]]
+                yield r, [m for _, m, _ in g], reach, nodes
 
 
 def pieces_of(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -163,58 +165,69 @@ def pieces_of(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield held
 
 
-def scan_reach(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each seed's piece -> seed, ctx, and how far the bytes left and right of the anchor are covered by repeats: a row for each context that is."""
-    cols: tuple[list, ...] = ([], [], [], [])
+SCANNED = "seed long, ctx binary, lo long, hi long, left_lo long, left_hi long, l long, r long, n long, num long"
 
-    def batch() -> pa.RecordBatch:
-        return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["seed", "ctx", "l", "r"])
 
-    for rows in pieces_of(batch_iter):
-        far, right = [0] * len(rows), [0] * len(rows)
-        if len(rows) == 2:
-            a, b = rows
-            r = common(a[4], b[4])
-            if r >= SEED and r + min(len(a[3]), len(b[3])) >= LENGTH and a[3][: LENGTH - r] == b[3][: LENGTH - r]:
-                far, right = [common(a[3], b[3])] * 2, [r] * 2
-        elif len(rows) > 2:
-            for _, r, members, reach in stack_scan([x[3] for x in rows], [x[4] for x in rows]):
-                for m, own in zip(members, reach, strict=True):
-                    far[m], right[m] = max(far[m], own), max(right[m], r)
-        for k, (seed, ctx, n, x, y) in enumerate(rows):
-            if n > 1 and len(x) + len(y) >= LENGTH:  # a context that occurs twice or more repeats as a whole
-                far[k], right[k] = len(x), len(y)
-            if right[k]:
-                for c, v in zip(cols, (seed, ctx, far[k], right[k]), strict=True):
-                    c.append(v)
-        if len(cols[0]) > 20_000:
-            yield batch()
-            for c in cols:
-                c.clear()
-    if cols[0]:
-        yield batch()
+def scan_repeats(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each seed's piece -> its maximal repeats, a row each as the scan finds it, then its contexts.
 
+    A repeat (no ctx): its members are the contexts whose suffix has a place from lo to hi and whose left bytes have one from
+    left_lo to left_hi; l and r bytes to the left and right of the anchor; n occurrences; its number. A context that is in a
+    repeat: its two places (lo, left_lo), the furthest l and r of its repeats, the length n of the longest, their number.
+    """
+    kinds = [pa.int64(), pa.binary(), *[pa.int64()] * 8]
+    names = [x.split()[0] for x in SCANNED.split(", ")]
+    out: list[tuple] = []
+
+    def batch() -> pa.RecordBatch:
+        rb = pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+        out.clear()
+        return rb
 
-def scan_repeats(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each seed's piece -> its repeats with their members: seed, ctx, repeat, l, r."""
-    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
     for rows in pieces_of(batch_iter):
-        twice = {x[1] for x in rows if x[2] > 1}
-        same, out, repeat = set(), [], 0
-        scan = stack_scan([x[3] for x in rows], [x[4] for x in rows], deep=True) if len(rows) > 1 else ()
-        for repeat, (n, r, members, _) in enumerate(scan, 1):
-            out += [(rows[0][0], rows[m][1], repeat, n, r) for m in members]
-            same.update((rows[m][1], n, r) for m in members if rows[m][1] in twice)
-            if len(out) > 50_000:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["seed", "ctx", "repeat", "l", "r"])
-                out = []
-        # A context that occurs twice or more repeats as a whole, if it isn't in a repeat of just these bytes.
-        for seed, ctx, n, x, y in rows:
-            if n > 1 and len(x) + len(y) >= LENGTH and (ctx, len(x), len(y)) not in same:
-                repeat += 1
-                out.append((seed, ctx, repeat, len(x), len(y)))
-        if out:
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["seed", "ctx", "repeat", "l", "r"])
+        seed, size = rows[0][0], len(rows)
+        lefts, rights = [x[3] for x in rows], [x[4] for x in rows]
+        order = sorted(range(size), key=lefts.__getitem__)
+        rank = [0] * size
+        for k, m in enumerate(order):
+            rank[m] = k
+        far, right, longest, among, whole = [0] * size, [0] * size, [0] * size, [0] * size, set()
+        number = 0
+        for r, members, reach, nodes in stack_scan(lefts, rights, rank):
+            before, opened = [0], [0] * (len(members) + 1)
+            for m in members:
+                before.append(before[-1] + rows[m][2])
+            # Others that lie between them in the suffix array differ to the left, so they have no place from left_lo to left_hi.
+            first, last = min(members), max(members)
+            for left, lo, hi in nodes:
+                number += 1
+                opened[lo] += 1
+                opened[hi + 1] -= 1
+                out.append((seed, None, first, last, rank[members[lo]], rank[members[hi]], left, r, before[hi + 1] - before[lo], number))
+                if len(out) >= 20_000:
+                    yield batch()
+            level = 0
+            for k, (m, own) in enumerate(zip(members, reach, strict=True)):
+                level += opened[k]
+                if level:
+                    among[m] += level
+                    far[m], right[m], longest[m] = max(far[m], own), max(right[m], r), max(longest[m], own + r)
+                    if own == len(lefts[m]) and r == len(rights[m]):
+                        whole.add(m)
+        for m, (_, ctx, n, x, y) in enumerate(rows):
+            # A context that occurs twice or more repeats as a whole, if it isn't in a repeat of just these bytes.
+            if n > 1 and len(x) + len(y) >= LENGTH:
+                if m not in whole:
+                    number += 1
+                    among[m] += 1
+                    out.append((seed, None, m, m, rank[m], rank[m], len(x), len(y), n, number))
+                far[m], right[m], longest[m] = len(x), len(y), len(x) + len(y)
+            if among[m]:
+                out.append((seed, ctx, m, None, rank[m], None, far[m], right[m], longest[m], among[m]))
+            if len(out) >= 20_000:
+                yield batch()
+    if out:
+        yield batch()
 
 
 def windows_of(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,12 +243,16 @@ def windows_of(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["seed", "ctx", "n", "j", "w"])
 
 
+CUT = "rid long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>, n_repeats long, longest_repeat long"
+
+
 def cut_out(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """rid, packed text, spans -> what is removed and a digest of what stays."""
+    """rid, packed text, spans, n_repeats, longest_repeat -> what is removed, a digest of what stays, and the last two."""
     z = zstandard.ZstdDecompressor()
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64())), pa.int64(), pa.int64())
     for rb in batch_iter:
         out = []
-        for d, t, spans in zip(*(c.to_pylist() for c in rb.columns), strict=True):
+        for d, t, spans, repeats, longest in zip(*(c.to_pylist() for c in rb.columns), strict=True):
             text, runs = z.decompress(t), []
             for s in sorted((x["s"], x["e"]) for x in spans):
                 if runs and s[0] <= runs[-1][1]:
@@ -247,40 +264,46 @@ def cut_out(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kept.update(text[at:a])
                 at = b
             kept.update(text[at:])
-            out.append((d, sum(b - a for a, b in runs), len(runs), kept.hexdigest(), runs))
-        cols = list(zip(*out, strict=True)) if out else [[]] * 5
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64()))), strict=True)], ["rid", "n_removed", "n_spans", "kept_sha256", "spans"])
+            out.append((d, sum(b - a for a, b in runs), len(runs), kept.hexdigest(), runs, repeats, longest))
+        cols = list(zip(*out, strict=True)) if out else [[]] * 7
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in CUT.split(", ")])
 
 
 class Repeats:
-    """The steps' tables, .occurrences() and .removed().
+    """The steps' tables, .groups() with .members(), .occurrences() and .removed().
 
-    A row is known by rid, a hash of its doc_id and text: rows that share a doc_id are told apart. Of equal texts one is
-    searched. A seed's contexts are scanned in one task up to GROUP of them. A passage that very many texts share has more,
-    each with other text around it; so they can't be brought together in one task, and are counted window by window.
+    A row is known by rid, a number of its own that is given out once, in the first staged table: rows that share a doc_id
+    are told apart. Of equal texts one is searched. A seed's contexts are scanned in one task up to GROUP of them. A passage
+    that very many texts share has more, each with other text around it; so they can't be brought together in one task, and
+    are counted window by window.
     """
 
     def __init__(self, docs: DataFrame):
-        docs, rid = docs.select("doc_id", "text"), F.xxhash64("doc_id", "sha").alias("rid")
+        docs = docs.select("doc_id", "text")
         found = docs.mapInArrow(find_anchors, "doc_id long, n_bytes long, sha binary, at array<long>, seeds array<long>")
-        self.found = staged(found.select(rid, "*"), "repeats-anchors")
+        self.found = staged(found.select(F.monotonically_increasing_id().alias("rid"), "*"), "repeats-anchors")
         self.texts = self.found.groupBy("sha").agg(F.min("rid").alias("rid"), F.count("*").alias("copies"))
         one = self.found.join(self.texts.select("rid"), "rid", "left_semi")
         rows = one.select("rid", F.explode(F.arrays_zip("at", "seeds")).alias("x")).select("rid", "x.at", F.col("x.seeds").alias("seed"))
         twice = rows.groupBy("seed").count().where("count > 1").select("seed")
         hits = rows.join(twice, "seed").groupBy("rid").agg(F.collect_list(F.struct("at", "seed")).alias("x"))
         hits = hits.select("rid", F.col("x.at").alias("at"), F.col("x.seed").alias("seeds"))
+        # The packed texts find their number by doc_id and sha, and by a hash of both, which spreads copies.
+        key = F.xxhash64("doc_id", "sha").alias("key")
+        hits = hits.join(one.select("rid", key, F.col("doc_id").alias("id"), F.col("sha").alias("digest")), "rid")
+        packs = docs.mapInArrow(packed, "doc_id long, sha binary, z binary").select(key, "*")
         # Both sides grow with the documents, so they are shuffled at any size.
-        self.hits = staged(docs.mapInArrow(packed, "doc_id long, sha binary, z binary").select(rid, "z").join(hits.hint("merge"), "rid"), "repeats-hits")
-        near = self.hits.select("rid", "z", "at", "seeds").mapInArrow(contexts, "rid long, at long, seed long, ctx binary, lft binary, rgt binary")
+        packs = packs.join(hits.hint("merge"), "key").where(F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("sha") == F.col("digest")))
+        self.hits = staged(packs.select("rid", "z", "at", "seeds"), "repeats-hits")
+        near = self.hits.mapInArrow(contexts, "rid long, at long, seed long, ctx binary, lft binary, rgt binary")
         self.near = near.select("rid", "at", "seed", "ctx")
         kinds = staged(near.groupBy("seed", "ctx").agg(F.count("*").alias("n"), F.first("lft").alias("lft"), F.first("rgt").alias("rgt")), "repeats-contexts")
         size = kinds.groupBy("seed").agg(F.count("*").alias("kinds"), F.sum("n").alias("all")).where("all > 1")
         sized = kinds.join(size, "seed")
         few = sized.where(F.col("kinds") <= GROUP).select("seed", "ctx", "n", "lft", "rgt")
-        self.pieces = few.repartition("seed").sortWithinPartitions("seed", "rgt")
-        self.scanned = staged(self.pieces.mapInArrow(scan_reach, "seed long, ctx binary, l long, r long"), "repeats-scanned")
+        self.scanned = staged(few.repartition("seed").sortWithinPartitions("seed", "rgt").mapInArrow(scan_repeats, SCANNED), "repeats-scanned")
         self.large = staged(sized.where(F.col("kinds") > GROUP).select("seed", "ctx", "n", "lft", "rgt"), "repeats-large")
+        unstage(kinds)
 
     def windows(self) -> tuple[DataFrame, DataFrame]:
         """Of the large groups: each context's windows (seed, ctx, n, j, w), and those that occur twice, with a hash of the set of contexts that have them."""
@@ -289,27 +312,40 @@ class Repeats:
         twice = each.groupBy("seed", "j", "w").agg(F.sum("n").alias("all"), F.xxhash64(F.bit_xor(mark), F.sum(F.shiftright(mark, 20)), F.count("*")).alias("set")).where("all > 1")
         return each, twice.drop("all")
 
+    def large_members(self) -> DataFrame:
+        """seed, ctx, set, l, r: the repeats of the large groups, each the union of the windows that occur in just the same contexts."""
+        each, twice = self.windows()
+        both = each.join(twice, ["seed", "j", "w"])
+        return both.groupBy("seed", "ctx", "set").agg(F.max("j").alias("l"), (LENGTH - F.min("j")).alias("r"))
+
+    def groups(self) -> DataFrame:
+        """seed, num, l, r, n, lo, hi, left_lo, left_hi: each maximal repeat of the scan, n its occurrences (equal texts count once, repeated rows each)."""
+        return self.scanned.where("ctx is null").select("seed", "num", "l", "r", "n", "lo", "hi", "left_lo", "left_hi")
+
+    def members(self) -> DataFrame:
+        """seed, ctx, set, l, r: the contexts of each repeat of the scan, found by their two places."""
+        at = self.groups().withColumn("at", F.explode(F.sequence("lo", "hi"))).drop("lo", "hi")
+        ctx = self.scanned.where("ctx is not null").select("seed", "ctx", F.col("lo").alias("at"), F.col("left_lo").alias("left_at"))
+        return at.join(ctx, ["seed", "at"]).where("left_at between left_lo and left_hi").select("seed", "ctx", F.col("num").alias("set"), "l", "r")
+
     def reach(self) -> DataFrame:
-        """seed, ctx -> how far to the left and to the right of the anchor its bytes are covered."""
+        """seed, ctx -> how far left and right of the anchor its repeats cover it, the longest one's length, their number."""
+        near = self.scanned.where("ctx is not null").select("seed", "ctx", "l", "r", F.col("n").alias("longest"), F.col("num").alias("repeats"))
         if self.large.isEmpty():
-            return self.scanned
-        each, twice = self.windows()
-        far = each.join(twice, ["seed", "j", "w"]).groupBy("seed", "ctx").agg(F.max("j").alias("l"), (LENGTH - F.min("j")).alias("r"))
-        return self.scanned.union(far)
+            return near
+        far = self.large_members().groupBy("seed", "ctx")
+        return near.union(far.agg(F.max("l").alias("l"), F.max("r").alias("r"), F.max(F.col("l") + F.col("r")).alias("longest"), F.count("*").alias("repeats")))
 
     def occurrences(self) -> DataFrame:
         """repeat_id, doc_id, start, end (bytes): one row for each occurrence of a repeat, copies of equal texts among them.
 
         A repeat is a string that, made longer on either side, occurs less often. It reaches as far from its anchor as windows
-        of LENGTH bytes do: a longer one comes out anchor by anchor. In groups beyond GROUP it is the union of the windows that occur in just the
-        same contexts. Equal texts of LENGTH bytes or more are a repeat of their own.
+        of LENGTH bytes do: a longer one comes out anchor by anchor. In groups beyond GROUP it is the union of the windows that
+        occur in just the same contexts. Equal texts of LENGTH bytes or more are a repeat of their own.
         """
-        deep = self.pieces.mapInArrow(scan_repeats, "seed long, ctx binary, repeat long, l long, r long")
-        rows = deep.select("seed", "ctx", F.xxhash64("repeat", "r", "l").alias("set"), "l", "r")
+        rows = self.members()
         if not self.large.isEmpty():
-            each, twice = self.windows()
-            both = each.join(twice, ["seed", "j", "w"])
-            rows = rows.union(both.groupBy("seed", "ctx", "set").agg(F.max("j").alias("l"), (LENGTH - F.min("j")).alias("r")))
+            rows = rows.union(self.large_members())
         copies = self.found.select("sha", "doc_id", "n_bytes").join(self.texts, "sha")
         x = rows.join(self.near, ["seed", "ctx"]).join(copies.select("rid", "doc_id"), "rid")
         x = x.select(F.struct("seed", "set").alias("repeat_id"), "doc_id", (F.col("at") - F.col("l")).alias("start"), (F.col("at") + F.col("r")).alias("end"))
@@ -318,8 +354,10 @@ class Repeats:
         return x.union(whole)
 
     def removed(self) -> DataFrame:
-        spans = self.near.join(self.reach(), ["seed", "ctx"]).groupBy("rid").agg(F.collect_list(F.struct((F.col("at") - F.col("l")).alias("s"), (F.col("at") + F.col("r")).alias("e"))).alias("spans"))
-        cut = self.hits.select("rid", "z").join(spans, "rid").mapInArrow(cut_out, "rid long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")
+        span = F.struct((F.col("at") - F.col("l")).alias("s"), (F.col("at") + F.col("r")).alias("e"))
+        spans = self.near.join(self.reach(), ["seed", "ctx"]).groupBy("rid")
+        spans = spans.agg(F.collect_list(span).alias("spans"), F.sum("repeats").alias("n_repeats"), F.max("longest").alias("longest_repeat"))
+        cut = self.hits.select("rid", "z").join(spans, "rid").mapInArrow(cut_out, CUT)
         cut = cut.dropDuplicates(["rid"])  # repeated rows are one text
         whole = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
         out = self.found.select("rid", "doc_id", "n_bytes", "sha").join(self.texts.select("sha", "copies"), "sha").join(cut, "rid", "left")
@@ -329,15 +367,18 @@ class Repeats:
             F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
             F.when(whole, F.lit(hashlib.sha256().hexdigest())).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("sha")))).alias("kept_sha256"),
             F.when(whole, F.array(F.array(F.lit(0).cast("long"), F.col("n_bytes")))).otherwise(F.coalesce("spans", F.array().cast("array<array<long>>"))).alias("spans"),
+            F.when(whole, F.greatest(F.coalesce("n_repeats", F.lit(0)), F.lit(1))).otherwise(F.coalesce("n_repeats", F.lit(0))).alias("n_repeats"),
+            F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("longest_repeat", F.lit(0))).alias("longest_repeat"),
         )
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans; other columns are not read.
+    """docs(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, n_repeats, longest_repeat; other columns are not read.
 
     Removes each byte covered by a string of LENGTH bytes that also starts anywhere else. Null is an empty text; texts
     shorter than LENGTH stay whole; equal texts and repeated rows are removed whole; rows that share a doc_id and differ are
-    texts of their own; an empty table gives an empty result.
+    texts of their own; an empty table gives an empty result. What is removed is what the maximal repeats of the scan cover:
+    n_repeats counts those at the text's anchors, longest_repeat is the longest one's bytes (a whole equal text counts as one).
     """
     return Repeats(docs).removed()
 

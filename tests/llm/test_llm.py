@@ -2,7 +2,9 @@
 
 import collections
 import hashlib
+import itertools
 import math
+import os
 import random
 import re
 
@@ -127,10 +129,14 @@ def test_op2_is_brute_force(spark):
 
 
 def test_op2_large_groups_are_counted_by_window(spark, monkeypatch):
+    """What is removed doesn't depend on GROUP. Beyond it a repeat is another union of windows, so the two counts of repeats may."""
     texts = corpus()
-    want = op2.remove_repeats(table(spark, texts)).drop("spans").orderBy("doc_id").collect()
+    same = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    want = op2.remove_repeats(table(spark, texts)).select(same).orderBy("doc_id").collect()
     monkeypatch.setattr(op2, "GROUP", 1)
-    assert op2.remove_repeats(table(spark, texts)).drop("spans").orderBy("doc_id").collect() == want
+    got = op2.remove_repeats(table(spark, texts))
+    assert got.select(same).orderBy("doc_id").collect() == want
+    assert got.where("(n_repeats > 0) <> (n_removed > 0) or longest_repeat > n_bytes").isEmpty()
 
 
 @pytest.mark.parametrize("group", [20_000, 1])
@@ -161,6 +167,58 @@ def test_op2_occurrences_are_all_repeats(spark, monkeypatch, group):
         assert sum(len(range(*s)) for s in x.spans) == x.n_removed == len(covered[x.doc_id])
 
 
+def test_op2_groups_are_all_maximal_repeats(spark):
+    """The query's own groups: each can't be made longer, and every pair of contexts is together in a group of just the bytes it shares."""
+    texts = [t and t[:1200] for t in corpus()]
+    data = [(t or "").encode() for t in texts]
+    r = op2.Repeats(table(spark, texts))
+    number = {x.rid: x.doc_id for x in r.found.select("rid", "doc_id").collect()}
+    near = collections.defaultdict(set)
+    for x in r.near.collect():
+        near[x.seed, bytes(x.ctx)].add((number[x.rid], x.at))
+    members = collections.defaultdict(set)
+    for x in r.members().collect():
+        members[x.seed, x.set, x.l, x.r] |= near[x.seed, bytes(x.ctx)]
+    groups = {(g.seed, g.num, g.l, g.r): g.n for g in r.groups().collect()}
+    assert len(groups) > 10
+    assert {k: len(v) for k, v in members.items()} == groups
+    for (_, _, left, right), places in members.items():
+        strings = {data[d][p - left : p + right] for d, p in places}
+        assert len(strings) == 1
+        assert len(places) > 1
+        if left < op2.LENGTH - op2.SEED:
+            assert len({data[d][p - left - 1 : p - left] if p > left else (d, p) for d, p in places}) > 1
+        if right < op2.LENGTH:
+            assert len({data[d][p + right : p + right + 1] or (d, p) for d, p in places}) > 1
+    together = {(seed, left, right, a, b) for (seed, _, left, right), places in members.items() for a in places for b in places}
+    by_seed = collections.defaultdict(set)
+    for (seed, _), places in near.items():
+        by_seed[seed] |= places
+    pairs = 0
+    for seed, places in by_seed.items():
+        for a, b in itertools.combinations(sorted(places), 2):
+            (d, p), (e, q) = a, b
+            x, y = data[d][max(p - 136, 0) : p][::-1], data[e][max(q - 136, 0) : q][::-1]
+            sides = [len(os.path.commonprefix(z)) for z in ([x, y], [data[d][p : p + 200], data[e][q : q + 200]])]
+            if sum(sides) >= 200:
+                pairs += 1
+                assert (seed, *sides, a, b) in together
+    assert pairs > 10
+
+
+def test_op2_query_counts_its_repeats(spark):
+    texts = [t and t[:1200] for t in corpus()]
+    r = op2.Repeats(table(spark, texts))
+    rows = {x.doc_id: x for x in r.removed().collect()}
+    found, longest = collections.Counter(), collections.Counter()
+    for x in r.occurrences().collect():
+        found[x.doc_id] += 1
+        longest[x.doc_id] = max(longest[x.doc_id], x.end - x.start)
+    for d, x in rows.items():
+        assert (x.n_repeats > 0) == (x.n_removed > 0) == (found[d] > 0)
+        assert x.longest_repeat == longest[d]
+
+
 def test_op2_rows_that_share_a_doc_id(spark):
     long = " ".join(corpus()[4:8])[:900]
     rows = [(1, long), (1, "a text of its own without any repeat " * 3), (2, long[:500]), (3, "once"), (3, "once")]
