@@ -20,7 +20,7 @@ def fraction(*parts: Column) -> Column:
 
 
 def sample_key() -> Column:
-    return F.coalesce(present("run_id"), present("trace_id"), present("invocation_id"), F.lit(""))
+    return F.coalesce(present("run_id"), present("trace_id"), present("invocation_id"), present("request_id"), F.lit(""))
 
 
 def is_critical() -> Column:

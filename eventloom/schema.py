@@ -41,9 +41,16 @@ FLAT = {
     "trace_id": "string", "invocation_id": "string", "asset_key": "string", "partition_key": "string", "branch": "string", "table_name": "string", "snapshot_id": "string", "pipeline": "string",
     "error_message": "string", "rows_written": "double", "row_count": "double", "metric": "string", "value": "double", "sla_seconds": "double", "retry_of": "string", "trigger": "string",
     "base_branch": "string", "target": "string", "entities": "map<string,string>", "attributes": "string", "tags": "map<string,string>", "error": "string", "contract_id": "string", "contract_version": "int",
+    "span_id": "string", "parent_span_id": "string", "experiment_id": "string", "request_id": "string", "service_version": "string", "service_instance": "string", "host": "string",
+    "producer_version": "string", "source_kind": "string", "raw_ref": "string", "adapter": "string",
 }
 
 
+#: Columns of the envelope's service and source sections, with the section's field; the name and the producer stand apart.
+SERVICE = {"environment": "environment", "service_version": "version", "service_instance": "instance_id", "host": "host"}
+SOURCE = {"producer_version": "producer_version", "source_kind": "kind", "raw_ref": "raw_ref", "adapter": "adapter"}
+
+
 def flat(df: DataFrame) -> DataFrame:
     """df with exactly the flat columns, those that it lacks null."""
     return df.select(*[(F.col(k) if k in df.columns else F.lit(None)).cast(t).alias(k) for k, t in FLAT.items()])
