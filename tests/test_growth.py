@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from eventloom.operators import correlate
+from eventloom.operators import correlate, lifecycle
 from eventloom.operators import projections as p
 from eventloom.operators import questions as q
 from eventloom.schema import flat
@@ -40,3 +40,31 @@ def test_impact_is_one_grouping(spark):
     assert plan(out).count("Exchange hashpartitioning(src") == 1 and "Join" not in plan(out)
     one = out.where("src = 'run://p/r1' AND type = 'produces'").first()
     assert one.targets == [f"asset://a{i}" for i in range(5)] and one.evidence == 10 and one.evidence_ids == [f"e{i}" for i in range(1, 40, 4)]
+
+
+def test_changes_are_not_dealt_run_by_run(spark):
+    ev = log(spark).withColumn("event", F.lit("table.commit"))
+    runs = p.runs(ev)
+    out = q.changes(runs, ev, 24.0, 7)
+    # What comes out of the runs' lists isn't shuffled again.
+    assert out._jdf.queryExecution().optimizedPlan().toString().index("Generate") < out._jdf.queryExecution().optimizedPlan().toString().index("Join")
+    got = {(r.run_id, r.rn): (r.change_id, r.truncated) for r in out.collect()}
+    want = {}
+    for k in range(4):
+        # A run starts with its first event; before it are those of the runs with smaller numbers.
+        for rn, i in enumerate(range(k, max(k - 7, -1), -1), 1):
+            want[f"r{k}", rn] = (f"e{i}", False)
+    assert got == want
+    late = runs.withColumns({"started_at": F.timestamp_add("DAY", F.lit(0), F.lit("2024-01-01 00:00:39").cast("timestamp_ntz"))})
+    rows = q.changes(late, ev, 24.0, 7).where("run_id = 'r2'").orderBy("rn").collect()
+    assert [r.change_id for r in rows] == [f"e{i}" for i in range(39, 32, -1)] and all(r.truncated for r in rows)
+
+
+def test_carried_ids_travel_as_digests(spark):
+    shape = "id string, rule string, dedupe_key string, entity string, events array<string>"
+    old = spark.createDataFrame([("a", "r", "k", "e", ["1", "2"]), ("b", "r", "k", "e", ["3"]), ("c", "r", "k", None, ["4"])], shape)
+    new = spark.createDataFrame([("x", "r", "k", "e", ["2", "3"]), ("y", "r", "k", None, ["4"]), ("z", "r", "other", "e", ["1"])], shape)
+    out = lifecycle.carried_ids(old, new)
+    assert sorted(map(tuple, out.collect())) == [("a", "x", True), ("b", "x", True)]
+    joined = [line for line in plan(out).splitlines() if "Exchange hashpartitioning" in line]
+    assert not any("dedupe_key" in line for line in joined)
