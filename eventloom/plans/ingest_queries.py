@@ -175,7 +175,7 @@ QUERIES = {
     ),
     "val6_trimmed": (
         docs_column(lambda d: texted(j.trimmed(d.select("doc_id", F.create_map(F.lit("text"), F.coalesce(F.regexp_replace("text", "[^A-Za-z. ]", "x"), F.lit("")), F.lit("source"), F.col("source")).alias("attributes")), limit=16 * 1024).select("doc_id", "trimmed", F.length(F.element_at("attributes", "text")).alias("chars")))),
-        """SELECT doc_id, CASE WHEN big THEN 'text' ELSE '' END AS trimmed, CASE WHEN big THEN 1024 + 12 ELSE n END AS chars FROM (SELECT doc_id, length(coalesce(text, '')) AS n, length(coalesce(text, '')) + length(source) + 22 > 16384 AS big FROM documents)""",
+        """SELECT doc_id, CASE WHEN big THEN 'text' ELSE '' END AS trimmed, CASE WHEN big THEN 1024 + 12 ELSE n END AS chars FROM (SELECT doc_id, length(coalesce(text, '')) AS n, length(coalesce(text, '')) + length(source) + 23 > 16384 AS big FROM documents)""",
     ),
     "val14_secret_values": (
         docs_column(lambda d: d.select("doc_id", F.sha2(pv.redact_value(F.coalesce("text", F.lit(""))), 256).alias("redacted"))),

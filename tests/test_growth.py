@@ -2,10 +2,13 @@
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from eventloom.functions import json_values as j
 from eventloom.operators import correlate, lifecycle
 from eventloom.operators import projections as p
 from eventloom.operators import questions as q
 from eventloom.schema import flat
+from eventloom.sources import payloads as s
 
 
 def plan(df):
@@ -60,6 +63,14 @@ def test_changes_are_not_dealt_run_by_run(spark):
     assert [r.change_id for r in rows] == [f"e{i}" for i in range(39, 32, -1)] and all(r.truncated for r in rows)
 
 
+def test_trimmed_at_the_limit(spark):
+    """The JSON of a text and a source has 23 characters beside them (val6_trimmed's SQL had 22)."""
+    rows = spark.createDataFrame([(n, "x" * n, "web") for n in (16358, 16359)], "doc_id int, text string, source string")
+    out = j.trimmed(rows.select("doc_id", F.create_map(F.lit("text"), F.col("text"), F.lit("source"), F.col("source")).alias("attributes")), limit=16384)
+    assert {r.doc_id: r.trimmed for r in out.collect()} == {16358: [], 16359: ["text"]}
+    assert "length(source) + 23 > 16384" in entry.oracle_sql()["val6_trimmed"]
+
+
 def test_carried_ids_travel_as_digests(spark):
     shape = "id string, rule string, dedupe_key string, entity string, events array<string>"
     old = spark.createDataFrame([("a", "r", "k", "e", ["1", "2"]), ("b", "r", "k", "e", ["3"]), ("c", "r", "k", None, ["4"])], shape)
@@ -68,3 +79,11 @@ def test_carried_ids_travel_as_digests(spark):
     assert sorted(map(tuple, out.collect())) == [("a", "x", True), ("b", "x", True)]
     joined = [line for line in plan(out).splitlines() if "Exchange hashpartitioning" in line]
     assert not any("dedupe_key" in line for line in joined)
+
+
+def test_items_are_read_once(spark):
+    body = '[{"event_id":"1","event":"Bad Name"},{"event_id":"2","schema_version":"2.0","event":"a.b","category":"data","outcome":"success","severity":"info","observed_at":"2024-01-01T00:00:00Z","service":{"name":"s"}}]'
+    seen = s.canonical_json(spark.createDataFrame([("p", body), ("q", "{")], "payload_id string, payload string"))
+    bad, good = s.rejected(seen), s.accepted(seen)
+    assert not [line for line in plan(bad).splitlines() if "Filter" in line and "from_json" in line]
+    assert sorted(r.payload_id for r in bad.collect()) == ["p", "q"] and [r.event_id for r in good.collect()] == ["2"]
