@@ -87,3 +87,41 @@ def test_items_are_read_once(spark):
     bad, good = s.rejected(seen), s.accepted(seen)
     assert not [line for line in plan(bad).splitlines() if "Filter" in line and "from_json" in line]
     assert sorted(r.payload_id for r in bad.collect()) == ["p", "q"] and [r.event_id for r in good.collect()] == ["2"]
+
+
+def test_rules_run_on_a_narrow_copy(spark, monkeypatch):
+    """Queries that go through the events several times write the columns that they look at, not the whole event."""
+    from eventloom.plans import common
+
+    class Written(Exception):
+        pass
+
+    def staged(df, name):
+        raise Written(len(df.columns))
+
+    monkeypatch.setattr(common, "canonical", lambda df: df)
+    monkeypatch.setattr(common, "staged", staged)
+    for name in ("rule1_5_findings", "rule7_episodes", "str11_retained", "join14_touched_assets", "join15_lost_evidence", "str10_repaired_gaps", "join10_incident_insights"):
+        try:
+            entry.queries()[name](spark, "/root/testdata/sf0.001")
+            raise AssertionError(name)
+        except Written as n:
+            assert n.args[0] <= 23
+
+
+def test_lineage_makes_edges_once(spark):
+    shape = "src string, dst string, type string, method string"
+    edges = spark.createDataFrame([("run://a/1", "asset://x", "produces", "explicit"), ("asset://x", "asset://y", "t", "inferred"), ("run://a/1", "table://z", "t", "explicit")], shape)
+    out = q.lineage(edges)
+    assert "Union" not in plan(out)
+    assert {(r.entity_id, r.direction, r.neighbour, r.kind) for r in out.collect()} == {("asset://x", "upstream", "run://a/1", "runtime"), ("asset://x", "downstream", "asset://y", "inferred"), ("asset://y", "upstream", "asset://x", "inferred")}
+
+
+def test_touched_assets_are_folded_before_the_join(spark):
+    from eventloom.operators import maintenance as m
+
+    ev = log(spark)
+    out = m.touched_assets(ev, spark.createDataFrame([("r1",), ("none",)], "run_id string"))
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("Join LeftSemi") < text.index("Aggregate")
+    assert sorted(r.entity_id for r in out.collect()) == [f"asset://a{i}" for i in range(5)]
