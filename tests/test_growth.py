@@ -125,3 +125,19 @@ def test_touched_assets_are_folded_before_the_join(spark):
     text = out._jdf.queryExecution().optimizedPlan().toString()
     assert text.index("Join LeftSemi") < text.index("Aggregate")
     assert sorted(r.entity_id for r in out.collect()) == [f"asset://a{i}" for i in range(5)]
+
+
+def test_exported_payloads_do_not_grow_with_the_log(spark):
+    ev = log(spark, 3 * s.EXPORTED).withColumns({c: F.substring("event_id", 1, 1) for c in ("service", "environment")})
+    out = s.otlp_export(ev, 1).select(F.concat_ws("-", "service", "block").alias("payload_id"), "payload").collect()
+    assert len({r.payload_id for r in out}) == len(out) == 3 and all(r.payload.count("timeUnixNano") == s.EXPORTED for r in out)
+    text = plan(s.otlp_export(ev, 1))
+    # Events are dealt once, as they are.
+    assert text.count("Exchange hashpartitioning") == 1 and "observe.event_id" not in text[text.rindex("Exchange hashpartitioning") :]
+
+
+def test_payloads_are_parsed_once(spark):
+    p = spark.createDataFrame([("p", '{"resource_logs":[{"scopeLogs":[{"logRecords":[{"body":{"stringValue":"x"}}, 5]}]}]}'), ("q", "{")], "payload_id string, payload string")
+    out = s.otlp_logs(p)
+    assert s.otlp_records(p)._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+    assert [r.attributes for r in out.collect()] == ['{"body":"x"}'] and {(r["payload_id"], r["index"]) for r in s.otlp_rejected(p).collect()} == {("p", "0.0.1"), ("q", "0")}
