@@ -141,3 +141,36 @@ def test_payloads_are_parsed_once(spark):
     out = s.otlp_logs(p)
     assert s.otlp_records(p)._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
     assert [r.attributes for r in out.collect()] == ['{"body":"x"}'] and {(r["payload_id"], r["index"]) for r in s.otlp_rejected(p).collect()} == {("p", "0.0.1"), ("q", "0")}
+
+
+def test_edges_are_dealt_by_hub_and_sorted_once(spark, monkeypatch):
+    """Nothing is sorted before edges are dealt, an event goes to its hub once, and hubs with too many events for a task are cut down first, with the same result."""
+    from collections import defaultdict
+
+    ev = log(spark, 300)
+    given = F.when(F.col("event_id").isin("e1", "e2"), F.create_map(F.lit("source"), F.lit("x"), F.lit("run"), F.lit("x"), F.lit("asset"), F.lit("y"), F.lit("model"), F.lit(""), F.lit("deployment"), F.lit("d")))
+    ev = ev.withColumns({"entities": given.when(F.col("event_id") == "e3", F.create_map(F.lit("source"), F.lit("z"))), "branch": F.when(F.col("event_id") > "e2", "b"), "run_id": F.when(F.col("event_id") != "e9", F.col("run_id"))})
+    ev = ev.union(ev.where("event_id = 'e7'").withColumn("event_id", F.lit("e70")))
+    want = defaultdict(list)
+    for r in p.edges(ev).collect():
+        want[r.src, r.dst, r.type].append((r.observed_at, r.event_id))
+    want = {k: [e for _, e in sorted(v)[:32]] for k, v in want.items()}
+    assert ("z", "asset://a3", "produces") in want and len(want["x", "y", "produces"]) == 4 and len(want["service://s", "run://p/r0", "executes"]) == 32
+
+    def got():
+        out = p.edge_sources(ev)
+        rows = out.collect()
+        assert len(rows) == len(want)
+        return {(r.src, r.dst, r.type): r.source_ids for r in rows}, out
+
+    calm, out = got()
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert calm == want
+    assert "WindowGroupLimit" not in plan(out) and "Aggregate" not in plan(out)
+    final = text[: text.index("Initial Plan")] if "Initial Plan" in text else text
+    assert final.count("Exchange hashpartitioning(hub") == 1 and final.count("Sort [") == 1
+    monkeypatch.setattr(p, "HUB_EVENTS", 74)
+    mixed, out = got()
+    assert mixed == want and "WindowGroupLimit" in plan(out)
+    monkeypatch.setattr(p, "HUB_EVENTS", 0)
+    assert got()[0] == want
