@@ -174,3 +174,23 @@ def test_edges_are_dealt_by_hub_and_sorted_once(spark, monkeypatch):
     assert mixed == want and "WindowGroupLimit" in plan(out)
     monkeypatch.setattr(p, "HUB_EVENTS", 0)
     assert got()[0] == want
+
+
+def test_a_row_of_changes_costs_little(spark):
+    """Up to 1000 rows come out of a run: no list is copied and no time is made text for them, only for each change and run."""
+    text = entry.queries()["qry7_run_changes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in text for x in ("slice(", "reverse(")) and "date_format" in text
+    assert text.index("Generate explode(sequence") < text.index("date_format")
+
+
+def test_newest_changes_at_every_cap(spark):
+    ev = log(spark, 60).withColumns({"event": F.lit("table.commit"), "observed_at": F.timestamp_add("MINUTE", (F.xxhash64("event_id") % 40).cast("int"), F.lit("2024-01-01").cast("timestamp_ntz"))})
+    runs = ev.select(F.col("event_id").alias("run_id"), F.col("observed_at").alias("started_at"), F.col("observed_at").alias("updated_at"))
+    rows = sorted(((r.observed_at, r.event_id) for r in ev.collect()), key=lambda x: x[1])
+    for cap, hours in ((1, 0.5), (3, 0.5), (7, 0.1), (1000, 720)):
+        got = {(r.run_id, r.rn): (r.change_id, r.changed_at, r.truncated) for r in q.changes(runs, ev, hours, cap, shown=lambda t: F.date_format(t, "mm")).collect()}
+        want = {}
+        for start, run in rows:
+            before = sorted((x for x in rows if 0 <= (start - x[0]).total_seconds() <= hours * 3600), key=lambda x: x[0], reverse=True)
+            want |= {(run, k): (e, f"{t:%M}", len(before) > cap) for k, (t, e) in enumerate(before[:cap], 1)}
+        assert got == want
