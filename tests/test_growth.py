@@ -194,3 +194,29 @@ def test_newest_changes_at_every_cap(spark):
             before = sorted((x for x in rows if 0 <= (start - x[0]).total_seconds() <= hours * 3600), key=lambda x: x[0], reverse=True)
             want |= {(run, k): (e, f"{t:%M}", len(before) > cap) for k, (t, e) in enumerate(before[:cap], 1)}
         assert got == want
+
+
+def test_investigations_deal_events_once(spark, monkeypatch):
+    """All lists of a run come out of one pass over its events, with their caps, and edges of another run than the event's are found too."""
+    monkeypatch.setattr(q, "EVENT_CAP", 8)
+    number = F.substring("event_id", 2, 9).cast("int")
+    given = F.when(F.col("event_id") == "e3", F.create_map(F.lit("run"), F.lit("run://x/r1"), F.lit("asset"), F.lit("asset://y")))
+    ev = log(spark).withColumns({
+        "event": F.when(number < 4, "pipeline.run").when(number % 8 < 4, "table.commit").otherwise(F.col("event")), "entities": given, "job_id": F.lit("j"),
+        "outcome": F.when((number < 2) | (number == 3) | (number % 4 == 1), "failure").otherwise("success"), "severity": F.when(number % 4 == 3, "warn").otherwise("info"),
+    })
+    rows, runs = ev.collect(), p.runs(ev).cache()
+    out = q.investigation(ev, runs)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 2
+    got = {r.run_id: r for r in out.collect()}
+    assert set(got) == {"r0", "r1", "r3"}
+    for run, r in got.items():
+        mine = sorted((x for x in rows if x.run_id == run), key=lambda x: x.observed_at)
+        bad, warned = [x for x in mine if x.outcome == "failure"], [x.event_id for x in mine if x.severity == "warn"]
+        assert (r.events, r.failures, r.failed_stage, r.first_failure) == (10, len(bad), bad[-1].event, bad[0].event_id)
+        assert (r.failure_ids, r.warning_ids, r.truncated) == ([x.event_id for x in bad][:8], warned[:8], True)
+        changes = [c.change_id for c in q.changes(runs, ev).where(F.col("run_id") == run).orderBy("rn").collect()]
+        assert (r.changes, r.causes, r.evidence) == (changes, [bad[0].event_id, *changes[:3]], sorted({*r.failure_ids, *r.warning_ids, *changes}))
+        assert r.comparables == [x for x in ("r3", "r2", "r1", "r0") if x != run]
+        assert r.impact == sorted(x.effect for x in p.edges(ev).where("src LIKE 'run://%'").select(F.substring_index("src", "/", -1).alias("run"), F.concat_ws(" ", "type", "dst").alias("effect")).distinct().collect() if x.run == run)
+    assert "part_of asset://y" in got["r1"].impact
