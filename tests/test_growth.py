@@ -220,3 +220,34 @@ def test_investigations_deal_events_once(spark, monkeypatch):
         assert r.comparables == [x for x in ("r3", "r2", "r1", "r0") if x != run]
         assert r.impact == sorted(x.effect for x in p.edges(ev).where("src LIKE 'run://%'").select(F.substring_index("src", "/", -1).alias("run"), F.concat_ws(" ", "type", "dst").alias("effect")).distinct().collect() if x.run == run)
     assert "part_of asset://y" in got["r1"].impact
+
+
+def test_payloads_are_streamed_out_of_sorted_rows(spark):
+    """No aggregation holds, sorts and spills the records of a task; texts travel as one list and come back as they were; payloads go on over batches."""
+    import json
+
+    number = F.substring("event_id", 2, 9).cast("int")
+    ev = log(spark, 1203).withColumns({
+        "service": F.when(number < 1100, "a").when(number < 1150, ""), "environment": F.when(number % 2 == 0, "x"), "error_message": F.when(number == 3, 'a"b\\,\né[]{}').when(number == 4, ""), "duration_ms": F.when(number == 5, 0.1),
+        "tags": F.when(number == 6, F.create_map(F.lit("k"), F.lit("v"))),
+    })
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        out = s.otlp_export(ev, 1)
+        assert "Aggregate" not in plan(out) and "Window" not in plan(out)
+        rows = out.collect()
+        back = s.otlp_logs(out.select(F.concat_ws("-", "service", "environment", "block").alias("payload_id"), "payload")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    got = {(r.service, r.environment, r.block): [next(a["value"]["stringValue"] for a in x["attributes"] if a["key"] == "observe.event_id") for x in json.loads(r.payload)["resourceLogs"][0]["scopeLogs"][0]["logRecords"]] for r in rows}
+    assert len(got) == len(rows)
+    want = {}
+    for service, numbers in (("a", range(1100)), ("", range(1100, 1150)), (None, range(1150, 1203))):
+        for environment in ("x", None):
+            ids = sorted(f"e{i}" for i in numbers if (i % 2 == 0) == (environment == "x"))
+            want |= {(service, environment, k): ids[k * s.EXPORTED : (k + 1) * s.EXPORTED] for k in range(-(-len(ids) // s.EXPORTED))}
+    assert got == want
+    by = {r.event_id: r for r in back}
+    assert len(by) == 1203 and (by["e3"].error_message, by["e5"].duration_ms, by["e6"].tags) == ('a"b\\,\né[]{}', 0.1, {"k": "v"})
+    assert by["e4"].error_message is None and by["e7"].duration_ms is None and all(by[f"e{i}"].asset_key == f"a{i % 5}" and by[f"e{i}"].run_id == f"r{i % 4}" for i in range(1203))
