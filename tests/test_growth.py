@@ -251,3 +251,32 @@ def test_payloads_are_streamed_out_of_sorted_rows(spark):
     by = {r.event_id: r for r in back}
     assert len(by) == 1203 and (by["e3"].error_message, by["e5"].duration_ms, by["e6"].tags) == ('a"b\\,\né[]{}', 0.1, {"k": "v"})
     assert by["e4"].error_message is None and by["e7"].duration_ms is None and all(by[f"e{i}"].asset_key == f"a{i % 5}" and by[f"e{i}"].run_id == f"r{i % 4}" for i in range(1203))
+
+
+def test_only_findings_that_incidents_can_have_are_made(spark, monkeypatch):
+    """JOIN-10 leaves out events of other names before series and assets are dealt, with the same result."""
+    from eventloom.operators import insights as i
+
+    number = F.substring("event_id", 2, 9).cast("int")
+    ev = log(spark, 400).withColumns({
+        "event": F.when(number % 4 == 0, "pipeline.run").when(number % 4 == 1, "quality.check").otherwise("asset.materialize"), "outcome": F.when(number % 12 < 6, "failure").otherwise("success"),
+        "job_id": F.when(number % 4 == 0, "j"), "duration_ms": F.when(number % 4 == 0, F.when(number % 48 == 0, 1000.0).otherwise(10.0)), "row_count": F.when(number % 4 > 1, F.when(number % 50 == 3, 1000.0).otherwise(10.0)), "sla_seconds": F.when(number % 4 == 2, 0.5),
+    })
+    seen = []
+    dealt = i.with_baseline
+    monkeypatch.setattr(i, "with_baseline", lambda rows, **more: seen.append({r.base for r in rows.select("base").distinct().collect()}) or dealt(rows, **more))
+    found = i.findings(ev)
+    hit = {(r.rule, r.severity in ("error", "critical")) for r in found.select("rule", "severity").distinct().collect()}
+    assert hit == {(k, k in i.SEVERE) for k in i.RULES}
+    want = i.incident_insights(i.incidents(found), i.episodes(found, ev))
+    seen.clear()
+    got = i.behind_incidents(ev)
+    assert seen == [{"run.duration_ms"}]
+    rows = sorted(map(tuple, got.collect()))
+    assert rows == sorted(map(tuple, want.collect())) and {r[2] for r in rows} == {"run-failure", "duration-regression"}
+    # An SLA on such an event brings the assets back, and without failures nothing is left.
+    late = ev.withColumn("sla_seconds", F.lit(0.5))
+    found = i.findings(late)
+    rows = sorted(map(tuple, i.behind_incidents(late).collect()))
+    assert rows == sorted(map(tuple, i.incident_insights(i.incidents(found), i.episodes(found, late)).collect())) and "freshness-breach" in {r[2] for r in rows}
+    assert i.behind_incidents(ev.withColumn("outcome", F.lit("success"))).count() == 0
